@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 _rng = np.random.default_rng(20240131)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
