@@ -1,0 +1 @@
+"""Property-graph analytics on Spark DataFrames."""
