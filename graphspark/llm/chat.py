@@ -46,6 +46,7 @@ class PartVisitor:
 
     costs: Costs = field(default_factory=Costs)
     out: list[str] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)  # not yet in out: adjacent texts are escaped as one
     refs: list[tuple[str, str, int]] = field(default_factory=list)
 
     def visit(self, part) -> None:
@@ -55,10 +56,17 @@ class PartVisitor:
         return getattr(self, f"visit_{kind}", self.visit_unknown)(part)
 
     def visit_text(self, part) -> None:
-        self.out.append(escape(str(part.get("text") or "")))
+        self.texts.append(str(part.get("text") or ""))
+
+    def flattened(self) -> str:
+        """All parts so far, in order."""
+        self.out.append(escape("".join(self.texts)))
+        self.texts = []
+        return "".join(self.out)
 
     def _attach(self, kind: str, part, tokens: int) -> None:
         ref = part.get("url") or part.get("path") or part.get("id") or ""
+        self.flattened()
         self.out.append(f"<|{kind}:{len(self.refs)}|>")
         self.refs.append((kind, str(ref), tokens))
 
@@ -73,7 +81,7 @@ class PartVisitor:
         self._attach("document", part, int(part.get("pages") or 1) * self.costs.page)
 
     def visit_unknown(self, part) -> None:
-        self.out.append(escape(json.dumps(part, ensure_ascii=False, sort_keys=True)))
+        self.texts.append(json.dumps(part, ensure_ascii=False, sort_keys=True))
 
 
 def format_turn(role: str, content, costs: Costs | None = None) -> tuple[str, list[tuple[str, str, int]], list[int]]:
@@ -81,7 +89,7 @@ def format_turn(role: str, content, costs: Costs | None = None) -> tuple[str, li
     visitor = PartVisitor(costs or Costs())
     for part in content if isinstance(content, list) else [content or ""]:
         visitor.visit(part)
-    head, body = f"{OPEN}{escape(role)}{MIDDLE}", "".join(visitor.out)
+    head, body = f"{OPEN}{escape(role)}{MIDDLE}", visitor.flattened()
     return f"{head}{body}{CLOSE}", visitor.refs, [len(head), len(head) + len(body)]
 
 
