@@ -18,9 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
+#: Rows of a few numbers that one task writes where a bound of all rows is known.
+ROWS_A_FILE = 100_000
+
+
+def saved(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
+
+    Where df is known to have at most `most` rows, they are written by as many tasks as those need, not one a partition.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, most // ROWS_A_FILE))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
