@@ -1,9 +1,7 @@
-"""Benchmark decontamination: CGK random-walk embeddings of item-sized windows, bit-sampling LSH, exact edit distances."""
+"""Benchmark decontamination: CGK random-walk embeddings of windows at every word, bit-sampling LSH, exact edit distances."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,28 +11,21 @@ from ._text import U, blocks, mixed, text_bytes, words
 
 #: A passage leaks when it is within this share of the item's bytes of the item, in edits.
 MAX_EDITS = 0.2
-#: Windows begin at words whose hash is the smallest of WINNOW in a row: an unchanged run of so many words has one.
-WINNOW = 4
-#: Steps of the random walk that are embedded, from the window's first byte: about two thirds as many bytes.
-STEPS = 40
-#: Edits that a window's sampled part is to survive with probability RECALL, and the sampled positions of a table.
-EDITS, SAMPLED, RECALL = 1, 10, 0.98
+#: Steps of the random walk, positions of it that a table samples, and tables: of items of many words, and of items of
+#: fewer than MANY. At MAX_EDITS one byte in five is edited, so that few runs of more than eight bytes are left alone:
+#: a walk is short, and an item is embedded from each of its words.
+WALKS = ((11, 10, 2), (10, 9, 2))
+MANY = 24
+#: Probability that a step moves on.
+MOVES = 0.85
+#: Items of fewer words are compared with all of a text, by pieces of which one must be left alone.
+FEW = 8
 LANES = 16_384  # walks taken at once
 #: Items compared at once; more are compared in blocks of so many.
 BLOCK_ITEMS = 20_000
-#: Positions of a passage's begin that count as the same, in bytes.
-DIAGONAL = 64
 _SEED = 99
 
 
-def tables() -> int:
-    """Tables so that one of them agrees with probability RECALL: an edit changes on average about three embedded
-    positions of STEPS (the two walks meet again after a geometric time), a table of SAMPLED positions misses them all
-    with probability (1 - 3 / STEPS) ** SAMPLED."""
-    one = (1 - 3 * EDITS / STEPS) ** SAMPLED
-    return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - one)))
-
-
 def _normal(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased and white space as spaces, byte by byte, so that positions stay."""
     table = np.arange(256, dtype=np.uint8)
@@ -46,11 +37,11 @@ def _normal(data: np.ndarray) -> np.ndarray:
 class Embedding:
     """The random walk of the CGK embedding: at step j it emits the byte under it and moves on if R[j, byte] says so."""
 
-    def __init__(self):
+    def __init__(self, steps: int, sampled: int, tables: int):
         rng = np.random.default_rng(_SEED)
-        self.moves = rng.integers(0, 2, (STEPS, 256), dtype=np.int64)
-        k = tables()
-        self.sampled = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(k)]
+        self.steps = steps
+        self.moves = (rng.random((steps, 256)) < MOVES).astype(np.int64)
+        self.sampled = [np.sort(rng.choice(steps, sampled, replace=False)) for _ in range(tables)]
         values = rng.integers(1, 2**63, 256, dtype=np.uint64)
         self.by_step: dict[int, list[tuple[int, np.ndarray]]] = {}
         for t, at in enumerate(self.sampled):
@@ -59,12 +50,12 @@ class Embedding:
 
     def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(tables, windows) hashes of the sampled positions; bytes beyond the end are 0."""
-        padded = np.concatenate([data, np.zeros(STEPS + 1, np.uint8)])
+        padded = np.concatenate([data, np.zeros(self.steps + 1, np.uint8)])
         out = np.zeros((len(self.sampled), len(starts)), np.uint64)
         for lo in range(0, len(starts), LANES):
             at = starts[lo : lo + LANES].astype(np.int64)
             mine = out[:, lo : lo + LANES]
-            for j in range(STEPS):
+            for j in range(self.steps):
                 c = padded[at]
                 for t, value in self.by_step.get(j, ()):
                     mine[t] += value[c]
@@ -72,26 +63,6 @@ class Embedding:
         return mixed(out)
 
 
-def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Indices of the words at which windows begin: the winnowing minima of each text (the smallest of all in a shorter one)."""
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    w = min(WINNOW, n)
-    best = np.arange(n - w + 1)
-    for i in range(1, w):
-        other = np.arange(i, n - w + 1 + i)
-        best = np.where(h[other] < h[best], other, best)
-    whole = text[: n - w + 1] == text[w - 1 :]
-    chosen = np.zeros(n, bool)
-    chosen[best[whole]] = True
-    for i in np.flatnonzero(np.diff(first) < WINNOW):
-        if first[i] < first[i + 1]:
-            chosen[first[i] + int(np.argmin(h[first[i] : first[i + 1]]))] = True
-    return np.flatnonzero(chosen)
-
-
 def best_match(item: bytes, region: bytes, most: int) -> tuple[int, int] | None:
     """(edits, end) of the substring of region nearest to item, the first of equal ones; None beyond `most` edits.
 
@@ -125,92 +96,126 @@ def best_match(item: bytes, region: bytes, most: int) -> tuple[int, int] | None:
     return (best, where) if best <= most else None
 
 
+def anywhere(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
+    """best_match over all of a text: of most + 1 pieces of the item, one is left alone in what is within `most` edits."""
+    if most >= len(item):
+        return best_match(item, text, most)
+    cut = [len(item) * i // (most + 1) for i in range(most + 2)]
+    spots: set[int] = set()
+    for a, z in zip(cut, cut[1:], strict=False):
+        at = text.find(item[a:z])
+        while at >= 0:
+            spots.add(at - a)
+            at = text.find(item[a:z], at + 1)
+    best, reach = None, None
+    for lo, hi in _runs(sorted(spots), len(item) + 2 * most):
+        lo, hi = max(0, lo - most), min(len(text), hi + len(item) + most)
+        got = best_match(item, text[lo:hi], most)
+        if got and (best is None or got[0] < best):
+            best, reach = got[0], lo + got[1]
+    return None if best is None else (best, reach)
+
+
+def _runs(spots: list[int], gap: int) -> list[tuple[int, int]]:
+    """First and last of each run of sorted numbers that are at most `gap` apart."""
+    out: list[tuple[int, int]] = []
+    for s in spots:
+        if out and s - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], s)
+        else:
+            out.append((s, s))
+    return out
+
+
+class Windows:
+    """The sorted keys of the windows of some items: one at each word, in each table."""
+
+    def __init__(self, walk: tuple[int, int, int], data: np.ndarray, start: np.ndarray, text: np.ndarray, offset: np.ndarray, most: np.ndarray):
+        self.walk = Embedding(*walk)
+        keys = self.walk.keys(data, start)
+        self.most = most
+        self.tables = []
+        for k in keys:
+            order = np.argsort(k, kind="stable")
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(k >> U(44)).astype(np.int64)] = True
+            self.tables.append((k[order], maybe, text[order], offset[order]))
+
+    def candidates(self, data: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(text, item, first begin, last begin) of what has to be verified: two windows of the text agree with two of the
+        item in some table, and place the item at begins that differ by half of its edits at most."""
+        hits = []
+        for (k, maybe, of, offset), mine in zip(self.tables, self.walk.keys(data, pos), strict=True):
+            cand = np.flatnonzero(maybe[(mine >> U(44)).astype(np.int64)])
+            lo, hi = np.searchsorted(k, mine[cand], "left"), np.searchsorted(k, mine[cand], "right")
+            some = hi > lo
+            cand, lo, many = cand[some], lo[some], (hi - lo)[some]
+            c = np.repeat(cand, many)
+            x = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+            hits.append(np.stack([c, of[x], offset[x]], 1))
+        window, item, offset = np.concatenate(hits).T
+        if not len(window):
+            return np.zeros((0, 4), np.int64)
+        text = np.searchsorted(at, pos[window], "right") - 1
+        begin = pos[window] - offset
+        group = text * (int(item.max()) + 1) + item
+        order = np.lexsort((window, begin, group))
+        group, window, begin, item, text = group[order], window[order], begin[order], item[order], text[order]
+        near = (group[1:] == group[:-1]) & (begin[1:] - begin[:-1] <= np.maximum(1, self.most[item[1:]] // 2))
+        # runs of hits that are near each other, of at least two windows of the text (and so of the item, which has them in the same order)
+        first = np.flatnonzero(np.r_[True, ~near])
+        last = np.r_[first[1:], len(group)] - 1
+        good = np.minimum.reduceat(window, first) < np.maximum.reduceat(window, first)
+        return np.stack([text[first], item[first], begin[first], begin[last]], 1)[good]
+
+
 class Items:
-    """A block of benchmark items: their texts, and the sorted keys of their windows."""
+    """A block of benchmark items: their texts, and the windows of those that have enough words."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         column = pa.array(texts, pa.string())
         raw, at = text_bytes(column)
         data = _normal(raw)
         h, first, start, _ = words(column)
-        chosen = anchors(h, first)
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        many = np.diff(first)
+        text = np.repeat(np.arange(len(ids)), many)
         self.ids = ids
         self.bytes = [data[at[i] : at[i + 1]].tobytes().rstrip(b" ") for i in range(len(ids))]
-        walk = Embedding()
-        keys = walk.keys(data, start)
-        keep = np.zeros(len(h), bool)
-        keep[chosen] = True
-        # windows that run over the item's end would read the next item: they embed what the item has, if that is enough
-        left = at[1:][text] - start if len(h) else np.zeros(0, np.int64)
-        good = keep & (left >= STEPS // 2 + 8)
-        self.tables, self.of, self.offset = [], [], []
-        for t in range(len(keys)):
-            order = np.argsort(keys[t][good], kind="stable")
-            k = keys[t][good][order]
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(k >> U(44)).astype(np.int64)] = True
-            self.tables.append((k, maybe))
-            self.of.append(text[good][order])
-            self.offset.append((start - at[:-1][text])[good][order])
-        # items too short for any window are looked for by their first word with an exact search
-        have = set(text[good].tolist())
-        self.rest = [i for i in range(len(ids)) if i not in have and self.bytes[i].strip()]
-
-
-def _candidates(items: Items, keys: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, item, begin // DIAGONAL) of what has to be verified: one window agrees with the item's in every table, or two
-    windows agree in some on nearly the same diagonal."""
-    hits = []
-    for t, (k, maybe) in enumerate(items.tables):
-        if not len(k) or not len(pos):
-            continue
-        cand = np.flatnonzero(maybe[(keys[t] >> U(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(k, keys[t][cand], "left"), np.searchsorted(k, keys[t][cand], "right")
-        many = hi - lo
-        c = np.repeat(cand, many)
-        x = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        hits.append(np.stack([c, items.of[t][x], pos[c] - items.offset[t][x]], 1))
-    if not hits or not sum(map(len, hits)):
-        return []
-    window, item, begin = np.concatenate(hits).T
-    text = np.searchsorted(at, pos[window], "right") - 1
-    rows, times = np.unique(np.stack([text, item, begin // DIAGONAL, window], 1), axis=0, return_counts=True)
-    whole = {tuple(r) for r in rows[times >= len(items.tables), :3].tolist()}
-    spots, windows = np.unique(rows[:, :3], axis=0, return_counts=True)
-    seen = {tuple(r): n for r, n in zip(spots.tolist(), windows.tolist(), strict=True)}
-    return [s for s in sorted(seen) if s in whole or seen[s] + max(seen.get((s[0], s[1], s[2] - 1), 0), seen.get((s[0], s[1], s[2] + 1), 0)) >= 2]
+        most = np.array([int(MAX_EDITS * len(b)) for b in self.bytes], np.int64)
+        self.windows = []
+        for walk, least, below in ((WALKS[0], MANY, None), (WALKS[1], FEW, MANY)):
+            of = (many[text] >= least) & (many[text] < below if below else True)
+            if of.any():
+                self.windows.append(Windows(walk, data, start[of], text[of], (start - at[:-1][text])[of], most))
+        self.rest = [i for i in range(len(ids)) if many[i] < FEW and self.bytes[i].strip()]
 
 
 def _find(shared):
     def run(batches):
         items: Items = shared.value
-        walk = Embedding()
         for batch in batches:
             for part in blocks(batch, "text"):
                 raw, at = text_bytes(part.column("text"))
                 data = _normal(raw)
-                h, first, start, _ = words(part.column("text"))
+                _, _, pos, _ = words(part.column("text"))
                 docs = part.column("doc_id").to_pylist()
-                chosen = anchors(h, first)
-                pos = start[chosen]
-                keys = walk.keys(data, pos) if len(pos) else np.zeros((len(items.tables), 0), np.uint64)
-                near = _candidates(items, keys, pos, at)
                 out: dict[tuple[int, int], tuple[int, int]] = {}
-                for d, i, begin in near:
-                    if out.get((d, i), (1, 0))[0] == 0:
-                        continue
-                    want = items.bytes[i]
-                    most = int(MAX_EDITS * len(want))
-                    lo, hi = max(int(at[d]), begin * DIAGONAL - most), min(int(at[d + 1]), (begin + 1) * DIAGONAL + len(want) + most)
-                    got = best_match(want, data[lo:hi].tobytes(), most)
-                    if got and (d, i) not in out or got and got[0] < out[d, i][0]:
-                        out[d, i] = (got[0], lo + got[1] - int(at[d]))
+                for windows in items.windows if len(pos) else ():
+                    for d, i, begin, end in windows.candidates(data, pos, at).tolist():
+                        if out.get((d, i), (1, 0))[0] == 0:
+                            continue
+                        want = items.bytes[i]
+                        most = int(MAX_EDITS * len(want))
+                        lo, hi = max(int(at[d]), begin - most), min(int(at[d + 1]), end + len(want) + most)
+                        got = best_match(want, data[lo:hi].tobytes(), most)
+                        if got and ((d, i) not in out or got[0] < out[d, i][0]):
+                            out[d, i] = (got[0], lo + got[1] - int(at[d]))
                 for i in items.rest:
+                    want = items.bytes[i]
                     for d in range(len(docs)):
-                        p = data[at[d] : at[d + 1]].tobytes().find(items.bytes[i])
-                        if p >= 0:
-                            out[d, i] = (0, p + len(items.bytes[i]))
+                        got = anywhere(want, data[at[d] : at[d + 1]].tobytes(), int(MAX_EDITS * len(want)))
+                        if got:
+                            out[d, i] = got
                 found = sorted(out.items())
                 yield pa.RecordBatch.from_arrays([
                     pa.array([docs[d] for (d, _), _ in found], pa.int64()), pa.array([items.ids[i] for (_, i), _ in found], pa.int64()),
@@ -225,10 +230,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     near to, with the fewest edits found; positions are bytes of the UTF-8 text.
 
     Near is at most 20 % of the item's bytes in edits, A-Z counting as a-z and white space as spaces. Windows of the
-    documents begin at winnowed words and are as long as the walk reads; every document and every window takes part,
-    in tables of bit-sampled embeddings; each candidate is verified exactly over the whole item. A window of an
-    item that is unchanged is always found; the number of tables follows the recall asked for.
-    Items of fewer bytes than a window are looked for as they stand. Items without words, and null items, are found
+    documents and of the items begin at every word; two that agree at nearly the same begin of the item make a
+    candidate, which is verified exactly over the whole item. The search is not exact: README has its measured recall
+    against brute force. Items of fewer than FEW words are compared with every text in full and exactly, which takes
+    time in proportion to their number. Items without bytes other than spaces, and null items, are found
     nowhere; null and empty documents hold nothing. Repeated items are found each, repeated rows give repeated results. Items are
     compared in blocks of `block`, whose size bounds what is broadcast. An empty table gives an empty result.
     """
