@@ -239,6 +239,27 @@ def path_mixed_dir_4(spark, d):
     return flat(paths.match(gr, pattern).edges)
 
 
+#: The flow of each edge is a product of the ways to it from the start and from it to the end.
+_MIXED_ALL_SQL = f"""WITH po AS (SELECT 3*{K}+c_custkey AS a, 6*{K}+o_orderkey AS b FROM customer JOIN orders ON o_custkey = c_custkey),
+    op AS (SELECT DISTINCT 6*{K}+l_orderkey AS b, 5*{K}+l_partkey AS c FROM lineitem), ps AS (SELECT DISTINCT 5*{K}+l_partkey AS c, 4*{K}+l_suppkey AS s FROM lineitem),
+    sn AS (SELECT 4*{K}+s_suppkey AS s, 2*{K}+s_nationkey AS n FROM supplier),
+    c_on AS (SELECT c, count(*) AS m FROM ps JOIN sn USING (s) GROUP BY c), b_on AS (SELECT b, sum(m) AS m FROM op JOIN c_on USING (c) GROUP BY b),
+    b_in AS (SELECT b, count(*) AS m FROM po GROUP BY b), c_in AS (SELECT c, sum(m) AS m FROM op JOIN b_in USING (b) GROUP BY c), s_in AS (SELECT s, sum(m) AS m FROM ps JOIN c_in USING (c) GROUP BY s)
+    SELECT a AS src, b AS dst, 'Placed' AS edge_types, CAST(m AS BIGINT) AS flow FROM po JOIN b_on USING (b)
+    UNION ALL SELECT b, c, 'Contains', CAST(b_in.m * c_on.m AS BIGINT) FROM op JOIN b_in USING (b) JOIN c_on USING (c)
+    UNION ALL SELECT s, c, 'Supplies', CAST(c_in.m AS BIGINT) FROM ps JOIN c_in USING (c) JOIN sn USING (s)
+    UNION ALL SELECT s, n, 'InNation', CAST(m AS BIGINT) FROM sn JOIN s_in USING (s)"""
+
+
+@query(_MIXED_ALL_SQL)
+def path_mixed_dir_4_all(spark, d):
+    """path_mixed_dir_4 from all customers."""
+    gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier", "Nation"), ("Placed", "Contains", "Supplies", "InNation"))
+    kind = lambda t: Node(p.of_type(t))
+    pattern = Pattern((kind("Customer"), Edge(("Placed",)), kind("Order"), Edge(("Contains",)), kind("Part"), Edge(("Supplies",), "in"), kind("Supplier"), Edge(("InNation",)), kind("Nation")))
+    return flat(paths.match(gr, pattern).edges)
+
+
 def _nation_graph(spark, d):
     n = nodes(spark, d, "Nation").withColumn("node_id", F.col("node_id") - 2 * K)
     return g.PropertyGraph(n, nation_links(spark, d))
@@ -327,6 +348,14 @@ def prob_accumulated(spark, d):
     return flat(paths.match(gr, pattern).edges)
 
 
+@query(f"WITH q AS (SELECT a.src AS a, a.dst AS b, s.src AS s, c.dst AS c FROM ({EDGE_SQL['Placed']}) a JOIN ({EDGE_SQL['Contains']}) c ON a.dst = c.src JOIN ({EDGE_SQL['Supplies']}) s ON s.dst = c.dst WHERE a.prob / 100.0 * (s.prob / 100.0) >= 0.5) SELECT a AS src, b AS dst, 'Placed' AS edge_types, count(*) AS flow FROM q GROUP BY 1, 2 UNION ALL SELECT b, c, 'Contains', count(*) FROM q GROUP BY 1, 2 UNION ALL SELECT s, c, 'Supplies', count(*) FROM q GROUP BY 1, 2")
+def prob_accumulated_all(spark, d):
+    """prob_accumulated from all customers."""
+    gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier"), ("Placed", "Contains", "Supplies"))
+    pattern = Pattern((Node(p.of_type("Customer")), Edge(("Placed",)), Node(p.of_type("Order")), Edge(("Contains",)), Node(), Edge(("Supplies",), "in"), Node()), min_accumulated=0.5)
+    return flat(paths.match(gr, pattern).edges)
+
+
 @query(f"SELECT src, dst, 'Placed' AS edge_types, CAST(count(*) AS BIGINT) AS flow FROM (SELECT src, dst FROM ({EDGE_SQL['Placed']}) WHERE prob >= 50 UNION ALL SELECT 3*{K}+c_custkey, 6*{K}+o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') GROUP BY 1, 2")
 def union_queries(spark, d):
     gr = graph(spark, d, ("Customer", "Order"), ("Placed",))
@@ -485,6 +514,12 @@ def find_one(spark, d):
     return g.find_one(nodes(spark, d, "Customer"), wanted, "name")
 
 
+@query(f"SELECT c_name AS key, 3*{K}+c_custkey AS node_id FROM customer")
+def find_one_all(spark, d):
+    """find_one for all names."""
+    return g.find_one(nodes(spark, d, "Customer"), table(spark, d, "customer").select(F.col("c_name").alias("key")), "name")
+
+
 @query(f"SELECT key, 5*{K}+p_partkey AS node_id FROM part JOIN (VALUES ('brand#7'), ('Brand#13')) v(key) ON lower(p_brand) = lower(key)")
 def find_all(spark, d):
     return g.find_all(nodes(spark, d, "Part"), spark.createDataFrame([("brand#7",), ("Brand#13",)], "key string"), "brand")

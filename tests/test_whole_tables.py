@@ -1,0 +1,17 @@
+"""Queries that start from whole tables, beside those of the same kind whose SQL names a few ids."""
+
+import pytest
+
+from graphspark import catalogue
+from graphspark.sources.tables import STEP
+
+
+@pytest.mark.parametrize("name", ["path_mixed_dir_4", "prob_accumulated"])
+def test_paths_start_from_every_customer_with_one(name, spark, duck, small):
+    got = {r["src"] for r in catalogue.QUERIES[f"{name}_all"](spark, small).where("edge_types = 'Placed'").select("src").distinct().collect()}
+    want = {r[0] for r in duck.sql(f"SELECT DISTINCT src FROM ({catalogue.ORACLE_SQL[f'{name}_all']}) WHERE edge_types = 'Placed'").fetchall()}
+    assert got == want and max(got) >= 3 * STEP + 100
+
+
+def test_all_names_are_looked_up(spark, duck, small):
+    assert catalogue.QUERIES["find_one_all"](spark, small).count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
