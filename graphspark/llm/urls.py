@@ -81,12 +81,13 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     size = known.count()
     blocks = max(1, math.ceil(size / KEYS_PER_BLOCK))
     bloom = saved(bloom_filter(known, blocks), "bloom")
-    lengths = [r[0] for r in rule_rows.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).limit(4096).collect()]
+    lengths = [r[0] for r in rule_rows.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).collect()]  # no more than the longest path has characters
 
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cut = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
+    known_lengths = F.split(F.lit(",".join(map(str, lengths))), ",") if lengths else F.array()
+    cut = F.filter(known_lengths.cast("array<int>"), lambda n: n <= F.length("path"))
     rule_asks = F.flatten(F.transform(suffixes, lambda s: F.transform(cut, lambda n: F.concat(F.lit("r|"), s, F.lit("|"), F.col("path").substr(F.lit(1), n)))))
     asks = F.concat(F.array(F.concat(F.lit("u|"), canonical(F.col("host"), F.col("path")))), rule_asks)
     candidates = base.select("page_id", F.explode(F.array_distinct(asks)).alias("key"))
