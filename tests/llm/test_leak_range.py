@@ -26,7 +26,7 @@ def found(spark, docs, items):
     return {(r["doc_id"], r["item_id"]): r["edits"] for r in rows.collect()}
 
 
-@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1, 0.15, 0.19])
 def test_recall_over_the_whole_range(spark, small, share):
     rng, docs = random.Random(5), {}
     items = list(enumerate(pq.read_table(f"{small}/benchmark.parquet").column("text").to_pylist()))
@@ -49,6 +49,30 @@ def test_short_items_are_found_near(spark):
     assert found(spark, docs, items) == {(0, 0): 2, (1, 1): 1, (2, 2): 2}
 
 
+def test_long_items_and_blocks_of_items(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((300, 300, 12, 12, 40, 40))]
+    docs = {k: f"{' '.join(word() for _ in range(50))} {edited(t.encode(), len(t) // 20, rng)} end" for k, t in items}
+    want = {(k, k) for k in docs}
+    assert set(found(spark, docs, items)) == want
+    rows = leaks.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=2)
+    assert {(r["doc_id"], r["item_id"]) for r in rows.collect()} == want
+
+
+def test_many_at_once_equal_one_by_one():
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"abcd") for _ in range(5000))
+    for sizes in ((1, 5, 63, 64), (65, 127, 128), (129, 150, 192)):
+        items = [bytes(rng.choice(b"abcd") for _ in range(rng.choice(sizes))) for _ in range(20)]
+        which = np.array([rng.randrange(20) for _ in range(100)])
+        lo = np.array([rng.randrange(4800) for _ in which])
+        hi = np.minimum(5000, lo + np.array([rng.randrange(0, 400) for _ in which]))
+        edits, end = leaks.best_matches(items, which, np.frombuffer(text, np.uint8), lo, hi)
+        for k in range(len(which)):
+            assert (edits[k], end[k]) == leaks.best_match(items[which[k]], text[lo[k] : hi[k]], 10**6)
+
+
 def test_search_by_pieces_equals_the_whole_search():
     rng = random.Random(6)
     for _ in range(300):
