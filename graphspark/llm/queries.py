@@ -39,17 +39,28 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: The list of this query: all pages of hosts that have one of these as a label.
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+#: The list of this query: pages 0 to 999 in four languages of these sites, at three domains, in their usual spellings.
+LISTED_SITES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+_SPELLINGS = {"lead": ("", "m.", "blog."), "site": LISTED_SITES, "domain": ("com", "net", "org"), "lang": ("en", "fr", "de", "es"), "end": ("", ".html")}
+LISTED_PAGES = 1000
+
+
+def listed_pages(spark: SparkSession) -> DataFrame:
+    """(key) of all listed pages, made by counting; it does not depend on what is judged."""
+    total, picked = LISTED_PAGES, {}
+    for name, values in _SPELLINGS.items():
+        at = F.pmod(F.floor(F.col("id") / total), F.lit(len(values))).cast("int") + 1
+        picked[name] = F.element_at(F.array(*[F.lit(v) for v in values]), at)
+        total *= len(values)
+    number = F.pmod("id", F.lit(LISTED_PAGES)).cast("string")
+    host = F.concat(picked["lead"], picked["site"], F.lit(".example."), picked["domain"])
+    path = F.concat(F.lit("/"), picked["lang"], F.lit("/"), number, picked["end"])
+    return spark.range(total).select(urls.canonical(host, path).alias("key"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
-    on_list = F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))
-    listed = pages.where(on_list).select(urls.canonical(host, path).alias("key"))
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return urls.url_verdicts(pages, rules, listed)
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), rules, listed_pages(spark))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +98,7 @@ QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_nb_svm_quality, op3_exact_
 
 _RULE_SQL = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
 _VERDICT_SQL = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in URL_RULES)
+_LISTED_SQL = rf"((m|blog)\.)?({'|'.join(LISTED_SITES)})\.example\.(com|net|org)\|/(en|fr|de|es)/(0|[1-9][0-9]{{0,2}})(\.html)?"
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -109,9 +121,8 @@ ORACLE_SQL = {
             SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*(/[^?#]*)?', 1) AS path FROM pages),
         keyed AS (SELECT *, regexp_replace(host, '^www\\.', '') || '|' || regexp_replace(path, '/+$', '') AS key FROM parts),
-        listed AS (SELECT DISTINCT key FROM keyed WHERE list_has_any(string_split(host, '.'), {list(LISTED_LABELS)})),
-        ruled AS (SELECT *, CASE {_RULE_SQL} END AS rule FROM keyed)
-        SELECT page_id, host, path, rule, CASE {_VERDICT_SQL} WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+        ruled AS (SELECT *, CASE {_RULE_SQL} END AS rule, regexp_full_match(key, '{_LISTED_SQL}') AS on_list FROM keyed)
+        SELECT page_id, host, path, rule, CASE {_VERDICT_SQL} WHEN on_list THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
     "op6_line_dedup": f"""
         WITH parts AS (SELECT doc_id, coalesce(source, '') AS site, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, site, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM parts),

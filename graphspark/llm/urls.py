@@ -32,7 +32,7 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Key of a page: host without a leading "www.", path without a trailing "/"."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.lit("|"), F.regexp_replace(path, r"/+$", ""))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.lit("|"), F.rtrim(path, F.lit("/")))
 
 
 def _bits(key: Column, blocks: int) -> list[Column]:
@@ -65,33 +65,58 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     longest rule wins (host and path together; of equal ones the last in order of text). A null or empty rule path fits
     all paths. Without a rule, a page is blocked if its canonical URL is in listed (key), see canonical(), else allowed.
 
-    Both lists share a filter: a page asks for its canonical URL and for each suffix of its host with the path cut at
-    each length that rules have. What passes the filter is joined exactly, which removes false positives; a page's
-    host cannot add more rows than it has labels times the rules' path lengths, and few pass.
+    Both lists share a filter: a page asks for its canonical URL, and for the suffix of its host and the beginning of
+    its path in each pair of numbers of labels and characters that rules have. What passes the filter is joined exactly,
+    which removes false positives.
 
-    A null URL and one without "://" have an empty host and path, fit no rule and are looked up as such. Repeated pages
-    are judged each; ids are taken to be unique. Empty lists allow all; an empty table gives an empty result.
+    A null URL and one without "://" have an empty host and path, fit no rule and are looked up as such. Verdicts follow
+    from host and path alone, so that repeated pages and repeated or null ids are judged each by itself. Empty lists
+    allow all; an empty table gives an empty result; other columns are ignored.
     """
-    rule_rows = rules.select(
-        F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
-    ).groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
-    rule_keys = rule_rows.select(F.concat(F.lit("r|"), "rule_host", F.lit("|"), "rule_path").alias("key"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict", (F.length("rule_host") + F.length("rule_path")).alias("weight"))
+    rule_rows = (
+        rules.select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+        .where("rule_host is not null")
+        .groupBy("rule_host", "rule_path")
+        .agg(F.max("rule_verdict").alias("rule_verdict"))
+    )
+    rule_keys = rule_rows.select(
+        F.concat(F.lit("r|"), "rule_host", F.lit("|"), "rule_path").alias("key"),
+        F.concat("rule_host", "rule_path").alias("rule"),
+        "rule_verdict",
+        (F.length("rule_host") + F.length("rule_path")).alias("weight"),
+    )
     page_keys = listed.select(F.concat(F.lit("u|"), "key").alias("key")).where("key is not null").distinct()
-    known = saved(rule_keys.unionByName(page_keys.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("rule_verdict"), F.lit(-1).alias("weight"))), "listed")
+    page_rows = page_keys.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("rule_verdict"), F.lit(-1).alias("weight"))
+    known = saved(rule_keys.unionByName(page_rows), "listed")
     size = known.count()
     blocks = max(1, math.ceil(size / KEYS_PER_BLOCK))
     bloom = saved(bloom_filter(known, blocks), "bloom")
-    lengths = [r[0] for r in rule_rows.select(F.length("rule_path")).distinct().orderBy(F.length("rule_path")).collect()]  # no more than the longest path has characters
 
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    known_lengths = F.split(F.lit(",".join(map(str, lengths))), ",") if lengths else F.array()
-    cut = F.filter(known_lengths.cast("array<int>"), lambda n: n <= F.length("path"))
-    rule_asks = F.flatten(F.transform(suffixes, lambda s: F.transform(cut, lambda n: F.concat(F.lit("r|"), s, F.lit("|"), F.col("path").substr(F.lit(1), n)))))
-    asks = F.concat(F.array(F.concat(F.lit("u|"), canonical(F.col("host"), F.col("path")))), rule_asks)
-    candidates = base.select("page_id", F.explode(F.array_distinct(asks)).alias("key"))
+    own = F.concat(F.lit("u|"), canonical(F.col("host"), F.col("path")))
+    asks = F.concat(F.array(own), _rule_asks(rule_rows))
+    candidates = base.select("host", "path", F.explode(F.array_distinct(asks)).alias("key"))
     maybe = possible(candidates, bloom, blocks, blocks <= MOST_BROADCAST_BLOCKS)
     exact = maybe.join(F.broadcast(known) if size <= MOST_BROADCAST_KEYS else known, "key")
-    won = exact.groupBy("page_id").agg(F.max(F.struct("weight", "rule", "rule_verdict")).alias("won"))
-    return base.join(won, "page_id", "left").select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit("allow")).alias("verdict"))
+    won = exact.groupBy("host", "path").agg(F.max(F.struct("weight", "rule", "rule_verdict")).alias("won"))
+    judged = base.join(won, ["host", "path"], "left")
+    return judged.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit("allow")).alias("verdict"))
+
+
+def _rule_asks(rule_rows: DataFrame) -> Column:
+    """The rules' keys that could fit a page's host and path: one for each number of labels and length of path that some
+    rule has. The driver gets those pairs of numbers, no more than rules differ in them."""
+    shape = F.size(F.split("rule_host", r"\.")).cast("long") * (1 << 32) + F.length("rule_path")
+    shapes = [r[0] for r in rule_rows.select(shape.alias("shape")).distinct().orderBy("shape").collect()]
+    if not shapes:
+        return F.array().cast("array<string>")
+    labels = F.split("host", r"\.")
+    known = F.split(F.lit(",".join(map(str, shapes))), ",").cast("array<bigint>")
+    n_labels, n_path = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    fitting = F.filter(known, lambda x: (n_labels(x) <= F.size(labels)) & (n_path(x) <= F.length("path")))
+
+    def key(x: Column) -> Column:
+        suffix = F.array_join(F.slice(labels, F.size(labels) - n_labels(x) + 1, n_labels(x)), ".")
+        return F.concat(F.lit("r|"), suffix, F.lit("|"), F.col("path").substr(F.lit(1), n_path(x)))
+
+    return F.transform(fitting, key)
