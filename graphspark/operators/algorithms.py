@@ -23,26 +23,40 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     return seen
 
 
+#: Minima of up to so many nodes, 16 bytes each, are broadcast.
+MOST_BROADCAST = 1_000_000
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node_id, component): the smallest id of the connected component, edges taken in both directions."""
-    links = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
-    everyone = links.select(F.col("u").alias("node_id")).union(links.select("v"))
+    """(node_id, component): the smallest id of the connected component, edges (src, dst) taken in both directions.
+
+    Alternating star contractions: each round hangs every larger neighbour of a node, then every smaller-or-equal one, on
+    the smallest of them; the number of rounds grows with the logarithm of the longest chain. Minima are pre-aggregated
+    before the shuffle. An empty table gives an empty result; repeated edges and loops change nothing."""
+
+    def state(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+
+    everyone = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
     if nodes is not None:
         everyone = everyone.union(nodes.select("node_id"))
-    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    links = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
     was = state(links)
     while was[0]:
+        small = F.broadcast if 2 * was[0] <= MOST_BROADCAST else lambda minima: minima  # an edge has two nodes
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hung = both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(hung.where("u <> v").distinct(), "stars", 2 * was[0])
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = cut(moved.where("u <> v").union(down).distinct())
+        again = large.join(small(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        links = cut(again.union(down.select("u", "m")).distinct(), "links", 2 * was[0])
         now = state(links)
         if now == was:
             break
         was = now
-    return everyone.distinct().join(links.select(F.col("u").alias("node_id"), F.col("v").alias("component")), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
+    named = links.select(F.col("u").alias("node_id"), F.col("v").alias("component"))
+    return everyone.distinct().join(named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def _spread(colours: DataFrame, links: DataFrame, unroll: int = 4) -> DataFrame:

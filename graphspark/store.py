@@ -1,19 +1,36 @@
-"""Cutting lineage in loops: tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share: they end lineage, and lost executors lose nothing."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Rows of a few numbers that one task writes where a bound of all rows is known.
+ROWS_A_FILE = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a temporary folder where that is unset) and read it back."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder in local mode; an error on a cluster,
+    whose executors could not read such a folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
+
+
+def cut(df: DataFrame, name: str = "step", most: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back.
+
+    Where df is known to have at most `most` rows, they are written by as many tasks as those need, not one a partition.
+    The folders belong to the session's checkpoint folder and go with it: a result may be read as long as it is there."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    if most is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, most // ROWS_A_FILE))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
