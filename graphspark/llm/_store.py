@@ -1,38 +1,15 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables of this subpackage, under the names it uses for them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder where it is unset (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
-
-
-#: Rows of a few numbers that one task writes where a bound of all rows is known.
-ROWS_A_FILE = 100_000
+from ..store import cut
 
 
 def saved(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
-
-    Where df is known to have at most `most` rows, they are written by as many tasks as those need, not one a partition.
-    """
-    spark = df.sparkSession
-    if most is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, most // ROWS_A_FILE))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back, see cut()."""
+    return cut(df, name, most)
 
 
 def partitions(spark: SparkSession) -> int:

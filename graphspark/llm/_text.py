@@ -12,6 +12,8 @@ U = np.uint64
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLOCK_BYTES = 1_000_000
+#: Bytes whose words are hashed at once; a longer word is hashed by itself.
+HASH_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240131)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -27,7 +29,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 65536)
+        size = max(n, HASH_BYTES)
         have = np.empty(size, np.uint64)
         have[0] = 1
         done = 1
@@ -35,7 +37,8 @@ def _powers(base: int, n: int) -> np.ndarray:
             more = min(done, size - done)
             have[done : done + more] = have[:more] * U(pow(base, done, 2**64))
             done += more
-        _POWERS[base] = have
+        if size == HASH_BYTES:  # those of a longer word are not kept
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -88,12 +91,23 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
-    h = mixed((total[stop] - total[start]) * _powers(_INVERSE, n)[start])
+    h = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(stop, start[first] + HASH_BYTES, "right")))
+        h[first:last] = _hashes(data, start[first:last], stop[first:last])
+        first = last
     return h, np.searchsorted(start, at), start, stop
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the words of one stretch of bytes; where it begins makes no difference."""
+    zero, n = start[0], int(stop[-1] - start[0])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data[zero : zero + n]] * _powers(_BASE, n), out=total[1:])
+    return mixed((total[stop - zero] - total[start - zero]) * _powers(_INVERSE, n)[start - zero])
+
+
 _STEP = [U(x | 1) for x in _rng.integers(1, 2**63, 16).tolist()]
 
 

@@ -1,8 +1,8 @@
 """Similarity join on word shingles by globally ordered sets and prefix trees, and the components of its links.
 
-Stages: sets of one text class (equal sets) share a signature; the shingles that many classes hold come last in the
-global order; every class posts the prefix of its ordered set that a linked class must meet; classes that meet are
-verified in prefix trees; links become components.
+Stages: texts of one class (equal sets) share a signature; all shingles of all classes are counted, rare ones come first in
+the global order; every class posts the prefix of its ordered set, which a linked class must meet; classes that meet are
+verified in prefix trees over the whole ordered sets; links become components.
 """
 
 from __future__ import annotations
@@ -15,25 +15,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.algorithms import components
 from ._store import partitions, saved
-from ._text import blocks, shingles, words
-from .components import components
+from ._text import U, blocks, mixed, shingles, words
 
 WORDS = 5
 PERCENT = 75
-#: The shingles put last in the order are at most so many; they are broadcast, 8 bytes each.
-MOST_FREQUENT = 1 << 20
-#: One text of so many takes part in finding them; the order decides the speed, never the result.
-ORDER_SAMPLE = 8
+#: Shingles are counted by the first bits of their hash, 4 bytes a counter; the counts decide the speed, never the result.
+COUNT_BITS = 20
+#: Counters that a row carries.
+COUNTERS_A_ROW = 1 << 16
+#: A shingle with so many postings more than is usual is dealt to several buckets.
+HOT = 1 << 16
+#: Postings that a bucket is to hold, about; one bucket of a task is in memory at a time.
+BUCKET_POSTINGS = 200_000
 #: Meetings of up to so many classes give all their pairs; larger ones give links to one pivot, then what those leave open.
 SMALL = 8
-#: Classes verified against a pivot at once.
-CELL = 256
+#: Shingles of the sets that are verified against one set at once, about.
+CELL_SHINGLES = 200_000
 #: Tables of up to so many rows of a few numbers are broadcast.
 MOST_BROADCAST = 1_000_000
-FLUSH = 1_000_000
-#: Bits of a hash that verification compares: 40, which two different shingles of a pair of sets of 1,000 share once in a million pairs.
-SET_BYTES = 5
+#: Postings, or signatures of texts that were seen, that a task gathers.
+FLUSH, MOST_SEEN = 250_000, 500_000
+_LOW = U((1 << 64 - COUNT_BITS) - 1)
 
 
 def needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -73,109 +77,140 @@ def _most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
 
 
-def _profile(size: int):
-    def run(batches):
-        for batch in batches:
-            got = [(doc, len(s), _signature(s), _sketch(s)) for doc, s in _sets(batch, size)]
-            yield pa.RecordBatch.from_arrays([*[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([g[3] for g in got], pa.binary())], names=["doc_id", "n", "sig", "sketch"])
-
-    return run
+class Seen:
+    """Which classes a task has met: copies are combined before the shuffle. Forgetting costs time only."""
 
+    def __init__(self):
+        self.known: set[int] = set()
 
-def _possible(batches):
-    """Of rows (a, b, na, nb, sa, sb) the pairs whose sketches allow a link."""
-    for batch in batches:
-        a, b, na, nb, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb"))
-        keep = [i for i in range(len(a)) if (100 + PERCENT) * _most_shared(sa[i], sb[i]) >= PERCENT * (na[i] + nb[i])]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], names=["a", "b"])
+    def first(self, sig: int) -> bool:
+        if sig in self.known:
+            return False
+        if len(self.known) >= MOST_SEEN:
+            self.known.clear()
+        self.known.add(sig)
+        return True
 
 
-def _dealt(buckets: int, values: np.ndarray, owners: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, packed 32-bit rests, packed owners) of 64-bit values."""
-    bucket = (values % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    rest = (values // np.uint64(buckets) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-    own = None if owners is None else owners[order]
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(cut))
-    yield pa.RecordBatch.from_arrays([
-        pa.array(full, pa.int32()), pa.array([rest[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
-        pa.array([b"" if own is None else own[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
-    ], names=["bucket", "rest", "owner"])
+def _profile(size: int):
+    """Rows (doc_id, n, sig, sketch) of the texts; then rows of n = -1 with the counters of a task's classes in sketch."""
 
+    def rows(got):
+        return pa.RecordBatch.from_arrays([*[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([g[3] for g in got], pa.binary())], names=["doc_id", "n", "sig", "sketch"])
 
-def _post_all(size: int, buckets: int):
     def run(batches):
-        held, many = [], 0
+        count, seen = np.zeros(1 << COUNT_BITS, np.uint32), Seen()
         for batch in batches:
-            for _, s in _sets(batch, size):
-                held.append(s)
-                many += len(s)
-                if many >= FLUSH:
-                    yield from _dealt(buckets, np.concatenate(held), None)
-                    held, many = [], 0
-        if many:
-            yield from _dealt(buckets, np.concatenate(held), None)
+            got = []
+            for doc, s in _sets(batch, size):
+                sig = _signature(s)
+                got.append((doc, len(s), sig, _sketch(s)))
+                if seen.first(sig):
+                    np.add.at(count, (s >> U(64 - COUNT_BITS)).astype(np.int64), 1)
+            yield rows(got)
+        for k in range(0, len(count), COUNTERS_A_ROW):
+            if count[k : k + COUNTERS_A_ROW].any():
+                yield rows([(None, -1, k, count[k : k + COUNTERS_A_ROW].tobytes())])
 
     return run
 
 
-def _frequent(buckets: int):
-    def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, rest in zip(batch.column("bucket").to_pylist(), batch.column("rest").to_pylist(), strict=True):
-                held.setdefault(b, []).append(np.frombuffer(rest, np.uint32))
-        for b, parts in held.items():
-            value, n = np.unique(np.concatenate(parts), return_counts=True)
-            value, n = value[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), b), pa.int32()), pa.array(value.astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["bucket", "rest", "n"])
-
-    return run
+def _added(batches):
+    """Rows (sig, sketch) of counters, sorted by sig: their sums."""
+    key, total = None, None
+    names = ["sig", "sketch"]
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=names)
+    for batch in batches:
+        for k, raw in zip(batch.column("sig"), batch.column("sketch"), strict=True):
+            if k.as_py() != key:
+                if key is not None:
+                    yield row()
+                key, total = k.as_py(), np.zeros(COUNTERS_A_ROW, np.uint64)
+            total += np.frombuffer(raw.as_py(), np.uint32)
+    if key is not None:
+        yield row()
+
+
+class Order:
+    """The global order: shingles by the count of their counter, then by hash. A shingle's place in it is its hash with
+    the counter's number replaced by the counter's rank, which loses nothing."""
+
+    def __init__(self, count: np.ndarray, hot: int = HOT):
+        by_count = np.argsort(count, kind="stable")
+        self.rank = np.empty(len(count), np.uint32)
+        self.rank[by_count] = np.arange(len(count), dtype=np.uint32)
+        ordered = count[by_count]
+        spare = ordered - np.minimum(ordered, 2 * ordered[len(ordered) // 2])  # beyond what many rare shingles add up to
+        self.first_hot = int(np.searchsorted(spare, hot, "right"))
+        self.salts = (spare[self.first_hot :] + np.uint64(hot - 1)) // np.uint64(hot)
+
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """The set in the global order."""
+        rank = self.rank[(s >> U(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
+        return np.sort((rank << U(64 - COUNT_BITS)) | (s & _LOW))
+
+
+def _order(counters: DataFrame, hot: int) -> Order:
+    """The counters of all tasks, added up where they are; the driver gets one number a counter."""
+    spark = counters.sparkSession
+    dealt = counters.select("sig", "sketch").repartition(min(partitions(spark), (1 << COUNT_BITS) // COUNTERS_A_ROW), "sig").sortWithinPartitions("sig")
+    count = np.zeros(1 << COUNT_BITS, np.uint64)
+    for r in dealt.mapInArrow(_added, "sig long, sketch binary").collect():
+        count[r["sig"] : r["sig"] + COUNTERS_A_ROW] = np.frombuffer(r["sketch"], np.uint64)
+    return Order(count, hot)
 
 
-def _frequent_keys(rows: DataFrame, buckets: int) -> np.ndarray:
-    """At most MOST_FREQUENT shingles (as bucket and rest in one number) in order of their count."""
-    got = rows.orderBy(F.desc("n"), "bucket", "rest").limit(MOST_FREQUENT).select((F.col("rest") * buckets + F.col("bucket")).alias("k")).toArrow().column("k").to_numpy()
-    return np.ascontiguousarray(got[::-1])
+def _possible(batches):
+    """Of rows (a, b, na, nb, sa, sb) the pairs (a, b, nb) whose sketches allow a link."""
+    for batch in batches:
+        a, b, na, nb, sa, sb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "sa", "sb"))
+        keep = [i for i in range(len(a)) if (100 + PERCENT) * _most_shared(sa[i], sb[i]) >= PERCENT * (na[i] + nb[i])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b, nb)], names=["a", "b", "nb"])
+
+
+def _dealt(buckets: int, order: Order, tokens: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, packed 32-bit names of shingles, packed owners). Two shingles of one name only meet in vain.
+
+    The postings of a hot shingle go to buckets from `buckets` on, by the hash of their owner too."""
+    low = tokens & _LOW
+    name = (mixed(low) >> U(32)).astype(np.uint32)
+    bucket = (low % U(buckets)).astype(np.int64)
+    rank = (tokens >> U(64 - COUNT_BITS)).astype(np.int64)
+    hot = np.flatnonzero(rank >= order.first_hot)
+    if len(hot):
+        salt = mixed(owners[hot, 0].astype(np.uint64)) % order.salts[rank[hot] - order.first_hot]
+        bucket[hot] = buckets + (mixed(low[hot] + salt) % U(buckets)).astype(np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
+    name, owners, bucket = name[by_bucket], owners[by_bucket], bucket[by_bucket]
+    full, cut = np.unique(bucket, return_index=True)
+    cut = np.r_[cut, len(bucket)]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(full, pa.int64()), pa.array([name[cut[k] : cut[k + 1]].tobytes() for k in range(len(full))], pa.binary()),
+        pa.array([owners[cut[k] : cut[k + 1]].tobytes() for k in range(len(full))], pa.binary()),
+    ], names=["bucket", "name", "owner"])
 
 
-def _prefixes(size: int, buckets: int, frequent):
-    """Postings of each set's prefix: rare shingles by hash, then the frequent ones, least frequent first."""
+def _prefixes(size: int, buckets: int, shared):
+    """Postings of the prefix of each class that a task meets: the first shingles of its ordered set."""
 
     def run(batches):
-        ranked = frequent.value
-        by_key = np.argsort(ranked, kind="stable")
-        keys = ranked[by_key].astype(np.uint64)
-        maybe = np.zeros(1 << 22, bool)
-        maybe[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        order, seen = shared.value, Seen()
         tokens, owners, many = [], [], 0
         for batch in batches:
             for _, s in _sets(batch, size):
-                n = len(s)
-                if not n:
+                n, sig = len(s), _signature(s)
+                if not n or not seen.first(sig):
                     continue
-                long = n - needed(n) + 1
-                key = (s // np.uint64(buckets) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) + s % np.uint64(buckets)
-                hit = np.flatnonzero(maybe[(key & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                if len(hit):
-                    at = np.minimum(np.searchsorted(keys, key[hit]), len(keys) - 1)
-                    same = keys[at] == key[hit]
-                    hit, at = hit[same], at[same]
-                sig = _signature(s)
-                if len(hit):
-                    late = s[hit[np.argsort(by_key[at], kind="stable")]]
-                    rare = np.delete(s, hit)
-                    s = np.concatenate([rare[:long], late[: max(0, long - len(rare))]])
-                tokens.append(s[:long])
-                left = n - np.arange(min(len(s), long), dtype=np.int64)
-                owners.append(np.stack([np.full(len(left), sig, np.int64), (n << 32) | left], 1))
-                many += min(len(s), long)
+                long = int(n - needed(n) + 1)
+                tokens.append(order.places(s)[:long])
+                left = n - np.arange(long, dtype=np.int64)
+                owners.append(np.stack([np.full(long, sig, np.int64), (n << 32) | left], 1))
+                many += long
                 if many >= FLUSH:
-                    yield from _dealt(buckets, np.concatenate(tokens), np.concatenate(owners))
+                    yield from _dealt(buckets, order, np.concatenate(tokens), np.concatenate(owners))
                     tokens, owners, many = [], [], 0
         if many:
-            yield from _dealt(buckets, np.concatenate(tokens), np.concatenate(owners))
+            yield from _dealt(buckets, order, np.concatenate(tokens), np.concatenate(owners))
 
     return run
 
@@ -191,67 +226,78 @@ def _groups(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(token)])
 
 
-def _meetings(batches):
-    """Sets that share a shingle of their prefixes. Of a small meeting all pairs (a, b) that may be linked; of a large
-    one a row (pivot, member, meeting, n, top) for each member, the pivot too."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, rest, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rest", "owner")), strict=True):
-            held.setdefault(b, []).append((rest, own))
-    out: list[np.ndarray] = []
+def _met(b: int, buckets: int, parts: list) -> Iterator[pa.RecordBatch]:
+    """The meetings of one bucket."""
+    name = np.concatenate([np.frombuffer(r, np.uint32) for r, _ in parts])
+    own = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 2) for _, o in parts])
+    hot = b >= buckets
+    if not hot:
+        order = np.argsort(name, kind="stable")
+        _, size = _groups(name[order])
+        own, name = own[order[np.repeat(size > 1, size)]], name[order][np.repeat(size > 1, size)]
+    order = np.lexsort((own[:, 0], name))
+    name, sig, both = name[order], own[order, 0], own[order, 1]
+    new = np.r_[True, (name[1:] != name[:-1]) | (sig[1:] != sig[:-1])] if len(name) else np.zeros(0, bool)
+    name, sig, both = name[new], sig[new], both[new]
+    n = both >> 32
+    top = (100 + PERCENT) * (both & 0xFFFFFFFF) // PERCENT - n
+    for _ in range(0 if hot else 2):  # who finds nobody small enough, or nobody who could take one so large, has no part in it
+        if not len(name):
+            break
+        first, size = _groups(name)
+        least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(top, first)
+        part = (np.repeat(least, size) <= top) & (np.repeat(most, size) >= n) & np.repeat(size > 1, size)
+        name, sig, n, top = name[part], sig[part], n[part], top[part]
+    if not len(name):
+        return
+    first, size = _groups(name)
+    out = []
+    for m in range(2, 0 if hot else SMALL + 1):
+        at = first[size == m]
+        for i in range(m):
+            for j in range(i + 1, m):
+                fit = _allowed(n, top, at + i, at + j)
+                out.append(np.stack([sig[at + i][fit], sig[at + j][fit]], 1))
+    big = size > (0 if hot else SMALL)
     names = ["a", "b", "meeting", "n", "top"]
-    for b in list(held):
-        parts = held.pop(b)
-        token = np.concatenate([np.frombuffer(r, np.uint32) for r, _ in parts])
-        own = np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 2) for _, o in parts])
-        del parts
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        first, size = _groups(token)
-        shared = np.repeat(size > 1, size)
-        token, own = token[shared], own[order[shared]]
-        order = np.lexsort((own[:, 0], token))
-        token, sig, both = token[order], own[order, 0], own[order, 1]
-        new = np.r_[True, (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])] if len(token) else np.zeros(0, bool)
-        token, sig, both = token[new], sig[new], both[new]
-        n = both >> 32
-        top = (100 + PERCENT) * (both & 0xFFFFFFFF) // PERCENT - n
-        for _ in range(2):  # who finds nobody small enough, or nobody who could take one so large, has no part in it
-            if not len(token):
-                break
-            first, size = _groups(token)
-            least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(top, first)
-            part = (np.repeat(least, size) <= top) & (np.repeat(most, size) >= n) & np.repeat(size > 1, size)
-            token, sig, n, top = token[part], sig[part], n[part], top[part]
-        if not len(token):
-            continue
-        first, size = _groups(token)
-        for m in range(2, SMALL + 1):
-            at = first[size == m]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    fit = _allowed(n, top, at + i, at + j)
-                    out.append(np.stack([sig[at + i][fit], sig[at + j][fit]], 1))
-        big = size > SMALL
-        if big.any():
-            core = np.where(top >= n, np.arange(len(n)), len(n))
-            pivot = np.minimum.reduceat(core, first)
-            pivot = np.where(pivot == len(n), first, pivot)
-            at = np.flatnonzero(np.repeat(big, size))
-            gid = np.repeat(token[first].astype(np.int64) * 1_000_003 + b, size)[at]
-            of = np.repeat(pivot, size)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[of], sig[at], gid, n[at], top[at])], names=names)
-            fit = _allowed(n, top, of, at) & (of != at)
-            out.append(np.stack([sig[of][fit], sig[at][fit]], 1))
-    if out and sum(map(len, out)):
-        pairs = np.concatenate(out)
-        pairs.sort(axis=1)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]]
+    if big.any():
+        core = np.where(top >= n, np.arange(len(n)), len(n))
+        pivot = np.minimum.reduceat(core, first)
+        pivot = np.where(pivot == len(n), first, pivot)
+        at = np.flatnonzero(np.repeat(big, size))
+        # the parts of a hot meeting have one number, those of other buckets each their own
+        meeting = np.repeat(name[first].astype(np.int64) * 1_000_003 + (0 if hot else b + 1), size)[at]
+        of = np.repeat(pivot, size)[at]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[of], sig[at], meeting, n[at], top[at])], names=names)
+        fit = _allowed(n, top, of, at) & (of != at)
+        out.append(np.stack([sig[of][fit], sig[at][fit]], 1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    if len(pairs):
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         none = pa.nulls(len(pairs), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], names=names)
 
 
+def _meetings(buckets: int):
+    """Sets that share a shingle of their prefixes, from rows sorted by bucket: one bucket is in memory at a time. Of a
+    small meeting all pairs (a, b) that may be linked; of a large one a row (pivot, member, meeting, n, top) for each
+    member, the pivot too."""
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            for b, name, own in zip(*(batch.column(c) for c in ("bucket", "name", "owner")), strict=True):
+                if b.as_py() != key:
+                    if parts:
+                        yield from _met(key, buckets, parts)
+                    key, parts = b.as_py(), []
+                parts.append((name.as_py(), own.as_py()))
+        if parts:
+            yield from _met(key, buckets, parts)
+
+    return run
+
+
 class PrefixTree:
     """Ordered sets in a path-compressed trie: what sorted neighbours share at their beginning is stored once."""
 
@@ -320,23 +366,16 @@ class PrefixTree:
         return out
 
 
-def _packed(s: np.ndarray) -> bytes:
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+def _as_sets(size: int, shared):
+    """(sig, shingles): the whole ordered set of each text, 8 bytes a shingle."""
 
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return np.unique(out.reshape(-1).view(">u8").astype(np.uint64))
-
-
-def _as_sets(size: int):
     def run(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
                 h, first, _, _ = words(part.column("text"))
                 sets = [np.unique(shingles(h[first[i] : first[i + 1]], size)) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in sets], pa.int64()), pa.array([_packed(x) for x in sets], pa.binary())], names=["sig", "shingles"])
+                packed = [shared.value.places(x).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in sets], pa.int64()), pa.array(packed, pa.binary())], names=["sig", "shingles"])
 
     return run
 
@@ -353,8 +392,9 @@ def _verify(batches):
 
     for batch in batches:
         a_out, b_out = [], []
-        for a, cell, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "cell", "b", "shingles")), strict=True):
-            s = _unpacked(raw)
+        small = (batch.column(c).to_pylist() for c in ("a", "cell", "b"))
+        for a, cell, b, raw in zip(*small, batch.column("shingles"), strict=True):
+            s = np.frombuffer(raw.as_py(), np.uint64)
             if (a, cell) != key:
                 x, y = close()
                 a_out += x
@@ -370,18 +410,19 @@ def _verify(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) that are linked. Only texts of classes in pairs are read again; a cell holds a and at most about
-    CELL of its partners."""
+def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, order) -> DataFrame:
+    """The pairs (a, b) that are linked. Only texts of classes in pairs (a, b, nb) are read again; a cell holds a and
+    those of its partners that have about CELL_SHINGLES shingles together."""
     spark = pairs.sparkSession
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     n_pairs = pairs.count()
     if n_pairs <= MOST_BROADCAST // 2:
         ends = F.broadcast(ends)
     involved = saved(classes.select("sig", F.col("first_id").alias("doc_id")).join(ends, "sig"), "involved")
-    sets = saved(rows.join(_small(involved), "doc_id").select("text").mapInArrow(_as_sets(size), "sig long, shingles binary"), "sets")
-    crowd = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CELL)
-    dealt = saved(pairs.join(crowd, "a", "left").withColumn("cell", F.expr(f"pmod(xxhash64(b), greatest(1, ceil(coalesce(m, 1) / {CELL})))").cast("int")).select("a", "cell", "b"), "dealt", n_pairs)
+    sets = saved(rows.join(_small(involved.select("doc_id").distinct()), "doc_id").select("text").mapInArrow(_as_sets(size, order), "sig long, shingles binary"), "sets")
+    crowd = pairs.groupBy("a").agg(F.sum("nb").alias("m")).where(F.col("m") > CELL_SHINGLES)
+    cell = F.expr(f"pmod(xxhash64(b), greatest(1, ceil(coalesce(m, 1) / {CELL_SHINGLES})))").cast("int")
+    dealt = saved(pairs.join(crowd, "a", "left").withColumn("cell", cell).select("a", "cell", "b"), "dealt", n_pairs)
     cells = dealt.select("a", "cell").distinct()
     if n_pairs <= MOST_BROADCAST:  # there are no more cells than that
         dealt, cells = F.broadcast(dealt), F.broadcast(cells)
@@ -401,45 +442,61 @@ def _level(c: str):
     return F.floor(F.length(F.regexp_extract(F.reverse(F.lpad(F.bin(F.xxhash64(c)), 64, "0")), "^(0*)", 1)) / 3).cast("int")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (classes linked with the document's class, besides itself).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, itself included).
 
     Texts are split at ASCII white space, A-Z lower-cased; the set of a text is its distinct runs of five words (of all
-    words where there are fewer). Two documents link when 100 * |A & B| >= 75 * |A | B|; a component has the smallest
-    id that links reach. Exact but for collisions of 64-bit hashes.
+    words where there are fewer). Two documents link when 100 * |A & B| >= 75 * |A | B|. Exact but for collisions of
+    64-bit hashes of shingles and of sets.
 
     Nothing is capped: meetings of many classes are first linked to one pivot. Members that this leaves outside the
     pivot's component are paired with some of the others, then with eight times as many, at last with all those outside
-    their own component. Null and empty texts, and texts of white space
-    alone, have no shingles, link with nothing and are components of their own, also when repeated. Equal sets always
-    link. A repeated id is one node of the graph, with a result row for each of its rows. An empty table gives an
-    empty result; other columns are ignored.
+    their own component. Pairs inside a component need no verification and get none, so that links are not counted.
+    Copies are combined before each shuffle. Null and empty texts, and texts of white space alone, have no shingles, link
+    with nothing and are components of their own, also when repeated. Equal sets always link. Each row of a repeated id
+    is a document by itself, with the component of its own text. Of a null id too, with the component_id of the others in
+    its component, or null. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profile = saved(rows.mapInArrow(_profile(size), "doc_id long, n long, sig long, sketch binary"), "profile")
-    sampled = rows.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SAMPLE)) == 0).select(F.lit(0).cast("long").alias("doc_id"), "text").distinct()
-    counted = sampled.mapInArrow(_post_all(size, buckets), "bucket int, rest binary, owner binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_frequent(buckets), "bucket int, rest long, n long")
-    frequent = spark.sparkContext.broadcast(_frequent_keys(counted, buckets))
-    met = saved(rows.mapInArrow(_prefixes(size, buckets, frequent), "bucket int, rest binary, owner binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_meetings, "a long, b long, meeting long, n long, top long"), "meetings")
+    everything = saved(rows.mapInArrow(_profile(size), "doc_id long, n long, sig long, sketch binary"), "profile")
+    profile = everything.where("n >= 0")
+    order = spark.sparkContext.broadcast(_order(everything.where("n < 0"), hot))
 
     # equal sets have equal sizes and sketches
-    classes = saved(profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    nobody = (1 << 63) - 1
+    by_id = F.coalesce("doc_id", F.lit(nobody))
+    classes = profile.where("n > 0").groupBy("sig").agg(F.min(by_id).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    classes = saved(classes, "classes")
+    posted = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
+    buckets = max(partitions(spark), -(-posted // BUCKET_POSTINGS))
+    postings = rows.mapInArrow(_prefixes(size, buckets, order), "bucket long, name binary, owner binary")
+    dealt = postings.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    met = saved(dealt.mapInArrow(_meetings(buckets), "a long, b long, meeting long, n long, top long"), "meetings")
+    named = rows.withColumn("doc_id", by_id)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches allow a link; their sizes do, as they come from meetings."""
         left, right = (classes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         n = pairs.count()
         asked = F.broadcast(pairs) if n <= MOST_BROADCAST else pairs
-        return saved(left.join(asked, "a").join(right, "b").mapInArrow(_possible, "a long, b long"), "pairs", n)
+        return saved(left.join(asked, "a").join(right, "b").mapInArrow(_possible, "a long, b long, nb long"), "pairs", n)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _links(pairs, classes, named, size, order)
+
+    def labels(links: DataFrame) -> DataFrame:
+        found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        return saved(found.withColumnRenamed("node_id", "id"), "labels", 2 * links.count())
 
     n_met = met.count()
-    tried = saved(met.where("meeting is null").select("a", "b").distinct(), "tried", n_met)
-    pairs = possible(tried)
     large = met.where("meeting is not null")
-    links = saved(_links(pairs, classes, rows, size), "links")
-    label, depth = saved(components(links), "labels", 2 * links.count()), 0
+    pivots = large.select("meeting", "a").distinct()
+    first_pivot = pivots.groupBy("meeting").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1").select("meeting", "p")
+    parts = pivots.join(first_pivot, "meeting").where("a <> p").select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"))
+    tried = saved(met.where("meeting is null").select("a", "b").union(parts).distinct(), "tried", n_met)
+    links = saved(linked(possible(tried)), "links")
+    label, depth = labels(links), 0
     deepest = large.agg(F.max(_level("b"))).first()[0]
     while deepest is not None and depth <= deepest:
         of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
@@ -456,16 +513,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = possible(asked)
         depth += 1
         if more.take(1):
-            links = saved(links.union(_links(more, classes, rows, size)), "links")
-            label = saved(components(links), "labels", 2 * links.count())
+            links = saved(links.union(linked(more)), "links")
+            label = labels(links)
         tried = tried.union(asked)
 
-    degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "sig")
     labelled = label.withColumnRenamed("id", "sig").join(classes, "sig")
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = labelled.join(smallest, "component").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    copied = classes.where("copies > 1").join(label, classes.sig == label.id, "left_anti").select("sig", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    by_sig = saved(linked.union(copied), "members")
-    return profile.join(by_sig, (profile.sig == by_sig.sig) & (profile.n > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    connected = labelled.join(smallest, "component").select("sig", "component_id")
+    copied = classes.where("copies > 1").join(label, classes.sig == label.id, "left_anti").select("sig", F.col("first_id").alias("component_id"))
+    by_sig = saved(connected.union(copied), "members")
+    found = profile.join(by_sig, (profile.sig == by_sig.sig) & (profile.n > 0), "left")
+    component = F.when(F.col("component_id") != nobody, F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"))

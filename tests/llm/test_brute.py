@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from graphspark.llm import bpe, chat, jaccard, leaks, pii, queries, shards, urls
-from graphspark.llm.components import components
+from graphspark.operators.algorithms import components
 
 
 def texts_of(path):
@@ -167,7 +167,8 @@ def test_join_equals_brute_force(spark, small):
     assert got == brute_components(texts_of(small))
 
 
-def test_join_of_large_meetings(spark):
+@pytest.mark.parametrize("hot", [jaccard.HOT, 20])
+def test_join_of_large_meetings(spark, hot):
     rng = random.Random(5)
     head = [f"h{i}" for i in range(12)]
     texts = {}
@@ -176,10 +177,36 @@ def test_join_of_large_meetings(spark):
         for _ in range(rng.randint(0, 3)):
             tail[rng.randrange(30)] = f"x{rng.randrange(6)}"
         texts[k] = " ".join(head + tail)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, texts), hot=hot).collect()}
     assert got == brute_components(texts)
 
 
+def test_copies_post_once_a_task():
+    """The postings of a class do not grow with its copies: they meet before the shuffle."""
+
+    class Shared:
+        value = jaccard.Order(np.zeros(1 << jaccard.COUNT_BITS, np.uint64))
+
+    def posted(copies):
+        text = " ".join(f"w{i}" for i in range(200))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(copies), pa.int64()), pa.array([text] * copies)], names=["doc_id", "text"])
+        return sum(len(x) // 16 for out in jaccard._prefixes(5, 8, Shared)([batch, batch]) for x in out.column("owner").to_pylist())
+
+    assert posted(1) == posted(3000) == 196 - jaccard.needed(196) + 1
+
+
+def test_order_loses_no_bit_and_counts_decide():
+    rng = np.random.default_rng(3)
+    count = rng.integers(0, 9, 1 << jaccard.COUNT_BITS).astype(np.uint64)
+    count[5] = 10**6
+    order = jaccard.Order(count, hot=1000)
+    s = np.unique(np.r_[rng.integers(0, 2**63, 5000, dtype=np.uint64), np.uint64(5) << np.uint64(44)])
+    placed = order.places(s)
+    assert len(np.unique(placed)) == len(s) and placed[-1] >> np.uint64(44) == (1 << jaccard.COUNT_BITS) - 1
+    seen = count[np.argsort(count, kind="stable")[(placed >> np.uint64(44)).astype(np.int64)]]
+    assert (np.diff(seen.astype(np.int64)) >= 0).all() and order.first_hot == (1 << jaccard.COUNT_BITS) - 1 and order.salts.tolist() == [1000]
+
+
 def test_prefix_tree_equals_brute_force():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(80)]
@@ -191,7 +218,7 @@ def test_prefix_tree_equals_brute_force():
 
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 9), (9, 5), (7, 7)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node_id"]: r["component"] for r in components(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(100, 141), 100), 5: 5, 9: 5, 7: 7}
 
 
