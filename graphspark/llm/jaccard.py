@@ -437,9 +437,14 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
+#: A level of sampling keeps one class of so many (a power of two).
+STEP_BITS = 6
+
+
 def _level(c: str):
-    """0 for seven eighths of all classes, 1 for seven eighths of the rest, and so on."""
-    return F.floor(F.length(F.regexp_extract(F.reverse(F.lpad(F.bin(F.xxhash64(c)), 64, "0")), "^(0*)", 1)) / 3).cast("int")
+    """0 for most classes, 1 for one of 2^STEP_BITS, 2 for one of as many of these, and so on."""
+    zeros = F.length(F.regexp_extract(F.reverse(F.lpad(F.bin(F.xxhash64(c)), 64, "0")), "^(0*)", 1))
+    return F.floor(zeros / STEP_BITS).cast("int")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, hot: int = HOT) -> DataFrame:
@@ -450,7 +455,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     64-bit hashes of shingles and of sets.
 
     Nothing is capped: meetings of many classes are first linked to one pivot. Members that this leaves outside the
-    pivot's component are paired with some of the others, then with eight times as many, at last with all those outside
+    pivot's component are paired with some of the others, then with 64 times as many, at last with all those outside
     their own component. Pairs inside a component need no verification and get none, so that links are not counted.
     Copies are combined before each shuffle. Null and empty texts, and texts of white space alone, have no shingles, link
     with nothing and are components of their own, also when repeated. Equal sets always link. Each row of a repeated id
