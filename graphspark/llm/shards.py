@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import saved
@@ -19,6 +19,8 @@ STEP_BITS = 11
 TOLERANCE = 0.002
 #: Rows that one bucket of the slot numbering is to hold, about.
 SLOT_ROWS = 100_000
+#: Tables of up to so many rows of a few numbers are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,7 @@ def _scaled(c: Column, most: float) -> Column:
 
 
 def text_dimensions(text: Column, lang: Column) -> dict[str, Column]:
-    """Metadata in 0..1 that copies of a text share: length, language, share of letters outside ASCII, words per line."""
+    """Metadata in 0..1 that copies of a text share: length, language, share of bytes beyond ASCII."""
     n = F.length(text)
     return {
         "length": F.log2(1.0 + n) / 32.0,
@@ -44,111 +46,114 @@ def text_dimensions(text: Column, lang: Column) -> dict[str, Column]:
 
 
 def kd_shards(rows: DataFrame, id_col: str, weight: str, content: str, dimensions: list[str], shards: int) -> DataFrame:
-    """Add `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard) to narrow rows.
-
-    rows: id, weight (bytes), content (a 64-bit hash of what must stay together where possible) and dimensions in 0..1.
-    The tree is split until it has as many leaves as shards; with n leaves to come, a node is cut at the weighted
-    quantile floor(n / 2) / n of its widest dimension (the spread of its values; the first of equal ones). Each cut is
-    found by histograms of 2048 bins, one aggregation for all nodes of a level and each refinement; the driver gets a
-    row a node. Null dimensions count as 0, null weights as 0. Rows that agree in all keys (same content, same 16-bit id
-    hash) share a shard. Fewer rows than shards leave shards empty; an empty table gives an empty result.
+    """Add `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard) to narrow rows; each row stays a row.
+
+    rows: id, weight (bytes), content (a 64-bit hash of what must stay together where possible), dimensions in 0..1, and
+    other columns, which are kept. The tree is split until it has as many leaves as shards; with n leaves to come, a node
+    is cut at the weighted quantile floor(n / 2) / n of its widest dimension (the spread of its values; the first of equal
+    ones). Each cut is found by histograms of 2048 bins, one aggregation for all nodes of a level and each refinement; the
+    driver gets a row a node, of which there are two a shard, and rows find their node's cut by a join, so that plans do not
+    grow with the tree. Null dimensions count as 0, null weights as 0, a null id is an id. Rows that agree in all keys
+    (same content, same 16-bit id hash) share a shard. Fewer rows than shards leave shards empty; an empty table gives an
+    empty result.
     """
-    key = {}
-    for d in dimensions:
-        content_part = F.shiftrightunsigned(F.xxhash64(F.col(content)), 64 - CONTENT_BITS)
-        id_part = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 64 - ID_BITS)
-        key[d] = F.shiftleft(_scaled(F.coalesce(d, F.lit(0.0)), 1.0), CONTENT_BITS + ID_BITS) + F.shiftleft(content_part, ID_BITS) + id_part
-    base = saved(rows.select(id_col, F.coalesce(weight, F.lit(0)).cast("long").alias("w"), *[k.alias(f"k_{d}") for d, k in key.items()]), "kd")
-    total = base.agg(F.sum("w")).first()[0] or 0
+    spark = rows.sparkSession
+    content_part = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(content)), 64 - CONTENT_BITS), ID_BITS)
+    id_part = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 64 - ID_BITS)
+    keys = [F.shiftleft(_scaled(F.coalesce(d, F.lit(0.0)), 1.0), CONTENT_BITS + ID_BITS) + content_part + id_part for d in dimensions]
+    given = [c for c in rows.columns if c not in (content, *dimensions)]
+    base = saved(rows.select(*given, F.coalesce(weight, F.lit(0)).cast("long").alias("__w"), F.array(*keys).alias("__k"), F.lit(0).alias("__node")), "kd")
+    total = base.agg(F.sum("__w")).first()[0] or 0
     slack = max(1, int(total / max(shards, 1) * TOLERANCE))
-    node = F.lit(0)
-    open_nodes, leaves, numbered = [Node(0, shards, 0)], [], 1
-    while open_nodes:
+    open_nodes, numbered, leaves = [Node(0, shards, 0)], 1, []
+    while cutting := [n for n in open_nodes if n.shards > 1]:
         leaves += [n for n in open_nodes if n.shards == 1]
-        cutting = [n for n in open_nodes if n.shards > 1]
-        if not cutting:
-            break
-        at = base.withColumn("node", node).where(F.col("node").isin([n.number for n in cutting]))
-        spread = {r["node"]: r for r in at.groupBy("node").agg(F.sum("w").alias("w"), *[f(f"k_{d}").alias(f"{f.__name__}_{d}") for d in dimensions for f in (F.min, F.max)]).collect()}
+        at = base.join(_small(spark, [(n.number,) for n in cutting], "__node int"), "__node")
+        ends = [f(F.shiftright(F.col("__k")[i], KEY_BITS - COORDINATE_BITS)).alias(f"{f.__name__}_{i}") for i in range(len(dimensions)) for f in (F.min, F.max)]
+        spread = {r["__node"]: r for r in at.groupBy("__node").agg(F.sum("__w").alias("w"), *ends).collect()}
         widest, target = {}, {}
         for n in cutting:
             r = spread.get(n.number)
-            widest[n.number] = dimensions[0] if r is None else max(dimensions, key=lambda d: ((r[f"max_{d}"] >> (KEY_BITS - COORDINATE_BITS)) - (r[f"min_{d}"] >> (KEY_BITS - COORDINATE_BITS)), -dimensions.index(d)))
+            widest[n.number] = 0 if r is None else max(range(len(dimensions)), key=lambda i: (r[f"max_{i}"] - r[f"min_{i}"], -i))  # noqa: B023
             target[n.number] = 0 if r is None else r["w"] * (n.shards // 2) // n.shards
-        cut = _cuts(at, widest, target, slack)
-        pick = F.lit(None).cast("long")
-        next_nodes = []
-        after = node
+        cut = _cuts(base, widest, target, slack)
+        tree, open_nodes = [], []
         for n in cutting:
             left = Node(numbered, n.shards // 2, n.first)
             right = Node(numbered + 1, n.shards - n.shards // 2, n.first + n.shards // 2)
             numbered += 2
-            goes = F.when(F.col(f"k_{widest[n.number]}") <= cut.get(n.number, 0), left.number).otherwise(right.number)
-            pick = F.when(F.col("node") == n.number, goes) if not next_nodes else pick.when(F.col("node") == n.number, goes)
-            next_nodes += [left, right]
-        base = saved(base.withColumn("node", after).withColumn("node", pick.otherwise(F.col("node"))), "kd")
-        node, open_nodes = F.col("node"), next_nodes
-    shard = F.lit(0)
-    if len(leaves) > 1:
-        shard = F.element_at(F.map_from_arrays(F.array(*[F.lit(n.number) for n in leaves]), F.array(*[F.lit(n.first) for n in leaves])), F.col("node"))
-    return with_slots(base.select(id_col, shard.cast("int").alias("shard")), id_col)
-
-
-def _cuts(at: DataFrame, widest: dict[int, str], target: dict[int, int], slack: int) -> dict[int, int]:
-    """For each node the largest key that goes left, by refining the bin in which the target weight lies."""
+            tree.append((n.number, widest[n.number], cut.get(n.number, 0), left.number, right.number))
+            open_nodes += [left, right]
+        table = _small(spark, tree, "__node int, __dim int, __cut long, __left int, __right int")
+        goes = F.when(F.col("__k")[F.col("__dim")] <= F.col("__cut"), F.col("__left")).otherwise(F.col("__right"))
+        moved = base.join(table, "__node", "left").withColumn("__node", F.coalesce(goes, "__node"))
+        base = saved(moved.select(base.columns), "kd")
+    leaves += open_nodes
+    numbers = _small(spark, [(n.number, n.first) for n in leaves], "__node int, shard int")
+    return with_slots(base.join(numbers, "__node").select(*given, "shard"), id_col)
+
+
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a row or two a shard, broadcast where that is bounded."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
+
+
+def _cuts(base: DataFrame, widest: dict[int, int], target: dict[int, int], slack: int) -> dict[int, int]:
+    """For each node the largest key that goes left, by refining the bin in which the target weight lies.
+
+    The bins of a node, 2048 at most, are added up in one task; those of different nodes in different ones."""
+    spark = base.sparkSession
     low = dict.fromkeys(widest, 0)  # keys below went left already
-    done: dict[int, int] = {}
     below = dict.fromkeys(widest, 0)
+    done: dict[int, int] = {}
     shift = KEY_BITS
     while len(done) < len(widest) and shift > 0:
-        shift = max(0, shift - STEP_BITS)
+        width, shift = shift, max(0, shift - STEP_BITS)
         todo = [n for n in widest if n not in done]
-        key, start = F.lit(None).cast("long"), F.lit(None).cast("long")
-        for i, n in enumerate(todo):
-            c = F.col("node") == n
-            key = F.when(c, F.col(f"k_{widest[n]}")) if not i else key.when(c, F.col(f"k_{widest[n]}"))
-            start = F.when(c, F.lit(low[n])) if not i else start.when(c, F.lit(low[n]))
-        width = shift + STEP_BITS
-        inside = at.where(F.col("node").isin(todo)).withColumn("key", key).withColumn("low", start).where((F.col("key") >= F.col("low")) & (F.shiftright(F.col("key"), width) == F.shiftright(F.col("low"), width)) if width < 63 else F.lit(True))
-        bins = inside.groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("w").alias("w"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        upto = Window.partitionBy("node").orderBy("bin")
-        want = F.lit(None).cast("long")
-        for i, n in enumerate(todo):
-            want = F.when(F.col("node") == n, F.lit(target[n] - below[n])) if not i else want.when(F.col("node") == n, F.lit(target[n] - below[n]))
-        run = bins.withColumn("upto", F.sum("w").over(upto)).withColumn("want", want).where(F.col("upto") >= F.col("want"))
-        got = {r["node"]: r for r in run.groupBy("node").agg(F.min_by(F.struct("bin", "w", "upto", "lo", "hi"), "bin").alias("x")).select("node", "x.*").collect()}
+        asked = _small(spark, [(n, widest[n], low[n], target[n] - below[n]) for n in todo], "__node int, __dim int, __low long, __want long")
+        key = F.col("__k")[F.col("__dim")]
+        inside = base.join(asked, "__node").where(F.shiftright(key, width) == F.shiftright("__low", width)) if width < KEY_BITS else base.join(asked, "__node")
+        bins = inside.groupBy("__node", "__want", F.shiftright(key, shift).alias("bin")).agg(F.sum("__w").alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        run = bins.withColumn("upto", F.sum("w").over(Window.partitionBy("__node").orderBy("bin"))).where(F.col("upto") >= F.col("__want"))
+        first = run.groupBy("__node").agg(F.min_by(F.struct("bin", "w", "upto", "lo", "hi"), "bin").alias("x")).select("__node", "x.*")
+        got = {r["__node"]: r for r in first.collect()}
         for n in todo:
             r = got.get(n)
             if r is None:
                 done[n] = low[n] - 1
                 continue
-            first, last = r["bin"] << shift, ((r["bin"] + 1) << shift) - 1
+            begin, end = r["bin"] << shift, ((r["bin"] + 1) << shift) - 1
             over, under = r["upto"] - (target[n] - below[n]), (target[n] - below[n]) - (r["upto"] - r["w"])
             if min(over, under) <= slack or r["lo"] == r["hi"]:
-                done[n] = last if over <= under else first - 1
+                done[n] = end if over <= under else begin - 1
             else:
                 below[n] += r["upto"] - r["w"]
-                low[n] = first
+                low[n] = begin
     return done
 
 
 def with_slots(rows: DataFrame, id_col: str) -> DataFrame:
     """Number the rows of each shard from 0 without a gap; a shard is numbered in buckets of about SLOT_ROWS rows."""
-    largest = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    largest, many = rows.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-largest // SLOT_ROWS))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)))
-    sizes = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inner = Window.partitionBy("shard", "bucket").orderBy(id_col)
-    return dealt.withColumn("in_bucket", F.row_number().over(inner) - 1).join(F.broadcast(starts) if buckets < 10_000 else starts, ["shard", "bucket"]).select(id_col, "shard", (F.col("start") + F.col("in_bucket")).cast("long").alias("slot"))
+    others = [F.col(c) for c in rows.columns if c != "shard"]
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*others), F.lit(buckets)))
+    sizes = dealt.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inner = Window.partitionBy("shard", "__bucket").orderBy(id_col, *others)
+    numbered = dealt.withColumn("__in", F.row_number().over(inner) - 1)
+    slot = (F.col("__start") + F.col("__in")).cast("long").alias("slot")
+    return numbered.join(F.broadcast(starts) if buckets * many <= MOST_BROADCAST else starts, ["shard", "__bucket"]).select(*others, "shard", slot)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, size (UTF-8 bytes and 16), text_crc32 (unsigned), shard, slot of each document; shards are near equal in bytes.
 
     A null text has no bytes, and the CRC of the empty one. Equal texts stay in one shard unless a cut has to pass
-    through them to keep the sizes. Ids are taken to be unique; of a repeated id every row is a row of the result.
+    through them to keep the sizes. Each row of a repeated or null id is a row of the result with a slot of its own.
+    An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     dims = text_dimensions(text, F.col(lang_col))
@@ -156,6 +161,4 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("content"), *[c.cast("double").alias(d) for d, c in dims.items()],
     )
-    narrow = saved(narrow, "metadata")
-    placed = kd_shards(narrow.withColumn("weight", F.col("size")), "doc_id", "weight", "content", list(dims), shards).dropDuplicates(["doc_id"])
-    return narrow.select("doc_id", "size", "text_crc32").join(placed, "doc_id")
+    return kd_shards(narrow, "doc_id", "size", "content", list(dims), shards)
