@@ -6,15 +6,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import saved
 from ._text import U, blocks, mixed, text_bytes, words
 
 #: Indicators are hashed to so many columns.
 BITS = 19
 #: The model is fitted on at most so many labelled rows, those of the smallest hash of their id.
 FIT_ROWS = 6000
+#: And on as many of them as have so many indicators together, 4 bytes each; these are what the driver gets.
+FIT_INDICATORS = 20_000_000
 #: Share of the raw weights; the rest is their mean magnitude (the interpolation of the published method).
 BETA = 0.25
 #: Cost of an error of the class that is rarer is raised to balance the classes.
@@ -78,43 +81,49 @@ def _featurise(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([got[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["doc_id", "label", "found"])
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the squared hinge loss; the bias is a column of ones."""
+def _descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, enough: float = 0.01) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss: minimises |w|^2 / 2 + b^2 / 2 + sum cost_i max(0, 1 - y_i (w x_i + b)),
+    whose dual variables lie between 0 and cost_i; the bias is a column of ones."""
     w, b = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    diag = 1.0 / (2.0 * cost)
     values = [scale[r] for r in rows]
-    norm = np.array([float(v @ v) + 1.0 for v in values]) + diag
+    norm = np.array([float(v @ v) + 1.0 for v in values])
     rng = np.random.default_rng(0)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
             r, v = rows[i], values[i]
-            g = y[i] * (float(v @ w[r]) + b) - 1.0 + diag[i] * alpha[i]
-            if alpha[i] == 0 and g >= 0:
+            g = y[i] * (float(v @ w[r]) + b) - 1.0
+            if (alpha[i] <= 0 and g >= 0) or (alpha[i] >= cost[i] and g <= 0):
                 continue
-            new = max(alpha[i] - g / norm[i], 0.0)
+            new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             d = (new - alpha[i]) * y[i]
             alpha[i] = new
             if d:
                 w[r] += d * v
                 b += d
                 most = max(most, abs(g))
-        if most < 0.01:
+        if most < enough:
             break
     return w, b
 
 
 def fit(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on at most `rows` of labelled (doc_id, label 0 or 1), a stated bound; texts are read from docs.
+    """Fit on at most `rows` of labelled (doc_id, label 0 or 1) with FIT_INDICATORS indicators together, stated bounds, in
+    the order of the ids' hashes; texts are read whole from docs. Of several rows of an id one takes part.
 
-    Null labels and labels without a document take no part; of several labels of a document one (the largest) counts.
+    Null labels, null ids and labels without a document take no part; of several labels of a document one (the largest) counts.
     With no labels or one class the model is constant. Log-count ratios, weights and the scale of the scores all come
     from these rows; half of them, left out of a first fit, set the scale.
     """
     chosen = labelled.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = some.mapInArrow(_featurise, "doc_id long, label int, found binary").toArrow().sort_by("doc_id")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    made = some.mapInArrow(_featurise, "doc_id long, label int, found binary")
+    one = saved(made.groupBy("doc_id").agg(F.min(F.struct("found", "label")).alias("x")).select("doc_id", "x.label", "x.found"), "indicators")
+    upto = F.sum("many").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` narrow rows at most
+    sized = one.select("doc_id", (F.octet_length("found") / 4).cast("long").alias("many")).withColumn("upto", upto)
+    few = sized.where(F.col("upto") <= FIT_INDICATORS).select("doc_id")
+    got = one.join(F.broadcast(few), "doc_id").toArrow().sort_by("doc_id")
     found = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
     y = got.column("label").to_numpy().astype(np.float64) * 2 - 1
     if not len(y) or abs(y.sum()) == len(y):
@@ -178,7 +187,8 @@ def _scores(model, carry: list[str]):
 
 
 def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns in carry and `score` (0 to 1) of every row; null text counts as empty, whole texts are read."""
+    """The columns in carry and `score` (0 to 1) of every row, repeated ones too. Null text counts as empty, whole texts are
+    read; empty texts get the model's score of no indicators. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
