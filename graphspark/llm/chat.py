@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -40,12 +41,39 @@ class Costs:
     page: int = 512
 
 
+#: Numbers beyond it are no sizes of attachments.
+MOST = 10**6
+
+
+def number(x) -> float | None:
+    """A size that a part states; None where it is no number from 0 to MOST."""
+    try:
+        value = float(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return value if 0 <= value <= MOST else None
+
+
+def encodable(text: str) -> str:
+    """Halves of surrogate pairs, which JSON can escape alone, become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def parts_of(text: str) -> list | str:
+    """The parts that a text states as JSON: an array, a string or one part; other text is a text part as it stands."""
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+    return found if isinstance(found, list | str) else [found] if isinstance(found, dict) else text
+
+
 @dataclass
 class PartVisitor:
     """Flattens typed parts to text with placeholders in order; keeps what they refer to and their token counts."""
 
     costs: Costs = field(default_factory=Costs)
-    out: list[str] = field(default_factory=list)
+    out: list[str] = field(default_factory=list)  # escaped
     texts: list[str] = field(default_factory=list)  # not yet in out: adjacent texts are escaped as one
     refs: list[tuple[str, str, int]] = field(default_factory=list)
 
@@ -53,35 +81,40 @@ class PartVisitor:
         if isinstance(part, str):
             return self.visit_text({"text": part})
         kind = part.get("type", "text") if isinstance(part, dict) else "unknown"
-        return getattr(self, f"visit_{kind}", self.visit_unknown)(part)
+        known = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        return known.get(kind if isinstance(kind, str) else "", self.visit_unknown)(part)
 
     def visit_text(self, part) -> None:
-        self.texts.append(str(part.get("text") or ""))
+        self.texts.append(encodable(str(part.get("text") or "")))
+
+    def _flush(self) -> None:
+        if self.texts:
+            self.out.append(escape("".join(self.texts)))
+            self.texts = []
 
     def flattened(self) -> str:
         """All parts so far, in order."""
-        self.out.append(escape("".join(self.texts)))
-        self.texts = []
+        self._flush()
         return "".join(self.out)
 
     def _attach(self, kind: str, part, tokens: int) -> None:
         ref = part.get("url") or part.get("path") or part.get("id") or ""
-        self.flattened()
+        self._flush()
         self.out.append(f"<|{kind}:{len(self.refs)}|>")
-        self.refs.append((kind, str(ref), tokens))
+        self.refs.append((kind, encodable(str(ref)), tokens))
 
     def visit_image(self, part) -> None:
-        w, h, p = part.get("width"), part.get("height"), self.costs.patch
-        self._attach("image", part, -(-int(w) // p) * -(-int(h) // p) if w and h else self.costs.image_default)
+        w, h, p = number(part.get("width")), number(part.get("height")), self.costs.patch
+        self._attach("image", part, math.ceil(w / p) * math.ceil(h / p) if w and h else self.costs.image_default)
 
     def visit_audio(self, part) -> None:
-        self._attach("audio", part, -(-int(float(part.get("seconds") or 0) * self.costs.audio_per_second) // 1))
+        self._attach("audio", part, int((number(part.get("seconds")) or 0) * self.costs.audio_per_second))
 
     def visit_document(self, part) -> None:
-        self._attach("document", part, int(part.get("pages") or 1) * self.costs.page)
+        self._attach("document", part, int(number(part.get("pages")) or 1) * self.costs.page)
 
     def visit_unknown(self, part) -> None:
-        self.texts.append(json.dumps(part, ensure_ascii=False, sort_keys=True))
+        self.texts.append(encodable(json.dumps(part, ensure_ascii=False, sort_keys=True)))
 
 
 def format_turn(role: str, content, costs: Costs | None = None) -> tuple[str, list[tuple[str, str, int]], list[int]]:
@@ -98,10 +131,10 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-_FORMATTED = "conv_id long, turn long, formatted string, loss boolean, content_start int, content_end int, attachments array<struct<kind:string,ref:string,tokens:int>>, attachment_tokens long"
+_FORMATTED = "conv_id long, turn long, formatted string, loss boolean, content_start int, content_end int, attachments array<struct<kind:string,ref:string,tokens:bigint>>, attachment_tokens long"
 _TYPES = pa.schema([
     ("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("loss", pa.bool_()), ("content_start", pa.int32()), ("content_end", pa.int32()),
-    ("attachments", pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))), ("attachment_tokens", pa.int64()),
+    ("attachments", pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("attachment_tokens", pa.int64()),
 ])
 
 
@@ -110,7 +143,7 @@ def _format(typed: bool):
         for batch in batches:
             rows = []
             for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
-                content = json.loads(text) if typed and text else text
+                content = parts_of(text) if typed and text else text
                 out, refs, (a, z) = format_turn(role or "", content)
                 rows.append({"conv_id": conv, "turn": turn, "formatted": out, "loss": role == "assistant", "content_start": a, "content_end": z, "attachments": [dict(zip(("kind", "ref", "tokens"), r, strict=True)) for r in refs], "attachment_tokens": sum(r[2] for r in refs)})
             yield pa.RecordBatch.from_pylist(rows, schema=_TYPES)
@@ -122,7 +155,9 @@ def format_turns(turns: DataFrame, typed: bool = False) -> DataFrame:
     """Format each row (conv_id, turn, role, text) by itself, without a shuffle: a conversation is its turns' strings in order.
 
     typed: text is a JSON array of parts, as {"type": "text", "text": ...}, {"type": "image", "url", "width", "height"},
-    {"type": "audio", "url", "seconds"}, {"type": "document", "url", "pages"}; otherwise it is one text part. The loss
+    {"type": "audio", "url", "seconds"}, {"type": "document", "url", "pages"}; otherwise it is one text part. Text that is
+    no such JSON is a text part as it stands, a part of unknown type is the text of its JSON, and a size that is no number
+    from 0 to a million counts as not stated. The loss
     mask is [content_start, content_end) of turns with loss (role assistant), in code points of the formatted string.
     Null text and null role count as empty. Turns of equal number are all kept; an empty table gives an empty result;
     other columns are ignored.
@@ -161,7 +196,9 @@ def _digest(batches):
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """Read back each conversation from its formatted turns: counts and digests, in a stream of sorted turns, so that memory does not grow with a conversation.
 
-    Turns go by number; turns of equal number by their formatted text. A null conv_id is a conversation of its own.
+    Turns go by number (null first); turns of equal number by their formatted text, repeated rows count each. The rows of
+    a null conv_id are one conversation. An empty table gives an empty result. A conversation is read by one task, as its
+    digests run over its turns in order; the rows stream through it, sorted by Spark, which spills.
     """
     dealt = formatted.select("conv_id", "turn", "formatted", "loss", "content_start", "content_end").repartition(partitions(formatted.sparkSession), "conv_id")
     return dealt.sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
