@@ -18,6 +18,8 @@ BAND = 3 * 1.04 / 2 ** (LOG_K / 2)
 #: Lines of up to so many hashes (16 bytes each) are broadcast.
 MOST_BROADCAST = 4_000_000
 SEED = 42  # of xxhash64 in Spark SQL
+#: Stands for a null id: such rows come after all others when the first document of a line is chosen.
+NOBODY = (1 << 63) - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,13 +35,17 @@ def _joined(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h, n_sites, first_doc) of the lines on at least min_sites sites. docs: doc_id, site, text.
 
-    First, lines on two sites at least are found by plain aggregation of hashes; most lines end there. The rest get a
+    First, lines on two sites at least (where min_sites asks for them) are found by plain aggregation of hashes; most lines end there. The rest get a
     sketch of their sites, merged by aggregation. Where a sketch's estimate is within three standard errors (or one) of
     the threshold, the sites are counted exactly. All aggregates are combined before the shuffle, so that a line that
     a third of the documents hold is a row per task.
     """
+    if min_sites < 1:
+        raise ValueError("min_sites is 1 at least")
     lines = _lines(docs)
-    wide = saved(lines.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") >= min_sites)).select("h"), "wide")
+    spans = lines.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = F.col("lo") != F.col("hi") if min_sites > 1 else F.lit(True)
+    wide = saved(spans.where(several & (F.col("n") >= min_sites)).select("h"), "wide")
     sketched = saved(_joined(lines, wide).groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min("doc_id").alias("first_doc")).select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("n_sites")), "sketched")
     low, high = min(min_sites - 1, min_sites * (1 - BAND)), max(min_sites + 1, min_sites * (1 + BAND))
     near = sketched.where(F.col("n_sites").between(low, high))
@@ -48,12 +54,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sketched.where(F.col("n_sites") > high).select("h", "n_sites", "first_doc").unionByName(counted)
 
 
-def _positions(lines: list[str], doc: int, first_of) -> list[int]:
-    """Positions of the lines that go."""
+def _positions(hashes: list[int], doc: int, first_of: dict[int, int]) -> list[int]:
+    """Positions of the lines that go: those in first_of, but for the first of each in the document that comes first."""
     gone, had = [], set()
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line.encode(), seed=SEED)
-        first = first_of(h)
+    for i, h in enumerate(hashes):
+        first = first_of.get(h)
         if first is None:
             continue
         if first == doc and h not in had:
@@ -63,57 +68,77 @@ def _positions(lines: list[str], doc: int, first_of) -> list[int]:
     return gone
 
 
-def _remove(found):
+def _line_hashes(split: list[list[str]]) -> np.ndarray:
+    """xxhash64 of all lines, as Spark SQL has it."""
+    n = sum(map(len, split))
+    return np.fromiter((xxhash.xxh64_intdigest(line.encode(), seed=SEED) for x in split for line in x), np.uint64, n).view(np.int64)
+
+
+def _without(batch: pa.RecordBatch, first_of) -> pa.RecordBatch:
+    """The batch without the lines that go; first_of(row, its line hashes) gives the first document of those of them that
+    are boilerplate."""
+    split = [t.split("\n") for t in batch.column("text").to_pylist()]
+    cut = np.cumsum([0] + [len(x) for x in split])
+    hashes = _line_hashes(split)
+    texts, removed = batch.column("text").to_pylist(), []
+    for i, doc in enumerate(batch.column("key").to_pylist()):
+        mine = hashes[cut[i] : cut[i + 1]]
+        found = first_of(i, mine)
+        gone = _positions(mine.tolist(), doc, found) if found else []
+        if gone:
+            out = set(gone)
+            texts[i] = "\n".join([line for k, line in enumerate(split[i]) if k not in out])
+        removed.append(gone)
+    others = [c for c in batch.schema.names if c not in ("key", "text", "firsts")]
+    columns = [*[batch.column(c) for c in others], pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.int32())), pa.array([len(x) for x in split], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=[*others, "text", "removed", "n_lines"])
+
+
+def _remove_listed(found):
     def run(batches):
         keys, firsts = found.value
+
+        def first_of(_, mine):
+            at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+            hit = np.flatnonzero(keys[at] == mine) if len(keys) else ()
+            return {int(mine[j]): int(firsts[at[j]]) for j in hit}
+
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            split = [t.split("\n") for t in texts]
-            many = np.cumsum([0] + [len(x) for x in split])
-            h = np.fromiter((xxhash.xxh64_intdigest(line.encode(), seed=SEED) for x in split for line in x), np.uint64, many[-1]).view(np.int64)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            texts_out, gone_out = [], []
-            for i, (doc, x) in enumerate(zip(docs, split, strict=True)):
-                gone = []
-                if hit[many[i] : many[i + 1]].any():
-                    first = {int(h[j]): int(firsts[at[j]]) for j in range(many[i], many[i + 1]) if hit[j]}
-                    gone = _positions(x, doc, lambda u, first=first: first.get(u - (1 << 64) if u >> 63 else u))
-                out = set(gone)
-                texts_out.append("\n".join([line for k, line in enumerate(x) if k not in out]) if gone else texts[i])
-                gone_out.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in batch.schema.names if c not in ("doc_id", "text")], pa.array(texts_out, pa.string()), pa.array(gone_out, pa.list_(pa.int32())), pa.array([len(x) for x in split], pa.int32())], names=["doc_id", *[c for c in batch.schema.names if c not in ("doc_id", "text")], "text", "removed", "n_lines"])
+            yield _without(batch, first_of)
 
     return run
 
 
+def _remove_joined(batches):
+    for batch in batches:
+        firsts = batch.column("firsts").to_pylist()
+        yield _without(batch, lambda i, _, firsts=firsts: {f["h"]: f["first_doc"] for f in firsts[i] or ()})
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", carry: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, carry, text, removed (positions from 0), n_lines of every row: without its boilerplate lines.
 
-    A line (between line feeds, exact) is boilerplate when at least min_sites distinct sites have it. Its first
-    occurrence, in the smallest doc_id that has it, stays; all others go. Blank lines stay. A document whose lines all
-    go stays with an empty text. Null text counts as empty, null site is a site of its own name "". A text without
-    boilerplate is not changed. A repeated id keeps the first occurrence in each of its rows. An empty table gives an
-    empty result.
+    A line (between line feeds, equal when its 64-bit hash is) is boilerplate when at least min_sites distinct sites have
+    it; with 1, every line that is not blank. Its first occurrence, in the smallest doc_id that has it, stays; all others
+    go. Blank lines stay. A document whose lines all go stays with an empty text. Null text counts as empty, null site is
+    a site of its own name "". A text without boilerplate is not changed. Each row is read by itself: those of a repeated
+    id keep the first occurrence each, and so do rows of null ids, which come after all ids, where no other row has the
+    line. An empty table gives an empty result; columns that are not carried are ignored.
 
-    The lines found are broadcast up to most_broadcast of them; beyond that, occurrences are joined by line and the
-    positions to remove are joined to the documents by id.
+    The lines found are broadcast up to most_broadcast of them; beyond that, they are joined to the lines of each text
+    and the texts by id and hash. Both ways give the same rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c for c in carry if c != id_col], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sites = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY))
+    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), *[c for c in carry if c != id_col], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sites = docs.select(key.alias("doc_id"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
     found = saved(boilerplate(sites, min_sites), "boilerplate")
-    others = [f for f in rows.schema.fields if f.name not in ("doc_id", "text")]
+    kept = [f for f in rows.schema.fields if f.name not in ("key", "text")]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "text string, removed array<int>, n_lines int"
     if found.count() <= most_broadcast:
         got = found.select("h", "first_doc").orderBy("h").toArrow()
         keys = got.column("h").to_numpy(), got.column("first_doc").to_numpy()
-        schema = "doc_id long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others) + "text string, removed array<int>, n_lines int"
-        return rows.mapInArrow(_remove(docs.sparkSession.sparkContext.broadcast(keys)), schema)
-    spots = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.xxhash64("line").alias("h"))
-    hits = spots.join(found.select("h", "first_doc"), "h")
-    once = hits.where("doc_id = first_doc").groupBy("doc_id", "h").agg(F.min("pos").alias("stays"))
-    gone = hits.join(once, ["doc_id", "h"], "left").where("stays is null or pos <> stays").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
-    lined = rows.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn("split", F.split("text", "\n"))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter("split", lambda x, i: ~F.array_contains("removed", i)), "\n"))
-    return lined.select("doc_id", *[f.name for f in others], text.alias("text"), "removed", F.size("split").alias("n_lines"))
-
-
+        return rows.mapInArrow(_remove_listed(docs.sparkSession.sparkContext.broadcast(keys)), schema)
+    content = F.xxhash64("text").alias("content")
+    lines = rows.select("key", content, F.explode(F.split("text", "\n")).alias("line")).select("key", "content", F.xxhash64("line").alias("h"))
+    firsts = lines.distinct().join(found.select("h", "first_doc"), "h").groupBy("key", "content").agg(F.collect_list(F.struct("h", "first_doc")).alias("firsts"))
+    return rows.withColumn("content", content).join(firsts, ["key", "content"], "left").drop("content").mapInArrow(_remove_joined, schema)
