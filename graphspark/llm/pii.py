@@ -7,25 +7,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import saved
+
 #: Kinds in their fixed order; label 0 is none.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 #: The model is fitted on at most so many documents that have candidate tokens, those of the smallest hash of their id.
 FIT_DOCS = 3000
+#: And on as many of them as have so many tokens together; these are what the driver gets.
+FIT_TOKENS = 200_000
 #: A label is given to a token when its marginal probability is at least so much.
 CONFIDENT = 0.9
-ROUNDS = 12  # of message passing at most
+#: Messages are passed until none changes by more than SETTLED, and so many rounds at most, in which a label crosses as many edges.
+ROUNDS, SETTLED = 200, 1e-4
 DAMPING = 0.3
 #: Tokens of which a similar one is looked for: digits in a row without separators, or the letters of an address.
 _EMAIL_END = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # in linear time: digits are never given back
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]+")
+_RUN = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[\W_]*$")
 
@@ -87,29 +92,19 @@ def tokens(text: str, spans: list[tuple[int, int, str]]) -> list[Token]:
         if a >= reach:
             out.append(Token(a, z, 1 + KINDS.index(kind), ""))
             reach = z
-    covered = [(t.start, t.end) for t in out]
-    k, done = 0, 0
-    for m in _MARK.finditer(text):
-        if m.start() < done:
-            continue
-        while k < len(covered) and covered[k][1] <= m.start():
-            k += 1
-        if k < len(covered) and covered[k][0] <= m.start():
-            continue
-        low = covered[k - 1][1] if k else 0
-        high = covered[k][0] if k < len(covered) else len(text)
-        a, z = m.start(), m.end()
-        while a > low and not text[a - 1].isspace():
-            a -= 1
-        while z < high and not text[z].isspace():
-            z += 1
-        while a < z and not (text[a].isalnum() or text[a] in "+("):
-            a += 1
-        while z > a and not text[z - 1].isalnum():
-            z -= 1
-        done = max(z, m.end())
-        if a < z:
-            out.append(Token(a, z, 0, ""))
+    low = 0
+    for high, after in [*((t.start, t.end) for t in out), (len(text), len(text))]:
+        for m in _RUN.finditer(text, low, high):
+            if "@" not in m[0] and not _DIGIT.search(m[0]):
+                continue
+            a, z = m.start(), m.end()
+            while a < z and not (text[a].isalnum() or text[a] in "+("):
+                a += 1
+            while z > a and not text[z - 1].isalnum():
+                z -= 1
+            if a < z:
+                out.append(Token(a, z, 0, ""))
+        low = after
     out.sort(key=lambda t: t.start)
     for t in out:
         w = _WORD_BEFORE.search(text, max(0, t.start - 40), t.start)
@@ -156,17 +151,38 @@ class Field:
 
 
 def skip_edges(text: str, toks: list[Token]) -> list[tuple[int, int]]:
-    """Each token and the one before it of the same key: repeats are tied in a row, so that edges are at most three a token."""
-    last: dict[str, int] = {}
-    out = set()
+    """Each token with the one before it of the same key, and with the first one of the key that the patterns found (else the
+    first of all): repeats are tied in a row and to one place, so that a label is few edges away and edges are at most six a
+    token."""
+    of_key: dict[str, list[int]] = {}
     for i, t in enumerate(toks):
         for k in keys(text, t):
-            if k in last and last[k] != i:
-                out.add((last[k], i))
-            last[k] = i
+            of_key.setdefault(k, []).append(i)
+    out = set()
+    for same in of_key.values():
+        centre = next((i for i in same if toks[i].label), same[0])
+        for i, j in zip(same, same[1:], strict=False):
+            if i != j:
+                out.add((i, j))
+        out |= {(min(i, centre), max(i, centre)) for i in same if i != centre}
     return sorted(out)
 
 
+def connected(n: int, edges: list[tuple[int, int]], seeds: list[int]) -> set[int]:
+    """The nodes that edges connect with a seed, over any number of edges."""
+    near: dict[int, list[int]] = {}
+    for i, j in edges:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    seen, todo = set(seeds), list(seeds)
+    while todo:
+        for j in near.get(todo.pop(), ()):
+            if j not in seen:
+                seen.add(j)
+                todo.append(j)
+    return seen
+
+
 def marginals(node: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     """Loopy sum-product: label probabilities of each node (rows), with damped messages along all edges at once."""
     unary = np.exp(node - node.max(1, keepdims=True))
@@ -186,7 +202,7 @@ def marginals(node: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.
         new = np.maximum(new / new.sum(1, keepdims=True), 1e-12)
         change = np.abs(new - message).max()
         message = DAMPING * message + (1 - DAMPING) * new
-        if change < 1e-4:
+        if change < SETTLED:
             break
     belief = np.log(unary + 1e-300)
     np.add.at(belief, b, np.log(message))
@@ -203,11 +219,7 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list
         return base, base
     skips = skip_edges(text, toks)
     # a component of skip edges without a found span has nothing to carry
-    reach = {i for i, t in enumerate(toks) if t.label}
-    for _ in range(2):
-        for i, j in (*skips, *reversed(skips)):
-            if i in reach or j in reach:
-                reach |= {i, j}
+    reach = connected(len(toks), skips, [i for i, t in enumerate(toks) if t.label])
     if not any(i in reach for i in free):
         return base, base
     node = np.zeros((len(toks), LABELS))
@@ -231,7 +243,7 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list
 def _examples(batches):
     """Of each document with tokens: features and labels of its tokens, neighbour and skip pairs of labels."""
     for batch in batches:
-        docs, rows = [], []
+        docs, many, rows = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             toks = tokens(text, base_spans(text))
             if not toks:
@@ -248,16 +260,23 @@ def _examples(batches):
             for i, j in skips:
                 flat += [toks[i].label * LABELS + toks[j].label]
             docs.append(doc)
+            many.append(len(toks))
             rows.append(np.array(flat, np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "example"])
+        columns = [pa.array(docs, pa.int64()), pa.array(many, pa.int64()), pa.array(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "many", "example"])
 
 
 def fit(docs: DataFrame, most: int = FIT_DOCS) -> Field:
-    """Learn the field from what the patterns find in at most `most` documents (a stated bound), by pieces: the nodes'
-    weights by multinomial logistic regression, the edges' potentials as smoothed log ratios of pairs to chance."""
+    """Learn the field from what the patterns find in at most `most` documents with FIT_TOKENS tokens together (stated
+    bounds), by pieces: the nodes' weights by multinomial logistic regression, the edges' potentials as smoothed log ratios
+    of pairs to chance. Of several rows of an id one takes part; null ids take no part."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    some = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = rows.join(F.broadcast(some), "doc_id").mapInArrow(_examples, "doc_id long, example binary").toArrow().sort_by("doc_id")
+    some = rows.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    made = rows.join(F.broadcast(some), "doc_id").mapInArrow(_examples, "doc_id long, many long, example binary")
+    one = saved(made.groupBy("doc_id").agg(F.min(F.struct("example", "many")).alias("x")).select("doc_id", "x.many", "x.example"), "examples")
+    upto = F.sum("many").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `most` narrow rows at most
+    few = one.select("doc_id", "many").withColumn("upto", upto).where(F.col("upto") <= FIT_TOKENS).select("doc_id")
+    got = one.join(F.broadcast(few), "doc_id").toArrow().sort_by("doc_id")
     x, y, chain, skip = [], [], np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))
     skip += 4 * np.eye(LABELS)  # what is alike is taken to be alike, also where few pairs were seen
     for raw in got.column("example").to_pylist():
@@ -324,10 +343,12 @@ def _run(shared):
 def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the patterns' spans, and spans (all, kind:start:end, in code points).
 
-    Each document is read whole and by itself. The patterns' spans always stay. Of texts with such a span, words with a
-    digit or an @ are nodes of a field whose edges join neighbours and tokens that repeat or resemble each other
-    (same digits, same last ten digits, same address or local part); loopy message passing gives each a label, and those
-    of at least 0.9 are added. Null text counts as empty; texts without personal data have no spans (an empty string);
+    Each document is read whole and by itself, in time in proportion to its length. The patterns' spans always stay. Of
+    texts with such a span, words with a digit or an @ are nodes of a field whose edges join neighbours and tokens that
+    repeat or resemble each other (same digits, same last ten digits, same address or local part); loopy message passing
+    gives each a label, and those of at least 0.9 are added where edges between alike tokens connect them with a span
+    that the patterns found, over any number of them. A text without such a span has no label to carry, and so none is
+    added. Null text counts as empty; texts without personal data have no spans (an empty string);
     repeated rows are each a row of the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
