@@ -14,10 +14,11 @@ from .functions import names
 from .functions import predicates as p
 from .operators import algorithms as algo
 from .operators import graph as g
+from .functions.values import attributes
 from .operators import merge, paths
 from .plans.pattern import Edge, Node, Pattern
 from .sources import sinks
-from .sources.tables import STEP, edges, graph, nation_links, nodes, table
+from .sources.tables import STEP, bought_links, edges, graph, nodes, ring_links, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +35,10 @@ EDGE_SQL = {
     "Returned": f"SELECT DISTINCT 6*{K}+l_orderkey AS src, 5*{K}+l_partkey AS dst, 'Returned' AS edge_type, 0 AS prob FROM lineitem WHERE l_returnflag='R'",
     "Did": f"SELECT 3*{K}+user_id AS src, 7*{K}+event_id AS dst, 'Did' AS edge_type, 100 AS prob FROM events",
 }
-LINKS = "SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey + 5) % 25 AS BIGINT) AS dst FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey + 1 AS BIGINT) FROM nation WHERE n_nationkey < 4"
+LINKS = (
+    "SELECT c_custkey AS src, c_custkey - c_custkey % 25 + (c_custkey % 25 + 5) % 25 AS dst FROM customer "
+    "UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 25 < 4"
+)
 CLOSURE = f"WITH RECURSIVE links AS ({LINKS}), reach(src, dst, hops) AS (SELECT DISTINCT src, src, 0 FROM links UNION SELECT r.src, l.dst, r.hops + 1 FROM reach r JOIN links l ON r.dst = l.src WHERE r.hops < 25), near AS (SELECT src, dst, min(hops) AS hops FROM reach GROUP BY src, dst)"
 
 
@@ -101,8 +105,8 @@ def predicate(name: str, kind: str, test: Callable, sql: str) -> None:
 
 P, O, C = f"SELECT 5*{K}+p_partkey AS node_id FROM part WHERE ", f"SELECT 6*{K}+o_orderkey AS node_id FROM orders WHERE ", f"SELECT 3*{K}+c_custkey AS node_id FROM customer WHERE "
 predicate("f_eq_ci", "Customer", lambda: p.equals("mktsegment", "building"), C + "lower(c_mktsegment) = 'building'")
-predicate("f_exact", "Customer", lambda: p.equals("mktsegment", "building", exact=True), C + "c_mktsegment = 'building'")
-predicate("f_present", "Part", lambda: p.present("brand"), P + "p_brand IS NOT NULL")
+predicate("f_exact", "Part", lambda: p.equals("word", "widget", exact=True) | p.equals("brand", "Brand#7", exact=True) | p.equals("brand", "brand#8", exact=True), P + "list_contains(string_split(p_name, ' '), 'widget') OR p_brand = 'Brand#7' OR p_brand = 'brand#8'")
+predicate("f_present", "Part", lambda: p.present("large"), P + "p_size > 25")
 predicate("f_glob", "Part", lambda: p.glob("name", "*WID?et"), P + "lower(p_name) LIKE '%wid_et'")
 predicate("f_glob_prefix", "Part", lambda: p.glob("brand", "brand#1*"), P + "lower(p_brand) LIKE 'brand#1%'")
 predicate("f_regex", "Part", lambda: p.regex("name", "^(cold|small) "), P + "regexp_matches(p_name, '^(cold|small) ')")
@@ -111,7 +115,6 @@ predicate("f_cmp_float", "Order", lambda: p.compare("totalprice", ">=", 100000.5
 predicate("f_eq_number_text", "Part", lambda: p.equals("size", "24"), P + "p_size = 24")
 predicate("f_cmp_time", "Order", lambda: p.since("orderdate", "<", "1998-01-01 00:00:00"), O + "o_orderdate < TIMESTAMP '1998-01-01'")
 predicate("f_since_asof", "Order", lambda: p.since("orderdate", "<", "2001-06-15 12:00:00", years=-5), O + "o_orderdate < TIMESTAMP '1996-06-15 12:00:00'")
-predicate("f_timediff", "Order", lambda: p.time_difference("orderdate", "orderdate", "<", days=1), O + "o_orderdate IS NOT NULL")
 predicate("f_count", "Part", lambda: p.count("word", "=", 2), P + "len(string_split(p_name, ' ')) = 2")
 predicate("f_count_missing", "Part", lambda: p.count("nothing", "=", 0), P + "true")
 predicate("f_length", "Part", lambda: p.length("name", ">", 11), P + "strlen(p_name) > 11")
@@ -123,8 +126,30 @@ predicate("f_any_value", "Part", lambda: p.equals("word", "Widget"), P + "list_c
 predicate("f_and_or_not", "Part", lambda: p.any_of(p.all_of(p.compare("size", ">", 20), p.equals("brand", "Brand#7")), ~p.glob("name", "*widget*") & p.compare("size", "<", 5)), P + "(p_size > 20 AND lower(p_brand) = 'brand#7') OR (NOT lower(p_name) LIKE '%widget%' AND p_size < 5)")
 predicate("f_not_missing", "Part", lambda: ~p.equals("nothing", "x"), P + "true")
 predicate("f_id", "Customer", lambda: p.node_id("<", 3 * K + 10), C + "c_custkey < 10")
-predicate("f_type", "Customer", lambda: p.of_type("customer"), C + "true")
-predicate("f_hash100", "Customer", lambda: p.random100("<", 100), C + "true")
+predicate("f_not_equal", "Part", lambda: p.compare("size", "!=", 24) & ~p.equals("brand", "Brand#7"), P + "p_size <> 24 AND p_brand <> 'Brand#7'")
+predicate("f_cmp_text", "Order", lambda: p.compare("priority", ">=", 3), O + "lower(o_orderpriority) >= '3'")
+predicate("f_glob_class", "Part", lambda: p.glob("brand", "brand#[1-3]{,?}"), P + "regexp_full_match(lower(p_brand), 'brand#[1-3].?')")
+
+
+@query(f"SELECT 3*{K}+c_custkey AS node_id FROM customer UNION ALL SELECT 2*{K}+n_nationkey FROM nation")
+def f_type(spark, d):
+    """Types are compared without regard to case, among nodes of several."""
+    return _ids(nodes(spark, d, "Customer", "Supplier", "Nation").where(p.of_type("customer") | p.of_type("NATION")))
+
+
+@query(O + "o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING o_orderdate < min(l_shipdate) - INTERVAL 20 DAY)")
+def f_timediff(spark, d):
+    """Orders placed more than 20 days before their first shipment."""
+    shipped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"))
+    late = shipped.select((F.lit(6 * K) + F.col("l_orderkey")).alias("node_id"), attributes(shipped=("time", F.col("first"))).alias("more"))
+    orders = nodes(spark, d, "Order").join(late, "node_id").withColumn("attrs", F.map_concat("attrs", "more"))
+    return _ids(orders.where(p.time_difference("orderdate", "shipped", "<", days=-20)))
+
+
+@query()
+def f_hash100(spark, d):
+    """About three of ten nodes, by a hash of their ids."""
+    return _ids(nodes(spark, d, "Customer", "Order").where(p.random100("<", 30)))
 
 
 @query(f"SELECT 3*{K}+c_custkey AS node_id FROM customer ORDER BY c_custkey LIMIT 7")
@@ -144,9 +169,10 @@ def edge_exists_in_sub(spark, d):
     return _ids(g.having_edge(nodes(spark, d, "Part"), edges(spark, d, "Contains"), ("Contains",), "in", target))
 
 
-@query(C + "c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(C + "c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 400000)")
 def edge_not_exists(spark, d):
-    return _ids(g.having_edge(nodes(spark, d, "Customer"), edges(spark, d, "Placed"), negate=True))
+    dear = nodes(spark, d, "Order").where(p.compare("totalprice", ">=", 400000))
+    return _ids(g.having_edge(nodes(spark, d, "Customer"), edges(spark, d, "Placed"), target=dear, negate=True))
 
 
 @query(C + "lower(c_mktsegment) = 'building' OR c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
@@ -226,19 +252,6 @@ def result_by_type(spark, d):
     return paths.result_counts(paths.match(gr, _flagship_pattern()), gr.nodes)
 
 
-@query(f"""WITH q AS (SELECT 3*{K}+c_custkey AS a, 6*{K}+o_orderkey AS b, 5*{K}+l_partkey AS c, 4*{K}+ls.l_suppkey AS s, 2*{K}+s_nationkey AS n FROM customer JOIN orders ON o_custkey = c_custkey
-    JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) li ON li.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_suppkey, l_partkey AS lp FROM lineitem) ls ON ls.lp = li.l_partkey
-    JOIN supplier ON s_suppkey = ls.l_suppkey WHERE c_custkey < 5)
-    SELECT a AS src, b AS dst, 'Placed' AS edge_types, count(*) AS flow FROM q GROUP BY 1, 2 UNION ALL SELECT b, c, 'Contains', count(*) FROM q GROUP BY 1, 2
-    UNION ALL SELECT s, c, 'Supplies', count(*) FROM q GROUP BY 1, 2 UNION ALL SELECT s, n, 'InNation', count(*) FROM q GROUP BY 1, 2""")
-def path_mixed_dir_4(spark, d):
-    gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier", "Nation"), ("Placed", "Contains", "Supplies", "InNation"))
-    start = Node(p.of_type("Customer") & p.node_id("<", 3 * K + 5))
-    kind = lambda t: Node(p.of_type(t))
-    pattern = Pattern((start, Edge(("Placed",)), kind("Order"), Edge(("Contains",)), kind("Part"), Edge(("Supplies",), "in"), kind("Supplier"), Edge(("InNation",)), kind("Nation")))
-    return flat(paths.match(gr, pattern).edges)
-
-
 #: The flow of each edge is a product of the ways to it from the start and from it to the end.
 _MIXED_ALL_SQL = f"""WITH po AS (SELECT 3*{K}+c_custkey AS a, 6*{K}+o_orderkey AS b FROM customer JOIN orders ON o_custkey = c_custkey),
     op AS (SELECT DISTINCT 6*{K}+l_orderkey AS b, 5*{K}+l_partkey AS c FROM lineitem), ps AS (SELECT DISTINCT 5*{K}+l_partkey AS c, 4*{K}+l_suppkey AS s FROM lineitem),
@@ -252,20 +265,21 @@ _MIXED_ALL_SQL = f"""WITH po AS (SELECT 3*{K}+c_custkey AS a, 6*{K}+o_orderkey A
 
 
 @query(_MIXED_ALL_SQL)
-def path_mixed_dir_4_all(spark, d):
-    """path_mixed_dir_4 from all customers."""
+def path_mixed_dir_4(spark, d):
+    """Four hops in both directions from all customers. The positions' types differ, so that no walk can repeat a node and
+    walks may be counted instead of listed."""
     gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier", "Nation"), ("Placed", "Contains", "Supplies", "InNation"))
     kind = lambda t: Node(p.of_type(t))
-    pattern = Pattern((kind("Customer"), Edge(("Placed",)), kind("Order"), Edge(("Contains",)), kind("Part"), Edge(("Supplies",), "in"), kind("Supplier"), Edge(("InNation",)), kind("Nation")))
-    return flat(paths.match(gr, pattern).edges)
+    parts = (kind("Customer"), Edge(("Placed",)), kind("Order"), Edge(("Contains",)), kind("Part"), Edge(("Supplies",), "in"), kind("Supplier"), Edge(("InNation",)), kind("Nation"))
+    return flat(paths.match(gr, Pattern(parts, mode="WALK")).edges)
 
 
-def _nation_graph(spark, d):
-    n = nodes(spark, d, "Nation").withColumn("node_id", F.col("node_id") - 2 * K)
-    return g.PropertyGraph(n, nation_links(spark, d))
+def _ring_graph(spark, d):
+    n = nodes(spark, d, "Customer").withColumn("node_id", F.col("node_id") - 3 * K)
+    return g.PropertyGraph(n, ring_links(spark, d))
 
 
-def _nation_paths(lo: int, hi: int, test: str, seed: str = "src = 0") -> str:
+def _ring_paths(lo: int, hi: int, test: str, seed: str = "src % 25 = 0") -> str:
     """All paths from a seed with lo to hi hops, as lists of pairs, then the flow over each pair."""
     return f"""WITH RECURSIVE links AS ({LINKS}), walk(v, ns, es, h) AS (
         SELECT DISTINCT src, [src], CAST([] AS STRUCT(s BIGINT, d BIGINT)[]), 0 FROM links WHERE {seed}
@@ -273,10 +287,10 @@ def _nation_paths(lo: int, hi: int, test: str, seed: str = "src = 0") -> str:
         e AS (SELECT unnest(es) AS x FROM walk WHERE h >= {lo}) SELECT x.s AS src, x.d AS dst, 'Link' AS edge_types, count(*) AS flow FROM e GROUP BY 1, 2"""
 
 
-def _nation(mode: str, lo: int, hi: int):
+def _ring(mode: str, lo: int, hi: int):
     def run(spark, d):
-        pattern = Pattern((Node(p.node_id("=", 0)), Edge(("Link",), min_hops=lo, max_hops=hi), Node()), mode=mode)
-        return flat(paths.match(_nation_graph(spark, d), pattern).edges)
+        pattern = Pattern((Node(F.col("node_id") % 25 == 0), Edge(("Link",), min_hops=lo, max_hops=hi), Node()), mode=mode)
+        return flat(paths.match(_ring_graph(spark, d), pattern).edges)
 
     return run
 
@@ -287,27 +301,27 @@ for _name, _mode, _test in (
     ("acyclic_paths", "ACYCLIC", "NOT list_contains(ns, l.dst)"),
     ("simple_paths", "SIMPLE", "NOT list_contains(ns, l.dst)"),
 ):
-    _f = _nation(_mode, 1, 7)
+    _f = _ring(_mode, 1, 7)
     _f.__name__ = _name
-    query(_nation_paths(1, 7, _test))(_f)
-_f = _nation("ACYCLIC", 0, 3)
+    query(_ring_paths(1, 7, _test))(_f)
+_f = _ring("ACYCLIC", 0, 3)
 _f.__name__ = "path_zero_hop"
-query(_nation_paths(0, 3, "NOT list_contains(ns, l.dst)"))(_f)
-_f = _nation("ACYCLIC", 2, 3)
+query(_ring_paths(0, 3, "NOT list_contains(ns, l.dst)"))(_f)
+_f = _ring("ACYCLIC", 2, 3)
 _f.__name__ = "path_repeat"
-query(_nation_paths(2, 3, "NOT list_contains(ns, l.dst)"))(_f)
+query(_ring_paths(2, 3, "NOT list_contains(ns, l.dst)"))(_f)
 
 
 @query()
 def acyclic_level(spark, d):
-    pattern = Pattern((Node(p.node_id("=", 0)), Edge(("Link",), max_hops=4), Node()), dedup="level")
-    return flat(paths.match(_nation_graph(spark, d), pattern).edges)
+    pattern = Pattern((Node(F.col("node_id") % 25 == 0), Edge(("Link",), max_hops=4), Node()), dedup="level")
+    return flat(paths.match(_ring_graph(spark, d), pattern).edges)
 
 
-@query(f"WITH RECURSIVE links AS ({LINKS}) SELECT a.src AS src, a.dst AS dst, 'Link' AS edge_types, count(*) AS flow FROM (SELECT x.src, x.dst FROM links x JOIN links y ON x.dst = y.src WHERE x.src = 0 AND y.dst <> x.src AND x.dst <> y.dst AND x.dst < 5 UNION ALL SELECT y.src, y.dst FROM links x JOIN links y ON x.dst = y.src WHERE x.src = 0 AND y.dst <> x.src AND x.dst <> y.dst AND x.dst < 5) a GROUP BY 1, 2")
+@query(f"WITH RECURSIVE links AS ({LINKS}) SELECT a.src AS src, a.dst AS dst, 'Link' AS edge_types, count(*) AS flow FROM (SELECT x.src, x.dst FROM links x JOIN links y ON x.dst = y.src WHERE x.src % 25 = 0 AND y.dst <> x.src AND x.dst <> y.dst AND x.dst % 25 < 5 UNION ALL SELECT y.src, y.dst FROM links x JOIN links y ON x.dst = y.src WHERE x.src % 25 = 0 AND y.dst <> x.src AND x.dst <> y.dst AND x.dst % 25 < 5) a GROUP BY 1, 2")
 def path_node_requirement(spark, d):
-    pattern = Pattern((Node(p.node_id("=", 0)), Edge(("Link",), min_hops=2, max_hops=2, through=p.node_id("<", 5)), Node()))
-    return flat(paths.match(_nation_graph(spark, d), pattern).edges)
+    pattern = Pattern((Node(F.col("node_id") % 25 == 0), Edge(("Link",), min_hops=2, max_hops=2, through=F.col("node_id") % 25 < 5), Node()))
+    return flat(paths.match(_ring_graph(spark, d), pattern).edges)
 
 
 def _step_edges(gr, edge: Edge, a: Node, b: Node) -> DataFrame:
@@ -336,21 +350,14 @@ def prob_exact(spark, d):
 
 
 @query(f"SELECT src, dst FROM ({EDGE_SQL['Supplies']}) WHERE prob < 100")
-def prob_conditional(spark, d):
+def prob_below(spark, d):
     gr = graph(spark, d, ("Supplier", "Part"), ("Supplies",))
     return _step_edges(gr, Edge(("Supplies",), probability=("<", 100)), Node(p.of_type("Supplier")), Node(p.of_type("Part")))
 
 
-@query(f"WITH q AS (SELECT a.src AS a, a.dst AS b, s.src AS s, c.dst AS c FROM ({EDGE_SQL['Placed']}) a JOIN ({EDGE_SQL['Contains']}) c ON a.dst = c.src JOIN ({EDGE_SQL['Supplies']}) s ON s.dst = c.dst WHERE a.src < 3*{K}+20 AND a.prob / 100.0 * (s.prob / 100.0) >= 0.5) SELECT a AS src, b AS dst, 'Placed' AS edge_types, count(*) AS flow FROM q GROUP BY 1, 2 UNION ALL SELECT b, c, 'Contains', count(*) FROM q GROUP BY 1, 2 UNION ALL SELECT s, c, 'Supplies', count(*) FROM q GROUP BY 1, 2")
-def prob_accumulated(spark, d):
-    gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier"), ("Placed", "Contains", "Supplies"))
-    pattern = Pattern((Node(p.of_type("Customer") & p.node_id("<", 3 * K + 20)), Edge(("Placed",)), Node(p.of_type("Order")), Edge(("Contains",)), Node(), Edge(("Supplies",), "in"), Node()), min_accumulated=0.5)
-    return flat(paths.match(gr, pattern).edges)
-
-
 @query(f"WITH q AS (SELECT a.src AS a, a.dst AS b, s.src AS s, c.dst AS c FROM ({EDGE_SQL['Placed']}) a JOIN ({EDGE_SQL['Contains']}) c ON a.dst = c.src JOIN ({EDGE_SQL['Supplies']}) s ON s.dst = c.dst WHERE a.prob / 100.0 * (s.prob / 100.0) >= 0.5) SELECT a AS src, b AS dst, 'Placed' AS edge_types, count(*) AS flow FROM q GROUP BY 1, 2 UNION ALL SELECT b, c, 'Contains', count(*) FROM q GROUP BY 1, 2 UNION ALL SELECT s, c, 'Supplies', count(*) FROM q GROUP BY 1, 2")
-def prob_accumulated_all(spark, d):
-    """prob_accumulated from all customers."""
+def prob_accumulated(spark, d):
+    """Paths of a least accumulated probability from all customers."""
     gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier"), ("Placed", "Contains", "Supplies"))
     pattern = Pattern((Node(p.of_type("Customer")), Edge(("Placed",)), Node(p.of_type("Order")), Edge(("Contains",)), Node(), Edge(("Supplies",), "in"), Node()), min_accumulated=0.5)
     return flat(paths.match(gr, pattern).edges)
@@ -391,24 +398,24 @@ def transpose(spark, d):
 
 @query(f"WITH links AS ({LINKS}) SELECT src AS node_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS next FROM links GROUP BY src")
 def adjacency(spark, d):
-    gr = _nation_graph(spark, d)
+    gr = _ring_graph(spark, d)
     return g.adjacency(gr.nodes, gr.edges).select("node_id", F.array_join(F.transform("next", lambda x: x.cast("string")), ",").alias("next"))
 
 
 @query(f"WITH links AS ({LINKS}), b AS (SELECT src AS x, dst AS y FROM links UNION SELECT dst, src FROM links), k AS (SELECT x FROM b GROUP BY x HAVING count(*) > 1) SELECT src, dst FROM links WHERE src IN (SELECT x FROM k) AND dst IN (SELECT x FROM k)")
 def coarsen_leaves(spark, d):
-    return g.without_leaves(nation_links(spark, d)).select("src", "dst")
+    return g.without_leaves(ring_links(spark, d)).select("src", "dst")
 
 
 @query(CLOSURE + " SELECT src, dst, hops FROM near")
 def apsp_hops(spark, d):
-    gr = _nation_graph(spark, d)
+    gr = _ring_graph(spark, d)
     return algo.hop_distances(gr.edges, gr.nodes)
 
 
-@query(CLOSURE + " SELECT src AS seed, dst AS node_id, hops FROM near WHERE src = 2 AND hops <= 3")
+@query(CLOSURE + " SELECT src AS seed, dst AS node_id, hops FROM near WHERE src % 25 = 2 AND hops <= 3")
 def reach(spark, d):
-    return algo.reach(nation_links(spark, d), _nation_graph(spark, d).nodes.where("node_id = 2"), 3)
+    return algo.reach(ring_links(spark, d), _ring_graph(spark, d).nodes.where("node_id % 25 = 2"), 3)
 
 
 _SCC = CLOSURE + ", scc AS (SELECT a.src AS node_id, min(a.dst) AS scc FROM near a JOIN near b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
@@ -416,7 +423,7 @@ _SCC = CLOSURE + ", scc AS (SELECT a.src AS node_id, min(a.dst) AS scc FROM near
 
 @query(_SCC + " SELECT node_id, scc FROM scc")
 def scc(spark, d):
-    return algo.strongly_connected(nation_links(spark, d))
+    return algo.strongly_connected(ring_links(spark, d))
 
 
 _DAG = _SCC + ", dag AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM links JOIN scc a ON links.src = a.node_id JOIN scc b ON links.dst = b.node_id WHERE a.scc <> b.scc)"
@@ -424,13 +431,13 @@ _DAG = _SCC + ", dag AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM links J
 
 @query(_DAG + " SELECT src, dst FROM dag")
 def scc_dag(spark, d):
-    e = nation_links(spark, d)
+    e = ring_links(spark, d)
     return algo.condensation(e, algo.strongly_connected(e))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS node_id, CAST(n_nationkey AS INTEGER) AS level FROM nation WHERE n_nationkey < 5")
+@query("SELECT c_custkey AS node_id, CAST(c_custkey % 25 AS INTEGER) AS level FROM customer WHERE c_custkey % 25 < 5")
 def topo_level(spark, d):
-    e = nation_links(spark, d)
+    e = ring_links(spark, d)
     s = algo.strongly_connected(e)
     dag = algo.condensation(e, s)
     return algo.topological_levels(dag, s.select(F.col("scc").alias("node_id")).distinct())
@@ -438,14 +445,27 @@ def topo_level(spark, d):
 
 @query(_DAG + " SELECT s.node_id, CAST(o.n + coalesce((SELECT sum(o2.n) FROM dag JOIN (SELECT scc, count(*) AS n FROM scc GROUP BY scc) o2 ON dag.dst = o2.scc WHERE dag.src = s.scc), 0) * (1 + o.n) AS BIGINT) AS power FROM scc s JOIN (SELECT scc, count(*) AS n FROM scc GROUP BY scc) o ON s.scc = o.scc")
 def value_direct(spark, d):
-    n = _nation_graph(spark, d).nodes
-    return algo.propagate_value(nation_links(spark, d), n.select("node_id", F.lit(1).cast("bigint").alias("value")))
+    n = _ring_graph(spark, d).nodes
+    return algo.propagate_value(ring_links(spark, d), n.select("node_id", F.lit(1).cast("bigint").alias("value")))
 
 
 @query(CLOSURE + " SELECT src AS node_id, count(*) AS power FROM near GROUP BY src")
 def value_transitive(spark, d):
-    n = _nation_graph(spark, d).nodes
-    return algo.propagate_value(nation_links(spark, d), n.select("node_id", F.lit(1).cast("bigint").alias("value")), "transitive")
+    n = _ring_graph(spark, d).nodes
+    return algo.propagate_value(ring_links(spark, d), n.select("node_id", F.lit(1).cast("bigint").alias("value")), "transitive")
+
+
+@query()
+def scc_bought(spark, d):
+    """Components of a graph without a pattern, which grows with the tables."""
+    return algo.strongly_connected(bought_links(spark, d))
+
+
+@query()
+def walk_bought(spark, d):
+    """Walks of two and three steps from all customers over what they bought and who returned it."""
+    gr = g.PropertyGraph(nodes(spark, d, "Customer", "Part"), bought_links(spark, d))
+    return flat(paths.match(gr, Pattern((Node(p.of_type("Customer")), Edge(("Bought",), min_hops=2, max_hops=3), Node()), mode="WALK")).edges)
 
 
 @query(f"WITH c AS (SELECT 3*{K}+c_custkey AS node_id, 2*{K}+c_nationkey AS nat FROM customer UNION ALL SELECT 4*{K}+s_suppkey, 2*{K}+s_nationkey FROM supplier UNION ALL SELECT 2*{K}+n_nationkey, 2*{K}+n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) SELECT node_id, min(nat) OVER (PARTITION BY nat) AS component FROM c")
@@ -453,19 +473,14 @@ def components(spark, d):
     return algo.components(edges(spark, d, "InNation"))
 
 
-@query(f"SELECT node_id, round(count(*), 0) AS n FROM (SELECT src AS node_id FROM ({_CE}) UNION ALL SELECT dst FROM ({_CE})) GROUP BY node_id HAVING count(*) > 100")
+@query(f"SELECT node_id, count(*) AS n FROM (SELECT src AS node_id FROM ({_CE}) UNION ALL SELECT dst FROM ({_CE})) GROUP BY node_id HAVING count(*) > 14")
 def hubs(spark, d):
-    e = edges(spark, d, "Placed", "InNation")
-    both = e.select(F.col("src").alias("node_id")).union(e.select("dst"))
-    return both.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 100").select("node_id", F.col("n").cast("double").alias("n"))
-
-
-ORACLE_SQL["hubs"] = ORACLE_SQL["hubs"].replace("round(count(*), 0)", "CAST(count(*) AS DOUBLE)")
+    return g.hubs(edges(spark, d, "Placed", "InNation"), 14)
 
 
 @query()
 def communities(spark, d):
-    return algo.label_communities(nation_links(spark, d))
+    return algo.label_communities(ring_links(spark, d))
 
 
 # ---- entity resolution and lookups ----
@@ -473,8 +488,6 @@ def _overlapping(spark, d) -> DataFrame:
     """Customers, and suppliers named as customers of the same number: two sources that share a merge key."""
     c = nodes(spark, d, "Customer")
     key = F.concat(F.lit("Customer#"), F.substring(F.col("attrs")["name"][0]["s"], 10, 20))
-    from .functions.values import attributes
-
     s = nodes(spark, d, "Supplier").select("node_id", F.lit(None).cast("string").alias("type"), attributes(name=("string", F.lower(key)), acctbal=("float", F.col("attrs")["acctbal"][0]["f"])).alias("attrs"), "parent_id", "tags")
     return c.unionByName(s)
 
@@ -508,15 +521,8 @@ def upsert_missing(spark, d):
     return merge.missing_keys(nodes(spark, d, "Nation"), wanted, "name")
 
 
-@query(f"SELECT c_name AS key, 3*{K}+c_custkey AS node_id FROM customer WHERE c_custkey < 50")
-def find_one(spark, d):
-    wanted = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_name").alias("key"))
-    return g.find_one(nodes(spark, d, "Customer"), wanted, "name")
-
-
 @query(f"SELECT c_name AS key, 3*{K}+c_custkey AS node_id FROM customer")
-def find_one_all(spark, d):
-    """find_one for all names."""
+def find_one(spark, d):
     return g.find_one(nodes(spark, d, "Customer"), table(spark, d, "customer").select(F.col("c_name").alias("key")), "name")
 
 
@@ -559,8 +565,7 @@ def collision_pairs(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, (n, event_type)) AS top FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id")
 def top_user(spark, d):
-    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("top"))
+    return g.top_value(table(spark, d, "events"), "user_id", "event_type")
 
 
 @query("SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(x, '[^\\w]+')) AS word FROM (SELECT p_name AS x FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part)) WHERE word <> ''")

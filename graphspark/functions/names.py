@@ -63,3 +63,45 @@ def dotted_guid(hexed: Column) -> Column:
     """32 hex digits of a GUID's bytes in the usual form: the first three groups are little-endian."""
     pair = lambda k: hexed.substr(2 * k + 1, 2)
     return F.lower(F.concat(*[pair(k) for k in (3, 2, 1, 0)], F.lit("-"), pair(5), pair(4), F.lit("-"), pair(7), pair(6), F.lit("-"), hexed.substr(17, 4), F.lit("-"), hexed.substr(21, 12)))
+
+
+#: Attributes that identify a node, in their order: fixed values.
+PRIMARY_ORDER = ("distinguishedname", "objectguid", "objectsid")
+
+
+def primary_id(order: tuple[str, ...] = PRIMARY_ORDER) -> Column:
+    """struct(attr, value) of the first attribute of the order that the node has; null without any."""
+    return F.coalesce(*[F.when(F.size(F.col("attrs")[a]) > 0, F.struct(F.lit(a).alias("attr"), F.col("attrs")[a][0]["s"].alias("value"))) for a in order])
+
+
+def meta_attributes() -> Column:
+    """Attributes whose name begins with _, as a map to their first texts."""
+    return F.transform_values(F.map_filter("attrs", lambda k, _: k.startswith("_")), lambda _, v: v[0]["s"])
+
+
+_UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S}\x20]"
+
+
+def is_printable(text: Column) -> Column:
+    """Letters, marks, numbers, punctuation, symbols and the space alone; true of the empty text."""
+    return ~text.rlike(_UNPRINTABLE)
+
+
+def hexified(text: Column) -> Column:
+    """Characters that do not print as \\x and their code point in hexadecimal digits."""
+    shown = lambda c: F.when(c.rlike(_UNPRINTABLE), F.concat(F.lit("\\x"), F.lower(F.hex(_code_point(c))))).otherwise(c)
+    return F.array_join(F.transform(F.split(text, ""), shown), "")
+
+
+def _code_point(c: Column) -> Column:
+    return F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint")
+
+
+#: Spans in seconds that a period is told in, the longest first: fixed values.
+SPANS = (("years", 31536000), ("months", 2592000), ("weeks", 604800), ("days", 86400), ("hours", 3600))
+
+
+def pki_period(ticks: Column) -> Column:
+    """A period of 100 ns ticks in the longest span of which it is a multiple, and more than one; null where there is none."""
+    seconds = F.floor(ticks / 10_000_000)
+    return F.coalesce(*[F.when((seconds % n == 0) & (seconds / n > 1), F.concat_ws(" ", (seconds / n).cast("bigint"), F.lit(name))) for name, n in SPANS])

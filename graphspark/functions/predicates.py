@@ -45,7 +45,8 @@ def present(attr: str) -> Column:
 
 
 def glob(attr: str | None, pattern: str, exact: bool = False) -> Column:
-    """Full match of * (any run) and ? (one character); simple forms become startswith, endswith and contains."""
+    """Full match of * (any run), ? (one character), [ab], [a-z] and [!a] (one of, none of) and {one,two} (either, which may
+    hold the others); simple forms become startswith, endswith and contains. A bracket that is not closed stands for itself."""
     want = pattern if exact else pattern.lower()
     fold = (lambda v: v["s"]) if exact else (lambda v: F.lower(v["s"]))
     inner = want.strip("*")
@@ -58,8 +59,35 @@ def glob(attr: str | None, pattern: str, exact: bool = False) -> Column:
         if lead:
             return _lift(attr, lambda v: fold(v).endswith(inner))
         return _lift(attr, lambda v: fold(v) == inner)
-    regex = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in want)
-    return _lift(attr, lambda v: fold(v).rlike(f"(?s)^{regex}$"))
+    return _lift(attr, lambda v: fold(v).rlike(f"(?s)^{glob_regex(want)}$"))
+
+
+def glob_regex(pattern: str) -> str:
+    """The pattern as a regular expression without anchors."""
+    out, open_braces, i = [], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        close = pattern.find("]", i + 2) if c == "[" else pattern.find("}", i) if c == "{" else -1
+        if c in "*?":
+            out.append(".*" if c == "*" else ".")
+        elif c == "[" and close > 0:
+            inner = pattern[i + 1 : close]
+            none = inner[0] in "!^"
+            inside = re.sub(r"([\\^&\[])", r"\\\1", inner[none:])
+            out.append(f"[{'^' if none else ''}{inside}]")
+            i = close
+        elif c == "{" and close > 0:
+            open_braces += 1
+            out.append("(?:")
+        elif open_braces and c == ",":
+            out.append("|")
+        elif open_braces and c == "}":
+            open_braces -= 1
+            out.append(")")
+        else:
+            out.append(re.escape(c))
+        i += 1
+    return "".join(out)
 
 
 def regex(attr: str | None, pattern: str) -> Column:

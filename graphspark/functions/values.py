@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VALUE = "struct<k:string,s:string,i:bigint,f:double,t:timestamp,b:boolean>"
@@ -35,3 +35,9 @@ def sorted_union(values: Column) -> Column:
     """Attribute union on merge: distinct by lower-cased text, ordered by it; of equal ones the smallest spelling stays."""
     texts = F.array_sort(F.array_distinct(F.transform(values, lambda v: F.lower(v["s"]))))
     return F.transform(texts, lambda low: F.array_min(F.filter(values, lambda v: F.lower(v["s"]) == low)))
+
+
+def with_attribute(nodes: DataFrame, name: str, text: Column) -> DataFrame:
+    """nodes with a text attribute set where the Column is not null; what it was before goes there."""
+    rest = F.map_filter("attrs", lambda k, _: k != name)
+    return nodes.withColumn("attrs", F.when(text.isNotNull(), F.map_concat(rest, attributes(**{name: ("string", text)}))).otherwise(F.col("attrs")))

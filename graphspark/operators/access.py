@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +11,14 @@ DESCRIPTOR = f"struct<control:int,owner:string,grp:string,dacl:array<{ACE}>>"
 
 # Fixed values of the access-control format.
 ALLOWED, DENIED, ALLOWED_OBJECT, DENIED_OBJECT = 0, 1, 5, 6
+DACL_PROTECTED = 0x1000
 INHERIT_ONLY, INHERITED = 0x08, 0x10
+SELF = "S-1-5-10"  # an object's own id, which always has its rights
 NO_GUID = "00000000-0000-0000-0000-000000000000"
 MASKS = {
     "GENERIC_ALL": 0x000F01FF, "GENERIC_WRITE": 0x00020028, "WRITE_OWNER": 0x00080000, "WRITE_DACL": 0x00040000,
     "DS_CONTROL_ACCESS": 0x00000100, "DS_WRITE_PROPERTY": 0x00000020, "DS_READ_PROPERTY": 0x00000010, "DS_WRITE_PROPERTY_EXTENDED": 0x00000008,
+    "DS_VOODOO_BIT": 0x00001000,
 }
 #: (edge, node types or none for all, mask, GUID of the right or attribute or none): fixed values.
 RIGHTS = [
@@ -33,11 +34,20 @@ RIGHTS = [
     ("WriteValidatedSPN", ("User",), "DS_WRITE_PROPERTY_EXTENDED", "f3a64788-5306-11d1-a9c5-0000f80367c1"),
     ("WriteAllowedToAct", ("User", "Computer"), "DS_WRITE_PROPERTY", "3f78c3e5-f79a-46bd-a0b8-9d18116ddc79"),
     ("AddMember", ("Group",), "DS_WRITE_PROPERTY", "bf9679c0-0de6-11d0-a285-00aa003049e2"),
+    ("AddMemberGroupAttr", ("Group",), "DS_WRITE_PROPERTY", "bc0ac240-79a9-11d0-9020-00c04fc2d4cf"),
     ("AddSelfMember", ("Group",), "DS_WRITE_PROPERTY_EXTENDED", "bf9679c0-0de6-11d0-a285-00aa003049e2"),
     ("WriteKeyCredentialLink", ("User", "Computer"), "DS_WRITE_PROPERTY", "5b47d60f-6090-40b2-9f37-2a4de88f3063"),
     ("WriteUserAccountControl", ("User",), "DS_WRITE_PROPERTY", "bf967a68-0de6-11d0-a285-00aa003049e2"),
+    ("WriteAltSecIdent", ("User",), "DS_WRITE_PROPERTY", "00fbf30c-91fe-11d1-aebc-0000f80367c1"),
+    ("WriteProfilePath", ("User",), "DS_WRITE_PROPERTY", "bf967a05-0de6-11d0-a285-00aa003049e2"),
+    ("WriteScriptPath", ("User",), "DS_WRITE_PROPERTY", "bf9679a8-0de6-11d0-a285-00aa003049e2"),
+    ("WriteAttrSecurityGUID", ("AttributeSchema",), "DS_WRITE_PROPERTY", "bf967924-0de6-11d0-a285-00aa003049e2"),
+    ("ReadPasswordId", ("GroupManagedServiceAccount",), "DS_READ_PROPERTY", "0e78295a-c6d3-0a40-b491-d62251ffa0a6"),
     ("CertificateEnroll", ("CertificateTemplate",), "DS_CONTROL_ACCESS", "0e10c968-78fb-11d2-90d4-00c04f79dc55"),
+    ("CertificateEnroll", ("CertificateTemplate",), "DS_VOODOO_BIT", None),
     ("CertificateAutoEnroll", ("CertificateTemplate",), "DS_CONTROL_ACCESS", "a05b8cc2-17bc-4802-a710-e7c15ab866a2"),
+    ("CertificateAutoEnroll", ("CertificateTemplate",), "DS_VOODOO_BIT", None),
+    ("VoodooBit", (), "DS_VOODOO_BIT", None),
     ("DSReplicationGetChanges", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6aa-9c07-11d1-f79f-00c04fc2dcd2"),
     ("DSReplicationGetChangesAll", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2"),
     ("DSReplicationGetChangesInFilteredSet", ("DomainDNS",), "DS_CONTROL_ACCESS", "89e95b76-444d-4c62-991a-0facbeda640c"),
@@ -45,11 +55,11 @@ RIGHTS = [
 ]
 
 
-def ace_matches(ace: Column, mask: int, guid: str | None, class_guids: Column | None = None, property_set: str | None = None) -> Column:
-    """All bits of the mask, not inherit-only; the entry's object type is absent, the GUID, or the property set of that
-    attribute; its inherited object type is absent or among the node's class GUIDs. Without a guid only entries without an object type match."""
+def ace_matches(ace: Column, mask: int, guid: str | None, class_guids: Column | None = None, property_sets: tuple[str, ...] = ()) -> Column:
+    """All bits of the mask, not inherit-only; the entry's object type is absent, the GUID, or a property set that the
+    attribute is in; its inherited object type is absent or among the node's class GUIDs. Without a guid only entries without an object type match."""
     none = lambda c: c.isNull() | (c == NO_GUID)
-    wanted = [g.lower() for g in (guid, property_set) if g]
+    wanted = [g.lower() for g in (guid, *property_sets) if g]
     object_fits = none(ace["object_type"]) | (F.lower(ace["object_type"]).isin(*wanted) if wanted else F.lit(False))
     classes = F.transform(class_guids, F.lower) if class_guids is not None else F.array().cast("array<string>")
     class_fits = none(ace["inherited_object_type"]) | F.array_contains(classes, F.lower(ace["inherited_object_type"]))
@@ -57,41 +67,62 @@ def ace_matches(ace: Column, mask: int, guid: str | None, class_guids: Column |
     return F.coalesce(live & (ace["mask"].bitwiseAND(F.lit(mask)) == mask) & object_fits & class_fits, F.lit(False))
 
 
-def allowed_sids(dacl: Column, mask: int, guid: str | None = None, class_guids: Column | None = None, property_set: str | None = None) -> Column:
+def allowed_sids(dacl: Column, mask: int, guid: str | None = None, class_guids: Column | None = None, property_sets: tuple[str, ...] = ()) -> Column:
     """Distinct security ids that an entry allows the access and no earlier entry for the same id denies it."""
-    fits = lambda a: ace_matches(a, mask, guid, class_guids, property_set)
+    fits = lambda a: ace_matches(a, mask, guid, class_guids, property_sets)
     allow = F.filter(dacl, lambda a: a["type"].isin(ALLOWED, ALLOWED_OBJECT) & fits(a))
     open_ones = F.filter(allow, lambda a: ~F.exists(dacl, lambda d: d["type"].isin(DENIED, DENIED_OBJECT) & (d["sid"] == a["sid"]) & (d["ord"] < a["ord"]) & fits(d)))
     return F.coalesce(F.array_distinct(F.transform(open_ones, lambda a: a["sid"])), F.array().cast("array<string>"))
 
 
-@dataclass(frozen=True)
-class Right:
-    edge: str
-    types: tuple[str, ...]
-    mask: str
-    guid: str | None
-
-
 def _named(edge: str, sids: Column) -> Column:
     return F.transform(sids, lambda s: F.struct(F.lit(edge).alias("edge_type"), s.alias("sid")))
 
 
-def access_edges(objects: DataFrame, principals: DataFrame, rights=RIGHTS) -> DataFrame:
+def property_sets_of(schema: DataFrame, guids: list[str]) -> dict[str, tuple[str, ...]]:
+    """schema (guid, set_guid) of attributes -> the sets of each of a few guids."""
+    low = schema.select(F.lower("guid").alias("guid"), F.lower("set_guid").alias("set_guid")).where("set_guid is not null")
+    rows = low.where(F.col("guid").isin(*guids)).groupBy("guid").agg(F.array_sort(F.collect_set("set_guid")).alias("sets")).collect()
+    return {r["guid"]: tuple(r["sets"]) for r in rows}
+
+
+def access_edges(objects: DataFrame, principals: DataFrame, rights=RIGHTS, schema: DataFrame | None = None) -> DataFrame:
     """objects (node_id, type, descriptor, class_guids), principals (node_id, sid) -> edges (src, dst, edge_type, prob).
 
-    All rights are evaluated in one pass over the objects; security ids are then resolved by one join. An edge of a
-    principal to itself is not made."""
+    schema: (guid, set_guid) of attributes; an entry for an attribute's set grants the attribute too. All rights are
+    evaluated in one pass over the objects; security ids are then resolved by one join. An edge of a principal to itself,
+    and one between nodes of one security id, is not made."""
+    sets = property_sets_of(schema, sorted({g.lower() for *_, g in rights if g})) if schema is not None else {}
     tests = []
     for edge, types, mask, guid in rights:
         of_type = F.col("type").isin(*types) if types else F.lit(True)
-        sids = allowed_sids(F.col("descriptor.dacl"), MASKS[mask], guid, F.col("class_guids"))
+        sids = allowed_sids(F.col("descriptor.dacl"), MASKS[mask], guid, F.col("class_guids"), sets.get((guid or "").lower(), ()))
         tests.append(_named(edge, F.when(of_type, sids).otherwise(F.array().cast("array<string>"))))
-    owner = F.when(F.col("descriptor.owner").isNotNull(), F.array(F.struct(F.lit("Owns").alias("edge_type"), F.col("descriptor.owner").alias("sid")))).otherwise(F.array().cast("array<struct<edge_type:string,sid:string>>"))
-    denies = F.transform(F.filter("descriptor.dacl", lambda a: a["type"].isin(DENIED, DENIED_OBJECT)), lambda a: F.struct(F.lit("ACLContainsDeny").alias("edge_type"), a["sid"].alias("sid")))
-    found = objects.select(F.col("node_id").alias("dst"), F.explode(F.array_distinct(F.concat(owner, F.coalesce(denies, owner), *tests))).alias("x")).select("dst", "x.*")
-    resolved = found.join(principals.select(F.col("node_id").alias("src"), "sid"), "sid")
-    return resolved.where("src <> dst").select("src", "dst", "edge_type", F.lit(100).alias("prob")).distinct()
+    nobody = F.array().cast("array<struct<edge_type:string,sid:string>>")
+    owned = F.array(F.struct(F.lit("Owns").alias("edge_type"), F.col("descriptor.owner").alias("sid")))
+    owner = F.when(F.col("descriptor.owner").isNotNull(), owned).otherwise(nobody)
+    denied = F.filter("descriptor.dacl", lambda a: a["type"].isin(DENIED, DENIED_OBJECT))
+    denies = F.transform(denied, lambda a: F.struct(F.lit("ACLContainsDeny").alias("edge_type"), a["sid"].alias("sid")))
+    all_of = F.array_distinct(F.concat(owner, F.coalesce(denies, nobody), *tests))
+    found = objects.select(F.col("node_id").alias("dst"), F.explode(all_of).alias("x")).select("dst", "x.*")
+    return resolved_edges(found, principals)
+
+
+def resolved_edges(found: DataFrame, principals: DataFrame) -> DataFrame:
+    """found (dst, edge_type, sid) -> edges from the principals of these security ids."""
+    known = principals.select("node_id", "sid")
+    joined = found.join(known.withColumnRenamed("node_id", "src"), "sid").join(known.select(F.col("node_id").alias("dst"), F.col("sid").alias("own")), "dst", "left")
+    apart = (F.col("src") != F.col("dst")) & ~F.col("sid").eqNullSafe(F.col("own")) & (F.col("sid") != SELF)
+    return joined.where(apart).select("src", "dst", "edge_type", F.lit(100).alias("prob")).distinct()
+
+
+def descriptor_grants(objects: DataFrame, principals: DataFrame, column: str, edge: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """Edges from whom plain allow entries of a descriptor attribute name: who may act on behalf of others to an account
+    (RBConstrainedDeleg), who may read a managed password (ReadGMSAPassword)."""
+    of_type = objects.where(F.col("type").isin(*types)) if types else objects
+    entry = F.explode(F.filter(F.col(column)["dacl"], lambda a: a["type"] == ALLOWED)).alias("a")
+    found = of_type.select(F.col("node_id").alias("dst"), entry).select("dst", F.lit(edge).alias("edge_type"), "a.sid")
+    return resolved_edges(found, principals)
 
 
 def sync_rights(edges: DataFrame) -> DataFrame:
@@ -101,10 +132,10 @@ def sync_rights(edges: DataFrame) -> DataFrame:
 
 
 def canonical_order(dacl: Column) -> Column:
-    """Explicit denials, explicit grants, inherited denials, inherited grants; in their order within each."""
+    """Explicit denials, explicit grants, inherited denials, inherited grants; in their order within each, numbered anew."""
     rank = lambda a: F.when(a["aceflags"].bitwiseAND(F.lit(INHERITED)) != 0, 2).otherwise(0) + F.when(a["type"].isin(DENIED, DENIED_OBJECT), 0).otherwise(1)
     keyed = F.array_sort(F.transform(dacl, lambda a: F.struct(rank(a).alias("r"), a["ord"].alias("o"), a.alias("a"))), lambda x, y: F.when(x["r"] != y["r"], x["r"] - y["r"]).otherwise(x["o"] - y["o"]))
-    return F.transform(keyed, lambda k: k["a"])
+    return F.transform(keyed, lambda k, i: k["a"].withField("ord", i.cast("int")))
 
 
 def _sid(raw: bytes, at: int) -> tuple[str | None, int]:
@@ -148,10 +179,13 @@ def _descriptor(raw: bytes | None) -> dict | None:
 
 
 def parsed_descriptor(raw: Column) -> Column:
-    """Binary self-relative security descriptors as structs, by an Arrow-batched function; parse distinct ones only."""
+    """Binary self-relative security descriptors as structs with their entries in canonical order, by an Arrow-batched
+    function; null where the bytes are too short. Parse distinct ones only."""
 
     @F.pandas_udf(DESCRIPTOR)
     def parse(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_descriptor(x) or {"control": None, "owner": None, "grp": None, "dacl": None} for x in column], columns=["control", "owner", "grp", "dacl"])
 
-    return parse(raw)
+    found = parse(raw)
+    ordered = F.struct(found["control"].alias("control"), found["owner"].alias("owner"), found["grp"].alias("grp"), canonical_order(found["dacl"]).alias("dacl"))
+    return F.when(found["control"].isNotNull(), ordered)

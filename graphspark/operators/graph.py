@@ -43,10 +43,10 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
-def directed(pairs: DataFrame, direction: str) -> DataFrame:
-    """(u, v, src, dst, sets): what a step from u to v may use. direction: out, in or any."""
-    out = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v"), "src", "dst", "sets")
-    back = pairs.select(F.col("dst").alias("u"), F.col("src").alias("v"), "src", "dst", "sets")
+def directed(pairs: DataFrame, direction: str, carry: tuple[str, ...] = ("sets",)) -> DataFrame:
+    """(u, v, src, dst, carry): what a step from u to v may use. direction: out, in or any."""
+    out = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v"), "src", "dst", *carry)
+    back = pairs.select(F.col("dst").alias("u"), F.col("src").alias("v"), "src", "dst", *carry)
     return {"out": lambda: out, "in": lambda: back, "any": lambda: back.union(out)}[direction]()
 
 
@@ -118,11 +118,59 @@ def find_one(nodes: DataFrame, wanted: DataFrame, attr: str) -> DataFrame:
     return wanted.withColumn("low", F.lower("key")).join(single, "low").drop("low")
 
 
+def find_two(nodes: DataFrame, wanted: DataFrame, attr: str, other: str) -> DataFrame:
+    """wanted (key, other_key) joined with the node that has both texts (ignoring case); pairs with several nodes find none."""
+    texts = lambda a: F.array_distinct(F.transform(F.col("attrs")[a.lower()], lambda v: F.lower(v["s"])))
+    index = nodes.select("node_id", F.explode(texts(attr)).alias("low"), texts(other).alias("seconds")).select("node_id", "low", F.explode("seconds").alias("low2"))
+    single = index.groupBy("low", "low2").agg(F.min("node_id").alias("node_id"), F.count_distinct("node_id").alias("n")).where("n = 1").drop("n")
+    return wanted.withColumn("low", F.lower("key")).withColumn("low2", F.lower("other_key")).join(single, ["low", "low2"]).drop("low", "low2")
+
+
+def without_same_id(edges: DataFrame, nodes: DataFrame, attr: str = "objectsid", self_id: str = "S-1-5-10") -> DataFrame:
+    """Edges but for those between nodes of one security id, from SELF, and loops: what is stored unless it is forced."""
+    ids = nodes.select("node_id", F.lower(F.col("attrs")[attr][0]["s"]).alias("sid"))
+    both = edges.join(ids.toDF("src", "sid_a"), "src", "left").join(ids.toDF("dst", "sid_b"), "dst", "left")
+    same = F.coalesce(F.col("sid_a") == F.col("sid_b"), F.lit(False)) | F.coalesce(F.col("sid_a") == self_id.lower(), F.lit(False))
+    return both.where((F.col("src") != F.col("dst")) & ~same).select(*edges.columns)
+
+
+def locate(nodes: DataFrame, wanted: DataFrame, attrs: tuple[str, ...] = ("distinguishedname", "objectsid", "objectguid", "downlevellogonname", "samaccountname", "name")) -> DataFrame:
+    """wanted (key) with the smallest node of the first attribute, in their order, that has the text (ignoring case)."""
+    index = None
+    for i, a in enumerate(attrs):
+        one = nodes.select("node_id", F.lit(i).alias("rank"), F.explode(F.col("attrs")[a]).alias("v")).select("node_id", "rank", F.lower("v.s").alias("low"))
+        index = one if index is None else index.union(one)
+    best = index.groupBy("low").agg(F.min(F.struct("rank", "node_id")).alias("x")).select("low", "x.node_id")
+    return wanted.withColumn("low", F.lower("key")).join(best, "low").drop("low")
+
+
 def find_all(nodes: DataFrame, wanted: DataFrame, attr: str) -> DataFrame:
     index = nodes.select("node_id", F.explode(F.col("attrs")[attr.lower()]).alias("v")).select("node_id", F.lower("v.s").alias("low")).distinct()
     return wanted.withColumn("low", F.lower("key")).join(index, "low").drop("low")
 
 
+def intersect_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Edges (src, dst, edge_type) of a that b has too."""
+    return a.select("src", "dst", "edge_type").distinct().join(b.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_semi")
+
+
+def without_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Edges (src, dst, edge_type) of a that b does not have."""
+    return a.select("src", "dst", "edge_type").distinct().join(b.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+
+
+def top_value(rows: DataFrame, by: str, what: str) -> DataFrame:
+    """(by, top): the most frequent `what` of each `by`, the last in order of equal ones."""
+    n = rows.groupBy(by, what).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(by).agg(F.max_by(what, F.struct("n", what)).alias("top"))
+
+
+def hubs(edges: DataFrame, more_than: int) -> DataFrame:
+    """(node_id, n) of nodes with more than so many edges, in and out."""
+    both = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    return both.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+
+
 def children(nodes: DataFrame, parent: int) -> DataFrame:
     """(node_id, has_children) below a node."""
     mine = nodes.where(F.col("parent_id") == parent).select("node_id")

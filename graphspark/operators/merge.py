@@ -2,32 +2,88 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import sorted_union
+from ..functions.values import VALUE, sorted_union
 from ..store import cut
 from .algorithms import components
 
 
-def merge_map(nodes: DataFrame, keys: tuple[str, ...], single: tuple[str, ...] = ()) -> DataFrame:
+def _values(attr: str):
+    return F.coalesce(F.col("attrs")[attr], F.array().cast(f"array<{VALUE}>"))
+
+
+def _key_list(keys: tuple[str, ...]):
+    """All values of the key attributes, each under its attribute's name."""
+
+    def of(k: str):
+        return F.transform(_values(k), lambda v: F.concat(F.lit(f"{k}="), F.lower(v["s"])))
+
+    return F.concat(F.array().cast("array<string>"), *[of(k) for k in keys])
+
+
+def merge_map(nodes: DataFrame, keys: tuple[str, ...], single: tuple[str, ...] = (), always: tuple[str, ...] = (), exclusive: tuple[str, ...] = ("machine",), sourced: str | None = None) -> DataFrame:
     """(node_id, into): nodes with an equal value (ignoring case) of a key attribute and no conflict go into the smallest id.
 
-    Two nodes conflict when both have a type and the types differ, or both have different values of an attribute of
-    `single`. Candidates are tied to the smallest node of their key (a star, not all pairs)."""
-    exploded = None
-    for k in keys:
-        one = nodes.select("node_id", "type", "attrs", F.explode(F.col("attrs")[k]).alias("v")).select("node_id", "type", "attrs", F.concat(F.lit(f"{k}="), F.lower("v.s")).alias("key"))
-        exploded = one if exploded is None else exploded.union(one)
-    heads = exploded.groupBy("key").agg(F.min("node_id").alias("head"), F.count_distinct("node_id").alias("n")).where("n > 1").drop("n")
-    head_side = nodes.select(F.col("node_id").alias("head"), F.col("type").alias("head_type"), F.col("attrs").alias("head_attrs"))
-    tied = exploded.join(heads, "key").where("node_id <> head").join(head_side, "head")
-    conflict = F.coalesce(F.lower("type") != F.lower("head_type"), F.lit(False))
-    for s in single:
-        a, b = F.lower(F.col("attrs")[s][0]["s"]), F.lower(F.col("head_attrs")[s][0]["s"])
-        conflict = conflict | F.coalesce(a != b, F.lit(False))
-    links = cut(tied.where(~conflict).select(F.col("node_id").alias("src"), F.col("head").alias("dst")).distinct())
-    return components(links).select("node_id", F.col("component").alias("into"))
+    Two nodes conflict when both have a type and the types differ, when one and only one of them is of an exclusive type, or
+    when both have different values of an attribute of `single`. Nodes with an attribute `sourced` stay apart. Equal values
+    of `always` merge in any case.
+
+    A node's signature is its type and single values. Nodes of a key that agree in a signature without gaps go together; a
+    node with gaps goes to the most complete signature of one of its keys that it fits (the smallest id of equal ones), and
+    among themselves nodes with gaps go together if they agree. What has merged takes part again with all its keys, until
+    nothing merges. So no component holds a conflict, and what fits into some entity is in one."""
+    parts = ["t", *[f"s{i}" for i in range(len(single))]]
+    first = [F.lower("type").alias("t"), *[F.lower(F.col("attrs")[s][0]["s"]).alias(f"s{i}") for i, s in enumerate(single)]]
+    apart = F.size(_values(sourced)) > 0 if sourced else F.lit(False)
+    state = cut(nodes.select("node_id", F.col("node_id").alias("rep"), _key_list(keys).alias("keys"), *first, apart.alias("apart"), _key_list(always).alias("always")), "merge")
+    same = state.select("node_id", F.explode("always").alias("key"))
+    heads = same.groupBy("key").agg(F.min("node_id").alias("dst"), F.count_distinct("node_id").alias("n")).where("n > 1").select("key", "dst")
+    links = same.join(heads, "key").select(F.col("node_id").alias("src"), "dst").where("src <> dst") if always else None
+    while True:
+        if links is None:
+            links = _round(state, parts, exclusive)
+        links = cut(links, "links")
+        if not links.take(1):
+            break
+        to = components(links).toDF("rep", "to")
+        state = cut(state.join(to, "rep", "left").withColumn("rep", F.coalesce("to", "rep")).drop("to"), "merge")
+        links = None
+    return _moved(state)
+
+
+def _moved(state: DataFrame) -> DataFrame:
+    """The nodes of entities of several nodes."""
+    several = state.where("node_id <> rep").select("rep").distinct()
+    return state.join(several, "rep", "left_semi").select("node_id", F.col("rep").alias("into"))
+
+
+def _round(state: DataFrame, parts: list[str], exclusive: tuple[str, ...]) -> DataFrame:
+    """Links (src, dst) between entities that may merge now."""
+    keys = F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")
+    reps = state.groupBy("rep").agg(keys, *[F.max(c).alias(c) for c in parts], F.max("apart").alias("apart")).where(~F.col("apart"))
+    gaps = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in parts])
+    rows = cut(reps.select("rep", F.explode("keys").alias("key"), F.struct(*parts).alias("sig"), gaps.alias("gaps")), "keys")
+    groups = rows.groupBy("key", "sig", "gaps").agg(F.min("rep").alias("head"))
+
+    def together(some: DataFrame) -> DataFrame:
+        head = some.groupBy("key", "sig").agg(F.min("rep").alias("dst"))
+        return some.join(head, ["key", "sig"]).where("rep <> dst").select(F.col("rep").alias("src"), "dst")
+
+    fits = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"sig.{c}") == F.col(f"to.{c}"), F.lit(True)) for c in parts])
+    only = lambda c: F.coalesce(F.col(f"{c}.t").isin(*exclusive), F.lit(False))
+    partial = rows.where("gaps > 0")
+    other = groups.select("key", F.col("sig").alias("to"), F.col("gaps").alias("to_gaps"), "head")
+    asked = partial.join(other, "key").where((F.col("to_gaps") < F.col("gaps")) & fits & (only("sig") == only("to")))
+    target = cut(asked.groupBy("rep", "sig").agg(F.min(F.struct("to_gaps", "head")).alias("x")).select("rep", "sig", "x.*"), "targets")
+    stable = target.join(target.select(F.col("rep").alias("head")), "head", "left_anti")  # an entity that moves itself takes nobody in
+    leading = stable.where("to_gaps > 0").groupBy("head").agg(F.min("sig").alias("lead"))
+    taken = stable.join(leading, "head", "left").where("to_gaps = 0 or sig <=> lead").select(F.col("rep").alias("src"), F.col("head").alias("dst"))
+    left = partial.join(target.select("rep"), "rep", "left_anti")
+    return together(rows.where("gaps = 0")).union(taken).union(together(left)).distinct()
 
 
 def merge_nodes(nodes: DataFrame, mapping: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -70,11 +126,33 @@ def find_or_add(nodes: DataFrame, wanted: DataFrame, attr: str, type_name: str,
     return nodes.select("node_id", "type", "attrs", "parent_id", "tags").unionByName(row)
 
 
+def adjacent_ids(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (sid, context, source, own) -> with node_id: the node that a security id means near another node.
+
+    An id of a domain (S-1-5-21-...) means the node with it, whichever; under a machine's own id (own, with its source) the
+    one of that source. Others mean the node of the same domain context, else of the same source, else any. Of several the
+    smallest; none leaves node_id null, which find_or_add() can add."""
+    low = lambda a, n: F.lower(F.col("attrs")[a][0]["s"]).alias(n)
+    known = nodes.select("node_id", low("objectsid", "low"), low("domaincontext", "at_context"), low("datasource", "at_source")).where("low is not null")
+    rows = asked.withColumn("low", F.lower("sid")).join(known, "low", "left")
+    local = F.col("own").isNotNull() & F.col("low").startswith(F.concat(F.lower("own"), F.lit("-")))
+    in_domain = F.col("low").startswith("s-1-5-21-") & ~F.col("low").startswith("s-1-5-21-0-")
+    near_context, near_source = F.lower("context") == F.col("at_context"), F.lower("source") == F.col("at_source")
+    rank = F.when(local, F.when(near_source, 0)).when(in_domain, 0).when(near_context, 0).when(near_source, 1).otherwise(2)
+    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("node_id").alias("n"))))
+    return rows.groupBy(*asked.columns).agg(best.alias("x")).select(*asked.columns, F.when(F.col("x.n").isNotNull(), F.col("x.n")).alias("node_id"))
+
+
 def unique_values(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("n = 1").drop("n")
 
 
+def collisions(rows: DataFrame, key: str, node: str = "node_id") -> DataFrame:
+    """(key, first, n): keys that several nodes share, in a row each; what to read where a key may be very common."""
+    return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(node).alias("first"), F.count_distinct(node).alias("n")).where("n > 1")
+
+
 def collision_pairs(rows: DataFrame, key: str, node: str = "node_id") -> DataFrame:
-    """(a, b), a < b: nodes that share a key."""
+    """(a, b), a < b: nodes that share a key, all pairs of them; see collisions() for a row a key."""
     x = rows.select(F.col(key).alias("key"), F.col(node).alias("a")).distinct()
     return x.join(x.select("key", F.col("a").alias("b")), "key").where("a < b").select("a", "b").distinct()

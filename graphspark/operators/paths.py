@@ -31,20 +31,36 @@ def node_set(graph: PropertyGraph, node: Node) -> DataFrame:
     return out.select("node_id")
 
 
+def _typed_pairs(edges: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(src, dst, n, edge_types, prob): pairs with an edge of the types, by one plain aggregate a type."""
+    types = sorted(types)
+    best = [F.max(F.when(F.col("edge_type") == t, F.col("prob"))).alias(f"p{i}") for i, t in enumerate(types)]
+    pairs = edges.where(F.col("edge_type").isin(*types) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(*best)
+    probs = [F.col(f"p{i}") for i in range(len(types))]
+    named = F.array_compact(F.array(*[F.when(p.isNotNull(), F.lit(t)) for p, t in zip(probs, types, strict=True)]))
+    largest = probs[0] if len(probs) == 1 else F.greatest(*probs)
+    return pairs.select("src", "dst", F.size(named).alias("n"), named.alias("edge_types"), largest.alias("prob"))
+
+
+def _all_pairs(edges: DataFrame) -> DataFrame:
+    """(src, dst, n, edge_types, prob) of all pairs with an edge."""
+    sets = pairs_of(edges)
+    types = F.array_distinct(F.transform("sets", lambda s: s["edge_type"]))
+    return sets.select("src", "dst", F.size(types).alias("n"), types.alias("edge_types"), F.array_max(F.transform("sets", lambda s: s["prob"])).alias("prob"))
+
+
 def steps(graph: PropertyGraph, edge: Edge) -> DataFrame:
     """(u, v, src, dst, edge_types, p): the steps an edge position allows. Only edges of the listed types are grouped
     into pairs, unless the position asks for their absence."""
-    listed = F.col("edge_type").isin(*edge.types)
-    e = graph.edges.where(listed) if edge.types and not edge.negate else graph.edges
-    pairs = directed(pairs_of(e), edge.direction)
-    if edge.types and edge.negate:
-        hits = F.size(F.filter("sets", lambda s: s["edge_type"].isin(*edge.types)))
-        pairs = pairs.where(hits == 0)
-    elif edge.types:
-        pairs = pairs.where(COMPARE[edge.match[0]](F.size("sets"), F.lit(edge.match[1])))
-    p = F.array_max(F.transform("sets", lambda s: s["prob"]))
-    pairs = pairs.where(COMPARE[edge.probability[0]](p, F.lit(edge.probability[1])))
-    return pairs.select("u", "v", "src", "dst", F.transform("sets", lambda s: s["edge_type"]).alias("edge_types"), (p / 100.0).alias("p"))
+    if edge.types and not edge.negate:
+        pairs = _typed_pairs(graph.edges, edge.types)
+        pairs = pairs.where(COMPARE[edge.match[0]](F.col("n"), F.lit(edge.match[1])))
+    else:
+        pairs = _all_pairs(graph.edges)
+        if edge.types:
+            pairs = pairs.where(~F.arrays_overlap("edge_types", F.array(*[F.lit(t) for t in edge.types])))
+    pairs = pairs.where(COMPARE[edge.probability[0]](F.col("prob"), F.lit(edge.probability[1])))
+    return directed(pairs.withColumn("p", F.col("prob") / 100.0), edge.direction, ("edge_types", "p"))
 
 
 def _among(df: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
@@ -64,6 +80,8 @@ def find_paths(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
     hops = 0
     for seg, edge in enumerate(pattern.edges, 1):
         allowed, target = steps(graph, edge), sets[seg]
+        if edge.max_hops > 1:  # planned once, not for each hop
+            allowed = cut(allowed)
         inner = graph.nodes.where(edge.through).select("node_id") if edge.through is not None else None
         done, frontier = [], at
         if edge.min_hops == 0:
@@ -119,44 +137,55 @@ def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
 
 
 def _walk(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
-    """All walks, without listing them: a forward pass counts the ways to each state (start, position, hop, node), a
-    backward pass those from it to the end; a step's flow is the product."""
+    """All walks, without listing them: a forward pass counts the ways to each state (position, hop, node), a backward pass
+    those from it to the end; a step's flow is the product. Where a walk started is not part of the state, so that states
+    are no more than nodes times hops. Numbers of ways up to 10^19 a side are exact; more raise an error.
+
+    max_depth bounds the hops of a pattern with one edge position; elsewhere it must not be below their sum, and walks have
+    no accumulated probability: both raise an error rather than be ignored."""
+    if pattern.min_accumulated > 0:
+        raise ValueError("walks are counted, not listed, and have no accumulated probability; use TRAIL, ACYCLIC or SIMPLE")
+    if len(pattern.edges) > 1 and sum(e.max_hops for e in pattern.edges) > pattern.max_depth:
+        raise ValueError("the hops of a WALK over several positions may not go beyond max_depth")
     sets = [node_set(graph, n) for n in pattern.nodes]
     number = "decimal(38,0)"
-    at = sets[0].select(F.col("node_id").alias("start"), F.col("node_id").alias("v"), F.lit(1).cast(number).alias("c"))
+    at = sets[0].select(F.col("node_id").alias("v"), F.lit(1).cast(number).alias("c"))
     layers = []  # of each segment: (entry states, transitions of each hop)
     for seg, edge in enumerate(pattern.edges, 1):
+        most = min(edge.max_hops, pattern.max_depth)
         allowed, target = cut(steps(graph, edge)), sets[seg]
         inner = graph.nodes.where(edge.through).select("node_id") if edge.through is not None else None
-        entry, hops, done, frontier = at, [], [], at
+        hops, done, frontier = [], [], at
         if edge.min_hops == 0:
             done.append(_among(at, "v", target))
-        for hop in range(1, edge.max_hops + 1):
+        for hop in range(1, most + 1):
             taken = cut(frontier.withColumnRenamed("v", "u").join(allowed, "u"))
             hops.append(taken)
-            reached = taken.groupBy("start", "v").agg(F.sum("c").cast(number).alias("c"))
+            reached = taken.groupBy("v").agg(F.sum("c").cast(number).alias("c"))
             if hop >= edge.min_hops:
                 done.append(_among(reached, "v", target))
             frontier = reached if inner is None else _among(reached, "v", inner)
-        at = cut(reduce(DataFrame.unionByName, done).groupBy("start", "v").agg(F.sum("c").cast(number).alias("c")))
-        layers.append((entry, hops, edge, target, inner))
-    after = at.select("start", "v", F.lit(1).cast(number).alias("b"))
+        none = at.where("false")
+        at = cut(reduce(DataFrame.unionByName, done, none).groupBy("v").agg(F.sum("c").cast(number).alias("c")))
+        layers.append((hops, edge, target, inner))
+    after = at.select("v", F.lit(1).cast(number).alias("b"))
     flows, marks = [], [after.select(F.col("v").alias("node_id"), F.lit(len(pattern.edges)).alias("seg"))]
     for seg in range(len(layers) - 1, -1, -1):
-        entry, hops, edge, target, inner = layers[seg]
-        onward = after.where("false").select("start", "v", "b")
-        for hop in range(edge.max_hops, 0, -1):
+        hops, edge, target, inner = layers[seg]
+        onward = after.where("false").select("v", "b")
+        for hop in range(len(hops), 0, -1):
             last = _among(after, "v", target) if hop >= edge.min_hops else after.where("false")
             on = onward if inner is None else _among(onward, "v", inner)
-            ways = last.unionByName(on).groupBy("start", "v").agg(F.sum("b").cast(number).alias("b"))
-            good = cut(hops[hop - 1].join(ways, ["start", "v"]))
+            ways = last.unionByName(on).groupBy("v").agg(F.sum("b").cast(number).alias("b"))
+            good = cut(hops[hop - 1].join(ways, "v"))
             flows.append(good.select("src", "dst", "edge_types", (F.col("c").cast("decimal(19,0)") * F.col("b").cast("decimal(19,0)")).cast(number).alias("f")))
             marks.append(good.select(F.col("u").alias("node_id"), F.lit(-1).alias("seg")))
-            onward = good.groupBy("start", F.col("u").alias("v")).agg(F.sum("b").cast(number).alias("b"))
+            onward = good.groupBy(F.col("u").alias("v")).agg(F.sum("b").cast(number).alias("b"))
         zero = _among(after, "v", target) if edge.min_hops == 0 else after.where("false")
-        after = cut(onward.unionByName(zero.select("start", "v", "b")).groupBy("start", "v").agg(F.sum("b").cast(number).alias("b")))
+        after = cut(onward.unionByName(zero.select("v", "b")).groupBy("v").agg(F.sum("b").cast(number).alias("b")))
         marks.append(after.select(F.col("v").alias("node_id"), F.lit(seg).alias("seg")))
-    edges = reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("edge_types")))).alias("edge_types"), F.sum("f").cast("bigint").alias("flow"))
+    types = F.array_sort(F.array_distinct(F.flatten(F.collect_set("edge_types")))).alias("edge_types")
+    edges = reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(types, F.sum("f").cast("bigint").alias("flow"))
     nodes = reduce(DataFrame.unionByName, marks).groupBy("node_id").agg(F.max("seg").alias("seg"))
     return GraphResult(nodes.select("node_id", _labels(pattern).alias("reference")), edges)
 

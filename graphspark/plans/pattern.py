@@ -9,6 +9,27 @@ from pyspark.sql import Column
 MODES = ("WALK", "TRAIL", "ACYCLIC", "SIMPLE")
 
 
+#: Tags of edge types: fixed values. Types without an entry have none.
+EDGE_TAGS = {
+    "Pivot": (
+        "AddMember", "AddMemberGroupAttr", "AddSelfMember", "AdminRights", "AffectedByGPO", "DCOMRights", "DontReqPreauth", "HasSPN", "MachineScript",
+        "Owns", "PartOfGPO", "RDPRights", "ReadGMSAPassword", "ReadLAPSPassword", "ResetPassword", "SIDHistoryEquality", "SchedTaskOnUNCPath",
+        "SessionService", "TakeOwnership", "WriteAllowedToAct", "WriteAllowedToDelegTo", "WriteAltSecIdent", "WriteDACL", "WriteKeyCredentialLink",
+        "WriteProfilePath", "WriteSPN", "WriteScriptPath", "WriteUserAccountControl", "WriteValidatedSPN",
+    ),
+    "Granted": (
+        "AdminRights", "AffectedByGPO", "CertificateAutoEnroll", "CertificateEnroll", "DSReplicationGetChanges", "DSReplicationGetChangesAll",
+        "DSReplicationGetChangesInFilteredSet", "DSReplicationSyncronize", "HasMSA", "MemberOfGroup", "MemberOfGroupIndirect", "PartOfGPO", "ReadLAPSPassword",
+    ),
+    "Informative": ("ACLContainsDeny", "AllExtendedRights", "GenericAll", "WriteAll", "WriteExtendedAll", "WritePropertyAll"),
+}
+
+
+def tagged(tag: str) -> tuple[str, ...]:
+    """The edge types with a tag, for Edge(types=tagged("Pivot")): a step needs one of them at least."""
+    return EDGE_TAGS[tag]
+
+
 @dataclass(frozen=True)
 class Node:
     """Nodes that satisfy `where` (all without it); ordered, skipped and limited before the search starts."""

@@ -26,7 +26,7 @@ NODES = {
     "Nation": ("nation", "n_nationkey", ("Region", "n_regionkey"), {"name": ("string", "n_name")}),
     "Customer": ("customer", "c_custkey", ("Nation", "c_nationkey"), {"name": ("string", "c_name"), "acctbal": ("float", "c_acctbal"), "mktsegment": ("string", "c_mktsegment")}),
     "Supplier": ("supplier", "s_suppkey", ("Nation", "s_nationkey"), {"name": ("string", "s_name"), "acctbal": ("float", "s_acctbal")}),
-    "Part": ("part", "p_partkey", None, {"name": ("string", "p_name"), "brand": ("string", "p_brand"), "parttype": ("string", "p_type"), "size": ("int", "p_size"), "retailprice": ("float", "p_retailprice"), "word": ("string[]", "split(p_name, ' ')")}),
+    "Part": ("part", "p_partkey", None, {"name": ("string", "p_name"), "brand": ("string", "p_brand"), "parttype": ("string", "p_type"), "size": ("int", "p_size"), "retailprice": ("float", "p_retailprice"), "word": ("string[]", "split(p_name, ' ')"), "large": ("bool", "CASE WHEN p_size > 25 THEN true END")}),
     "Order": ("orders", "o_orderkey", ("Customer", "o_custkey"), {"status": ("string", "o_orderstatus"), "totalprice": ("float", "o_totalprice"), "orderdate": ("time", "o_orderdate"), "priority": ("string", "o_orderpriority")}),
     "Event": ("events", "event_id", ("Customer", "user_id"), {"eventtype": ("string", "event_type"), "ts": ("time", "ts"), "value": ("float", "value")}),
     "Document": ("documents", "doc_id", None, {"lang": ("string", "lang"), "source": ("string", "source"), "nchars": ("int", "n_chars")}),
@@ -71,8 +71,25 @@ def graph(spark: SparkSession, sf_dir: str, node_types: tuple[str, ...] = (), ed
     return PropertyGraph(nodes(spark, sf_dir, *node_types), edges(spark, sf_dir, *edge_types))
 
 
-def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph on the nations: i to (i + 5) mod 25, and i to i + 1 for i below 4. Columns src, dst, edge_type, prob."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("i"))
+#: Nodes of a block of ring_links().
+BLOCK = 25
+
+
+def ring_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cyclic graph on the customers, in blocks of 25: i to (i + 5) mod 25, and i to i + 1 for i below 4, of each block.
+    Columns src, dst, edge_type, prob. There are as many customers as fill whole blocks."""
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("i"))
+    at = F.col("i") % BLOCK
     link = lambda df, to: df.select(F.col("i").alias("src"), to.alias("dst"), F.lit("Link").alias("edge_type"), F.lit(100).alias("prob"))
-    return link(n, (F.col("i") + 5) % 25).union(link(n.where("i < 4"), F.col("i") + 1))
+    return link(n, F.col("i") - at + (at + 5) % BLOCK).union(link(n.where(at < 4), F.col("i") + 1))
+
+
+def bought_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cyclic graph that grows with the tables: customers to the parts they bought on the first line of an order, parts to
+    the customers who returned them there."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_returnflag")
+    both = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    customer, part = node_key("Customer", F.col("o_custkey")), node_key("Part", F.col("l_partkey"))
+    bought = both.select(customer.alias("src"), part.alias("dst"))
+    returned = both.where("l_returnflag = 'R'").select(part.alias("src"), customer.alias("dst"))
+    return bought.union(returned).distinct().select("src", "dst", F.lit("Bought").alias("edge_type"), F.lit(100).alias("prob"))

@@ -14,8 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     conf = {
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g",
         "spark.ui.showConsoleProgress": "false", "spark.default.parallelism": "8",
     }
