@@ -106,9 +106,9 @@ def update_servers(spark, d):
     return rules.update_servers(dr.directory(spark, d)).select("src", "dst")
 
 
-_TAGS_SQL = """list_sort(list_filter([CASE WHEN f & 2 <> 0 THEN 'account_disabled' ELSE 'account_enabled' END, CASE WHEN f & 2 <> 0 THEN 'account_inactive' ELSE 'account_active' END,
+_TAGS_SQL = """list_sort([x FOR x IN [CASE WHEN f & 2 <> 0 THEN 'account_disabled' ELSE 'account_enabled' END, CASE WHEN f & 2 <> 0 THEN 'account_inactive' ELSE 'account_active' END,
     CASE WHEN f & 65536 <> 0 THEN 'password_never_expires' END, CASE WHEN f & 4096 <> 0 THEN 'computer_account' END, CASE WHEN f & 8192 <> 0 THEN 'domaincontroller_account' END,
-    CASE WHEN f & 524288 <> 0 THEN 'unconstrained' END, os, laps], x -> x IS NOT NULL))"""
+    CASE WHEN f & 524288 <> 0 THEN 'unconstrained' END, os, laps] IF x IS NOT NULL])"""
 
 
 @query(f"""WITH a AS (SELECT 3*{K}+c_custkey AS node_id, (CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END) + (CASE WHEN c_custkey % 3 = 0 THEN 65536 ELSE 0 END) + (CASE WHEN c_custkey % 5 = 0 THEN 4194304 ELSE 0 END) AS f, NULL AS os, NULL AS laps FROM customer
@@ -216,7 +216,7 @@ def edge_difference(spark, d):
     return g.without_pairs(e, e.where("prob = 100"))
 
 
-@query(f"SELECT 3*{K}+c_custkey AS src, 3*{K}+c_custkey+1 AS dst FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 3 < 2 AND c_custkey + 1 < (SELECT count(*) FROM customer)")
+@query(f"SELECT 3*{K}+c_custkey AS src, 3*{K}+c_custkey+1 AS dst FROM customer WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 = 1 OR (c_custkey + 1) % 7 = 0) AND c_custkey + 1 < (SELECT count(*) FROM customer)")
 def same_id_edges(spark, d):
     """Edges between nodes of one security id are refused: here of a number and the next where both fall into one third."""
     k = F.col("c_custkey")

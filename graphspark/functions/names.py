@@ -45,9 +45,10 @@ def filetime(ticks: Column) -> Column:
 
 
 def generalized_time(text: Column) -> Column:
-    """yyyyMMddHHmmss or yyMMddHHmmss, with a fraction or zone mark that is dropped."""
+    """yyyyMMddHHmmss or yyMMddHHmmss (69 to 99 are of the last century), with a fraction or zone mark that is dropped."""
     digits = F.regexp_extract(text, r"^(\d{14}|\d{12})", 1)
-    return F.when(F.length(digits) == 14, F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss"))).when(F.length(digits) == 12, F.try_to_timestamp(digits, F.lit("yyMMddHHmmss")))
+    full = F.when(F.length(digits) == 14, digits).when(F.length(digits) == 12, F.concat(F.when(digits.substr(1, 2) >= "69", "19").otherwise("20"), digits))
+    return F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss"))
 
 
 #: Label attributes in their order: fixed values.
@@ -94,7 +95,7 @@ def hexified(text: Column) -> Column:
 
 
 def _code_point(c: Column) -> Column:
-    return F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint")
+    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")
 
 
 #: Spans in seconds that a period is told in, the longest first: fixed values.

@@ -83,16 +83,18 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
     everyone = links.select(F.col("u").alias("node_id")).union(links.select("v"))
     everyone = cut((everyone if nodes is None else everyone.union(nodes.select("node_id"))).distinct())
-    found, left = None, links
-    while left.take(1):
-        while True:  # trim
-            ins, outs = left.select(F.col("v").alias("u")).distinct(), left.select(F.col("u").alias("v")).distinct()
-            kept = cut(left.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
+    found, left, size = None, links, links.count()
+    while size:
+        while True:  # trim, two layers in each pass
+            kept, was = left, size
+            for _ in range(2):
+                ins, outs = kept.select(F.col("v").alias("u")).distinct(), kept.select(F.col("u").alias("v")).distinct()
+                kept = kept.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v")
+            left = cut(kept)
+            size = left.count()
+            if size == was:
                 break
-        if not left.take(1):
+        if not size:
             break
         alive = left.select("u").union(left.select("v")).distinct()
         colours = _spread(alive.select(F.col("u").alias("node_id"), F.col("u").alias("colour")), left)
@@ -100,21 +102,17 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         inside = left.join(c.toDF("u", "cu"), "u").join(c.toDF("v", "cv"), "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"))
         roots = colours.select("node_id", F.when(F.col("node_id") == F.col("colour"), F.col("colour")).otherwise(F.lit(-(1 << 62))).alias("colour"))
         confirmed = _spread(roots, cut(inside)).where(F.col("colour") > -(1 << 62))
-        scc = cut(confirmed.withColumn("scc", F.min("node_id").over(_by("colour"))).select("node_id", "scc"))
+        smallest = confirmed.groupBy("colour").agg(F.min("node_id").alias("scc"))
+        scc = cut(confirmed.join(smallest, "colour").select("node_id", "scc"))
         found = scc if found is None else found.unionByName(scc)
         gone = scc.select("node_id")
         left = cut(left.join(gone.withColumnRenamed("node_id", "u"), "u", "left_anti").join(gone.withColumnRenamed("node_id", "v"), "v", "left_anti").select("u", "v"))
+        size = left.count()
     if found is None:
         return everyone.select("node_id", F.col("node_id").alias("scc"))
     return everyone.join(found, "node_id", "left").withColumn("scc", F.coalesce("scc", "node_id"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
     """Distinct edges between different components, named by their ids."""
     s = scc.select("node_id", "scc")

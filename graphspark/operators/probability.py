@@ -23,7 +23,7 @@ ENABLES = "WriteUserAccountControl"
 def _guess(active: Column, age: Column) -> Column:
     """20 to 80 by the age of the password in hours, 50 where it is unknown, 0 of inactive accounts."""
     risk = F.greatest(F.lit(20), F.least(F.lit(80), F.floor(age * 80 / HOURS_OF_TEN_YEARS)))
-    return F.when(active, F.coalesce(risk, F.lit(50))).otherwise(0)
+    return F.when(active, F.when(age.isNotNull(), risk).otherwise(50)).otherwise(0)
 
 
 def rated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
