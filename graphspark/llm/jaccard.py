@@ -28,7 +28,7 @@ COUNTERS_A_ROW = 1 << 16
 #: A shingle with so many postings more than is usual is dealt to several buckets.
 HOT = 1 << 16
 #: Postings that a bucket is to hold, about; one bucket of a task is in memory at a time.
-BUCKET_POSTINGS = 200_000
+BUCKET_POSTINGS = 100_000
 #: Meetings of up to so many classes give all their pairs; larger ones give links to one pivot, then what those leave open.
 SMALL = 8
 #: Shingles of the sets that are verified against one set at once, about.
@@ -93,10 +93,11 @@ class Seen:
 
 
 def _profile(size: int):
-    """Rows (doc_id, n, sig, sketch) of the texts; then rows of n = -1 with the counters of a task's classes in sketch."""
+    """Rows (doc_id, n, sig, sketch, content) of the texts; then rows of n = -1 with the counters of a task's classes in sketch."""
 
-    def rows(got):
-        return pa.RecordBatch.from_arrays([*[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([g[3] for g in got], pa.binary())], names=["doc_id", "n", "sig", "sketch"])
+    def rows(got, content):
+        columns = [*[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([g[3] for g in got], pa.binary()), content]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "sketch", "content"])
 
     def run(batches):
         count, seen = np.zeros(1 << COUNT_BITS, np.uint32), Seen()
@@ -107,10 +108,10 @@ def _profile(size: int):
                 got.append((doc, len(s), sig, _sketch(s)))
                 if seen.first(sig):
                     np.add.at(count, (s >> U(64 - COUNT_BITS)).astype(np.int64), 1)
-            yield rows(got)
+            yield rows(got, batch.column("content"))
         for k in range(0, len(count), COUNTERS_A_ROW):
             if count[k : k + COUNTERS_A_ROW].any():
-                yield rows([(None, -1, k, count[k : k + COUNTERS_A_ROW].tobytes())])
+                yield rows([(None, -1, k, count[k : k + COUNTERS_A_ROW].tobytes())], pa.nulls(1, pa.int64()))
 
     return run
 
@@ -448,7 +449,8 @@ def _level(c: str):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, itself included).
+    """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach, itself included), content
+    (xxhash64 of the text, which tells rows of one id apart).
 
     Texts are split at ASCII white space, A-Z lower-cased; the set of a text is its distinct runs of five words (of all
     words where there are fewer). Two documents link when 100 * |A & B| >= 75 * |A | B|. Exact but for collisions of
@@ -464,7 +466,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    everything = saved(rows.mapInArrow(_profile(size), "doc_id long, n long, sig long, sketch binary"), "profile")
+    marked = rows.withColumn("content", F.xxhash64("text"))
+    everything = saved(marked.mapInArrow(_profile(size), "doc_id long, n long, sig long, sketch binary, content long"), "profile")
     profile = everything.where("n >= 0")
     order = spark.sparkContext.broadcast(_order(everything.where("n < 0"), hot))
 
@@ -476,7 +479,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posted = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     buckets = max(partitions(spark), -(-posted // BUCKET_POSTINGS))
     postings = rows.mapInArrow(_prefixes(size, buckets, order), "bucket long, name binary, owner binary")
-    dealt = postings.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    dealt = postings.repartitionById(partitions(spark), F.pmod("bucket", F.lit(partitions(spark))).cast("int")).sortWithinPartitions("bucket")
     met = saved(dealt.mapInArrow(_meetings(buckets), "a long, b long, meeting long, n long, top long"), "meetings")
     named = rows.withColumn("doc_id", by_id)
 
@@ -529,4 +532,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_sig = saved(connected.union(copied), "members")
     found = profile.join(by_sig, (profile.sig == by_sig.sig) & (profile.n > 0), "left")
     component = F.when(F.col("component_id") != nobody, F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"), "content")

@@ -115,3 +115,27 @@ def test_many_attachments_take_linear_time():
     parts = [{"type": "image", "url": f"u{i}"} for i in range(50_000)]
     out, refs, _ = chat.format_turn("user", parts)
     assert len(refs) == 50_000 and out.endswith("<|image:49999|><|end|>\n")
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    words = lambda k: " ".join(f"w{k}_{i}" for i in range(40))
+    item = " ".join(f"bench{i} mark" for i in range(20))
+    rows = [
+        (1, words(1), "en", "a", 5), (2, words(1) + " more", "en", "a", 5), (3, words(3), "en", "a", 5), (3, words(1), "en", "b", 5), (3, words(3), "en", "a", 5),
+        (None, words(4), "en", "a", None), (None, words(1), None, None, None), (5, None, "en", "a", 0), (6, "", "en", "a", 0), (6, "", "en", "a", 0),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumn("row_id", F.lit(1)).withColumn("content", F.lit(1)).withColumn("score", F.lit(1))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "")[:4]) for r in df.collect())
+    left = cp.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert key(left) == [(-1, "w4_0"), (1, "w1_0"), (3, "w3_0"), (3, "w3_0"), (5, ""), (6, ""), (6, "")] and tuple(left.columns) == cp.COLUMNS
+    leaky = docs.union(spark.createDataFrame([(3, f"x {item} y", "en", "a", 1), (None, item, "en", "a", 1)], schema).selectExpr("*", "1", "1", "1"))
+    assert key(cp.leak_stage(spark, leaky, str(tmp_path))) == key(docs)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name not in ("n-gram Jaccard join",):
+            assert stage(spark, docs, str(tmp_path)).count() == len(rows)
