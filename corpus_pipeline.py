@@ -1,13 +1,20 @@
-"""From raw documents to token ids in five stages; each reads all that the one before kept."""
+"""From raw documents to token ids in five stages; each reads all that the one before kept.
+
+Every stage judges each row by its own text: rows of a repeated or null id stay or go each by itself. Null texts count as
+empty, an empty table gives an empty table, and columns beyond those of documents are dropped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.llm import bpe, jaccard, leaks, lines, quality
 from graphspark.llm._store import saved
 
+#: Ids and hashes of so many rows, 16 bytes each, are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 2_000_000
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,22 +35,29 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays; texts without words are no duplicates."""
+    """Of each component of similar documents the one with the smallest id stays; texts without words are no duplicates.
+
+    Rows that repeat that id and its text stay too; documents of null ids go where their component has an id."""
     found = jaccard.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(_small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "content").distinct()
+    return _without(docs, gone, F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage near to a benchmark item go."""
-    found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(_small(found), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def _small(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Ids that are written once, and broadcast up to `most` of them (16 MB); more are joined by shuffle."""
-    kept = saved(ids, "ids")
-    return F.broadcast(kept) if kept.count() <= most else kept
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))  # of rows of one id each is judged by itself
+    found = leaks.leaks(docs.withColumn("row", row), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    gone = found.select("doc_id").distinct().withColumn("content", F.lit(0).cast("long"))
+    return _without(docs, gone, row, F.lit(0).cast("long"))
+
+
+def _without(docs: DataFrame, gone: DataFrame, row: Column, content: Column) -> DataFrame:
+    """docs but for rows whose (row, content) are in gone (doc_id, content), which is written once."""
+    kept = saved(gone.select(F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_content")), "gone")
+    small = F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+    same = F.col("row_content") == F.col("gone_content"), F.col("row_id").eqNullSafe(F.col("gone_id"))
+    marked = docs.select(*COLUMNS).withColumn("row_id", row).withColumn("row_content", content)
+    return marked.join(small, [*same], "left_anti").select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
