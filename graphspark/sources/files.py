@@ -58,30 +58,42 @@ def open_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def machines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Machine, local users and groups, memberships, logons and privileges of telemetry files."""
-    raw = spark.read.schema(MACHINE).option("multiLine", True).json(path).withColumn("machine", _id(F.lower("Machine.LocalSID")))
-    blank = lambda df, kind: df.select("node_id", F.lit(kind).alias("type"), "attrs", F.col("parent").alias("parent_id"), F.array().cast("array<string>").alias("tags"))
-    host = raw.select(F.col("machine").alias("node_id"), attributes(name=("string", F.col("Machine.Name")), objectsid=("string", F.col("Machine.LocalSID")), wuserver=("string", F.col("Machine.WUServer")), sccmserver=("string", F.col("Machine.SCCMLastValidMP"))).alias("attrs"), F.lit(None).cast("bigint").alias("parent"))
-    sid = lambda c: _id(F.lower(c))
-    user = raw.select("machine", F.explode("Users").alias("u")).select(sid("u.SID").alias("node_id"), attributes(name=("string", F.col("u.Name")), objectsid=("string", F.col("u.SID")), displayname=("string", F.col("u.FullName"))).alias("attrs"), F.col("machine").alias("parent"))
-    group = raw.select("machine", F.explode("Groups").alias("g"))
-    groups = group.select(sid("g.SID").alias("node_id"), attributes(name=("string", F.col("g.Name")), objectsid=("string", F.col("g.SID")), description=("string", F.col("g.Comment"))).alias("attrs"), F.col("machine").alias("parent"))
-    nodes = blank(host, "Machine").union(blank(user, "User")).union(blank(groups, "Group"))
-    edge = lambda df, t, p=100: df.where("src <> dst").select("src", "dst", F.lit(t).alias("edge_type"), F.lit(p).alias("prob")).distinct()
-    member = group.select(sid("g.SID").alias("dst"), F.explode("g.Members").alias("m")).select(sid("m.SID").alias("src"), "dst")
-    admin = group.where("g.SID = 'S-1-5-32-544'").select(F.explode("g.Members").alias("m"), F.col("machine").alias("dst")).select(sid("m.SID").alias("src"), "dst")
-    logon = raw.select("machine", F.explode("LoginInfos").alias("l")).select(F.col("machine").alias("src"), sid("l.SID").alias("dst"))
-    privilege = raw.select("machine", F.explode("Privileges").alias("p")).select("machine", F.col("p.Name").alias("name"), F.explode("p.AssignedSIDs").alias("s")).select(sid("s").alias("src"), F.col("machine").alias("dst"), "name")
-    rights = privilege.where("src <> dst").select("src", "dst", F.col("name").alias("edge_type"), F.lit(100).alias("prob")).distinct()
-    return nodes, edge(member, "MemberOfGroup").union(edge(admin, "LocalAdminRights")).union(edge(logon, "SessionLocal")).union(rights)
+    """Machine, local users and groups, memberships, logons and privileges of telemetry files.
+
+    A security id of a domain or machine (S-1-5-21-...) is one node; others, such as built-in groups, are one a machine."""
+    raw = spark.read.schema(MACHINE).option("multiLine", True).json(path).withColumn("local", F.lower("Machine.LocalSID")).withColumn("host", _id("local"))
+    sid = lambda c: F.when(F.col(c).startswith("S-1-5-21-"), _id(F.lower(c))).otherwise(_id("local", F.lower(c)))
+    text = lambda c: ("string", F.col(c))
+    no_tags = F.array().cast("array<string>").alias("tags")
+    blank = lambda df, kind: df.select("node_id", F.lit(kind).alias("type"), "attrs", F.col("parent").alias("parent_id"), no_tags)
+    about = attributes(name=text("Machine.Name"), objectsid=text("Machine.LocalSID"), wuserver=text("Machine.WUServer"), sccmserver=text("Machine.SCCMLastValidMP"))
+    host = raw.select(F.col("host").alias("node_id"), about.alias("attrs"), F.lit(None).cast("bigint").alias("parent"))
+    each = lambda column, name: raw.select("host", "local", F.explode(column).alias(name))
+    person = attributes(name=text("u.Name"), objectsid=text("u.SID"), displayname=text("u.FullName"))
+    users = each("Users", "u").select(sid("u.SID").alias("node_id"), person.alias("attrs"), F.col("host").alias("parent"))
+    circle = attributes(name=text("g.Name"), objectsid=text("g.SID"), description=text("g.Comment"))
+    groups = each("Groups", "g").select(sid("g.SID").alias("node_id"), circle.alias("attrs"), F.col("host").alias("parent"))
+    nodes = blank(host, "Machine").union(blank(users, "User")).union(blank(groups, "Group"))
+
+    def edge(df: DataFrame, kind) -> DataFrame:
+        return df.where("src <> dst").select("src", "dst", kind.alias("edge_type"), F.lit(100).alias("prob")).distinct()
+
+    held = each("Groups", "g").select("host", "local", "g", F.explode("g.Members").alias("m"))
+    member = held.select(sid("m.SID").alias("src"), sid("g.SID").alias("dst"))
+    admin = held.where("g.SID = 'S-1-5-32-544'").select(sid("m.SID").alias("src"), F.col("host").alias("dst"))
+    logon = each("LoginInfos", "l").select(F.col("host").alias("src"), sid("l.SID").alias("dst"))
+    assigned = each("Privileges", "p").select("host", "local", F.col("p.Name").alias("name"), F.explode("p.AssignedSIDs").alias("s"))
+    rights = assigned.select(sid("s").alias("src"), F.col("host").alias("dst"), "name")
+    edges = edge(member, F.lit("MemberOfGroup")).union(edge(admin, F.lit("LocalAdminRights"))).union(edge(logon, F.lit("SessionLocal"))).union(edge(rights, F.col("name")))
+    return nodes, edges
 
 
 def top_users(spark: SparkSession, path: str) -> DataFrame:
-    """(machine, user): the most frequent interactive logon of each machine, the later name of equal ones."""
+    """(host, user): the most frequent interactive logon of each machine, the later name of equal ones."""
     raw = spark.read.schema(MACHINE).option("multiLine", True).json(path)
-    logon = raw.select(F.col("Machine.Name").alias("machine"), F.explode("LoginInfos").alias("l")).where("l.LogonType in (2, 10, 11)")
-    per = logon.groupBy("machine", F.concat_ws("\\", "l.Domain", "l.User").alias("user")).agg(F.sum("l.Count").alias("n"))
-    return per.groupBy("machine").agg(F.max_by("user", F.struct("n", "user")).alias("user"))
+    logon = raw.select(F.col("Machine.Name").alias("host"), F.explode("LoginInfos").alias("l")).where("l.LogonType in (2, 10, 11)")
+    per = logon.groupBy("host", F.concat_ws("\\", "l.Domain", "l.User").alias("user")).agg(F.sum("l.Count").alias("n"))
+    return per.groupBy("host").agg(F.max_by("user", F.struct("n", "user")).alias("user"))
 
 
 def policy_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,15 @@ def test_machines_and_their_top_users(spark, folder):
     assert [tuple(r) for r in files.top_users(spark, path).collect()] == [("HOST", "D\\w")]
 
 
+def test_built_in_groups_are_those_of_their_machine(spark, folder):
+    other = machine() | {"Machine": {"Name": "H2", "LocalSID": "S-1-5-21-8-8-8"}}
+    folder("two/h.json", machine())
+    path = folder("two/h2.json", other)
+    n, _ = files.machines(spark, path)
+    ids = n.select("node_id", first("objectsid")).distinct().collect()
+    assert sum(r["objectsid"] == "S-1-5-32-544" for r in ids) == 2 and sum(r["objectsid"] == "S-1-5-21-9-9-9-1001" for r in ids) == 1
+
+
 def test_policy_files_and_names(spark, folder):
     text = base64.b64encode(b'<Groups cpassword="abc=" x="1"/>').decode()
     path = folder("p/g.json", {"GUID": "{1}", "DomainDN": "DC=x", "Files": [{"RelativePath": "Machine/Groups.xml", "Contents": text, "IsDir": False}, {"RelativePath": "Machine", "IsDir": True}]})
