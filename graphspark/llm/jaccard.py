@@ -439,7 +439,7 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 #: A level of sampling keeps one class of so many (a power of two).
-STEP_BITS = 6
+STEP_BITS = 3
 
 
 def _level(c: str):
@@ -457,7 +457,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     64-bit hashes of shingles and of sets.
 
     Nothing is capped: meetings of many classes are first linked to one pivot. Members that this leaves outside the
-    pivot's component are paired with some of the others, then with 64 times as many, at last with all those outside
+    pivot's component are paired with some of the others, then with 8 times as many, at last with all those outside
     their own component. Pairs inside a component need no verification and get none, so that links are not counted.
     Copies are combined before each shuffle. Null and empty texts, and texts of white space alone, have no shingles, link
     with nothing and are components of their own, also when repeated. Equal sets always link. Each row of a repeated id
