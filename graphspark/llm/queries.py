@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, jaccard, leaks, lines, pii, quality, shards, urls
+from . import bpe, chat, codes, exact, jaccard, leaks, lines, pii, quality, runs, shards, tokens, urls
 
 SHARDS = 40
 
@@ -88,18 +88,80 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digests(spark, tokens.write_tokens(table(spark, sf_dir, "documents")))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text, where one document of ten by the CRC-32 of its id gets a tail of words that repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    picked = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).cast("long").alias("g"))
+    at = picked.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    at = at.withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    return at.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.word_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    lines_ = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines_, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = found.withColumn("best", runs.greatest_exponent("runs"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digests(spark, *codes.lloyd(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_nb_svm_quality, op3_exact_dedup, op4_chat_format, op5_url_filter, op6_line_dedup, op7_byte_bpe, op8_skip_chain_pii, op9_ngram_jaccard, op10_benchmark_leaks, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_nb_svm_quality, op3_exact_dedup, op4_chat_format, op5_url_filter, op6_line_dedup, op7_byte_bpe, op8_skip_chain_pii, op9_ngram_jaccard, op10_benchmark_leaks, op11_token_files, op12_word_runs, op13_lloyd_codes, pipeline)}
 
 _RULE_SQL = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
 _VERDICT_SQL = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in URL_RULES)
 _LISTED_SQL = rf"((m|blog)\.)?({'|'.join(LISTED_SITES)})\.example\.(com|net|org)\|/(en|fr|de|es)/(0|[1-9][0-9]{{0,2}})(\.html)?"
 
+
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    """Codebooks of 64 entries for 16 parts, in two rounds, as common tables."""
+    steps = [
+        """kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "parts AS (SELECT vec_id, k AS part, q[k * (len(q) // 16) + 1:(k + 1) * (len(q) // 16)] AS v FROM kept, range(16) AS r(k))",
+        "firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY row_number() OVER (ORDER BY vec_id) <= 64)",
+        "book0 AS (SELECT part, entry, v AS c FROM parts JOIN firsts USING (vec_id))",
+    ]
+    far = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS (
+            SELECT vec_id, part, any_value(v) AS v, min(CAST({far} AS BIGINT) * 64 + entry) AS best FROM parts JOIN book{k} USING (part) GROUP BY vec_id, part)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+                SELECT part, entry, list(m ORDER BY i) AS c FROM (
+                    SELECT part, best % 64 AS entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m
+                    FROM (SELECT part, best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{k}) GROUP BY part, best % 64, i) GROUP BY part, entry)""")
+            steps.append(f"book{k + 1} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry)")
+    steps.append(f"coded AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)")
+    steps.append(f"digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})")
+    return f"""
+        WITH {', '.join(steps)}
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), digest"""
+
+
 ORACLE_SQL = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -134,4 +196,5 @@ ORACLE_SQL = {
                coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE goes), '') AS removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT goes), '')) AS text_sha256
         FROM marked GROUP BY doc_id""",
+    "op13_lloyd_codes": _lloyd_sql(),
 }
