@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import COMPARE
@@ -67,35 +67,100 @@ def _among(df: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     return df.join(nodes.select(F.col("node_id").alias(column)), column, "left_semi")
 
 
-def find_paths(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
-    """Completed paths (start, v, visited, used, refs, chance) of TRAIL, ACYCLIC and SIMPLE patterns.
+def _constrained(node: Node) -> bool:
+    return node.where is not None or node.limit is not None or bool(node.skip)
+
+
+def needs(graph: PropertyGraph, pattern: Pattern, sets: list[DataFrame], allowed: list[DataFrame]) -> list[DataFrame | None]:
+    """For each edge position (v, d): the nodes from which it can be ended, and in how few hops d; None where any node can.
+
+    A pass from the last position to the first: the ends of a position are its target's nodes from which the next one can be
+    ended; each layer adds the nodes one step before those of the last. A path at v after h hops of the position leads
+    nowhere unless h + d is within max_hops, so that only rows which can still end (but for what paths may not repeat)
+    are lengthened. A layer has a row a node; layers end when nothing is new."""
+    found: list[DataFrame | None] = [None] * len(pattern.edges)
+    after: DataFrame | None = None
+    for seg in range(len(pattern.edges) - 1, -1, -1):
+        edge = pattern.edges[seg]
+        ends = sets[seg + 1] if _constrained(pattern.nodes[seg + 1]) else None
+        if after is not None:
+            ends = after if ends is None else ends.join(after, "node_id", "left_semi")
+        if ends is None:
+            continue
+        inner = graph.nodes.where(edge.through).select(F.col("node_id").alias("v")) if edge.through is not None else None
+        layer = cut(ends.select(F.col("node_id").alias("v")).distinct().withColumn("d", F.lit(0)), "needs")
+        total = layer
+        for d in range(1, edge.max_hops + 1):
+            on = layer if d == 1 or inner is None else layer.join(inner, "v", "left_semi")
+            before = allowed[seg].join(on.select("v"), "v", "left_semi").select(F.col("u").alias("v")).distinct()
+            layer = cut(before.join(total.select("v"), "v", "left_anti").withColumn("d", F.lit(d)), "needs")
+            if not layer.take(1):
+                break
+            total = total.unionByName(layer)
+        found[seg] = total
+        after = total.select(F.col("v").alias("node_id"))
+    return found
 
-    visited: nodes in order; used: stored pairs in order with their types; refs: position of each labelled node."""
-    sets = [node_set(graph, n) for n in pattern.nodes]
+
+def _start(sets: list[DataFrame]) -> DataFrame:
     used = "array<struct<src:bigint,dst:bigint,edge_types:array<string>>>"
-    at = sets[0].select(
+    return sets[0].select(
         F.col("node_id").alias("start"), F.col("node_id").alias("v"), F.array("node_id").alias("visited"),
         F.array().cast(used).alias("used"), F.array(F.struct(F.col("node_id").alias("node"), F.lit(0).alias("seg"))).alias("refs"), F.lit(1.0).alias("chance"),
     )
+
+
+def _grown(frontier: DataFrame, allowed: DataFrame, pattern: Pattern) -> DataFrame:
+    """frontier one step further, within what the mode lets a path repeat, the depth and the accumulated probability."""
+    grown = frontier.withColumnRenamed("v", "u").join(allowed, "u")
+    if pattern.mode in ("TRAIL", "SIMPLE"):
+        grown = grown.where(~F.exists("used", lambda e: (e["src"] == F.col("src")) & (e["dst"] == F.col("dst"))))
+    if pattern.mode in ("ACYCLIC", "SIMPLE"):
+        grown = grown.where(~F.array_contains("visited", F.col("v")))
+    chance = F.col("chance") * F.col("p")
+    return grown.where((F.size("visited") <= pattern.max_depth) & (chance >= pattern.min_accumulated))
+
+
+def _moved(grown: DataFrame, *carry: str) -> DataFrame:
+    visited, used = F.array_append("visited", F.col("v")), F.array_append("used", F.struct("src", "dst", "edge_types"))
+    return grown.select("start", "v", visited.alias("visited"), used.alias("used"), "refs", (F.col("chance") * F.col("p")).alias("chance"), *carry)
+
+
+def _can_end(rows: DataFrame, need: DataFrame | None, hop: int, most: int) -> DataFrame:
+    """rows (v, ...) that can end their position after hop hops."""
+    return rows if need is None else rows.join(need.where(F.col("d") <= most - hop).select("v"), "v", "left_semi")
+
+
+def _referred(rows: DataFrame, seg: int) -> DataFrame:
+    return rows.withColumn("refs", F.array_append("refs", F.struct(F.col("v").alias("node"), F.lit(seg).alias("seg"))))
+
+
+def _planned(graph: PropertyGraph, pattern: Pattern) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame | None]]:
+    """Node sets, steps (planned once where a position repeats) and needs; chains of single steps are left to the optimizer."""
+    sets = [node_set(graph, n) for n in pattern.nodes]
+    repeats = any(e.max_hops > 1 for e in pattern.edges)
+    allowed = [cut(steps(graph, e), "steps") if repeats else steps(graph, e) for e in pattern.edges]
+    return sets, allowed, needs(graph, pattern, sets, allowed) if repeats else [None] * len(pattern.edges)
+
+
+def find_paths(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
+    """Completed paths (start, v, visited, used, refs, chance) of TRAIL, ACYCLIC and SIMPLE patterns.
+
+    visited: nodes in order; used: stored pairs in order with their types; refs: position of each labelled node. Where a
+    position repeats, rows that cannot end it any more are dropped at each hop, see needs()."""
+    if pattern.traversal is not None:
+        return best_first(graph, pattern)
+    sets, steps_of, need = _planned(graph, pattern)
+    at = _start(sets)
     hops = 0
     for seg, edge in enumerate(pattern.edges, 1):
-        allowed, target = steps(graph, edge), sets[seg]
-        if edge.max_hops > 1:  # planned once, not for each hop
-            allowed = cut(allowed)
+        allowed, target = steps_of[seg - 1], sets[seg]
         inner = graph.nodes.where(edge.through).select("node_id") if edge.through is not None else None
-        done, frontier = [], at
+        done, frontier = [], _can_end(at, need[seg - 1], 0, edge.max_hops)
         if edge.min_hops == 0:
             done.append(_among(at, "v", target))
         for hop in range(1, edge.max_hops + 1):
-            grown = frontier.withColumnRenamed("v", "u").join(allowed, "u")
-            pair_new = ~F.exists("used", lambda e: (e["src"] == F.col("src")) & (e["dst"] == F.col("dst")))
-            node_new = ~F.array_contains("visited", F.col("v"))
-            if pattern.mode in ("TRAIL", "SIMPLE"):
-                grown = grown.where(pair_new)
-            if pattern.mode in ("ACYCLIC", "SIMPLE"):
-                grown = grown.where(node_new)
-            grown = grown.where((F.size("visited") <= pattern.max_depth) & (F.col("chance") * F.col("p") >= pattern.min_accumulated))
-            grown = grown.select("start", "v", F.array_append("visited", F.col("v")).alias("visited"), F.array_append("used", F.struct("src", "dst", "edge_types")).alias("used"), "refs", (F.col("chance") * F.col("p")).alias("chance"))
+            grown = _can_end(_moved(_grown(frontier, allowed, pattern)), need[seg - 1], hop, edge.max_hops)
             if pattern.mode == "ACYCLIC" and pattern.dedup == "level" and seg == len(pattern.edges) and done:
                 held = reduce(DataFrame.unionByName, done).select("start", F.explode("visited").alias("v")).distinct()
                 grown = grown.join(held, ["start", "v"], "left_anti")
@@ -107,10 +172,134 @@ def find_paths(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
             if hop == edge.max_hops:
                 break
             frontier = grown if inner is None else _among(grown, "v", inner)
-        at = reduce(DataFrame.unionByName, done).withColumn("refs", F.array_append("refs", F.struct(F.col("v").alias("node"), F.lit(seg).alias("seg"))))
+        at = _referred(reduce(DataFrame.unionByName, done), seg)
     return at
 
 
+# ---- one path at a time ----
+def _prefix_keys(pattern: Pattern) -> Column:
+    """For each prefix of a path (visited, chances) its place in the order of the traversal, smaller ones come first: a state
+    is taken up when its key is the smallest of those that wait. Under the two orders that prefer short or likely paths keys
+    grow along a path; under the others what follows a state always comes before its siblings, so that the key is the way
+    to it. Equal ones are told apart by the way."""
+    at = F.sequence(F.lit(1), F.size("visited"))
+    way = lambda i: F.slice("visited", 1, i)
+    last = lambda i: F.get("visited", i - 1)
+    chance = lambda i: F.get("chances", i - 1)
+    chances_to = lambda i: F.transform(F.sequence(F.lit(1), i), lambda k: F.struct(chance(k).alias("c"), last(k).alias("n")))
+    keys = {
+        "shortest": lambda i: F.struct(i.alias("h"), last(i).alias("n"), way(i).alias("w")),
+        "likely": lambda i: F.struct((-chance(i)).alias("c"), i.alias("h"), last(i).alias("n"), way(i).alias("w")),
+        "longest": way,
+        "unlikely": chances_to,
+    }
+    return F.transform(at, keys[pattern.traversal])
+
+
+def best_first(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
+    """Completed paths as of find_paths(), where the paths of each start are taken up one at a time in the pattern's order:
+
+    - shortest: fewer hops first; likely: larger accumulated probability first, then fewer hops;
+    - longest, unlikely: the reverse of these; equal ones by the last node's id, then by the way; ended paths first.
+
+    An ACYCLIC path is not lengthened to a node of a path that was completed before (of the same start). With node_limit,
+    nothing more is taken up once the completed paths of a start hold that many nodes.
+
+    All starts go on together, a hop a round. For "shortest" the rounds follow the order, and a table of the first
+    completed path through each (start, node) drops rows as they grow. For the other orders all node-unique paths are made,
+    and then decided in rounds: a path stands when no path before it that stands, or is open, holds a node it
+    was lengthened to. The first open path of each start can always be decided; in practice most are, in each round."""
+    sets, allowed, need = _planned(graph, pattern)
+    last, refuse = len(pattern.edges), pattern.mode == "ACYCLIC"
+    held: DataFrame | None = None  # (start, node, first): for "shortest"
+    done: list[DataFrame] = []
+    begin = _start(sets).withColumn("chances", F.array(F.lit(1.0)))
+    waiting: dict[tuple[int, int], DataFrame] = {(0, 0): _can_end(begin, need[0], 0, pattern.edges[0].max_hops)}
+    depth = 0
+    while waiting:
+        for seg, edge in enumerate(pattern.edges):  # positions of no hops
+            if edge.min_hops == 0 and (seg, 0) in waiting:
+                over = _referred(_among(waiting[seg, 0], "v", sets[seg + 1]), seg + 1)
+                waiting[seg + 1, 0] = waiting[seg + 1, 0].unionByName(over) if (seg + 1, 0) in waiting else over
+        if (last, 0) in waiting:
+            ended = cut(waiting.pop((last, 0)), "ended")
+            done.append(ended)
+            if refuse and pattern.traversal == "shortest":
+                first = F.min(F.struct(F.lit(depth + 1).alias("h"), F.col("v").alias("n"), F.col("visited").alias("w"))).alias("first")
+                now = ended.select("start", F.explode("visited").alias("node"), "v", "visited").groupBy("start", "node").agg(first)
+                held = now if held is None else held.unionByName(now).groupBy("start", "node").agg(F.min("first").alias("first"))
+                held = cut(held, "held")
+            if pattern.node_limit and held is not None:  # a start that has its nodes goes no further
+                full = held.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pattern.node_limit).select("start")
+                waiting = {k: w.join(full, "start", "left_anti") for k, w in waiting.items()}
+        grown: dict[tuple[int, int], list[DataFrame]] = {}
+        for (seg, hop), rows in waiting.items():
+            edge = pattern.edges[seg]
+            more = _grown(rows, allowed[seg], pattern)
+            if held is not None:
+                mine = F.struct(F.lit(depth + 1).alias("h"), F.col("u").alias("n"), F.col("visited").alias("w"))
+                known = held.select("start", F.col("node").alias("v"), "first")
+                more = more.join(known, ["start", "v"], "left").where(F.col("first").isNull() | (F.col("first") > mine)).drop("first")
+            chances = F.array_append("chances", F.col("chance") * F.col("p"))
+            more = _moved(more.withColumn("chances", chances), "chances")
+            more = cut(_can_end(more, need[seg], hop + 1, edge.max_hops), "states")
+            if not more.take(1):
+                continue
+            if hop + 1 >= edge.min_hops:
+                ending = _referred(_among(more, "v", sets[seg + 1]), seg + 1)
+                if seg + 1 < last:
+                    ending = _can_end(ending, need[seg + 1], 0, pattern.edges[seg + 1].max_hops)
+                grown.setdefault((seg + 1, 0), []).append(ending)
+            if hop + 1 < edge.max_hops:
+                on = more if edge.through is None else _among(more, "v", graph.nodes.where(edge.through).select("node_id"))
+                grown.setdefault((seg, hop + 1), []).append(on)
+        waiting = {k: reduce(DataFrame.unionByName, parts) for k, parts in grown.items()}
+        depth += 1
+    paths = reduce(DataFrame.unionByName, done) if done else begin.where("false")
+    paths = cut(paths.withColumn("keys", _prefix_keys(pattern)).withColumn("id", F.monotonically_increasing_id()), "paths")
+    if refuse and pattern.traversal != "shortest":
+        paths = _decided(paths)
+    if pattern.node_limit:
+        paths = _within(paths, pattern.node_limit)
+    return paths.select("start", "v", "visited", "used", "refs", "chance")
+
+
+def _decided(paths: DataFrame) -> DataFrame:
+    """The paths that stand, of (id, start, visited, keys): those that were not lengthened to a node which a path that
+    stands and was completed before holds."""
+    key = F.element_at("keys", -1)
+    entered = paths.select("id", "start", F.posexplode(F.slice("visited", 2, F.size("visited"))).alias("i", "node"), "keys")
+    entered = cut(entered.select("id", "start", "node", F.get("keys", F.col("i")).alias("left"), F.element_at("keys", -1).alias("key")), "entered")
+    firsts = lambda rows: rows.groupBy("start", "node").agg(F.min("key").alias("first"))
+    stands, open_ = paths.select("id").where("false"), paths.select("id")
+    while True:
+        rows = entered.join(open_, "id", "left_semi")
+        kept = firsts(entered.join(stands, "id", "left_semi")).withColumnRenamed("first", "kept")
+        maybe = firsts(rows).withColumnRenamed("first", "maybe")
+        judged = rows.join(kept, ["start", "node"], "left").join(maybe, ["start", "node"], "left")
+        judged = judged.groupBy("id").agg(F.max(F.coalesce(F.col("kept") <= F.col("left"), F.lit(False))).alias("refused"), F.max(F.coalesce(F.col("maybe") <= F.col("left"), F.lit(False))).alias("waits"))
+        alone = open_.join(entered.select("id"), "id", "left_anti").select("id", F.lit(False).alias("refused"), F.lit(False).alias("waits"))  # paths without a step
+        judged = cut(judged.unionByName(alone), "judged")
+        stands = cut(stands.union(judged.where("not refused and not waits").select("id")), "stands")
+        open_ = judged.where("not refused and waits").select("id")
+        if not open_.take(1):
+            return paths.join(stands, "id", "left_semi").withColumn("key", key)
+
+
+def _within(paths: DataFrame, limit: int) -> DataFrame:
+    """The first paths of each start, up to the one with which their nodes number limit or more. Of each start at most
+    `limit` paths that add a node are looked at."""
+    keyed = paths.withColumn("key", F.element_at("keys", -1))
+    place = F.struct("key", "refs").alias("place")
+    news = keyed.select("start", F.explode("visited").alias("node"), place).groupBy("start", "node").agg(F.min("place").alias("place"))
+    adds = news.groupBy("start", "place").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("start").orderBy("place")
+    few = adds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    summed = few.withColumn("nodes", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    full = summed.where(F.col("nodes") >= limit).groupBy("start").agg(F.min("place").alias("until"))
+    return keyed.join(full, "start", "left").where(F.col("until").isNull() | (F.struct("key", "refs") <= F.col("until"))).drop("until")
+
+
 def _labels(pattern: Pattern) -> Column:
     out = F.lit(None).cast("string")
     for i, n in enumerate(pattern.nodes):

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 
 MODES = ("WALK", "TRAIL", "ACYCLIC", "SIMPLE")
+#: Orders in which the paths of a start may be taken: by hops, or by accumulated probability and then hops.
+TRAVERSALS = ("shortest", "likely", "longest", "unlikely")
 
 
 #: Tags of edge types: fixed values. Types without an entry have none.
@@ -65,13 +67,19 @@ class Edge:
 @dataclass(frozen=True)
 class Pattern:
     """Node, edge, node, edge, ..., node. dedup "level" drops, among paths that grow longer, those that enter a node which a
-    shorter completed path of the same start holds; "none" keeps all node-unique paths (ACYCLIC only)."""
+    shorter completed path of the same start holds; "none" keeps all node-unique paths (ACYCLIC only).
+
+    traversal: the order in which the paths of each start are taken up, one at a time, see paths.best_first(). An ACYCLIC
+    path is then not lengthened to a node that a path completed before holds. node_limit: a start is given up when its
+    completed paths hold so many nodes."""
 
     parts: tuple[Node | Edge, ...]
     mode: str = "ACYCLIC"
     dedup: str = "none"
     max_depth: int = 255
     min_accumulated: float = 0.0  # product of the steps' probabilities, 0 to 1
+    traversal: str | None = None
+    node_limit: int | None = None
 
     nodes: list[Node] = field(init=False, repr=False, compare=False)
     edges: list[Edge] = field(init=False, repr=False, compare=False)
@@ -79,6 +87,10 @@ class Pattern:
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
+        if self.traversal is not None and (self.traversal not in TRAVERSALS or self.mode == "WALK"):
+            raise ValueError(f"traversal must be one of {TRAVERSALS}, and walks are counted, not taken one by one")
+        if self.node_limit is not None and (self.traversal is None or self.node_limit < 1):
+            raise ValueError("node_limit is a positive number and needs a traversal")
         if len(self.parts) % 2 == 0 or any(isinstance(p, Node) != (i % 2 == 0) for i, p in enumerate(self.parts)):
             raise ValueError("a pattern is node, edge, node, ..., node")
         object.__setattr__(self, "nodes", list(self.parts[::2]))
