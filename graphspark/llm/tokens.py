@@ -89,6 +89,7 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab()
@@ -148,9 +149,12 @@ class Pieces(dict):
         offsets = np.frombuffer(pieces.dictionary.buffers()[1], np.int32)[: len(pieces.dictionary) + 1].tolist()
         distinct = pieces.dictionary.buffers()[2].to_pybytes()
         listed = [distinct[a:b] for a, b in zip(offsets, offsets[1:])]  # noqa: B905
-        if len(self) > CACHE:
+        if len(self) > CACHE // 2:  # what was not asked for since the last time is forgotten
+            self.old = dict(self)
             self.clear()
-        self.learn([p for p in listed if p not in self])
+        new = [p for p in listed if p not in self]
+        self.update((p, self.old[p]) for p in new if p in self.old)
+        self.learn([p for p in new if p not in self.old])
         found = [*(self[p] for p in listed), np.array([end_id], "<u4").tobytes()]
         which = pieces.indices.to_numpy().copy()
         last = np.flatnonzero(kind[begins] == _END)
