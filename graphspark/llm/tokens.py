@@ -267,18 +267,27 @@ def _path(path: str | None) -> str:
     return place("byte_bpe_50k.json")
 
 
+#: How often the ids of a shard occur: a row of its own, with the block -1.
+_COUNTS = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
+
+
 def _blocks(tokenizer: str | None, end_id: int, kind: pa.DataType):
-    names = ["shard", "block", "first", "doc_ids", "doc_tokens", "ids"]
+    names = ["shard", "block", "first", "doc_ids", "doc_tokens", "ids", "counts"]
 
     def run(batches):
         pieces = pieces_of(_path(tokenizer))
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         docs, held, size = [], [], 0
+        counts = np.zeros(max(pieces.most, end_id) + 1, np.int64)
+
+        def row(number, ids, counted):
+            listed = pa.array([docs], pa.list_(kind)), pa.array([[len(h) for h in held]], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), *listed, pa.array([ids], pa.binary()), pa.array([counted], _COUNTS)], names=names)
 
         def made():
             ids = np.concatenate(held).astype("<u4")
-            cols = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([[len(h) for h in held]], pa.list_(pa.int64())), pa.array([ids.tobytes()])]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+            np.add(counts, np.bincount(ids, minlength=len(counts)), out=counts)
+            return row(block, ids.tobytes(), None)
 
         for batch in batches:
             for part in blocks(batch, "text", TEXT_BLOCK):
@@ -291,21 +300,13 @@ def _blocks(tokenizer: str | None, end_id: int, kind: pa.DataType):
                         docs, held, block, first, size = [], [], block + 1, first + size, 0
         if docs:
             yield made()
+            docs, held = [], []
+        used = np.flatnonzero(counts)
+        yield row(-1, None, [{"id": i, "n": n} for i, n in zip(used.tolist(), counts[used].tolist(), strict=True)])
 
     return run
 
 
-def _count(batches):
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column("ids").to_pylist():
-            own = np.bincount(np.frombuffer(raw, "<u4"))
-            total = np.pad(total, (0, max(0, len(own) - len(total))))
-            total[: len(own)] += own
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
-
-
 def _packed(lengths: bytes):
     def run(batches):
         code = Code(np.frombuffer(lengths, np.uint8))
@@ -344,10 +345,11 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
         width = "bigint"
     place = f"shard int, block int, first long, doc_ids array<{width}>, doc_tokens array<long>"
     sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    raw = f"{path}/raw"
-    sorted_.mapInArrow(_blocks(tokenizer, end_id, arrow), f"{place}, ids binary").write.option("compression", "zstd").parquet(raw)
-    plain = spark.read.schema(f"{place}, ids binary").parquet(raw)
-    counted = plain.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    raw, schema = f"{path}/raw", f"{place}, ids binary, counts array<struct<id:int,n:long>>"
+    sorted_.mapInArrow(_blocks(tokenizer, end_id, arrow), schema).write.option("compression", "zstd").parquet(raw)
+    rows = spark.read.schema(schema).parquet(raw)
+    counted = rows.where("block = -1").select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    plain = rows.where("block >= 0").drop("counts")
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
     for r in counted:  # one for each id of the vocabulary at most
         counts[r["id"]] = r["n"]
