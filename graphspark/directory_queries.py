@@ -14,6 +14,7 @@ from .operators import graph as g
 from .plans.pattern import Edge, Node, Pattern, tagged
 from .sources import directory as dr
 from .sources.tables import edges, nodes, table
+from .store import cut
 
 PEOPLE = "(SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 HOSTS = "(SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -75,25 +76,59 @@ def memberships(spark, d):
 @query(f"WITH {_DIRECT} SELECT DISTINCT src, {dr.GROUP}+r*100+h AS dst FROM direct, (SELECT unnest(range({len(dr.SEGMENTS)})) AS h) WHERE h < g")
 def indirect_memberships(spark, d):
     n = dr.directory(spark, d)
-    return rules.indirect_memberships(rules.memberships(n), n.where("type = 'Group'")).select("src", "dst")
+    return rules.indirect_memberships(cut(rules.memberships(n), "members"), n.where("type = 'Group'")).select("src", "dst")
 
 
 @query(f"SELECT {dr.SERVICE}+r_regionkey AS src, 3*{K}+c_custkey AS dst FROM {PEOPLE} UNION ALL SELECT {dr.SERVICE}+r_regionkey, {dr.GROUP}+r_regionkey*100+g FROM region, {SEGMENTS}")
 def overwritten_lists(spark, d):
     n = dr.directory(spark, d)
-    return rules.overwritten_lists(n, rules.memberships(n)).select("src", "dst")
+    return rules.overwritten_lists(n, cut(rules.memberships(n), "members")).select("src", "dst")
 
 
 @query(f"SELECT 3*{K}+c_custkey AS node_id FROM customer WHERE c_mktsegment <> '{dr.SEGMENTS[0]}'")
 def protected_users(spark, d):
     n = dr.directory(spark, d)
-    return rules.protected_users(n, rules.memberships(n))
+    return rules.protected_users(n, cut(rules.memberships(n), "members"))
 
 
 # ---- policies, accounts, machines ----
-@query(f"SELECT {dr.POLICY}+n_nationkey AS src, 4*{K}+s_suppkey AS dst FROM {HOSTS} WHERE n_nationkey % 3 <> 0")
+def _with_machines(n: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with a machine for each computer account, and (machine, account)."""
+    n = cut(n, "nodes")
+    new, links = rules.machine_accounts(n, dr.MACHINE)
+    return n.unionByName(new), links.where("edge_type = 'MachineAccount'").select(F.col("src").alias("machine"), F.col("dst").alias("account"))
+
+
+@query(f"""SELECT {dr.POLICY}+n_nationkey AS src, 4*{K}+s_suppkey AS account FROM {HOSTS} WHERE n_nationkey % 3 <> 0
+    UNION ALL SELECT {dr.PLAIN}+r_regionkey, 4*{K}+s_suppkey FROM {HOSTS} WHERE n_nationkey % 4 <> 1
+    UNION ALL SELECT {dr.ENFORCED}+r_regionkey, 4*{K}+s_suppkey FROM {HOSTS}""")
 def policy_links(spark, d):
-    return rules.policy_links(rules.parents_by_dn(dr.directory(spark, d))).select("src", "dst")
+    """Links of units and domains, disabled, plain and enforced, over units that block inheritance."""
+    n, of = _with_machines(rules.parents_by_dn(dr.directory(spark, d)))
+    return rules.policy_links(n).join(of, F.col("dst") == F.col("machine")).select("src", "account")
+
+
+@query(f"""WITH c AS (SELECT 4*{K}+s_suppkey AS account, r_regionkey AS r FROM {HOSTS} WHERE s_suppkey % 10 = 0)
+    SELECT {dr.BUILT_IN}+r*100+i AS src, account AS dst, kind AS edge_type FROM c, (VALUES (0, 'AdminRights'), (1, 'RDPRights'), (2, 'DCOMRights')) v(i, kind)
+    UNION ALL SELECT account, {dr.BUILT_IN}+r*100+3, 'MemberOfGroup' FROM c UNION ALL SELECT account, {dr.SYNC}, 'Call' FROM c""")
+def controller_rights(spark, d):
+    """Edges of domain controllers; their machines are told by their accounts."""
+    n, of = _with_machines(rules.domain_contexts(dr.directory(spark, d)).unionByName(dr.built_in(spark, d)))
+    joined = rules.controller_rights(n).join(of, F.col("dst") == F.col("machine"), "left")
+    return joined.select("src", F.coalesce("account", "dst").alias("dst"), "edge_type")
+
+
+@query(f"SELECT 4*{K}+s_suppkey AS account, CASE WHEN s_suppkey % 10 = 0 THEN 'hvt,role_domaincontroller' ELSE '' END AS tags FROM supplier")
+def controller_tags(spark, d):
+    n, of = _with_machines(dr.directory(spark, d))
+    return rules.controller_tags(n).join(of, F.col("node_id") == F.col("machine")).select("account", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""SELECT 3*{K}+c_custkey AS src, {dr.BUILT_IN}+r_regionkey*100+4 AS dst FROM {PEOPLE} UNION ALL SELECT 4*{K}+s_suppkey, {dr.BUILT_IN}+r_regionkey*100+4 FROM {HOSTS}
+    UNION ALL SELECT {dr.BUILT_IN}+r_regionkey*100+4, {dr.BUILT_IN}+r_regionkey*100+5 FROM region""")
+def broad_memberships(spark, d):
+    """Authenticated Users and Everyone of each domain."""
+    return rules.broad_memberships(dr.directory(spark, d).unionByName(dr.built_in(spark, d))).select("src", "dst")
 
 
 @query("SELECT 7 AS src, 3*1000000000000+c_custkey AS dst, 'HasSPN' AS edge_type FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 7, 3*1000000000000+c_custkey, 'DontReqPreauth' FROM customer WHERE c_custkey % 5 = 0")

@@ -23,6 +23,29 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     return seen
 
 
+def reach_states(links: DataFrame, seeds: DataFrame, step, max_hops: int | None = None) -> DataFrame:
+    """(seed, node_id, state, hops): the nodes that each seed reaches together with the states it can be in there.
+
+    A walk over the product of the graph with an automaton. seeds: (node_id, state), or (seed, node_id, state). links: (src,
+    dst) and whatever else step() reads; step gives the state after a link as a Column over state and these columns, or
+    null where the link may not be taken in that state. Each (seed, node, state) is reached once, in the fewest hops, so that
+    cycles end; there are at most as many rows a seed as nodes times states."""
+    links = cut(links.where("src <> dst"), "links")
+    if "seed" not in seeds.columns:
+        seeds = seeds.withColumn("seed", F.col("node_id"))
+    frontier = cut(seeds.select("seed", "node_id", "state").distinct().withColumn("hops", F.lit(0)), "frontier")
+    seen, hop = frontier, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        near = frontier.withColumnRenamed("node_id", "src").join(links, "src").withColumn("state", step(F.col("state"))).where("state is not null")
+        near = near.select("seed", F.col("dst").alias("node_id"), "state").distinct()
+        frontier = cut(near.join(seen.select("seed", "node_id", "state"), ["seed", "node_id", "state"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
+        if not frontier.take(1):
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 #: Minima of up to so many nodes, 16 bytes each, are broadcast.
 MOST_BROADCAST = 1_000_000
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.names import dn_parent, sid_domain, sid_rid
 from ..functions.predicates import values_of
 from ..functions.values import VALUE, attributes, with_attribute
-from .algorithms import reach
+from ..store import cut
+from .algorithms import reach, reach_states
 from .graph import find_one
 from .merge import collision_pairs
 
 
-
 def _edges(df: DataFrame, edge: str, prob: int = 100) -> DataFrame:
     return df.where("src <> dst").select("src", "dst", F.lit(edge).alias("edge_type"), F.lit(prob).alias("prob")).distinct()
 
@@ -54,15 +54,39 @@ def primary_groups(nodes: DataFrame) -> DataFrame:
     return _edges(asked.join(groups, "sid"), "MemberOfGroup")
 
 
-def policy_links(nodes: DataFrame, depth: int = 20) -> DataFrame:
-    """AffectedByGPO: machines below a container whose gPLink names the policy (option 0 or 2: enabled)."""
-    link = F.explode(F.regexp_extract_all(_first("gplink"), F.lit(r"\[LDAP://([^;\]]+;\d+)\]"), 1))
-    linked = nodes.select(F.col("node_id").alias("container"), link.alias("x")).select("container", F.split_part("x", F.lit(";"), F.lit(1)).alias("key"), F.split_part("x", F.lit(";"), F.lit(2)).cast("int").alias("option"))
-    linked = find_one(nodes, linked.where("option % 2 = 0"), "distinguishedname").select("container", F.col("node_id").alias("gpo"))
+#: Options of a link: disabled, and enforced even where inheritance is blocked. Fixed values of the format.
+LINK_DISABLED, LINK_ENFORCED = 1, 2
+
+
+def linked_policies(nodes: DataFrame) -> DataFrame:
+    """(container, gpo, enforced) of the links that are not disabled; a gPLink is a list of [LDAP://name;option]."""
+    listed = F.regexp_extract_all(F.trim(_first("gplink")), F.lit(r"(?i)\[LDAP://([^;\]]+;\d+)\]"), 1)
+    linked = nodes.select(F.col("node_id").alias("container"), F.explode(listed).alias("x"))
+    option = F.split_part("x", F.lit(";"), F.lit(2)).cast("int")
+    linked = linked.select("container", F.split_part("x", F.lit(";"), F.lit(1)).alias("key"), option.alias("option"))
+    live = linked.where(F.col("option").bitwiseAND(F.lit(LINK_DISABLED)) == 0)
+    enforced = (F.col("option").bitwiseAND(F.lit(LINK_ENFORCED)) != 0).alias("enforced")
+    return find_one(nodes, live, "distinguishedname").select("container", F.col("node_id").alias("gpo"), enforced)
+
+
+def policy_links(nodes: DataFrame) -> DataFrame:
+    """AffectedByGPO from policies to the machines whose account they apply to: those linked to a container above the
+    account, and above a container that blocks inheritance (gPOptions 1) only the enforced ones.
+
+    A machine's account is the only node with its domainJoinedSid. The walk upwards carries whether inheritance was blocked; it
+    begins at the containers that hold accounts, of which there are far fewer than accounts, and the machines of each come
+    in by one join at the end."""
+    machines = nodes.where("type = 'Machine'").select(F.col("node_id").alias("machine"), _first("domainjoinedsid").alias("key")).where("key is not null")
+    accounts = find_one(nodes, machines, "objectsid").select("machine", "node_id")
     up = nodes.where("parent_id is not null").select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
-    machines = nodes.where("type in ('Machine', 'Computer')").select("node_id")
-    above = reach(up, machines, depth).where("hops > 0").select("seed", F.col("node_id").alias("container"))
-    return _edges(linked.join(above, "container").select(F.col("gpo").alias("src"), F.col("seed").alias("dst")), "AffectedByGPO")
+    held = cut(accounts.join(up, accounts.node_id == up.src).select("machine", F.col("dst").alias("seed")), "held")
+    blocks = nodes.where(_first("gpoptions") == "1").select(F.col("node_id").alias("src"), F.lit(1).alias("blocks"))
+    steps = up.join(blocks, "src", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    seeds = held.select(F.col("seed").alias("node_id")).distinct().withColumn("state", F.lit(0))
+    above = reach_states(steps, seeds, lambda state: F.greatest(state, F.col("blocks")))
+    linked = linked_policies(nodes)
+    applied = above.join(linked, above.node_id == linked.container).where("state = 0 or enforced").select("seed", "gpo").distinct()
+    return _edges(held.join(applied, "seed").select(F.col("gpo").alias("src"), F.col("machine").alias("dst")), "AffectedByGPO")
 
 
 def parents_by_dn(nodes: DataFrame) -> DataFrame:
@@ -132,6 +156,65 @@ def machine_accounts(nodes: DataFrame, first_id: int) -> tuple[DataFrame, DataFr
     return new, _edges(ends, "AuthenticatesAs").union(_edges(ends, "MachineAccount"))
 
 
+#: Account flags and relative ids of domain controllers, and what built-in groups may do on them: fixed values.
+CONTROLLER, READ_ONLY_CONTROLLERS = 0x2000, 521
+ENTERPRISE_CONTROLLERS, AUTHENTICATED, EVERYONE = "S-1-5-9", "S-1-5-11", "S-1-1-0"
+CONTROLLER_GROUPS = {"S-1-5-32-544": "AdminRights", "S-1-5-32-555": "RDPRights", "S-1-5-32-562": "DCOMRights"}
+SYNC_POINT = "DCsync"
+
+
+def _machine_of(nodes: DataFrame, accounts: DataFrame) -> DataFrame:
+    """accounts (account, sid, ...) with the only machine of that domainJoinedSid."""
+    return find_one(nodes.where("type = 'Machine'"), accounts.withColumnRenamed("sid", "key"), "domainjoinedsid").withColumnRenamed("node_id", "machine")
+
+
+def _controllers(nodes: DataFrame) -> DataFrame:
+    flagged = nodes.where(values_of("useraccountcontrol")[0]["i"].bitwiseAND(F.lit(CONTROLLER)) != 0)
+    return flagged.select(F.col("node_id").alias("account"), _first("objectsid").alias("sid"), F.lower(_first("domaincontext")).alias("context"))
+
+
+def controller_rights(nodes: DataFrame) -> DataFrame:
+    """What follows from an account being a domain controller: the rights of built-in groups of its domain on its machine, its
+    membership in the enterprise's controllers, and Call to the service point of replication (of type CallableService)."""
+    found = cut(_controllers(nodes), "controllers")
+    groups = nodes.select(F.col("node_id").alias("group"), F.upper(_first("objectsid")).alias("group_sid"), F.lower(_first("domaincontext")).alias("context"))
+    groups = groups.where(F.col("group_sid").isin(*CONTROLLER_GROUPS, ENTERPRISE_CONTROLLERS))
+    single = cut(groups.groupBy("group_sid", "context").agg(F.min("group").alias("group"), F.count(F.lit(1)).alias("n")).where("n = 1"), "built-in")
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in CONTROLLER_GROUPS.items() for x in kv]), F.col("group_sid"))
+    on_machine = _machine_of(nodes, found).join(single.where(F.col("group_sid") != ENTERPRISE_CONTROLLERS), "context")
+    rights = on_machine.select(F.col("group").alias("src"), F.col("machine").alias("dst"), named.alias("edge_type"))
+    enterprise = single.where(F.col("group_sid") == ENTERPRISE_CONTROLLERS).select("context", F.col("group").alias("dst"))
+    member = found.join(enterprise, "context").select(F.col("account").alias("src"), "dst", F.lit("MemberOfGroup").alias("edge_type"))
+    point = nodes.where((F.col("type") == "CallableService") & (_first("name") == SYNC_POINT)).agg(F.min("node_id").alias("dst")).where("dst is not null")
+    call = found.join(F.broadcast(point)).select(F.col("account").alias("src"), "dst", F.lit("Call").alias("edge_type"))  # one row
+    return rights.union(member).union(call).where("src <> dst").distinct().withColumn("prob", F.lit(100))
+
+
+def controller_tags(nodes: DataFrame) -> DataFrame:
+    """nodes with role and hvt tags of machines whose account is a domain controller, or in the group of read-only ones."""
+    writable = _machine_of(nodes, _controllers(nodes)).select("machine", F.lit("role_domaincontroller").alias("tag"))
+    readers = nodes.where(values_of("primarygroupid")[0]["i"] == READ_ONLY_CONTROLLERS).where(values_of("useraccountcontrol").isNotNull())
+    readers = readers.select(F.col("node_id").alias("account"), _first("objectsid").alias("sid"))
+    readable = _machine_of(nodes, readers).select("machine", F.lit("role_readonly_domaincontroller").alias("tag"))
+    new = writable.union(readable).groupBy(F.col("machine").alias("node_id")).agg(F.collect_set("tag").alias("more"))
+    joined = nodes.join(new, "node_id", "left")
+    all_of = F.array_sort(F.array_union("tags", F.array_append("more", F.lit("hvt"))))
+    return joined.withColumn("tags", F.when(F.col("more").isNotNull(), all_of).otherwise(F.col("tags"))).drop("more")
+
+
+def broad_memberships(nodes: DataFrame) -> DataFrame:
+    """MemberOfGroup from a domain's accounts (not groups) to its Authenticated Users, and from those to Everyone; each domain
+    has its own node of the two, by domaincontext."""
+    low = lambda a: F.lower(_first(a))
+    broad = nodes.where(F.upper(_first("objectsid")).isin(AUTHENTICATED, EVERYONE)).select(F.upper(_first("objectsid")).alias("which"), low("domaincontext").alias("context"), "node_id")
+    one = broad.groupBy("context").agg(*[F.min(F.when(F.col("which") == sid, F.col("node_id"))).alias(name) for sid, name in ((AUTHENTICATED, "users"), (EVERYONE, "all"))])
+    one = cut(one, "broad")
+    roots = nodes.where("type = 'DomainDNS'").select(low("objectsid").alias("domain"), low("domaincontext").alias("context"))
+    accounts = nodes.where("type <> 'Group'").select("node_id", F.lower(sid_domain(_first("objectsid"))).alias("domain"))
+    inside = accounts.join(roots.join(one, "context"), "domain").select(F.col("node_id").alias("src"), F.col("users").alias("dst"))
+    return _edges(inside.union(one.select("users", "all")).where("src is not null and dst is not null"), "MemberOfGroup")
+
+
 def password_readers(granted: DataFrame, machine_edges: DataFrame, managed: DataFrame) -> DataFrame:
     """ReadLAPSPassword to the machines of managed accounts (node_id): whom access_edges() grants the password attributes of
     the account, as edges (src, dst)."""

@@ -14,6 +14,11 @@ from .tables import STEP, table
 #: Groups of a domain, by the market segment of their members.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 GROUP, MACHINE, POLICY, CROSS, SERVICE, TEMPLATE = 9 * STEP, 10 * STEP, 11 * STEP, 12 * STEP, 13 * STEP, 14 * STEP
+BUILT_IN, SYNC = 16 * STEP, 17 * STEP
+#: Policies of a domain, plain and enforced, stand behind those of its units.
+PLAIN, ENFORCED = POLICY + 1000, POLICY + 2000
+#: Groups and ids that each domain has, in the order of their nodes.
+BUILT_IN_SIDS = ("S-1-5-32-544", "S-1-5-32-555", "S-1-5-32-562", "S-1-5-9", "S-1-5-11", "S-1-1-0", "S-1-5-32-549", "S-1-5-32-551")
 #: Account flags: fixed values of the format.
 DISABLED, WORKSTATION, SERVER, NEVER_EXPIRES, DELEGATION, NO_PREAUTH, AUTH_DELEGATION = 0x2, 0x1000, 0x2000, 0x10000, 0x80000, 0x400000, 0x1000000
 
@@ -53,6 +58,9 @@ def directory(spark: SparkSession, d: str) -> DataFrame:
     unit = F.concat(F.lit("OU="), "n_name", F.lit(","), domain)
     policy_dn = F.concat(F.lit("CN=P"), "n_nationkey", F.lit(",CN=Policies,"), domain)
     link = F.concat(F.lit("[LDAP://"), policy_dn, F.lit(";"), F.when(F.col("n_nationkey") % 3 == 0, "1").otherwise("0"), F.lit("]"))
+    blocked = F.when(F.col("n_nationkey") % 4 == 1, F.lit("1"))  # such units keep out what is not enforced
+    wide_dn = lambda kind: F.concat(F.lit(f"CN={kind}"), "r_regionkey", F.lit(",CN=Policies,"), domain)
+    wide_link = F.concat(F.lit("[LDAP://"), wide_dn("PLAIN"), F.lit(";0][LDAP://"), wide_dn("FORCED"), F.lit(";2]"))
     people = table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
     hosts = table(spark, d, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
     k, s = F.col("c_custkey"), F.col("s_suppkey")
@@ -67,16 +75,18 @@ def directory(spark: SparkSession, d: str) -> DataFrame:
     up = F.when(F.col("g") > 0, group_dn(F.element_at(F.array(*[F.lit(x) for x in SEGMENTS]), F.col("g"))))
     group_rid = F.element_at(F.array(F.lit(512), F.lit(525), F.lit(1103), F.lit(551), F.lit(1105)), F.col("g") + 1)
     parts = [
-        _node(region, F.lit(STEP) + F.col("r_regionkey"), "DomainDNS", distinguishedname=text(domain), objectsid=text(domain_sid(F.col("r_regionkey"))), objectclass=text(F.lit("domainDNS")), domaincontext=text(domain)),
+        _node(region, F.lit(STEP) + F.col("r_regionkey"), "DomainDNS", distinguishedname=text(domain), objectsid=text(domain_sid(F.col("r_regionkey"))), objectclass=text(F.lit("domainDNS")), domaincontext=text(domain), gplink=text(wide_link)),
+        _node(region, F.lit(PLAIN) + F.col("r_regionkey"), "GroupPolicyContainer", distinguishedname=text(wide_dn("PLAIN"))),
+        _node(region, F.lit(ENFORCED) + F.col("r_regionkey"), "GroupPolicyContainer", distinguishedname=text(wide_dn("FORCED"))),
         _node(region, F.lit(CROSS) + F.col("r_regionkey"), "CrossRef", objectclass=text(F.lit("crossRef")), ncname=text(domain), netbiosname=text(F.col("r_name")), dnsroot=text(F.concat(F.lower("r_name"), F.lit(".example"))), distinguishedname=text(F.concat(F.lit("CN="), "r_name", F.lit(",CN=Partitions,DC=example")))),
         _node(region, F.lit(SERVICE) + F.col("r_regionkey"), "Container", distinguishedname=text(F.concat(F.lit("CN=AdminSDHolder,CN=System,"), domain)), domaincontext=text(domain)),
-        _node(places, F.lit(2 * STEP) + F.col("n_nationkey"), "OrganizationalUnit", distinguishedname=text(unit), gplink=text(link)),
+        _node(places, F.lit(2 * STEP) + F.col("n_nationkey"), "OrganizationalUnit", distinguishedname=text(unit), gplink=text(link), gpoptions=text(blocked)),
         _node(places, F.lit(POLICY) + F.col("n_nationkey"), "GroupPolicyContainer", distinguishedname=text(policy_dn)),
         _node(segments, group_id, "Group", distinguishedname=text(group_dn(F.col("segment"))), objectsid=text(F.concat(domain_sid(F.col("r_regionkey")), F.lit("-"), group_rid)), memberof=text(up), samaccountname=text(F.col("segment")), domaincontext=text(domain)),
         _node(
             people, F.lit(3 * STEP) + k, "User", distinguishedname=text(F.concat(F.lit("CN=U"), k, F.lit(","), unit)), objectsid=text(user_sid(F.col("r_regionkey"), k)),
             useraccountcontrol=("int", user_flags), serviceprincipalname=text(F.when(k % 4 == 0, F.concat(F.lit("http/u"), k))), memberof=text(group_dn(F.col("c_mktsegment"))),
-            samaccountname=text(F.concat(F.lit("U"), k)), name=text(F.col("c_name")),
+            samaccountname=text(F.concat(F.lit("U"), k)), name=text(F.col("c_name")), samaccounttype=("int", F.lit(805306368)),
         ),
         _node(
             hosts, F.lit(4 * STEP) + s, "Computer", distinguishedname=text(F.concat(F.lit("CN=S"), s, F.lit(","), unit)), objectsid=text(host_sid), dnshostname=text(host_name),
@@ -88,6 +98,17 @@ def directory(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def built_in(spark: SparkSession, d: str) -> DataFrame:
+    """The groups and ids that each domain has, and the service point of replication."""
+    region = table(spark, d, "region")
+    text = lambda c: ("string", c)
+    each = region.select("r_regionkey", "r_name", F.posexplode(F.array(*[F.lit(x) for x in BUILT_IN_SIDS])).alias("i", "sid"))
+    number = F.lit(BUILT_IN) + F.col("r_regionkey") * 100 + F.col("i")
+    groups = _node(each, number, "Group", objectsid=text(F.col("sid")), domaincontext=text(domain_dn(F.col("r_name"))), name=text(F.col("sid")), member=text(F.when(F.col("i") == 0, F.concat(F.lit(f"CN={SEGMENTS[0]},CN=Groups,"), domain_dn(F.col("r_name"))))))
+    point = _node(region.limit(1), F.lit(SYNC), "CallableService", name=text(F.lit("DCsync")))
+    return groups.unionByName(point.withColumn("tags", F.array(F.lit("hvt"))))
+
+
 #: Access masks of the orders' entries, by key modulo their number: all, change permissions, extended right, write property.
 ENTRY_MASKS = (0x000F01FF, 0x00040000, 0x00000100, 0x00000020, 0x00000120)
 PASSWORD, IDENTITIES, SET = "00299570-246d-11d0-a768-00aa006e0529", "00fbf30c-91fe-11d1-aebc-0000f80367c1", "e48d0154-bcf8-11d1-8702-00c04fb96050"
