@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lean
 from ._text import blocks
 
 # Symbols of the automaton. Each looks at most two code points ahead, so that no transition has to be taken back.
@@ -241,7 +242,7 @@ def _run(path: str | None, carry: list[str], ids_out: bool):
 def _apply(docs: DataFrame, path: str | None, carry: list[str], ids_out: bool, extra: str) -> DataFrame:
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
-    return rows.mapInArrow(_run(path, carry, ids_out), f"{schema}, n_tokens long, {extra}")
+    return rows.mapInArrow(lean(_run(path, carry, ids_out)), f"{schema}, n_tokens long, {extra}")
 
 
 def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.algorithms import components
-from ._store import partitions, saved
+from ._store import lean, partitions, saved
 from ._text import U, blocks, mixed, shingles, words
 
 WORDS = 5
@@ -156,7 +156,7 @@ def _order(counters: DataFrame, hot: int) -> Order:
     spark = counters.sparkSession
     dealt = counters.select("sig", "sketch").repartition(min(partitions(spark), (1 << COUNT_BITS) // COUNTERS_A_ROW), "sig").sortWithinPartitions("sig")
     count = np.zeros(1 << COUNT_BITS, np.uint64)
-    for r in dealt.mapInArrow(_added, "sig long, sketch binary").collect():
+    for r in dealt.mapInArrow(lean(_added), "sig long, sketch binary").collect():
         count[r["sig"] : r["sig"] + COUNTERS_A_ROW] = np.frombuffer(r["sketch"], np.uint64)
     return Order(count, hot)
 
@@ -420,7 +420,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, ord
     if n_pairs <= MOST_BROADCAST // 2:
         ends = F.broadcast(ends)
     involved = saved(classes.select("sig", F.col("first_id").alias("doc_id")).join(ends, "sig"), "involved")
-    sets = saved(rows.join(_small(involved.select("doc_id").distinct()), "doc_id").select("text").mapInArrow(_as_sets(size, order), "sig long, shingles binary"), "sets")
+    sets = saved(rows.join(_small(involved.select("doc_id").distinct()), "doc_id").select("text").mapInArrow(lean(_as_sets(size, order)), "sig long, shingles binary"), "sets")
     crowd = pairs.groupBy("a").agg(F.sum("nb").alias("m")).where(F.col("m") > CELL_SHINGLES)
     cell = F.expr(f"pmod(xxhash64(b), greatest(1, ceil(coalesce(m, 1) / {CELL_SHINGLES})))").cast("int")
     dealt = saved(pairs.join(crowd, "a", "left").withColumn("cell", cell).select("a", "cell", "b"), "dealt", n_pairs)
@@ -430,7 +430,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, ord
     side_b = sets.withColumnRenamed("sig", "b").join(dealt, "b").select("a", "cell", "b", "shingles")
     side_a = sets.withColumnRenamed("sig", "a").join(cells, "a").select("a", "cell", F.lit(None).cast("long").alias("b"), "shingles")
     met = side_b.unionByName(side_a).repartition(partitions(spark), "a", "cell").sortWithinPartitions("a", "cell", F.col("b").asc_nulls_first())
-    return met.mapInArrow(_verify, "a long, b long")
+    return met.mapInArrow(lean(_verify), "a long, b long")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -467,7 +467,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = rows.withColumn("content", F.xxhash64("text"))
-    everything = saved(marked.mapInArrow(_profile(size), "doc_id long, n long, sig long, sketch binary, content long"), "profile")
+    everything = saved(marked.mapInArrow(lean(_profile(size)), "doc_id long, n long, sig long, sketch binary, content long"), "profile")
     profile = everything.where("n >= 0")
     order = spark.sparkContext.broadcast(_order(everything.where("n < 0"), hot))
 
@@ -478,9 +478,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = saved(classes, "classes")
     posted = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     buckets = max(partitions(spark), -(-posted // BUCKET_POSTINGS))
-    postings = rows.mapInArrow(_prefixes(size, buckets, order), "bucket long, name binary, owner binary")
+    postings = rows.mapInArrow(lean(_prefixes(size, buckets, order)), "bucket long, name binary, owner binary")
     dealt = postings.repartitionById(partitions(spark), F.pmod("bucket", F.lit(partitions(spark))).cast("int")).sortWithinPartitions("bucket")
-    met = saved(dealt.mapInArrow(_meetings(buckets), "a long, b long, meeting long, n long, top long"), "meetings")
+    met = saved(dealt.mapInArrow(lean(_meetings(buckets)), "a long, b long, meeting long, n long, top long"), "meetings")
     named = rows.withColumn("doc_id", by_id)
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -488,7 +488,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         left, right = (classes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         n = pairs.count()
         asked = F.broadcast(pairs) if n <= MOST_BROADCAST else pairs
-        return saved(left.join(asked, "a").join(right, "b").mapInArrow(_possible, "a long, b long, nb long"), "pairs", n)
+        return saved(left.join(asked, "a").join(right, "b").mapInArrow(lean(_possible), "a long, b long, nb long"), "pairs", n)
 
     def linked(pairs: DataFrame) -> DataFrame:
         return _links(pairs, classes, named, size, order)
@@ -530,6 +530,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     connected = labelled.join(smallest, "component").select("sig", "component_id")
     copied = classes.where("copies > 1").join(label, classes.sig == label.id, "left_anti").select("sig", F.col("first_id").alias("component_id"))
     by_sig = saved(connected.union(copied), "members")
+    order.destroy()  # nothing that is read from here on needs it
     found = profile.join(by_sig, (profile.sig == by_sig.sig) & (profile.n > 0), "left")
     component = F.when(F.col("component_id") != nobody, F.col("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"), "content")

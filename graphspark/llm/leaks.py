@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lean
 from ._text import U, blocks, mixed, text_bytes, words
 
 #: A passage leaks when it is within this share of the item's bytes of the item, in edits.
@@ -367,6 +368,6 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         part = known if many == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k)
         got = part.orderBy("item_id", "text").toArrow()
         shared = spark.sparkContext.broadcast(Items(got.column("item_id").to_pylist(), got.column("text").to_pylist()))
-        found = rows.mapInArrow(_find(shared), "doc_id long, item_id long, edits int, about_start long, end long")
+        found = rows.mapInArrow(lean(_find(shared)), "doc_id long, item_id long, edits int, about_start long, end long")
         out = found if out is None else out.union(found)
     return out

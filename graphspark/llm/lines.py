@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import lean, saved
 
 MIN_SITES = 3
 LOG_K = 10  # a sketch has 2**LOG_K registers
@@ -137,8 +137,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     if found.count() <= most_broadcast:
         got = found.select("h", "first_doc").orderBy("h").toArrow()
         keys = got.column("h").to_numpy(), got.column("first_doc").to_numpy()
-        return rows.mapInArrow(_remove_listed(docs.sparkSession.sparkContext.broadcast(keys)), schema)
+        return rows.mapInArrow(lean(_remove_listed(docs.sparkSession.sparkContext.broadcast(keys))), schema)
     content = F.xxhash64("text").alias("content")
     lines = rows.select("key", content, F.explode(F.split("text", "\n")).alias("line")).select("key", "content", F.xxhash64("line").alias("h"))
     firsts = lines.distinct().join(found.select("h", "first_doc"), "h").groupBy("key", "content").agg(F.collect_list(F.struct("h", "first_doc")).alias("firsts"))
-    return rows.withColumn("content", content).join(firsts, ["key", "content"], "left").drop("content").mapInArrow(_remove_joined, schema)
+    return rows.withColumn("content", content).join(firsts, ["key", "content"], "left").drop("content").mapInArrow(lean(_remove_joined), schema)

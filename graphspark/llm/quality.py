@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import lean, saved
 from ._text import U, blocks, mixed, text_bytes, words
 
 #: Indicators are hashed to so many columns.
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     """
     chosen = labelled.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    made = some.mapInArrow(_featurise, "doc_id long, label int, found binary")
+    made = some.mapInArrow(lean(_featurise), "doc_id long, label int, found binary")
     one = saved(made.groupBy("doc_id").agg(F.min(F.struct("found", "label")).alias("x")).select("doc_id", "x.label", "x.found"), "indicators")
     upto = F.sum("many").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` narrow rows at most
     sized = one.select("doc_id", (F.octet_length("found") / 4).cast("long").alias("many")).withColumn("upto", upto)
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
-    return rows.mapInArrow(_scores(shared, carry), f"{schema}, score double")
+    return rows.mapInArrow(lean(_scores(shared, carry)), f"{schema}, score double")
