@@ -115,8 +115,19 @@ def some_machines(graph: g.PropertyGraph, n: int = 100) -> tuple[g.PropertyGraph
 
 
 # ---- the directory of the tables ----
+_ESTATES: dict[tuple[str, str], g.PropertyGraph] = {}
+
+
 def estate(spark: SparkSession, d: str) -> g.PropertyGraph:
-    """The directory with its built-in groups, machines and tags, and the edges that the rules and the access lists give."""
+    """The directory with its built-in groups, machines and tags, and the edges that the rules and the access lists give. It is
+    written once a session and folder of tables; several questions are asked of it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _ESTATES:
+        _ESTATES[key] = _estate(spark, d)
+    return _ESTATES[key]
+
+
+def _estate(spark: SparkSession, d: str) -> g.PropertyGraph:
     plain = rules.parents_by_dn(rules.domain_contexts(dr.directory(spark, d).unionByName(dr.built_in(spark, d))))
     plain = cut(with_attribute(plain, "dataloader", F.lit("Active Directory")), "estate")
     new, machine_edges = rules.machine_accounts(plain, dr.MACHINE)
