@@ -26,33 +26,52 @@ def _text(attr: str):
 
 
 # ---- access lists ----
-#: The rights that the orders' entries can grant; DSReplication ones on domains.
-_ASKED = ("GenericAll", "WriteDACL", "ResetPassword", "AllExtendedRights", "WriteAltSecIdent", "DSReplicationGetChanges", "DSReplicationGetChangesAll")
-_RIGHTS_SQL = ", ".join(
-    f"('{e}', {access.MASKS[m]}, {[guid, *([dr.SET] if guid == dr.IDENTITIES else [])] if guid else ['-']}, {list(t) or ['User', 'DomainDNS']})"
-    for e, t, m, guid in access.RIGHTS
-    if e in _ASKED
-)
-_ENTRIES = f"""ace AS (SELECT o_custkey AS obj, o_orderkey AS ord, o_orderstatus = 'P' AS deny, o_orderkey % 11 = 0 AS off, list_extract({list(dr.ENTRY_MASKS)}, CAST(o_orderkey % 5 + 1 AS INTEGER)) AS mask,
-        o_custkey - 1 - o_orderkey % 3 AS sid, CASE o_orderkey % 3 WHEN 1 THEN '{dr.PASSWORD}' WHEN 2 THEN '{dr.SET}' END AS kind, CASE WHEN o_custkey % 10 = 0 THEN 'DomainDNS' ELSE 'User' END AS type FROM orders),
-    asked AS (SELECT * FROM (VALUES {_RIGHTS_SQL}) v(edge_type, need, guids, types)),
-    fits AS (SELECT a.*, edge_type FROM ace a JOIN asked r ON (a.mask & r.need) = r.need AND NOT off AND (kind IS NULL OR list_contains(guids, kind)) AND list_contains(types, a.type)),
-    granted AS (SELECT DISTINCT sid, obj, edge_type FROM fits a WHERE NOT deny AND NOT EXISTS (SELECT 1 FROM fits d WHERE d.deny AND d.obj = a.obj AND d.sid = a.sid AND d.edge_type = a.edge_type AND d.ord < a.ord))"""
+#: What an entry must allow for each edge: bits, object types besides none, and the types of objects that it is asked of.
+_RIGHTS_SQL = """
+    ('GenericAll', 983551, [], []), ('WriteAll', 131112, [], []), ('WritePropertyAll', 32, [], []), ('WriteExtendedAll', 8, [], []), ('TakeOwnership', 524288, [], []),
+    ('WriteDACL', 262144, [], []), ('AllExtendedRights', 256, [], []), ('VoodooBit', 4096, [], []),
+    ('ResetPassword', 256, ['00299570-246d-11d0-a768-00aa006e0529'], ['User', 'Computer']),
+    ('WriteSPN', 32, ['f3a64788-5306-11d1-a9c5-0000f80367c1'], ['User']),
+    ('WriteValidatedSPN', 8, ['f3a64788-5306-11d1-a9c5-0000f80367c1'], ['User']),
+    ('WriteAllowedToAct', 32, ['3f78c3e5-f79a-46bd-a0b8-9d18116ddc79'], ['User', 'Computer']),
+    ('AddMember', 32, ['bf9679c0-0de6-11d0-a285-00aa003049e2'], ['Group']),
+    ('AddMemberGroupAttr', 32, ['bc0ac240-79a9-11d0-9020-00c04fc2d4cf'], ['Group']),
+    ('AddSelfMember', 8, ['bf9679c0-0de6-11d0-a285-00aa003049e2'], ['Group']),
+    ('WriteKeyCredentialLink', 32, ['5b47d60f-6090-40b2-9f37-2a4de88f3063'], ['User', 'Computer']),
+    ('WriteUserAccountControl', 32, ['bf967a68-0de6-11d0-a285-00aa003049e2'], ['User']),
+    ('WriteAltSecIdent', 32, ['00fbf30c-91fe-11d1-aebc-0000f80367c1', 'e48d0154-bcf8-11d1-8702-00c04fb96050'], ['User']),
+    ('WriteProfilePath', 32, ['bf967a05-0de6-11d0-a285-00aa003049e2'], ['User']),
+    ('WriteScriptPath', 32, ['bf9679a8-0de6-11d0-a285-00aa003049e2'], ['User']),
+    ('WriteAttrSecurityGUID', 32, ['bf967924-0de6-11d0-a285-00aa003049e2'], ['AttributeSchema']),
+    ('ReadPasswordId', 16, ['0e78295a-c6d3-0a40-b491-d62251ffa0a6'], ['GroupManagedServiceAccount']),
+    ('CertificateEnroll', 256, ['0e10c968-78fb-11d2-90d4-00c04f79dc55'], ['CertificateTemplate']), ('CertificateEnroll', 4096, [], ['CertificateTemplate']),
+    ('CertificateAutoEnroll', 256, ['a05b8cc2-17bc-4802-a710-e7c15ab866a2'], ['CertificateTemplate']), ('CertificateAutoEnroll', 4096, [], ['CertificateTemplate']),
+    ('DSReplicationGetChanges', 256, ['1131f6aa-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS']),
+    ('DSReplicationGetChangesAll', 256, ['1131f6ad-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS']),
+    ('DSReplicationGetChangesInFilteredSet', 256, ['89e95b76-444d-4c62-991a-0facbeda640c'], ['DomainDNS']),
+    ('DSReplicationSyncronize', 256, ['1131f6ab-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS'])"""
+_ENTRIES = f"""ace AS (
+        SELECT o_custkey AS obj, o_orderkey AS ord, o_orderstatus = 'P' AS deny, o_orderkey % 11 = 0 AS off,
+            list_extract({list(dr.ENTRY_MASKS)}, CAST(o_orderkey % {len(dr.ENTRY_MASKS)} + 1 AS INTEGER)) AS mask, o_custkey - 1 - o_orderkey % 3 AS sid,
+            CASE o_orderkey % 3 WHEN 1 THEN list_extract({list(dr.ENTRY_ABOUT)}, CAST(o_orderkey // 3 % {len(dr.ENTRY_ABOUT)} + 1 AS INTEGER)) WHEN 2 THEN 'e48d0154-bcf8-11d1-8702-00c04fb96050' END AS kind,
+            coalesce(list_extract({list(dr.LIST_TYPES)}, CAST(o_custkey % 10 + 1 AS INTEGER)), 'User') AS type FROM orders),
+    asked(edge_type, need, guids, types, r) AS (SELECT *, row_number() OVER () FROM (VALUES {_RIGHTS_SQL})),
+    fits AS (SELECT a.*, edge_type, r FROM ace a JOIN asked ON (a.mask & need) = need AND NOT off AND (kind IS NULL OR list_contains(guids, kind)) AND (len(types) = 0 OR list_contains(types, a.type))),
+    granted AS (SELECT DISTINCT sid, obj, edge_type FROM fits a WHERE NOT deny AND NOT EXISTS (SELECT 1 FROM fits d WHERE d.deny AND d.obj = a.obj AND d.sid = a.sid AND d.r = a.r AND d.ord < a.ord))"""
 
 
 def _access(spark, d) -> DataFrame:
-    schema = spark.createDataFrame([(dr.IDENTITIES, dr.SET), (dr.PASSWORD, None)], "guid string, set_guid string")
-    return access.access_edges(dr.access_lists(spark, d), dr.principals(spark, d), [r for r in access.RIGHTS if r[0] in _ASKED], schema)
+    return access.access_edges(dr.access_lists(spark, d), dr.principals(spark, d), schema=dr.attribute_sets(spark, d))
 
 
 @query(f"""WITH {_ENTRIES}, found AS (SELECT * FROM granted UNION SELECT sid, obj, 'ACLContainsDeny' FROM ace WHERE deny UNION SELECT o_custkey // 2, o_custkey, 'Owns' FROM orders)
     SELECT 3*{K}+sid AS src, 3*{K}+obj AS dst, edge_type FROM found WHERE sid >= 0 AND sid <> obj""")
 def acl_edges(spark, d):
-    """Grants by right, attribute or attribute set, unless an earlier entry denies the same id; owners, and denials."""
+    """All rights, by right, attribute or attribute set, unless an earlier entry denies the same id; owners, and denials."""
     return _access(spark, d).select("src", "dst", "edge_type")
 
 
-@query(f"WITH {_ENTRIES} SELECT 3*{K}+sid AS src, 3*{K}+obj AS dst FROM granted WHERE sid >= 0 AND edge_type LIKE 'DSRepl%' GROUP BY sid, obj HAVING count(DISTINCT edge_type) = 2")
+@query(f"WITH {_ENTRIES} SELECT 3*{K}+sid AS src, 3*{K}+obj AS dst FROM granted WHERE sid >= 0 AND edge_type IN ('DSReplicationGetChanges', 'DSReplicationGetChangesAll') GROUP BY sid, obj HAVING count(DISTINCT edge_type) = 2")
 def sync_rights(spark, d):
     return access.sync_rights(_access(spark, d)).select("src", "dst")
 

@@ -6,11 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACE = "struct<ord:int,type:int,aceflags:int,flags:int,mask:bigint,sid:string,object_type:string,inherited_object_type:string>"
+ACE = "struct<ord:int,type:int,aceflags:int,flags:int,mask:bigint,sid:string,object_type:string,inherited_object_type:string,condition:string>"
 DESCRIPTOR = f"struct<control:int,owner:string,grp:string,dacl:array<{ACE}>>"
 
 # Fixed values of the access-control format.
-ALLOWED, DENIED, ALLOWED_OBJECT, DENIED_OBJECT = 0, 1, 5, 6
+ALLOWED, DENIED, ALLOWED_OBJECT, DENIED_OBJECT, ALLOWED_IF = 0, 1, 5, 6, 9
+#: Entries that grant; one with a condition is taken to grant, as who holds may satisfy it.
+GRANTS, DENIALS = (ALLOWED, ALLOWED_OBJECT, ALLOWED_IF), (DENIED, DENIED_OBJECT)
 DACL_PROTECTED = 0x1000
 INHERIT_ONLY, INHERITED = 0x08, 0x10
 SELF = "S-1-5-10"  # an object's own id, which always has its rights
@@ -70,15 +72,11 @@ def ace_matches(ace: Column, mask: int, guid: str | None, class_guids: Column |
 def allowed_sids(dacl: Column, mask: int, guid: str | None = None, class_guids: Column | None = None, property_sets: tuple[str, ...] = ()) -> Column:
     """Distinct security ids that an entry allows the access and no earlier entry for the same id denies it."""
     fits = lambda a: ace_matches(a, mask, guid, class_guids, property_sets)
-    allow = F.filter(dacl, lambda a: a["type"].isin(ALLOWED, ALLOWED_OBJECT) & fits(a))
-    open_ones = F.filter(allow, lambda a: ~F.exists(dacl, lambda d: d["type"].isin(DENIED, DENIED_OBJECT) & (d["sid"] == a["sid"]) & (d["ord"] < a["ord"]) & fits(d)))
+    allow = F.filter(dacl, lambda a: a["type"].isin(*GRANTS) & fits(a))
+    open_ones = F.filter(allow, lambda a: ~F.exists(dacl, lambda d: d["type"].isin(*DENIALS) & (d["sid"] == a["sid"]) & (d["ord"] < a["ord"]) & fits(d)))
     return F.coalesce(F.array_distinct(F.transform(open_ones, lambda a: a["sid"])), F.array().cast("array<string>"))
 
 
-def _named(edge: str, sids: Column) -> Column:
-    return F.transform(sids, lambda s: F.struct(F.lit(edge).alias("edge_type"), s.alias("sid")))
-
-
 def property_sets_of(schema: DataFrame, guids: list[str]) -> dict[str, tuple[str, ...]]:
     """schema (guid, set_guid) of attributes -> the sets of each of a few guids."""
     low = schema.select(F.lower("guid").alias("guid"), F.lower("set_guid").alias("set_guid")).where("set_guid is not null")
@@ -86,26 +84,44 @@ def property_sets_of(schema: DataFrame, guids: list[str]) -> dict[str, tuple[str
     return {r["guid"]: tuple(r["sets"]) for r in rows}
 
 
+def decided(objects: DataFrame, rights, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(dst, sid, denies, r0, r1, ...) of the entries of objects (node_id, type, descriptor, class_guids): for each security id
+    an object's list names, whether it denies it anything, and for each right twice the place of the first entry that fits,
+    plus one where that denies; null where none fits.
+
+    An id has a right when a fitting entry allows it and no earlier one denies it, that is, when the first fitting entry
+    allows. So one pass over exploded entries is enough, whose minima for all rights are taken at once, in each task
+    before the shuffle; the work is in proportion to the entries, and a list of any length is many rows."""
+    entry = objects.select("node_id", "type", F.transform("class_guids", F.lower).alias("classes"), F.explode("descriptor.dacl").alias("a"))
+    a = F.col("a")
+    none = lambda c: c.isNull() | (c == NO_GUID)
+    flat = entry.where(a["type"].isin(*GRANTS, *DENIALS)).select(
+        F.col("node_id").alias("dst"), "type", a["sid"].alias("sid"), a["mask"].alias("mask"), F.lower(a["object_type"]).alias("object_type"), none(a["object_type"]).alias("any_type"),
+        a["type"].isin(*DENIALS).alias("denies"), (a["ord"].cast("long") * 2 + a["type"].isin(*DENIALS).cast("long")).alias("place"),
+        ((a["aceflags"].bitwiseAND(F.lit(INHERIT_ONLY)) == 0) & (none(a["inherited_object_type"]) | F.coalesce(F.array_contains("classes", F.lower(a["inherited_object_type"])), F.lit(False)))).alias("live"),
+    )
+    firsts = []
+    for i, (_, types, mask, guid) in enumerate(rights):
+        wanted = [g.lower() for g in (guid, *sets.get((guid or "").lower(), ())) if g]
+        named = F.col("any_type") | F.col("object_type").isin(*wanted) if wanted else F.col("any_type")
+        of_type = F.col("type").isin(*types) if types else F.lit(True)
+        fits = F.col("live") & of_type & (F.col("mask").bitwiseAND(F.lit(MASKS[mask])) == MASKS[mask]) & named
+        firsts.append(F.min(F.when(fits, F.col("place"))).alias(f"r{i}"))
+    return flat.groupBy("dst", "sid").agg(F.max("denies").alias("denies"), *firsts)
+
+
 def access_edges(objects: DataFrame, principals: DataFrame, rights=RIGHTS, schema: DataFrame | None = None) -> DataFrame:
     """objects (node_id, type, descriptor, class_guids), principals (node_id, sid) -> edges (src, dst, edge_type, prob).
 
     schema: (guid, set_guid) of attributes; an entry for an attribute's set grants the attribute too. All rights are
-    evaluated in one pass over the objects; security ids are then resolved by one join. An edge of a principal to itself,
-    and one between nodes of one security id, is not made."""
+    decided in one pass over the entries, see decided(); security ids are then resolved by one join. An edge of a principal
+    to itself, and one between nodes of one security id, is not made."""
     sets = property_sets_of(schema, sorted({g.lower() for *_, g in rights if g})) if schema is not None else {}
-    tests = []
-    for edge, types, mask, guid in rights:
-        of_type = F.col("type").isin(*types) if types else F.lit(True)
-        sids = allowed_sids(F.col("descriptor.dacl"), MASKS[mask], guid, F.col("class_guids"), sets.get((guid or "").lower(), ()))
-        tests.append(_named(edge, F.when(of_type, sids).otherwise(F.array().cast("array<string>"))))
-    nobody = F.array().cast("array<struct<edge_type:string,sid:string>>")
-    owned = F.array(F.struct(F.lit("Owns").alias("edge_type"), F.col("descriptor.owner").alias("sid")))
-    owner = F.when(F.col("descriptor.owner").isNotNull(), owned).otherwise(nobody)
-    denied = F.filter("descriptor.dacl", lambda a: a["type"].isin(DENIED, DENIED_OBJECT))
-    denies = F.transform(denied, lambda a: F.struct(F.lit("ACLContainsDeny").alias("edge_type"), a["sid"].alias("sid")))
-    all_of = F.array_distinct(F.concat(owner, F.coalesce(denies, nobody), *tests))
-    found = objects.select(F.col("node_id").alias("dst"), F.explode(all_of).alias("x")).select("dst", "x.*")
-    return resolved_edges(found, principals)
+    granted = [F.when(F.col(f"r{i}") % 2 == 0, F.lit(edge)) for i, (edge, *_) in enumerate(rights)]
+    names = F.array_distinct(F.array_compact(F.array(F.when(F.col("denies"), F.lit("ACLContainsDeny")), *granted)))
+    found = decided(objects, rights, sets).select("dst", F.explode(names).alias("edge_type"), "sid")
+    owners = objects.select(F.col("node_id").alias("dst"), F.lit("Owns").alias("edge_type"), F.col("descriptor.owner").alias("sid")).where("sid is not null")
+    return resolved_edges(found.union(owners), principals)
 
 
 def resolved_edges(found: DataFrame, principals: DataFrame) -> DataFrame:
@@ -133,7 +149,7 @@ def sync_rights(edges: DataFrame) -> DataFrame:
 
 def canonical_order(dacl: Column) -> Column:
     """Explicit denials, explicit grants, inherited denials, inherited grants; in their order within each, numbered anew."""
-    rank = lambda a: F.when(a["aceflags"].bitwiseAND(F.lit(INHERITED)) != 0, 2).otherwise(0) + F.when(a["type"].isin(DENIED, DENIED_OBJECT), 0).otherwise(1)
+    rank = lambda a: F.when(a["aceflags"].bitwiseAND(F.lit(INHERITED)) != 0, 2).otherwise(0) + F.when(a["type"].isin(*DENIALS), 0).otherwise(1)
     keyed = F.array_sort(F.transform(dacl, lambda a: F.struct(rank(a).alias("r"), a["ord"].alias("o"), a.alias("a"))), lambda x, y: F.when(x["r"] != y["r"], x["r"] - y["r"]).otherwise(x["o"] - y["o"]))
     return F.transform(keyed, lambda k, i: k["a"].withField("ord", i.cast("int")))
 
@@ -146,6 +162,105 @@ def _sid(raw: bytes, at: int) -> tuple[str | None, int]:
     return "-".join(map(str, ("S", raw[at], int.from_bytes(raw[at + 2 : at + 8], "big"), *subs))), at + 8 + 4 * n
 
 
+#: Codes of the byte code of conditions: names of attributes, literals, and operators with their number of operands. Fixed
+#: values of the format.
+NAMES = range(0xF8, 0xFC)
+INTEGER, TEXT, OCTETS, COMPOSITE, SID_LITERAL = 0x04, 0x10, 0x18, 0x50, 0x51
+OPERATORS = {
+    0x80: ("==", 2), 0x81: ("!=", 2), 0x82: (">", 2), 0x83: (">=", 2), 0x84: ("<", 2), 0x85: ("<=", 2),
+    0x86: ("Any_of", 2), 0x87: ("Contains", 2), 0x88: ("Member_of", 2), 0x8A: ("Exists", 1),
+}
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+
+
+def _quoted(text: str) -> str:
+    shown = (_ESCAPES.get(c) or (c if c.isprintable() else f"\\x{ord(c):02x}" if ord(c) < 0x80 else f"\\u{ord(c):04x}") for c in text)
+    return '"' + "".join(shown) + '"'
+
+
+class Malformed(ValueError):
+    pass
+
+
+class _Reader:
+    """Counted fields of a condition, one after the other."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def take(self, n: int) -> bytes:
+        if self.at + n > len(self.raw):
+            raise Malformed("a field goes beyond the end")
+        self.at += n
+        return self.raw[self.at - n : self.at]
+
+    def counted(self) -> bytes:
+        return self.take(int.from_bytes(self.take(4), "little"))
+
+    def text(self) -> str:
+        raw = self.counted()
+        if len(raw) % 2:
+            raise Malformed("a text of half a character")
+        return raw.decode("utf-16-le", "replace")
+
+    def literal(self, code: int) -> str | None:
+        """The literal that a code begins, in its text form; None of a code that begins none."""
+        if code == INTEGER:
+            value = int.from_bytes(self.take(8), "little", signed=True)
+            self.take(2)  # sign and base say how it was written
+            return str(value)
+        if code == TEXT:
+            return _quoted(self.text())
+        if code == OCTETS:
+            return "#" + self.counted().hex().upper()
+        if code == SID_LITERAL:
+            sid = _sid(self.counted() + b"", 0)[0]
+            if sid is None:
+                raise Malformed("a security id that is too short")
+            return f"SID({sid})"
+        if code == COMPOSITE:
+            inner, parts = _Reader(self.counted()), []
+            while inner.at < len(inner.raw):
+                kind = inner.take(1)[0]
+                if kind not in (TEXT, SID_LITERAL):  # others are shown as they stand
+                    parts.append("0x" + inner.raw[inner.at - 1 :].hex().upper())
+                    break
+                parts.append(inner.literal(kind))
+            return "{" + ",".join(parts) + "}"
+        return None
+
+
+def condition_text(raw: bytes) -> str:
+    """The expression of a conditional entry, from its byte code (postfix, behind the mark "artx", padded with zeros), in
+    infix form; Malformed where the code is not one expression."""
+    if raw[:4] != b"artx":
+        raise Malformed("no mark of a condition")
+    reader, stack = _Reader(raw), []
+    reader.at = 4
+    while reader.at < len(raw) and any(raw[reader.at :]):
+        code = reader.take(1)[0]
+        if code in NAMES:
+            stack.append(reader.text())
+        elif (shown := reader.literal(code)) is not None:
+            stack.append(shown)
+        else:
+            name, n = OPERATORS.get(code, (f"OP(0x{code:02X})", 0))
+            if len(stack) < n:
+                raise Malformed(f"{name} has too few operands")
+            operands = [stack.pop() for _ in range(n)][::-1]
+            stack.append(f"({operands[0]} {name} {operands[1]})" if n == 2 else f"{name}({operands[0]})" if n else name)
+    if len(stack) != 1:
+        raise Malformed(f"{len(stack)} expressions")
+    return stack[0]
+
+
+def _condition(raw: bytes) -> str | None:
+    try:
+        return condition_text(raw)
+    except Malformed:
+        return None
+
+
 def _guid(raw: bytes) -> str:
     import uuid
 
@@ -173,7 +288,9 @@ def _descriptor(raw: bytes | None) -> dict | None:
                     object_type, p = _guid(raw[p : p + 16]), p + 16
                 if flags & 2:
                     inherited, p = _guid(raw[p : p + 16]), p + 16
-            aces.append({"ord": ord_, "type": kind, "aceflags": raw[at + 1], "flags": flags, "mask": mask, "sid": _sid(raw, p)[0], "object_type": object_type, "inherited_object_type": inherited})
+            sid, after = _sid(raw, p)
+            condition = _condition(raw[after : at + size]) if kind == ALLOWED_IF else None
+            aces.append({"ord": ord_, "type": kind, "aceflags": raw[at + 1], "flags": flags, "mask": mask, "sid": sid, "object_type": object_type, "inherited_object_type": inherited, "condition": condition})
             at += size
     return {"control": word(2, 2), "owner": _sid(raw, owner)[0] if owner else None, "grp": _sid(raw, group)[0] if group else None, "dacl": aces}
 

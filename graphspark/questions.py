@@ -132,8 +132,7 @@ def _estate(spark: SparkSession, d: str) -> g.PropertyGraph:
     plain = cut(with_attribute(plain, "dataloader", F.lit("Active Directory")), "estate")
     new, machine_edges = rules.machine_accounts(plain, dr.MACHINE)
     nodes = cut(rules.controller_tags(rules.account_tags(plain, "2024-01-01").unionByName(new)), "estate")
-    schema = spark.createDataFrame([(dr.IDENTITIES, dr.SET), (dr.PASSWORD, None)], "guid string, set_guid string")
-    granted = access.access_edges(dr.access_lists(spark, d), dr.principals(spark, d), schema=schema)
+    granted = access.access_edges(dr.access_lists(spark, d), dr.principals(spark, d), schema=dr.attribute_sets(spark, d))
     made = [rules.memberships(nodes), rules.broad_memberships(nodes), rules.controller_rights(nodes), rules.policy_links(nodes), machine_edges, rules.update_servers(nodes), granted]
     edges = made[0]
     for more in made[1:]:

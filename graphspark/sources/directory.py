@@ -109,32 +109,51 @@ def built_in(spark: SparkSession, d: str) -> DataFrame:
     return groups.unionByName(point.withColumn("tags", F.array(F.lit("hvt"))))
 
 
-#: Access masks of the orders' entries, by key modulo their number: all, change permissions, extended right, write property.
-ENTRY_MASKS = (0x000F01FF, 0x00040000, 0x00000100, 0x00000020, 0x00000120)
+#: Access masks of the orders' entries, by key modulo their number.
+ENTRY_MASKS = (0x000F01FF, 0x00040000, 0x00000100, 0x00000020, 0x00000120, 0x00000008, 0x00000010, 0x00001000, 0x00080000)
 PASSWORD, IDENTITIES, SET = "00299570-246d-11d0-a768-00aa006e0529", "00fbf30c-91fe-11d1-aebc-0000f80367c1", "e48d0154-bcf8-11d1-8702-00c04fb96050"
+#: Rights and attributes that entries are about, by key.
+ENTRY_ABOUT = (
+    PASSWORD, "f3a64788-5306-11d1-a9c5-0000f80367c1", "3f78c3e5-f79a-46bd-a0b8-9d18116ddc79", "bf9679c0-0de6-11d0-a285-00aa003049e2", "bc0ac240-79a9-11d0-9020-00c04fc2d4cf",
+    "5b47d60f-6090-40b2-9f37-2a4de88f3063", "bf967a68-0de6-11d0-a285-00aa003049e2", "bf967a05-0de6-11d0-a285-00aa003049e2", "bf9679a8-0de6-11d0-a285-00aa003049e2",
+    "bf967924-0de6-11d0-a285-00aa003049e2", "0e78295a-c6d3-0a40-b491-d62251ffa0a6", "0e10c968-78fb-11d2-90d4-00c04f79dc55", "a05b8cc2-17bc-4802-a710-e7c15ab866a2",
+    "1131f6aa-9c07-11d1-f79f-00c04fc2dcd2", "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2", "89e95b76-444d-4c62-991a-0facbeda640c", "1131f6ab-9c07-11d1-f79f-00c04fc2dcd2",
+)
+#: Types of the objects of access_lists() by the last digit of their key; others are users.
+LIST_TYPES = ("DomainDNS", "Group", "Computer", "CertificateTemplate", "GroupManagedServiceAccount", "AttributeSchema")
 
 
 def access_lists(spark: SparkSession, d: str) -> DataFrame:
-    """(node_id, type, descriptor, class_guids) of the users: an entry for each order, in the order of keys.
+    """(node_id, type, descriptor, class_guids): an object for each customer with orders, an entry for each order, in the
+    order of keys.
 
     A pending order denies; the trustee is one of the three customers before the orderer's key; every eleventh entry is
-    inherit-only; of three entries one has no object type, one the password right and one an attribute set."""
+    inherit-only; of three entries one has no object type, one that of a right or attribute and one that of an attribute
+    set."""
     o, k = F.col("o_orderkey"), F.col("o_orderkey") % 3
     trustee = F.col("o_custkey") - 1 - k
     masks = F.array(*[F.lit(m).cast("bigint") for m in ENTRY_MASKS])
+    about = F.element_at(F.array(*[F.lit(x) for x in ENTRY_ABOUT]), (F.floor(o / 3) % len(ENTRY_ABOUT) + 1).cast("int"))
     kind = F.when(F.col("o_orderstatus") == "P", F.lit(1)).otherwise(F.lit(0)) + F.when(k > 0, F.lit(5)).otherwise(F.lit(0))
     entry = F.struct(
         o.cast("int").alias("ord"), kind.cast("int").alias("type"), F.when(o % 11 == 0, 8).otherwise(0).cast("int").alias("aceflags"), F.lit(0).alias("flags"),
         F.element_at(masks, (o % len(ENTRY_MASKS) + 1).cast("int")).alias("mask"), F.concat(F.lit("S-1-5-21-1-1-1-"), trustee).alias("sid"),
-        F.when(k == 1, F.lit(PASSWORD)).when(k == 2, F.lit(SET)).alias("object_type"), F.lit(None).cast("string").alias("inherited_object_type"),
+        F.when(k == 1, about).when(k == 2, F.lit(SET)).alias("object_type"), F.lit(None).cast("string").alias("inherited_object_type"),
     )
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("dacl"))
     owner = F.concat(F.lit("S-1-5-21-1-1-1-"), F.floor(F.col("o_custkey") / 2))
     descriptor = F.struct(F.lit(0x8004).alias("control"), owner.alias("owner"), F.lit(None).cast("string").alias("grp"), "dacl").alias("descriptor")
-    kind_of = F.when(F.col("o_custkey") % 10 == 0, "DomainDNS").otherwise("User").alias("type")
+    digit = F.col("o_custkey") % 10
+    kind_of = F.when(digit < len(LIST_TYPES), F.get(F.array(*[F.lit(t) for t in LIST_TYPES]), digit.cast("int"))).otherwise("User").alias("type")
     return lists.select((F.lit(3 * STEP) + F.col("o_custkey")).alias("node_id"), kind_of, descriptor, F.array(F.lit("bf967aba-0de6-11d0-a285-00aa003049e2")).alias("class_guids"))
 
 
+def attribute_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(guid, set_guid) of attributes that entries are about; one of them belongs to the set."""
+    rows = table(spark, d, "region").select(F.explode(F.array(F.lit(IDENTITIES), F.lit(PASSWORD))).alias("guid")).distinct()
+    return rows.select("guid", F.when(F.col("guid") == IDENTITIES, F.lit(SET)).alias("set_guid"))
+
+
 def principals(spark: SparkSession, d: str) -> DataFrame:
     """(node_id, sid) of the trustees of access_lists()."""
     k = F.col("c_custkey")

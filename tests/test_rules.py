@@ -257,3 +257,60 @@ def test_names(spark):
     assert r["up"] == "OU=x,DC=y" and r["suffix"] == "y.z"
     one = spark.range(1).select(attributes(a=("string", F.lit("x"))).alias("attrs")).select(names.primary_id().alias("p"), names.label().alias("l")).first()
     assert one["p"] is None and one["l"] is None
+
+
+def test_minima_decide_as_entries_in_order_do(spark):
+    """All rights of random lists, against the entries taken one after the other."""
+    import random
+
+    rng = random.Random(7)
+    about = [None, *{g for *_, g in access.RIGHTS if g}]
+    masks = [*access.MASKS.values(), 0x120, 0x30]
+    rows, want = [], set()
+    for n in range(120):
+        kind = rng.choice(["User", "Group", "DomainDNS", "CertificateTemplate"])
+        entries = [(i, rng.choice([0, 1, 5, 6, 9, 2]), rng.choice([0, 0, 8]), 0, rng.choice(masks), rng.choice("xyz"), rng.choice(about), rng.choice([None, None, "C1", "c2"]), None) for i in range(rng.randint(0, 12))]
+        rows.append((n, kind, (0, None, None, entries), ["c1"]))
+        for edge, types, mask, guid in access.RIGHTS:
+            for sid in "xyz":
+                for _, t, flags, _, m, s, o, inherited, _ in entries if not types or kind in types else ():
+                    if s == sid and t in (0, 1, 5, 6, 9) and not flags & 8 and m & access.MASKS[mask] == access.MASKS[mask] and (o is None or o == guid) and (inherited is None or inherited.lower() == "c1"):
+                        if t not in (1, 6):
+                            want.add((ord(sid), n, edge))
+                        break
+        want |= {(ord(e[5]), n, "ACLContainsDeny") for e in entries if e[1] in (1, 6)}
+    objects = spark.createDataFrame(rows, f"node_id long, type string, descriptor {access.DESCRIPTOR}, class_guids array<string>")
+    who = spark.createDataFrame([(ord(s), s) for s in "xyz"], "node_id long, sid string")
+    assert pairs(access.access_edges(objects, who)) == want and len(want) > 100
+    one = objects.select("node_id", F.explode(access.allowed_sids(F.col("descriptor.dacl"), access.MASKS["WRITE_DACL"], None, F.col("class_guids"))).alias("s")).collect()
+    assert {(ord(r["s"]), r["node_id"], "WriteDACL") for r in one} == {e for e in want if e[2] == "WriteDACL"}
+
+
+def test_conditions(spark):
+    """The byte code of conditional entries in infix form; what is no single expression has none."""
+    name = lambda t, code=0xF8: bytes([code]) + struct.pack("<I", 2 * len(t)) + t.encode("utf-16-le")
+    text = lambda t: name(t, 0x10)
+    number = lambda n: b"\x04" + struct.pack("<q", n) + b"\x01\x02"
+    counted = lambda code, raw: bytes([code]) + struct.pack("<I", len(raw)) + raw
+    sid = counted(0x51, sid_bytes("S-1-5-32-544"))
+    cases = [
+        (name("Level") + number(-3) + b"\x83", "(Level >= -3)"),
+        (name("Title", 0xFB) + text('a"b\n') + b"\x80\0\0", '(Title == "a\\"b\\n")'),
+        (name("d") + b"\x8a", "Exists(d)"),
+        (name("g") + counted(0x50, sid + text("é")) + b"\x88", '(g Member_of {SID(S-1-5-32-544),"é"})'),
+        (name("g") + counted(0x50, number(1)) + b"\x86", "(g Any_of {0x0401000000000000000102})"),
+        (counted(0x18, b"\x01\xff") + sid + b"\x81", "(#01FF != SID(S-1-5-32-544))"),
+        (b"\xa0", "OP(0xA0)"),
+    ]
+    for raw, want in cases:
+        assert access.condition_text(b"artx" + raw) == want
+    for wrong in (b"", b"abcd" + cases[0][0], b"artx", b"artx" + name("a") + name("b"), b"artx\x80", b"artx" + name("abc")[:-2], b"artx\x10\x03\0\0\0abc", b"artx\x51\x02\0\0\0ab", b"artx\x04\0"):
+        with pytest.raises(access.Malformed):
+            access.condition_text(wrong)
+    body = struct.pack("<I", 0x40000) + sid_bytes(A) + b"artx" + cases[0][0]
+    raw = descriptor(C, [struct.pack("<BBH", 9, 0, 4 + len(body)) + body, ace(0, 0, 0x100, B)])
+    df = objects_of(spark, [(10, "User", raw, [])])
+    first, second = df.select("descriptor.dacl").first()[0]
+    assert (first["type"], first["sid"], first["condition"]) == (9, A, "(Level >= -3)") and (second["sid"], second["condition"]) == (B, None)
+    who = spark.createDataFrame([(1, A)], "node_id long, sid string")
+    assert pairs(access.access_edges(df, who)) == {(1, 10, "WriteDACL")}
