@@ -46,10 +46,10 @@ _RIGHTS_SQL = """
     ('ReadPasswordId', 16, ['0e78295a-c6d3-0a40-b491-d62251ffa0a6'], ['GroupManagedServiceAccount']),
     ('CertificateEnroll', 256, ['0e10c968-78fb-11d2-90d4-00c04f79dc55'], ['CertificateTemplate']), ('CertificateEnroll', 4096, [], ['CertificateTemplate']),
     ('CertificateAutoEnroll', 256, ['a05b8cc2-17bc-4802-a710-e7c15ab866a2'], ['CertificateTemplate']), ('CertificateAutoEnroll', 4096, [], ['CertificateTemplate']),
-    ('DSReplicationGetChanges', 256, ['1131f6aa-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS']),
-    ('DSReplicationGetChangesAll', 256, ['1131f6ad-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS']),
-    ('DSReplicationGetChangesInFilteredSet', 256, ['89e95b76-444d-4c62-991a-0facbeda640c'], ['DomainDNS']),
-    ('DSReplicationSyncronize', 256, ['1131f6ab-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS'])"""
+    ('DSReplGetChngs', 256, ['1131f6aa-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS']),
+    ('DSReplGetChngsAll', 256, ['1131f6ad-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS']),
+    ('DSReplGetChngsInFiltSet', 256, ['89e95b76-444d-4c62-991a-0facbeda640c'], ['DomainDNS']),
+    ('DSReplSync', 256, ['1131f6ab-9c07-11d1-f79f-00c04fc2dcd2'], ['DomainDNS'])"""
 _ENTRIES = f"""ace AS (
         SELECT o_custkey AS obj, o_orderkey AS ord, o_orderstatus = 'P' AS deny, o_orderkey % 11 = 0 AS off,
             list_extract({list(dr.ENTRY_MASKS)}, CAST(o_orderkey % {len(dr.ENTRY_MASKS)} + 1 AS INTEGER)) AS mask, o_custkey - 1 - o_orderkey % 3 AS sid,
@@ -71,7 +71,7 @@ def acl_edges(spark, d):
     return _access(spark, d).select("src", "dst", "edge_type")
 
 
-@query(f"WITH {_ENTRIES} SELECT 3*{K}+sid AS src, 3*{K}+obj AS dst FROM granted WHERE sid >= 0 AND edge_type IN ('DSReplicationGetChanges', 'DSReplicationGetChangesAll') GROUP BY sid, obj HAVING count(DISTINCT edge_type) = 2")
+@query(f"WITH {_ENTRIES} SELECT 3*{K}+sid AS src, 3*{K}+obj AS dst FROM granted WHERE sid >= 0 AND edge_type IN ('DSReplGetChngs', 'DSReplGetChngsAll') GROUP BY sid, obj HAVING count(DISTINCT edge_type) = 2")
 def sync_rights(spark, d):
     return access.sync_rights(_access(spark, d)).select("src", "dst")
 
@@ -216,24 +216,61 @@ def collisions(spark, d):
 
 
 # ---- probability, tags, limits ----
-@query(f"""SELECT src, dst, edge_type, CASE edge_type WHEN 'HasSPN' THEN CASE WHEN dst % 2 = 0 THEN 0 ELSE 50 END WHEN 'ResetPassword' THEN CASE WHEN dst % 2 = 0 AND dst % 3 > 0 THEN 0 ELSE 100 END WHEN 'WriteUserAccountControl' THEN 50 WHEN 'WriteAll' THEN 0 ELSE 100 END AS prob
-    FROM (SELECT 7 AS src, 3*{K}+c_custkey AS dst, unnest(['ResetPassword', 'Owns', 'WriteAll']) AS edge_type FROM customer UNION ALL SELECT 7, 3*{K}+c_custkey, 'HasSPN' FROM customer WHERE c_custkey % 4 < 2 UNION ALL SELECT 7, 3*{K}+c_custkey, 'WriteUserAccountControl' FROM customer WHERE c_custkey % 3 = 0)""")
+#: Edge types that the two queries below lay, one after the other, from a node to the customers.
+_TYPES = """ACLContainsDeny AddMember AddMemberGroupAttr AddSelfMember AdminRights AffectedByGPO AllExtendedRights AuthenticatesAs AutoAdminLogonCreds Call
+    CertificateAutoEnroll CertificateEnroll ConstrainedDeleg ContainsSensitiveData Controls ControlsUpdates CreateService DCOMRights DSReplGetChngs DSReplGetChngsAll
+    DSReplGetChngsInFiltSet DSReplSync DirCreate DontReqPreauth Executes ExposesPassword FSPartOfGPO FileCreate FileModifyDACL FileRead FileTakeOwnership FileWrite
+    ForeignIdentity GenericAll HasMSA HasSPN Hosts InheritsSecurity MachineAccount MachineScript MemberOfGroup MemberOfGroupIndirect OverwritesACL Owns PartOfGPO
+    Publishes RBConstrainedDeleg RDPRights ReadGMSAPassword ReadLAPSPassword ReadPasswordId ReadSensitiveData RegistryModifyDACL RegistryModifyOwner RegistryOwns
+    RegistryWrite ResetPassword SIDCollision SIDHistoryEquality SMSAdmins SchedTaskOnUNCPath SeAssignPrimaryToken SeBackupPrivilege SeCreateToken SeDebug SeImpersonate
+    SeLoadDriver SeManageVolume SeNetworkLogonRight SeRestorePrivilege SeTakeOwnership SeTakeOwnershipPrivilege SeTcb SeTrustedCredManAccess ServiceModify Session
+    SessionBatch SessionLocal SessionNetwork SessionNetworkKerberos SessionNetworkNTLM SessionNetworkNTLMV2 SessionNetworkNegotiate SessionNetworkPlaintext SessionRDP
+    SessionService Shares SvcAccntCreds TakeOwnership VoodooBit WriteAll WriteAllowedToAct WriteAllowedToDelegTo WriteAltSecIdent WriteAttrSecurityGUID WriteDACL
+    WriteExtendedAll WriteKeyCredentialLink WriteProfilePath WritePropertyAll WriteSPN WriteScriptPath WriteUserAccountControl WriteValidatedSPN""".split()
+
+
+def _typed_edges(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.floor(k / 2) % len(_TYPES) + 1).cast("int"))
+    made = F.array_distinct(F.array_compact(F.array(kind, F.when(k % 3 == 0, F.lit("WriteUserAccountControl")))))
+    return table(spark, d, "customer").select(F.lit(7).cast("bigint").alias("src"), (F.lit(3 * K) + k).alias("dst"), F.explode(made).alias("edge_type"), F.lit(100).alias("prob"))
+
+
+_TYPED_SQL = f"""typed AS (SELECT c_custkey AS k, list_extract({_TYPES}, CAST(c_custkey // 2 % {len(_TYPES)} + 1 AS INTEGER)) AS edge_type FROM customer
+    UNION SELECT c_custkey, 'WriteUserAccountControl' FROM customer WHERE c_custkey % 3 = 0)"""
+
+
+@query(f"""WITH {_TYPED_SQL}, pairs AS (SELECT *, k % 2 = 1 AS enabled, bool_or(edge_type = 'WriteUserAccountControl') OVER (PARTITION BY k) AS enables FROM typed)
+    SELECT 7 AS src, 3*{K}+k AS dst, edge_type, CASE
+        WHEN edge_type IN ('ResetPassword', 'WriteAltSecIdent', 'WriteKeyCredentialLink') THEN CASE WHEN enabled OR enables THEN 100 ELSE 0 END
+        WHEN edge_type IN ('Session', 'SessionNetworkPlaintext') THEN CASE WHEN enabled OR enables THEN 80 ELSE 0 END
+        WHEN edge_type = 'SessionLocal' THEN CASE WHEN enabled OR enables THEN 55 ELSE 0 END
+        WHEN edge_type = 'SMSAdmins' THEN CASE WHEN enabled OR enables THEN 50 ELSE 0 END
+        WHEN edge_type IN ('RDPRights', 'DCOMRights', 'SessionRDP', 'SessionService', 'SessionBatch', 'SessionNetwork', 'SessionNetworkNTLM') THEN CASE WHEN enabled OR enables THEN 30 ELSE 0 END
+        WHEN edge_type IN ('SessionNetworkNTLMV2', 'SessionNetworkKerberos', 'SessionNetworkNegotiate') THEN CASE WHEN enabled OR enables THEN 20 ELSE 0 END
+        WHEN edge_type IN ('HasSPN', 'DontReqPreauth', 'WriteSPN', 'WriteValidatedSPN') THEN CASE WHEN enabled THEN 50 ELSE 0 END
+        WHEN edge_type IN ('ACLContainsDeny', 'AllExtendedRights', 'WriteAll', 'WritePropertyAll', 'WriteExtendedAll', 'WriteAttrSecurityGUID', 'SIDCollision') OR edge_type LIKE 'DSRepl%' THEN 0
+        WHEN edge_type = 'MachineAccount' THEN -1 WHEN edge_type = 'ReadPasswordId' THEN 5 WHEN edge_type = 'SeNetworkLogonRight' THEN 10 WHEN edge_type = 'SeImpersonate' THEN 20
+        WHEN edge_type = 'WriteUserAccountControl' THEN 50 ELSE 100 END AS prob FROM pairs""")
 def prob_conditional(spark, d):
-    """Probabilities that depend on the target's tags and on the pair's other edges."""
+    """Probabilities of all edge types, which depend on the target's tags and on the pair's other edges."""
     n = rules.account_tags(dr.directory(spark, d).where("type = 'User'"), "2024-01-01")
-    k = F.col("c_custkey")
-    types = F.array_compact(F.array(F.lit("ResetPassword"), F.lit("Owns"), F.lit("WriteAll"), F.when(k % 4 < 2, "HasSPN"), F.when(k % 3 == 0, "WriteUserAccountControl")))
-    e = table(spark, d, "customer").select(F.lit(7).cast("bigint").alias("src"), (F.lit(3 * K) + k).alias("dst"), F.explode(types).alias("edge_type"), F.lit(100).alias("prob"))
-    return probability.rated(e, n)
+    return probability.rated(_typed_edges(spark, d), n)
 
 
-@query(f"SELECT 7 AS src, 3*{K}+c_custkey AS dst FROM customer WHERE c_custkey % 2 = 0")
+@query(f"""WITH {_TYPED_SQL} SELECT 7 AS src, 3*{K}+k AS dst, count(*) AS n FROM typed WHERE edge_type IN (
+        'AddMember', 'AddMemberGroupAttr', 'AddSelfMember', 'AdminRights', 'AffectedByGPO', 'AutoAdminLogonCreds', 'CreateService', 'DCOMRights', 'DontReqPreauth', 'ExposesPassword',
+        'FileModifyDACL', 'FileTakeOwnership', 'HasSPN', 'MachineScript', 'Owns', 'PartOfGPO', 'RDPRights', 'ReadGMSAPassword', 'ReadLAPSPassword', 'ResetPassword', 'SIDHistoryEquality',
+        'SchedTaskOnUNCPath', 'SvcAccntCreds', 'TakeOwnership') OR edge_type LIKE 'Session%'
+        OR (edge_type LIKE 'Se%' AND edge_type NOT IN ('SeBackupPrivilege', 'SeRestorePrivilege', 'SeTakeOwnershipPrivilege', 'SeNetworkLogonRight', 'ServiceModify'))
+        OR (edge_type LIKE 'Write%' AND edge_type NOT IN ('WriteAll', 'WritePropertyAll', 'WriteExtendedAll', 'WriteAttrSecurityGUID'))
+    GROUP BY k""")
 def edge_tagged(spark, d):
-    """Steps over edges of a tag: Owns is one to pivot over, WriteAll is informative alone."""
-    k = F.col("c_custkey")
-    e = table(spark, d, "customer").select(F.lit(7).cast("bigint").alias("src"), (F.lit(3 * K) + k).alias("dst"), F.when(k % 2 == 0, "Owns").otherwise("WriteAll").alias("edge_type"), F.lit(100).alias("prob"))
+    """Steps over edges with the tag of those to pivot over, among edges of all types."""
+    e = _typed_edges(spark, d)
     n = e.select(F.col("dst").alias("node_id")).union(e.select("src")).distinct()
-    return paths.match(g.PropertyGraph(n, e), Pattern((Node(p.node_id("=", 7)), Edge(tagged("Pivot")), Node()))).edges.select("src", "dst")
+    found = paths.match(g.PropertyGraph(n, e), Pattern((Node(p.node_id("=", 7)), Edge(tagged("Pivot")), Node()))).edges
+    return found.select("src", "dst", F.size("edge_types").cast("long").alias("n"))
 
 
 @query(f"SELECT src, dst FROM ({EDGE_SQL['InNation']})")

@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A component of a distinguished name: a backslash escapes what follows it, itself too.
+_COMPONENT = r"(?:[^,\\]|\\.)*"
+
+
+def dn_parts(dn: Column) -> Column:
+    """The components, which commas separate that no backslash escapes."""
+    return F.regexp_extract_all(dn, F.lit(rf"(?:^|,)({_COMPONENT})"), 1)
+
+
 def dn_parent(dn: Column) -> Column:
     """What follows the first comma that no backslash escapes; null where there is none."""
-    return F.when(dn.rlike(r"(?<!\\),"), F.regexp_replace(dn, r"^(?:[^,\\]|\\.)*,", ""))
+    return F.when(dn.rlike(rf"^{_COMPONENT},"), F.regexp_replace(dn, rf"^{_COMPONENT},", ""))
 
 
 def dn_domain(dn: Column) -> Column:
     """The DC components, in order."""
-    parts = F.filter(F.split(dn, r"(?<!\\),"), lambda p: F.upper(F.trim(p)).startswith("DC="))
+    parts = F.filter(dn_parts(dn), lambda p: F.upper(F.trim(p)).startswith("DC="))
     return F.array_join(F.transform(parts, F.trim), ",")
 
 
@@ -31,6 +40,24 @@ def sid_domain(sid: Column) -> Column:
     return F.array_join(F.slice(parts, 1, F.size(parts) - 1), "-")
 
 
+def binary_sid(raw: Column) -> Column:
+    """The text of a security id in its binary form: revision, number of sub-authorities, a big-endian authority of six bytes
+    and little-endian sub-authorities of four; null where bytes are missing."""
+    h = F.hex(raw)
+    number = lambda at, n: F.conv(F.substring(h, 2 * at + 1, 2 * n), 16, 10)
+    count = number(1, 1).cast("int")
+    pair = lambda at: h.substr(at * 2 + 1, F.lit(2))
+    word = lambda i: F.conv(F.concat(*[pair(i * 4 + (8 + k)) for k in (3, 2, 1, 0)]), 16, 10)
+    subs = F.transform(F.sequence(F.lit(0), count - 1), word)
+    text = F.concat_ws("-", F.lit("S"), number(0, 1), number(2, 6), F.when(count > 0, F.array_join(subs, "-")))
+    return F.when((F.octet_length(raw) >= 8) & (F.octet_length(raw) >= count * 4 + 8), text)
+
+
+def plain_guid(hexed: Column) -> Column:
+    """32 hex digits of a GUID's bytes, in the order in which they stand."""
+    return F.lower(F.concat_ws("-", *[hexed.substr(a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+
+
 def service_sid(name: Column) -> Column:
     """S-1-5-80 and the five little-endian words of the SHA-1 of the upper-case name in UTF-16LE."""
     h = F.sha1(F.encode(F.upper(name), "UTF-16LE"))

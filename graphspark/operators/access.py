@@ -50,10 +50,10 @@ RIGHTS = [
     ("CertificateAutoEnroll", ("CertificateTemplate",), "DS_CONTROL_ACCESS", "a05b8cc2-17bc-4802-a710-e7c15ab866a2"),
     ("CertificateAutoEnroll", ("CertificateTemplate",), "DS_VOODOO_BIT", None),
     ("VoodooBit", (), "DS_VOODOO_BIT", None),
-    ("DSReplicationGetChanges", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6aa-9c07-11d1-f79f-00c04fc2dcd2"),
-    ("DSReplicationGetChangesAll", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2"),
-    ("DSReplicationGetChangesInFilteredSet", ("DomainDNS",), "DS_CONTROL_ACCESS", "89e95b76-444d-4c62-991a-0facbeda640c"),
-    ("DSReplicationSyncronize", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6ab-9c07-11d1-f79f-00c04fc2dcd2"),
+    ("DSReplGetChngs", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6aa-9c07-11d1-f79f-00c04fc2dcd2"),
+    ("DSReplGetChngsAll", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2"),
+    ("DSReplGetChngsInFiltSet", ("DomainDNS",), "DS_CONTROL_ACCESS", "89e95b76-444d-4c62-991a-0facbeda640c"),
+    ("DSReplSync", ("DomainDNS",), "DS_CONTROL_ACCESS", "1131f6ab-9c07-11d1-f79f-00c04fc2dcd2"),
 ]
 
 
@@ -143,7 +143,7 @@ def descriptor_grants(objects: DataFrame, principals: DataFrame, column: str, ed
 
 def sync_rights(edges: DataFrame) -> DataFrame:
     """DCsync edges: principals with both Get-Changes and Get-Changes-All on a domain."""
-    both = edges.where(F.col("edge_type").isin("DSReplicationGetChanges", "DSReplicationGetChangesAll")).groupBy("src", "dst").agg(F.count_distinct("edge_type").alias("n")).where("n = 2")
+    both = edges.where(F.col("edge_type").isin("DSReplGetChngs", "DSReplGetChngsAll")).groupBy("src", "dst").agg(F.count_distinct("edge_type").alias("n")).where("n = 2")
     return both.select("src", "dst", F.lit("DCsync").alias("edge_type"), F.lit(100).alias("prob"))
 
 

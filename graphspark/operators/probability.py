@@ -9,11 +9,16 @@ from ..functions.predicates import values_of
 
 # What an edge of a type leads on with, if nothing else is known; others 100.
 FIXED = {
-    "ACLContainsDeny": 0, "AllExtendedRights": 0, "DCOMRights": 30, "DSReplicationGetChanges": 0, "DSReplicationGetChangesAll": 0,
-    "DSReplicationGetChangesInFilteredSet": 0, "DSReplicationSyncronize": 0, "MachineAccount": -1, "RDPRights": 30, "ReadPasswordId": 5, "SessionService": 30,
-    "WriteAll": 0, "WriteAttrSecurityGUID": 0, "WriteExtendedAll": 0, "WritePropertyAll": 0, "WriteUserAccountControl": 50,
+    "ACLContainsDeny": 0, "AllExtendedRights": 0, "DSReplGetChngs": 0, "DSReplGetChngsAll": 0, "DSReplGetChngsInFiltSet": 0, "DSReplSync": 0,
+    "MachineAccount": -1, "ReadPasswordId": 5, "SIDCollision": 0, "SeImpersonate": 20, "SeNetworkLogonRight": 10, "WriteAll": 0, "WriteAttrSecurityGUID": 0,
+    "WriteExtendedAll": 0, "WritePropertyAll": 0, "WriteUserAccountControl": 50,
+}
+#: A disabled user is of no use, unless the pair can enable it: 0 there.
+ENABLED_USER = {
+    "DCOMRights": 30, "RDPRights": 30, "ResetPassword": 100, "SMSAdmins": 50, "Session": 80, "SessionBatch": 30, "SessionLocal": 55, "SessionNetwork": 30,
+    "SessionNetworkKerberos": 20, "SessionNetworkNTLM": 30, "SessionNetworkNTLMV2": 20, "SessionNetworkNegotiate": 20, "SessionNetworkPlaintext": 80,
+    "SessionRDP": 30, "SessionService": 30, "WriteAltSecIdent": 100,
 }
-ENABLED_USER = ("ResetPassword", "WriteAltSecIdent")  # a disabled user is of no use, unless the pair can enable it
 ENABLED = ("WriteKeyCredentialLink",)
 GUESSED = ("DontReqPreauth", "HasSPN", "WriteSPN", "WriteValidatedSPN")  # a password has to be guessed: the older the easier
 HOURS_OF_TEN_YEARS = 24 * 365 * 10
@@ -36,9 +41,10 @@ def rated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     on, enables = F.coalesce("on", F.lit(False)), F.coalesce("enables", F.lit(False))
     not_user = F.coalesce(F.col("kind") != "User", F.lit(True))
     t = F.col("edge_type")
-    fixed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FIXED.items() for x in kv]), t), F.lit(100))
+    number = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), t)
+    fixed = F.coalesce(number(FIXED), F.lit(100))
     prob = (
-        F.when(t.isin(*ENABLED_USER), F.when(not_user | on | enables, 100).otherwise(0))
+        F.when(t.isin(*ENABLED_USER), F.when(not_user | on | enables, number(ENABLED_USER)).otherwise(0))
         .when(t.isin(*ENABLED), F.when(on | enables, 100).otherwise(0))
         .when(t.isin(*GUESSED), _guess(F.coalesce("active", F.lit(False)), F.col("age")))
         .otherwise(fixed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import dn_parent, sid_domain, sid_rid
+from ..functions.names import dn_parent, dn_parts, sid_domain, sid_rid
 from ..functions.predicates import values_of
 from ..functions.values import VALUE, attributes, with_attribute
 from ..store import cut
@@ -137,11 +137,19 @@ def account_tags(nodes: DataFrame, asof: str) -> DataFrame:
     system = F.lower(_first("operatingsystem"))
     tests = [(tag, has(on, off)) for tag, on, off in ACCOUNT_TAGS]
     tests += [("account_expired", flags.isNotNull() & expired), ("account_inactive", gone), ("account_active", ~gone), ("linux", system.contains("linux")), ("windows", system.contains("windows"))]
-    tests += [("laps", F.size(values_of("msmcsadmpwdexpirationtime")) > 0)]
+    tests += [("laps", F.size(values_of("ms-mcs-admpwdexpirationtime")) > 0)]
     new = F.array_compact(F.array(*[F.when(test, tag) for tag, test in tests]))
     return nodes.withColumn("tags", F.array_sort(F.array_union("tags", new)))
 
 
+def account_ages(nodes: DataFrame, asof: str) -> DataFrame:
+    """nodes with the whole hours since the password was set and since the last logon, where these times are known."""
+    hours = lambda attr: F.floor((F.unix_timestamp(F.lit(asof).cast("timestamp")) - F.unix_timestamp(values_of(attr)[0]["t"])) / 3600)
+    ages = attributes(passwordage=("int", hours("pwdlastset")), lastloginage=("int", hours("lastlogontimestamp")))
+    rest = F.map_filter("attrs", lambda k, _: ~k.isin("passwordage", "lastloginage"))
+    return nodes.withColumn("attrs", F.map_concat(rest, ages))
+
+
 def machine_accounts(nodes: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """A Machine node for each computer account with a security id (unless a machine has that domainJoinedSid), below the
     account; AuthenticatesAs and MachineAccount edges from the machine."""
@@ -225,7 +233,7 @@ def password_readers(granted: DataFrame, machine_edges: DataFrame, managed: Data
 
 def managed_accounts(nodes: DataFrame) -> DataFrame:
     """(node_id) of computers with an expiry of a managed local password, of either version."""
-    managed = F.coalesce(F.size(values_of("msmcsadmpwdexpirationtime")) > 0, F.lit(False)) | F.coalesce(F.size(values_of("mslapspasswordexpirationtime")) > 0, F.lit(False))
+    managed = F.coalesce(F.size(values_of("ms-mcs-admpwdexpirationtime")) > 0, F.lit(False)) | F.coalesce(F.size(values_of("ms-laps-passwordexpirationtime")) > 0, F.lit(False))
     return nodes.where((F.col("type") == "Computer") & managed).select("node_id")
 
 
@@ -257,7 +265,7 @@ def constrained_delegation(nodes: DataFrame) -> DataFrame:
     from ..functions.names import domain_suffix
 
     trusted = nodes.where(F.col("type").isin("Computer", "User") & (values_of("useraccountcontrol")[0]["i"].bitwiseAND(F.lit(0x1000000)) != 0))
-    listed = trusted.select(F.col("node_id").alias("src"), domain_suffix(_first("domaincontext")).alias("suffix"), F.explode(values_of("msdsallowedtodelegateto")).alias("v"))
+    listed = trusted.select(F.col("node_id").alias("src"), domain_suffix(_first("domaincontext")).alias("suffix"), F.explode(values_of("msds-allowedtodelegateto")).alias("v"))
     rest = listed.select("src", "suffix", F.regexp_extract("v.s", r"^[^/]*/([^/:]+)(?::[^/]*)?$", 1).alias("host")).where("host <> ''")
     asked = rest.select("src", F.when(F.col("host").contains("."), F.col("host")).otherwise(F.concat_ws(".", "host", "suffix")).alias("key"))
     found = find_one(nodes.where("type = 'Machine'"), asked, "dnshostname")
@@ -292,7 +300,7 @@ def down_level_names(nodes: DataFrame) -> DataFrame:
     that the distinguished name ends with. The suffixes of a name's components are joined, not all pairs."""
     cross = nodes.where(F.exists(values_of("objectclass"), lambda v: F.lower(v["s"]) == "crossref")).select(_first("ncname").alias("suffix"), _first("netbiosname").alias("netbios")).where("suffix <> '' and netbios <> ''")
     single = cross.groupBy("suffix").agg(F.min("netbios").alias("netbios"))
-    parts = F.split(_first("distinguishedname"), r"(?<!\\),")
+    parts = dn_parts(_first("distinguishedname"))
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ","))
     named = nodes.where(_first("samaccountname").isNotNull()).select("node_id", F.explode(tails).alias("suffix"))
     best = named.join(single, "suffix").groupBy("node_id").agg(F.max_by("netbios", F.length("suffix")).alias("netbios"))
@@ -403,6 +411,26 @@ def trust_map(nodes: DataFrame) -> DataFrame:
     return t.groupBy("source", "target").agg(F.max(F.col("direction").isin("incoming", "bidirectional")).alias("incoming"), F.max(F.col("direction").isin("outgoing", "bidirectional")).alias("outgoing"))
 
 
+#: Names of types for the schema's names of object categories: fixed values.
+TYPE_NAMES = {
+    "attribute-schema": "AttributeSchema", "builtin-domain": "BuiltinDomain", "callable-service-point": "CallableService", "certification-authority": "CertificationAuthority",
+    "class-schema": "ClassSchema", "computer": "Computer", "container": "Container", "control-access-right": "ControlAccessRight", "dns-node": "DNSNode", "dns-zone": "DNSZone",
+    "domain-dns": "DomainDNS", "foreign-security-principal": "ForeignSecurityPrincipal", "group": "Group", "group-policy-container": "GroupPolicyContainer",
+    "ms-ds-group-managed-service-account": "GroupManagedServiceAccount", "ms-ds-managed-service-account": "ManagedServiceAccount", "organizational-unit": "OrganizationalUnit",
+    "person": "User", "pki-certificate-template": "CertificateTemplate", "pki-enrollment-service": "PKIEnrollmentService", "trusted-domain": "Trust",
+}
+
+
+def schema_types(nodes: DataFrame) -> DataFrame:
+    """nodes with type from the schema object that objectCategory names (by distinguished name): its name, in this library's
+    spelling where it has one. A category that no schema object has, or none, is "Unknown"."""
+    low = F.lower(_first("distinguishedname"))
+    schema = nodes.where((F.size(values_of("schemaidguid")) > 0) & low.isNotNull()).groupBy(low.alias("category")).agg(F.min(_first("name")).alias("simple"))
+    joined = nodes.withColumn("category", F.lower(_first("objectcategory"))).join(schema, "category", "left")
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv]), F.lower("simple"))
+    return joined.withColumn("type", F.coalesce(known, "simple", F.lit("Unknown"))).drop("category", "simple")
+
+
 def class_guids(nodes: DataFrame) -> DataFrame:
     """(node_id, class_guids): the schema ids of a node's classes, found by the classes' display names."""
     schema = nodes.select(F.lower(_first("ldapdisplayname")).alias("low"), F.lower(_first("schemaidguid")).alias("guid")).where("low is not null and guid is not null")

@@ -14,16 +14,21 @@ TRAVERSALS = ("shortest", "likely", "longest", "unlikely")
 #: Tags of edge types: fixed values. Types without an entry have none.
 EDGE_TAGS = {
     "Pivot": (
-        "AddMember", "AddMemberGroupAttr", "AddSelfMember", "AdminRights", "AffectedByGPO", "DCOMRights", "DontReqPreauth", "HasSPN", "MachineScript",
-        "Owns", "PartOfGPO", "RDPRights", "ReadGMSAPassword", "ReadLAPSPassword", "ResetPassword", "SIDHistoryEquality", "SchedTaskOnUNCPath",
-        "SessionService", "TakeOwnership", "WriteAllowedToAct", "WriteAllowedToDelegTo", "WriteAltSecIdent", "WriteDACL", "WriteKeyCredentialLink",
-        "WriteProfilePath", "WriteSPN", "WriteScriptPath", "WriteUserAccountControl", "WriteValidatedSPN",
+        "AddMember", "AddMemberGroupAttr", "AddSelfMember", "AdminRights", "AffectedByGPO", "AutoAdminLogonCreds", "CreateService", "DCOMRights", "DontReqPreauth",
+        "ExposesPassword", "FileModifyDACL", "FileTakeOwnership", "HasSPN", "MachineScript", "Owns", "PartOfGPO", "RDPRights", "ReadGMSAPassword", "ReadLAPSPassword",
+        "ResetPassword", "SIDHistoryEquality", "SchedTaskOnUNCPath", "SeAssignPrimaryToken", "SeCreateToken", "SeDebug", "SeImpersonate", "SeLoadDriver",
+        "SeManageVolume", "SeTakeOwnership", "SeTcb", "SeTrustedCredManAccess", "Session", "SessionBatch", "SessionLocal", "SessionNetwork", "SessionNetworkKerberos",
+        "SessionNetworkNTLM", "SessionNetworkNTLMV2", "SessionNetworkNegotiate", "SessionNetworkPlaintext", "SessionRDP", "SessionService", "SvcAccntCreds",
+        "TakeOwnership", "WriteAllowedToAct", "WriteAllowedToDelegTo", "WriteAltSecIdent", "WriteDACL", "WriteKeyCredentialLink", "WriteProfilePath", "WriteSPN",
+        "WriteScriptPath", "WriteUserAccountControl", "WriteValidatedSPN",
     ),
     "Granted": (
-        "AdminRights", "AffectedByGPO", "CertificateAutoEnroll", "CertificateEnroll", "DSReplicationGetChanges", "DSReplicationGetChangesAll",
-        "DSReplicationGetChangesInFilteredSet", "DSReplicationSyncronize", "HasMSA", "MemberOfGroup", "MemberOfGroupIndirect", "PartOfGPO", "ReadLAPSPassword",
+        "AdminRights", "AffectedByGPO", "CertificateAutoEnroll", "CertificateEnroll", "DCOMRights", "DSReplGetChngs", "DSReplGetChngsAll", "DSReplGetChngsInFiltSet",
+        "DSReplSync", "HasMSA", "MemberOfGroup", "MemberOfGroupIndirect", "PartOfGPO", "RDPRights", "ReadLAPSPassword", "SMSAdmins",
     ),
-    "Informative": ("ACLContainsDeny", "AllExtendedRights", "GenericAll", "WriteAll", "WriteExtendedAll", "WritePropertyAll"),
+    "Informative": ("ACLContainsDeny", "AllExtendedRights", "GenericAll", "Publishes", "SIDCollision", "WriteAll", "WriteExtendedAll", "WritePropertyAll"),
+    "Affects": ("ControlsUpdates",),
+    "Internal": ("VoodooBit",),
 }
 
 

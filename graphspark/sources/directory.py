@@ -92,7 +92,7 @@ def directory(spark: SparkSession, d: str) -> DataFrame:
             hosts, F.lit(4 * STEP) + s, "Computer", distinguishedname=text(F.concat(F.lit("CN=S"), s, F.lit(","), unit)), objectsid=text(host_sid), dnshostname=text(host_name),
             useraccountcontrol=("int", host_flags), operatingsystem=text(F.when(s % 3 == 0, F.lit("Linux 6")).otherwise(F.lit("Windows Server"))),
             name=text(F.concat(F.lit("S"), s)), samaccountname=text(F.concat(F.lit("S"), s, F.lit("$"))),
-            msmcsadmpwdexpirationtime=text(F.when(s % 2 == 0, F.lit("1"))), wuserver=text(F.concat(F.lit("http://s"), F.floor(s / 10) * 10, F.lit("."), F.lower("r_name"), F.lit(".example:8530"))),
+            **{"ms-mcs-admpwdexpirationtime": text(F.when(s % 2 == 0, F.lit("1")))}, wuserver=text(F.concat(F.lit("http://s"), F.floor(s / 10) * 10, F.lit("."), F.lower("r_name"), F.lit(".example:8530"))),
         ),
     ]
     return reduce(DataFrame.unionByName, parts)

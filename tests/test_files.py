@@ -2,12 +2,16 @@
 
 import base64
 import json
+import struct
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphspark.operators import access, probability, rules
 from graphspark.sources import files, sinks
 from graphspark.streaming import ingest
+from tests.test_rules import RESET, ace, descriptor, sid_bytes
 
 
 @pytest.fixture
@@ -24,20 +28,104 @@ def first(attr):
     return F.col("attrs")[attr][0]["s"].alias(attr)
 
 
+def b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def category(name):
+    return f"CN={name},CN=Schema,CN=Configuration,DC=x"
+
+
+def schema(name, display, guid):
+    """A class of the dump's own schema."""
+    return {"DistinguishedName": category(name), "Attributes": {"objectClass": ["top", "classSchema"], "objectCategory": [category("Class-Schema")], "name": [name], "lDAPDisplayName": [display], "schemaIDGUID": [b64(uuid.UUID(guid).bytes_le)]}}
+
+
+SCHEMA = [
+    schema(n, d, f"00000000-0000-0000-0000-0000000000{i:02d}")
+    for i, (n, d) in enumerate([("Class-Schema", "classSchema"), ("Person", "user"), ("Group", "group"), ("Computer", "computer"), ("Domain-DNS", "domainDNS"), ("Group-Policy-Container", "groupPolicyContainer"), ("Organizational-Unit", "organizationalUnit"), ("Odd-Thing", "oddThing")])
+]
+
+
+def thing(dn, kind, display, **attrs):
+    return {"DistinguishedName": dn, "Attributes": {"objectClass": ["top", display], "objectCategory": [category(kind)]} | {k.replace("__", "-"): v if isinstance(v, list) else [v] for k, v in attrs.items()}}
+
+
 def test_directory_objects(spark, folder):
     path = folder(
-        "a/one.json",
-        {"DistinguishedName": "CN=Bob,DC=x", "Attributes": {"objectClass": ["top", "user"], "badPwdCount": ["3"], "whenCreated": ["20200102030405.0Z"], "isDeleted": ["FALSE"], "mail": ["B@x", "b@y"]}},
-        {"DistinguishedName": "CN=Bob\\0ACNF:1,DC=x", "Attributes": {"objectClass": ["user"]}},
+        "a/one.json", *SCHEMA,
+        thing("CN=Bob,DC=x", "Person", "user", badPwdCount="3", whenCreated="20200102030405.0Z", isDeleted="FALSE", mail=["B@x", "b@y"], other="20200102030405.0Z"),
+        thing("CN=Bob\\0ACNF:1,DC=x", "Person", "user"),
         {"DistinguishedName": "CN=S-1,CN=ForeignSecurityPrincipals,DC=x", "Attributes": {"objectClass": ["user"]}},
         {"DistinguishedName": "CN=NoClass,DC=x", "Attributes": {"mail": ["z"]}},
-    )
-    rows = files.directory_objects(spark, path, "src").collect()
-    assert len(rows) == 1
-    a = {k: [(v["k"], v["s"]) for v in vs] for k, vs in rows[0]["attrs"].items()}
-    assert rows[0]["type"] == "User" and a["distinguishedname"] == [("string", "CN=Bob,DC=x")] and a["datasource"] == [("string", "src")]
-    assert a["badpwdcount"] == [("int", "3")] and a["isdeleted"] == [("bool", "false")] and len(a["mail"]) == 2
-    assert a["whencreated"][0][0] == "time" and a["whencreated"][0][1].startswith("2020-01-02T03:04:05")
+        {"DistinguishedName": "CN=Lost,DC=x", "Attributes": {"objectClass": ["user"], "objectCategory": ["CN=Gone"], "member": []}},
+        thing("CN=Odd,DC=x", "Odd-Thing", "oddThing"),
+    )
+    rows = {r["attrs"]["distinguishedname"][0]["s"]: r for r in files.directory_objects(spark, path, "src").collect()}
+    assert {dn: r["type"] for dn, r in rows.items() if "Schema" not in dn} == {"CN=Bob,DC=x": "User", "CN=Lost,DC=x": "Unknown", "CN=Odd,DC=x": "Odd-Thing"}
+    assert {r["type"] for dn, r in rows.items() if "Schema" in dn} == {"ClassSchema"} and len(rows) == 3 + len(SCHEMA)
+    a = {k: [(v["k"], v["s"]) for v in vs] for k, vs in rows["CN=Bob,DC=x"]["attrs"].items()}
+    assert a["datasource"] == [("string", "src")] and a["dataloader"] == [("string", "Active Directory")]
+    assert a["badpwdcount"] == [("int", "3")] and a["isdeleted"] == [("bool", "false")] and a["mail"] == [("string", "B@x"), ("string", "b@y")]
+    assert a["whencreated"] == a["other"] and a["whencreated"][0][0] == "time" and a["whencreated"][0][1].startswith("2020-01-02T03:04:05")
+
+
+def test_values_by_the_class_of_their_attribute(spark, folder):
+    sid = bytes([1, 2]) + (5).to_bytes(6, "big") + struct.pack("<II", 32, 544)
+    guid = uuid.UUID("00112233-4455-6677-8899-aabbccddeeff")
+    ticks = 132223104000000000
+    path = folder(
+        "c/one.json",
+        thing(
+            "CN=A,DC=x", "Person", "user", objectSid=b64(sid), sIDHistory=["S-1-5-21-1", b64(sid), b64(sid[:9])], objectGUID=b64(guid.bytes), schemaIDGUID=b64(guid.bytes_le), rightsGUID=str(guid).upper(),
+            pwdLastSet=str(ticks), accountExpires="0", lastLogon="never", whenChanged="990506070809Z", whenCreated="2020", pKIExpirationPeriod=b64((2 * 31536000 * 10**7).to_bytes(8, "big")), pKIOverlapPeriod="x",
+            msPKIRoamingTimeStamp=b64(bytes(8) + struct.pack("<Q", ticks)), count="12", flag="TRUE", text="12a", stamp="20200102030405.5Z", nTSecurityDescriptor=b64(b"raw"),
+        ),
+    )
+    row = files.directory_objects(spark, path, "s").first()["attrs"]
+    got = {k: [(v["k"], v["s"]) for v in vs] for k, vs in row.items()}
+    text = lambda *values: [("string", v) for v in values]
+    assert got["objectsid"] == text("S-1-5-32-544") and got["sidhistory"] == text("S-1-5-21-1", "S-1-5-32-544")
+    assert got["objectguid"] == got["schemaidguid"] == got["rightsguid"] == text(str(guid))
+    assert got["pwdlastset"][0][0] == "time" and got["pwdlastset"][0][1].startswith("2020-01-01T00:00:00") and got["mspkiroamingtimestamp"] == got["pwdlastset"]
+    assert got["accountexpires"] == [("int", "0")] and "lastlogon" not in got and "whencreated" not in got
+    assert got["whenchanged"][0][1].startswith("1999-05-06T07:08:09") and got["pkiexpirationperiod"] == text("2 years") and got["pkioverlapperiod"] == text("x")
+    assert got["count"] == [("int", "12")] and got["flag"] == [("bool", "true")] and got["text"] == text("12a") and got["stamp"] == text("20200102030405.5Z")
+    assert got["ntsecuritydescriptor"] == text(b64(b"raw"))
+
+
+def test_from_a_dump_to_rated_edges(spark, folder):
+    """Reader, rules, access lists and probabilities, one after the other."""
+    domain = "S-1-5-21-1-2-3"
+    raw = lambda text: b64(sid_bytes(text))
+    shared = b64(descriptor(f"{domain}-512", [ace(5, 0, 0x100, f"{domain}-1001", RESET), ace(0, 0, 0x40000, f"{domain}-1002")]))
+    path = folder(
+        "d/dump.json", *SCHEMA,
+        thing("DC=x", "Domain-DNS", "domainDNS", objectSid=raw(domain), gPLink="[LDAP://cn=p1,DC=x;0][LDAP://cn=p2,DC=x;2]"),
+        thing("OU=u,DC=x", "Organizational-Unit", "organizationalUnit", gPOptions="1"),
+        thing("CN=p1,DC=x", "Group-Policy-Container", "groupPolicyContainer"), thing("CN=p2,DC=x", "Group-Policy-Container", "groupPolicyContainer"),
+        thing("CN=Admins,DC=x", "Group", "group", objectSid=raw(f"{domain}-512"), member=["CN=Ann,OU=u,DC=x"]),
+        thing("CN=Ann,OU=u,DC=x", "Person", "user", objectSid=raw(f"{domain}-1001"), userAccountControl="512", servicePrincipalName="http/a", pwdLastSet="132223104000000000"),
+        thing("CN=Ben,OU=u,DC=x", "Person", "user", objectSid=raw(f"{domain}-1002"), userAccountControl="514", nTSecurityDescriptor=shared),
+        thing("CN=H,OU=u,DC=x", "Computer", "computer", objectSid=raw(f"{domain}-1100"), userAccountControl="4096", dNSHostName="h.x", name="H", nTSecurityDescriptor=shared),
+    )
+    nodes = rules.parents_by_dn(rules.domain_contexts(files.directory_objects(spark, path, "s")))
+    new, machine_edges = rules.machine_accounts(nodes, 1 << 60)
+    nodes = rules.account_ages(rules.account_tags(nodes, "2024-01-01"), "2024-01-01").unionByName(new)
+    who = nodes.select("node_id", F.col("attrs")["objectsid"][0]["s"].alias("sid")).where("sid is not null")
+    made = [rules.memberships(nodes), rules.policy_links(nodes), machine_edges, access.access_edges(files.descriptors(nodes), who), rules.roastable(nodes, 7)]
+    edges = made[0]
+    for more in made[1:]:
+        edges = edges.union(more)
+    called = {r["node_id"]: r["n"] for r in nodes.select("node_id", F.concat("type", F.lit(" "), F.regexp_extract(F.coalesce(F.col("attrs")["distinguishedname"][0]["s"], F.lit("CN=H")), "^..=([^,]*)", 1)).alias("n")).collect()} | {7: "all"}
+    got = {(called[r["src"]], called[r["dst"]], r["edge_type"], r["prob"]) for r in probability.rated(edges, nodes).collect()}
+    assert got == {
+        ("User Ann", "Group Admins", "MemberOfGroup", 100), ("GroupPolicyContainer p2", "Machine H", "AffectedByGPO", 100),
+        ("Machine H", "Computer H", "MachineAccount", -1), ("Machine H", "Computer H", "AuthenticatesAs", 100),
+        ("Group Admins", "User Ben", "Owns", 100), ("Group Admins", "Computer H", "Owns", 100),
+        ("User Ann", "User Ben", "ResetPassword", 0), ("User Ann", "Computer H", "ResetPassword", 100),
+        ("User Ben", "Computer H", "WriteDACL", 100), ("all", "User Ann", "HasSPN", 32),
+    }
 
 
 def test_open_graph(spark, folder):
@@ -57,7 +145,11 @@ def machine():
         "Machine": {"Name": "HOST", "LocalSID": "S-1-5-21-9-9-9", "WUServer": "http://wu"},
         "Users": [{"Name": "u", "SID": "S-1-5-21-9-9-9-1001", "FullName": "U"}],
         "Groups": [{"Name": "Administrators", "SID": "S-1-5-32-544", "Members": [member]}, {"Name": "G", "SID": "S-1-5-21-9-9-9-1002", "Members": [member]}],
-        "LoginInfos": [{"User": "u", "Domain": "D", "SID": "S-1-5-21-9-9-9-1001", "Count": 2, "LogonType": 2}, {"User": "v", "Domain": "D", "SID": "S-9", "Count": 9, "LogonType": 3}, {"User": "w", "Domain": "D", "SID": "S-8", "Count": 2, "LogonType": 10}],
+        "LoginInfos": [
+            {"User": "u", "Domain": "D", "SID": "S-1-5-21-9-9-9-1001", "Count": 2, "LogonType": 2}, {"User": "v", "Domain": "D", "SID": "S-9", "Count": 9, "LogonType": 3},
+            {"User": "w", "Domain": "D", "SID": "S-1-5-21-7-7-7-1", "Count": 9, "LogonType": 3, "AuthenticationPackageName": "NTLM V2"},
+            {"User": "x", "Domain": "d.x", "SID": "S-1-5-21-7-7-7-2", "Count": 1, "LogonType": 11}, {"User": "x", "Domain": "d.x", "SID": "S-1-5-21-7-7-7-2", "Count": 1, "LogonType": 2},
+        ],
         "Privileges": [{"Name": "SeDebugPrivilege", "AssignedSIDs": ["S-1-5-32-544"]}],
     }
 
@@ -69,9 +161,10 @@ def test_machines_and_their_top_users(spark, folder):
     assert n.groupBy("type").count().orderBy("type").collect() == [("Group", 2), ("Machine", 1), ("User", 1)]
     host, user, admins, group = ids["S-1-5-21-9-9-9"], ids["S-1-5-21-9-9-9-1001"], ids["S-1-5-32-544"], ids["S-1-5-21-9-9-9-1002"]
     got = {(r["src"], r["dst"], r["edge_type"]) for r in e.collect()}
-    assert {(user, admins, "MemberOfGroup"), (user, group, "MemberOfGroup"), (user, host, "LocalAdminRights"), (host, user, "SessionLocal"), (admins, host, "SeDebugPrivilege")} <= got
-    assert len(got) == 7  # and two logons of others
-    assert [tuple(r) for r in files.top_users(spark, path).collect()] == [("HOST", "D\\w")]
+    assert {(user, admins, "MemberOfGroup"), (user, group, "MemberOfGroup"), (admins, host, "AdminRights"), (host, user, "Session"), (host, user, "SessionLocal"), (admins, host, "SeDebug")} <= got
+    others = {e for e in got if e[0] == host and e[1] != user}
+    assert sorted(e[2] for e in others) == ["Session", "Session", "SessionLocal", "SessionNetwork", "SessionNetworkNTLMV2"] and len(got) == 6 + len(others)
+    assert [tuple(r) for r in files.top_users(spark, path).collect()] == [("HOST", "x@d.x")]
 
 
 def test_built_in_groups_are_those_of_their_machine(spark, folder):

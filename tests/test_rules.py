@@ -83,7 +83,7 @@ def test_rights_of_single_entries(spark):
     got = pairs(access.access_edges(objects_of(spark, rows), who))
     assert (2, 10, "WriteDACL") in got and (1, 11, "ResetPassword") in got and (1, 12, "ResetPassword") not in got
     assert not {e for e in got if e[1] == 13 and e[2] != "Owns"}
-    assert {e[2] for e in got if e[:2] == (1, 14)} == {"AllExtendedRights", "DSReplicationGetChanges", "DSReplicationGetChangesAll", "DSReplicationGetChangesInFilteredSet", "DSReplicationSyncronize"}
+    assert {e[2] for e in got if e[:2] == (1, 14)} == {"AllExtendedRights", "DSReplGetChngs", "DSReplGetChngsAll", "DSReplGetChngsInFiltSet", "DSReplSync"}
     assert {e[2] for e in got if e[:2] == (1, 15)} == {"ACLContainsDeny"}
     assert {e[2] for e in got if e[:2] == (1, 16)} == {"CertificateEnroll", "CertificateAutoEnroll", "VoodooBit"}
     assert {e for e in got if e[2] == "Owns"} == {(3, n, "Owns") for n in range(10, 17)}
@@ -100,7 +100,7 @@ def test_attribute_sets_grant_their_attributes(spark):
 
 def test_inheritance_and_password_readers(spark):
     nodes = make(spark, [
-        (1, "OrganizationalUnit", None, {}), (2, "Computer", 1, {"objectsid": "S-9", "name": "H", "msmcsadmpwdexpirationtime": "x"}), (3, "Computer", 1, {"objectsid": "S-8"}), (4, "ForeignSecurityPrincipal", 1, {}),
+        (1, "OrganizationalUnit", None, {}), (2, "Computer", 1, {"objectsid": "S-9", "name": "H", "ms-mcs-admpwdexpirationtime": "x"}), (3, "Computer", 1, {"objectsid": "S-8"}), (4, "ForeignSecurityPrincipal", 1, {}),
     ])
     raw = [(2, "Computer", descriptor(A, [ace(0, 0, 0x100, B)]), []), (3, "Computer", descriptor(A, [], 0x9004), []), (4, "ForeignSecurityPrincipal", descriptor(A, []), [])]
     objects = objects_of(spark, raw)
@@ -120,7 +120,7 @@ def test_small_rules(spark):
         (1, "GroupPolicyContainer", None, {}), (2, "Container", 1, {"name": "Machine"}), (3, "Container", 1, {"name": "Other"}),
         (4, "User", None, {"name": "MSOL_1", "description": "Account created by X with installation identifier 0af running on computer HOST1 configured to synchronize to tenant t. "}),
         (5, "Machine", None, {"name": "host1", "dnshostname": "host1.a.b", "datasource": "src1", "localmachinesid": "S-1-5-21-7-7-7"}),
-        (6, "User", None, {"useraccountcontrol": 0x1000000, "msdsallowedtodelegateto": ["cifs/HOST1", "http/host1.a.b:80", "bad", "x/y/z"], "domaincontext": "DC=a,DC=b"}),
+        (6, "User", None, {"useraccountcontrol": 0x1000000, "msds-allowedtodelegateto": ["cifs/HOST1", "http/host1.a.b:80", "bad", "x/y/z"], "domaincontext": "DC=a,DC=b"}),
         (7, "User", None, {"datasource": "SRC1", "objectsid": "S-1-5-21-7-7-7-1001"}), (8, "User", None, {"objectsid": "S-1-5-21-7-7-7-1002"}),
         (9, "User", None, {"objectsid": "S-1-5-21-7-7-7-1003", "primarygroupid": 513}), (10, "Group", None, {"objectsid": "s-1-5-21-7-7-7-513"}),
     ])
