@@ -26,10 +26,15 @@ def lean(run):
 
     def wrapped(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of GNU's library
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
+
+
+def give_back() -> None:
+    """Give memory that this process no longer uses back to the system; the driver does so when a model is fitted."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of GNU's library
+    if trim:
+        trim(0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.algorithms import components
-from ._store import lean, partitions, saved
+from ._store import give_back, lean, partitions, saved
 from ._text import U, blocks, mixed, shingles, words
 
 WORDS = 5
@@ -77,6 +77,24 @@ def _most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
 
 
+#: Lanes of the coarse sketch that joins compare, one byte each, eight in a number.
+LANES = 64
+
+
+def _lanes(s: np.ndarray) -> list[int] | None:
+    """How many shingles fall into each lane; None of sets with more in one than a byte holds, which are compared with all."""
+    n = np.bincount((s >> np.uint64(8) & np.uint64(LANES - 1)).astype(np.int64), minlength=LANES)
+    return None if n.max() > 255 else n.astype(np.uint8).view(np.int64).tolist()
+
+
+def _lanes_allow(a: str, b: str, na: str, nb: str):
+    """Whether two sets may be linked: their overlap is no more than the smaller number of each lane, added up."""
+    lane = lambda c, k: F.shiftrightunsigned(F.col(c)[k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255))
+    most = sum((F.least(lane(a, k), lane(b, k)) for k in range(1, LANES)), F.least(lane(a, 0), lane(b, 0)))
+    enough = most * (100 + PERCENT) >= PERCENT * (F.col(na) + F.col(nb))
+    return F.col(a).isNull() | F.col(b).isNull() | enough
+
+
 class Seen:
     """Which classes a task has met: copies are combined before the shuffle. Forgetting costs time only."""
 
@@ -93,11 +111,12 @@ class Seen:
 
 
 def _profile(size: int):
-    """Rows (doc_id, n, sig, sketch, content) of the texts; then rows of n = -1 with the counters of a task's classes in sketch."""
+    """Rows (doc_id, n, sig, sketch, lanes, content) of the texts; then rows of n = -1 with the counters of a task's classes in
+    sketch."""
 
     def rows(got, content):
-        columns = [*[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([g[3] for g in got], pa.binary()), content]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "sketch", "content"])
+        columns = [*[pa.array([g[k] for g in got], pa.int64()) for k in range(3)], pa.array([g[3] for g in got], pa.binary()), pa.array([g[4] for g in got], pa.list_(pa.int64())), content]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "sketch", "lanes", "content"])
 
     def run(batches):
         count, seen = np.zeros(1 << COUNT_BITS, np.uint32), Seen()
@@ -105,13 +124,13 @@ def _profile(size: int):
             got = []
             for doc, s in _sets(batch, size):
                 sig = _signature(s)
-                got.append((doc, len(s), sig, _sketch(s)))
+                got.append((doc, len(s), sig, _sketch(s), _lanes(s)))
                 if seen.first(sig):
                     np.add.at(count, (s >> U(64 - COUNT_BITS)).astype(np.int64), 1)
             yield rows(got, batch.column("content"))
         for k in range(0, len(count), COUNTERS_A_ROW):
             if count[k : k + COUNTERS_A_ROW].any():
-                yield rows([(None, -1, k, count[k : k + COUNTERS_A_ROW].tobytes())], pa.nulls(1, pa.int64()))
+                yield rows([(None, -1, k, count[k : k + COUNTERS_A_ROW].tobytes(), None)], pa.nulls(1, pa.int64()))
 
     return run
 
@@ -439,7 +458,7 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 #: A level of sampling keeps one class of so many (a power of two).
-STEP_BITS = 3
+STEP_BITS = 6
 
 
 def _level(c: str):
@@ -457,8 +476,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     64-bit hashes of shingles and of sets.
 
     Nothing is capped: meetings of many classes are first linked to one pivot. Members that this leaves outside the
-    pivot's component are paired with some of the others, then with 8 times as many, at last with all those outside
-    their own component. Pairs inside a component need no verification and get none, so that links are not counted.
+    pivot's component are paired with some of the others, then with 64 times as many, at last with all those outside
+    their own component; only pairs whose coarse sketches allow a link leave that join. Pairs inside a component need no verification and get none, so that links are not counted.
     Copies are combined before each shuffle. Null and empty texts, and texts of white space alone, have no shingles, link
     with nothing and are components of their own, also when repeated. Equal sets always link. Each row of a repeated id
     is a document by itself, with the component of its own text. Of a null id too, with the component_id of the others in
@@ -467,14 +486,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = rows.withColumn("content", F.xxhash64("text"))
-    everything = saved(marked.mapInArrow(lean(_profile(size)), "doc_id long, n long, sig long, sketch binary, content long"), "profile")
+    everything = saved(marked.mapInArrow(lean(_profile(size)), "doc_id long, n long, sig long, sketch binary, lanes array<long>, content long"), "profile")
     profile = everything.where("n >= 0")
     order = spark.sparkContext.broadcast(_order(everything.where("n < 0"), hot))
 
     # equal sets have equal sizes and sketches
     nobody = (1 << 63) - 1
     by_id = F.coalesce("doc_id", F.lit(nobody))
-    classes = profile.where("n > 0").groupBy("sig").agg(F.min(by_id).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    classes = profile.where("n > 0").groupBy("sig").agg(F.min(by_id).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("lanes").alias("lanes"))
     classes = saved(classes, "classes")
     posted = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     buckets = max(partitions(spark), -(-posted // BUCKET_POSTINGS))
@@ -514,9 +533,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         open_ones = saved(outside.select("meeting", "deep", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("n").alias("n_y"), F.col("top").alias("top_y")), "open", n_met)
         if not open_ones.take(1):
             break
-        chosen = members.join(open_ones.select("meeting", "deep").distinct(), "meeting").where(_level("x") >= F.col("deep") - depth).drop("deep")
+        lanes = lambda c: classes.select(F.col("sig").alias(c), F.col("lanes").alias(f"lanes_{c}"))
+        chosen = members.join(open_ones.select("meeting", "deep").distinct(), "meeting").where(_level("x") >= F.col("deep") - depth).drop("deep").join(lanes("x"), "x")
         fits = f"y <> x and of_x <> of_y and n <= top_y and n_y <= top and 100 * least(n, n_y) >= {PERCENT} * greatest(n, n_y)"
-        pairs = open_ones.drop("deep").join(chosen, "meeting").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        near = open_ones.drop("deep").join(lanes("y"), "y").join(chosen, "meeting").where(F.expr(fits) & _lanes_allow("lanes_x", "lanes_y", "n", "n_y"))
+        pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         asked = saved(pairs.join(tried, ["a", "b"], "left_anti"), "asked")
         more = possible(asked)
         depth += 1
@@ -531,6 +552,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copied = classes.where("copies > 1").join(label, classes.sig == label.id, "left_anti").select("sig", F.col("first_id").alias("component_id"))
     by_sig = saved(connected.union(copied), "members")
     order.destroy()  # nothing that is read from here on needs it
+    give_back()
     found = profile.join(by_sig, (profile.sig == by_sig.sig) & (profile.n > 0), "left")
     component = F.when(F.col("component_id") != nobody, F.col("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"), "content")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import lean, saved
+from ._store import give_back, lean, saved
 from ._text import U, blocks, mixed, text_bytes, words
 
 #: Indicators are hashed to so many columns.
@@ -189,6 +189,7 @@ def _scores(model, carry: list[str]):
 def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The columns in carry and `score` (0 to 1) of every row, repeated ones too. Null text counts as empty, whole texts are
     read; empty texts get the model's score of no indicators. An empty table gives an empty result."""
+    give_back()  # of what the fit has used
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
