@@ -29,7 +29,7 @@ from ._store import partitions
 from ._text import blocks
 
 #: Bits of the longest code; more where so many ids could not have codes of their own.
-LIMIT = 18
+LIMIT = 16
 STRETCH = 256
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
@@ -216,23 +216,24 @@ class Code:
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[self.symbols] = ((np.cumsum(width) - width) >> (self.most - self.lengths[self.symbols])).astype(np.uint64)
         self._width = width
+        self._both = self.codes << np.uint64(5) | self.lengths.astype(np.uint64)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and length of whatever begins with each `most` bits."""
+    def table(self) -> np.ndarray:
+        """32 times the symbol, and the length, of what begins with each `most` bits."""
         if not hasattr(self, "_table"):
-            symbol = np.zeros(1 << self.most, np.int32)
-            symbol[: int(self._width.sum())] = np.repeat(self.symbols, self._width)
-            self._table = symbol, self.lengths[symbol].astype(np.int32)
+            self._table = np.zeros(1 << self.most, np.uint32)
+            self._table[: int(self._width.sum())] = np.repeat(self.symbols * 32 + self.lengths[self.symbols], self._width)
         return self._table
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """(marks, bits)."""
-        n = self.lengths[ids]
+        found = self._both[ids]  # 32 times the code, and its length
+        n = (found & np.uint64(31)).astype(np.int64)
         until = np.cumsum(n)
         at = until - n
         total = int(until[-1]) if len(ids) else 0
         words = np.zeros(total // 32 + 2, np.uint64)
-        window = self.codes[ids] << (64 - n - (at & 31)).astype(np.uint64)
+        window = (found >> np.uint64(5)) << (64 - n - (at & 31)).astype(np.uint64)
         word = at >> 5
         for part, shift in ((window >> np.uint64(32), 0), (window & np.uint64(0xFFFFFFFF), 1)):
             if len(ids):
@@ -245,7 +246,7 @@ class Code:
         """The n ids of a block; all stretches are read together, each from its checkpoint, an id at a time."""
         if not n:
             return np.zeros(0, "<u4")
-        symbol, length = self.table()
+        table = self.table()
         sizes = np.frombuffer(marks, "<u2").astype(np.int64)
         at = np.cumsum(sizes) - sizes
         raw = np.frombuffer(bits + bytes(STRETCH * self.most // 8 + 8), np.uint8).astype(np.uint32)
@@ -254,9 +255,10 @@ class Code:
         mask, over = np.uint32((1 << self.most) - 1), 32 - self.most
         for k in range(min(STRETCH, n)):
             seen = (ahead[at >> 3] >> (over - (at & 7)).astype(np.uint32)) & mask
-            out[k] = symbol[seen]
-            at += length[seen]
-        return out.T.ravel()[:n]
+            both = table[seen]
+            out[k] = both
+            at += both & np.uint32(31)
+        return (out.T.ravel() >> np.uint32(5))[:n]
 
 
 def _path(path: str | None) -> str:
