@@ -593,6 +593,10 @@ def node_json(spark, d):
     return sinks.node_json(nodes(spark, d, "Nation"))
 
 
-@query("SELECT * FROM (VALUES ('msiserver', 'S-1-5-80-685333868-2237257676-1431965530-1907094206-2438021966'), ('RtkAudioUniversalService', 'S-1-5-80-1164333642-2394958904-2405857294-3413162929-38257115')) v(name, sid)")
+_WORD_SQL = " || '-' || ".join(f"CAST('0x' || substr(h, {8 * i + 7}, 2) || substr(h, {8 * i + 5}, 2) || substr(h, {8 * i + 3}, 2) || substr(h, {8 * i + 1}, 2) AS BIGINT)" for i in range(5))
+
+
+@query(rf"WITH s AS (SELECT s_suppkey AS id, sha1(unhex(regexp_replace(hex(upper(s_name)), '(..)', '\100', 'g'))) AS h FROM supplier) SELECT id, 'S-1-5-80-' || {_WORD_SQL} AS sid FROM s")
 def service_sids(spark, d):
-    return spark.createDataFrame([("msiserver",), ("RtkAudioUniversalService",)], "name string").select("name", names.service_sid(F.col("name")).alias("sid"))
+    """The security ids of services that are called as the suppliers are."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), names.service_sid(F.col("s_name")).alias("sid"))

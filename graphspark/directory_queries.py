@@ -289,7 +289,7 @@ def path_max_depth(spark, d):
 
 
 @query(f"SELECT 3*{K}+c_custkey AS src, 2*{K}+c_nationkey AS dst FROM customer ORDER BY c_custkey DESC LIMIT 10")
-def path_node_limit(spark, d):
+def path_ordered_start(spark, d):
     gr = g.PropertyGraph(nodes(spark, d, "Customer", "Nation"), edges(spark, d, "InNation"))
     start = Node(p.of_type("Customer"), order_by=F.col("node_id"), descending=True, limit=10)
     return flat(paths.match(gr, Pattern((start, Edge(("InNation",)), Node(p.of_type("Nation"))))).edges).select("src", "dst")
@@ -340,26 +340,55 @@ def primary_ids(spark, d):
     return n.select("node_id", names.primary_id().alias("x"), names.label().alias("label")).select("node_id", "x.attr", "x.value", "label")
 
 
-@query("SELECT * FROM (VALUES (1, 'ab c', true, 'ab c', 'objectsid', '_k=v'), (2, 'a' || chr(10) || 'b', false, 'a\\xab', NULL, '')) v(node_id, t, printable, hex, attr, meta)")
+@query(f"""SELECT c_custkey AS node_id, c_custkey % 3 <> 0 AS printable, CASE WHEN c_custkey % 3 = 0 THEN c_name || '\\xa' || c_mktsegment ELSE c_name || ' ' || c_mktsegment END AS hex,
+    CASE WHEN c_custkey % 2 = 0 THEN 'objectsid' END AS attr, CASE WHEN c_custkey % 5 = 0 THEN '_k=' || c_name ELSE '' END AS meta FROM customer""")
 def printable_texts(spark, d):
-    rows = spark.createDataFrame([(1, "ab c", "S-1", "v"), (2, "a\nb", None, None)], "node_id long, t string, sid string, k string")
-    n = rows.withColumn("attrs", attributes(objectsid=("string", F.col("sid")), _k=("string", F.col("k")), other=("string", F.col("t"))))
+    """Texts with and without a line feed, primary ids, attributes that begin with an underscore."""
+    k = F.col("c_custkey")
+    text = F.concat("c_name", F.when(k % 3 == 0, "\n").otherwise(" "), "c_mktsegment")
+    made = attributes(objectsid=("string", F.when(k % 2 == 0, F.concat(F.lit("S-"), k))), _k=("string", F.when(k % 5 == 0, F.col("c_name"))), other=("string", text))
+    n = table(spark, d, "customer").select(k.alias("node_id"), text.alias("t"), made.alias("attrs"))
     meta = F.array_join(F.transform(F.map_entries(names.meta_attributes()), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return n.select("node_id", "t", names.is_printable(F.col("t")).alias("printable"), names.hexified(F.col("t")).alias("hex"), names.primary_id()["attr"].alias("attr"), meta.alias("meta"))
+    return n.select("node_id", names.is_printable(F.col("t")).alias("printable"), names.hexified(F.col("t")).alias("hex"), names.primary_id()["attr"].alias("attr"), meta.alias("meta"))
 
 
-@query("SELECT * FROM (VALUES (1, '2 years'), (2, '6 weeks'), (3, '2 months'), (4, '5 days'), (5, '3 hours'), (6, NULL)) v(id, period)")
+@query("""WITH s AS (SELECT p_partkey AS id, p_size * CASE p_partkey % 5 WHEN 0 THEN 31536000 WHEN 1 THEN 2592000 WHEN 2 THEN 604800 WHEN 3 THEN 86400 ELSE 1800 END AS n FROM part)
+    SELECT id, CASE WHEN n % 31536000 = 0 AND n // 31536000 > 1 THEN n // 31536000 || ' years' WHEN n % 2592000 = 0 AND n // 2592000 > 1 THEN n // 2592000 || ' months'
+        WHEN n % 604800 = 0 AND n // 604800 > 1 THEN n // 604800 || ' weeks' WHEN n % 86400 = 0 AND n // 86400 > 1 THEN n // 86400 || ' days'
+        WHEN n % 3600 = 0 AND n // 3600 > 1 THEN n // 3600 || ' hours' END AS period FROM s""")
 def pki_periods(spark, d):
-    seconds = [(1, 2 * 31536000), (2, 6 * 604800), (3, 2 * 2592000), (4, 5 * 86400), (5, 3 * 3600), (6, 60)]
-    return spark.createDataFrame(seconds, "id int, s long").select("id", names.pki_period(F.col("s") * 10_000_000).alias("period"))
+    """Sizes of parts as numbers of years, months, weeks, days and half hours."""
+    k = F.col("p_partkey") % 5
+    span = F.when(k == 0, 31536000).when(k == 1, 2592000).when(k == 2, 604800).when(k == 3, 86400).otherwise(1800)
+    seconds = F.col("p_size").cast("bigint") * span
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), names.pki_period(seconds * 10_000_000).alias("period"))
 
 
-@query("SELECT * FROM (VALUES (1, TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2019-05-06 07:08:09', 513, 'S-1-5-21-1-2-3', '00112233-4455-6677-8899-aabbccddeeff'), (2, NULL, TIMESTAMP '1999-05-06 07:08:09', 500, 'S-1-5-21-9', NULL)) v(id, ft, gt, rid, dom, guid)")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS ft, CAST(o_orderdate AS TIMESTAMP) AS gt, o_custkey AS rid,
+    'S-1-5-21-' || o_orderkey AS dom, lower(printf('%08X', o_orderkey)) || '-0100-0200-' || lower(printf('%04X', o_custkey % 65536)) || '-000000000003' AS guid FROM orders""")
 def scalar_formats(spark, d):
-    """File times, generalized times, parts of security ids, GUIDs from their bytes."""
-    rows = [(1, 132223104000000000, "20190506070809.0Z", "S-1-5-21-1-2-3-513", "33221100554477668899aabbccddeeff"), (2, 0, "990506070809Z", "S-1-5-21-9-500", None)]
-    df = spark.createDataFrame(rows, "id int, f long, t string, s string, h string")
-    return df.select("id", names.filetime(F.col("f")).alias("ft"), names.generalized_time(F.col("t")).alias("gt"), names.sid_rid(F.col("s")).cast("int").alias("rid"), names.sid_domain(F.col("s")).alias("dom"), names.dotted_guid(F.col("h")).alias("guid"))
+    """File times, generalized times, parts of security ids and GUIDs from their bytes, of order dates and keys."""
+    o = table(spark, d, "orders")
+    at = F.col("o_orderdate").cast("timestamp")
+    ticks = F.when(F.col("o_orderkey") % 9 > 0, (F.unix_timestamp(at) + 11644473600) * 10_000_000).otherwise(0)
+    sid = F.concat(F.lit("S-1-5-21-"), "o_orderkey", F.lit("-"), "o_custkey")
+    little = F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex("o_orderkey"), 8, "0"), F.lit("(..)"))), "")
+    hexed = F.concat(little, F.lit("00010002"), F.lpad(F.hex(F.col("o_custkey") % 65536), 4, "0"), F.lit("000000000003"))
+    stamp = F.concat(F.date_format(at, "yyyyMMddHHmmss"), F.lit(".0Z"))
+    return o.select(
+        F.col("o_orderkey").alias("id"), names.filetime(ticks).alias("ft"), names.generalized_time(stamp).alias("gt"), names.sid_rid(sid).alias("rid"), names.sid_domain(sid).alias("dom"), names.dotted_guid(hexed).alias("guid"),
+    )
+
+
+@query(f"""SELECT 3*{K}+c_custkey AS node_id, 'OU=b,DC=' || r_name || ',DC=example' AS parent, 'DC=' || r_name || ',DC=example' AS domain,
+    CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 2 END AS commas FROM {PEOPLE}""")
+def dn_parents(spark, d):
+    """Names with escaped commas, escaped backslashes and neither; their parents, domains and first components."""
+    people = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("CN="), F.when(k % 3 == 0, "a\\\\").when(k % 3 == 1, "a").otherwise("a\\,b"), F.lit(",OU=b,DC="), "r_name", F.lit(",DC=example"))
+    first = F.size(F.split(names.dn_parts(name)[0], ","))
+    return people.select((F.lit(3 * K) + k).alias("node_id"), names.dn_parent(name).alias("parent"), names.dn_domain(name).alias("domain"), first.alias("commas"))
 
 
 # ---- merging ----

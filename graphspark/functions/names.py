@@ -23,7 +23,7 @@ def dn_parent(dn: Column) -> Column:
 def dn_domain(dn: Column) -> Column:
     """The DC components, in order."""
     parts = F.filter(dn_parts(dn), lambda p: F.upper(F.trim(p)).startswith("DC="))
-    return F.array_join(F.transform(parts, F.trim), ",")
+    return F.array_join(F.transform(parts, lambda p: F.trim(p)), ",")
 
 
 def domain_suffix(context: Column) -> Column:

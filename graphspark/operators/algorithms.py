@@ -82,58 +82,123 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return everyone.distinct().join(named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def _spread(colours: DataFrame, links: DataFrame, unroll: int = 4) -> DataFrame:
-    """Carry the largest colour along links (u to v) until nothing changes."""
-    current = colours
+def _trimmed(links: DataFrame) -> tuple[DataFrame, int]:
+    """links (u, v) without two layers of nodes that have no incoming or no outgoing ones, and how many are left."""
+    kept = links
+    for _ in range(2):
+        ins, outs = kept.select(F.col("v").alias("u")).distinct(), kept.select(F.col("u").alias("v")).distinct()
+        kept = kept.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v")
+    left = cut(kept, "links")
+    return left, left.count()
+
+
+def _middles(links: DataFrame) -> tuple[DataFrame, int, int]:
+    """(x, a, b) of nodes with one link in, from a, and one out, to b; their number, and that of all nodes."""
+    ends = links.select(F.col("u").alias("x"), F.lit(None).cast("bigint").alias("a"), F.col("v").alias("b")).union(links.select("v", "u", F.lit(None).cast("bigint")))
+    nodes = cut(ends.groupBy("x").agg(F.count("a").alias("ins"), F.count("b").alias("outs"), F.max("a").alias("a"), F.max("b").alias("b")), "ends")
+    total, single = nodes.agg(F.count(F.lit(1)), F.count_if(F.expr("ins = 1 and outs = 1"))).first()
+    return nodes.where("ins = 1 and outs = 1").select("x", "a", "b"), single, total
+
+
+def _contracted(links: DataFrame, middles: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chains of nodes with one link in and one out become a link each: (links left, chains (x, a, b), cycles (node_id, scc)).
+
+    Each node of a chain learns the nodes a and b at its ends by pointer jumping: its pointers go twice as far in each
+    round, so that rounds grow with the logarithm of the longest chain. What points to such a node after 2^k >= n steps is on a
+    cycle of them alone."""
+    state, steps = cut(middles.withColumn("low", F.col("x")), "chains"), 1
     while True:
-        after = current
-        for _ in range(unroll):
-            near = after.withColumnRenamed("node_id", "u").join(links, "u").select(F.col("v").alias("node_id"), "colour")
-            after = after.union(near).groupBy("node_id").agg(F.max("colour").alias("colour"))
-        after = cut(after)
-        changed = after.join(current.withColumnRenamed("colour", "was"), "node_id").where("colour <> was")
-        current = after
-        if not changed.take(1):
-            return current
+        other = state.select(F.col("x").alias("y"), F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("low").alias("ylow"))
+        ahead = other.select(F.col("y").alias("b"), F.col("yb").alias("next_b"), F.col("ylow").alias("low_b"))
+        behind = other.select(F.col("y").alias("a"), F.col("ya").alias("next_a"))
+        open_ = state.join(ahead, "b", "left").join(behind, "a", "left")
+        if steps >= 2 * n or not open_.where("next_a is not null or next_b is not null").take(1):
+            break
+        moved = open_.select("x", F.coalesce("next_a", "a").alias("a"), F.coalesce("next_b", "b").alias("b"), F.least("low", F.coalesce("low_b", "low")).alias("low"))
+        state, steps = cut(moved, "chains"), steps * 2
+    around = middles.select(F.col("x").alias("b"))
+    cycles = state.join(around, "b", "left_semi").select(F.col("x").alias("node_id"), F.col("low").alias("scc"))
+    chains = state.join(around, "b", "left_anti").select("x", "a", "b")
+    rest = links.join(middles.select(F.col("x").alias("u")), "u", "left_anti").join(middles.select(F.col("x").alias("v")), "v", "left_anti").select("u", "v")
+    made = chains.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return cut(rest.union(made).distinct(), "links"), cut(chains, "chains"), cut(cycles, "cycles")
+
+
+def _two_ways(links: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node_id, forward, backward) of the nodes that pivots (node_id) reach along links (u, v), and against them; both at once."""
+    both = cut(links.select(F.lit(True).alias("way"), F.col("u").alias("at"), F.col("v").alias("node_id")).union(links.select(F.lit(False), "v", "u")), "both")
+    frontier = cut(pivots.select("node_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("way")), "frontier")
+    seen = frontier
+    while True:
+        near = frontier.withColumnRenamed("node_id", "at").join(both, ["at", "way"]).select("node_id", "way").distinct()
+        frontier = cut(near.join(seen, ["node_id", "way"], "left_anti"), "frontier")
+        if not frontier.take(1):
+            return seen.groupBy("node_id").agg(F.bool_or("way").alias("forward"), F.bool_or(~F.col("way")).alias("backward"))
+        seen = seen.unionByName(frontier)
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, scc): the smallest id of the strongly connected component.
 
-    Nodes without incoming or outgoing edges are components of their own and are trimmed first. The largest id is then
-    carried forward; a node that kept its own id is a root, and the nodes of its colour that reach it are its
-    component. What is left goes through the same again."""
-    links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
-    everyone = links.select(F.col("u").alias("node_id")).union(links.select("v"))
-    everyone = cut((everyone if nodes is None else everyone.union(nodes.select("node_id"))).distinct())
-    found, left, size = None, links, links.count()
+    Nodes without incoming or outgoing edges are components of their own and are trimmed; where trimming gains little, or many
+    nodes have one edge in and one out, chains of these become single edges, in rounds that grow with the logarithm of
+    their length. Then each region has a pivot, the node with the most pairs of an edge in and one out, and all of them
+    reach forwards and backwards at once: what a pivot reaches both ways is its component, and what it reaches one
+    way, the other, or not at all are three regions that share no component. Where a round leaves most edges, the
+    regions are the connected components of what is left.
+
+    Nodes of a contracted chain are in the component of its ends if these are in one, and components of their own otherwise."""
+    links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct(), "links")
+    everyone = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    everyone = cut((everyone if nodes is None else everyone.union(nodes.select("node_id"))).distinct(), "nodes")
+    found, contracted, left, size = [], [], links, links.count()
+    regions = None  # (node_id, region); one region as long as it is None
     while size:
-        while True:  # trim, two layers in each pass
-            kept, was = left, size
-            for _ in range(2):
-                ins, outs = kept.select(F.col("v").alias("u")).distinct(), kept.select(F.col("u").alias("v")).distinct()
-                kept = kept.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v")
-            left = cut(kept)
-            size = left.count()
-            if size == was:
+        while size:
+            was = size
+            left, size = _trimmed(left)
+            if size and size < 0.9 * was:
+                continue
+            middles, single, total = _middles(left) if size else (None, 0, 1)
+            if 4 * single <= total:
                 break
+            left, chains, cycles = _contracted(left, middles, single)
+            found.append(cycles)
+            contracted.append(chains)
+            size = left.count()
         if not size:
             break
-        alive = left.select("u").union(left.select("v")).distinct()
-        colours = _spread(alive.select(F.col("u").alias("node_id"), F.col("u").alias("colour")), left)
-        c = colours.withColumnRenamed("node_id", "x")
-        inside = left.join(c.toDF("u", "cu"), "u").join(c.toDF("v", "cv"), "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"))
-        roots = colours.select("node_id", F.when(F.col("node_id") == F.col("colour"), F.col("colour")).otherwise(F.lit(-(1 << 62))).alias("colour"))
-        confirmed = _spread(roots, cut(inside)).where(F.col("colour") > -(1 << 62))
-        smallest = confirmed.groupBy("colour").agg(F.min("node_id").alias("scc"))
-        scc = cut(confirmed.join(smallest, "colour").select("node_id", "scc"))
-        found = scc if found is None else found.unionByName(scc)
-        gone = scc.select("node_id")
-        left = cut(left.join(gone.withColumnRenamed("node_id", "u"), "u", "left_anti").join(gone.withColumnRenamed("node_id", "v"), "v", "left_anti").select("u", "v"))
+        outs = left.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("outs"))
+        ins = left.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"))
+        alive = outs.join(ins, "node_id")
+        alive = alive.withColumn("region", F.lit(0).cast("bigint")) if regions is None else alive.join(regions, "node_id")
+        alive = cut(alive.select("node_id", "region", (F.col("ins") * F.col("outs")).alias("weight")), "alive")
+        pivots = alive.groupBy("region").agg(F.max_by("node_id", F.struct("weight", "node_id")).alias("node_id")).select("node_id")
+        marked = alive.select("node_id", "region").join(_two_ways(left, pivots), "node_id", "left")
+        marked = cut(marked.select("node_id", "region", F.coalesce("forward", F.lit(False)).alias("f"), F.coalesce("backward", F.lit(False)).alias("b")), "marked")
+        inside = marked.where("f and b")
+        found.append(inside.join(inside.groupBy("region").agg(F.min("node_id").alias("scc")), "region").select("node_id", "scc"))
+        regions = marked.where("not (f and b)").select("node_id", F.xxhash64("region", "f", "b").alias("region"))
+        of = lambda c: regions.select(F.col("node_id").alias(c), F.col("region").alias(f"of_{c}"))  # noqa: B023, E731
+        was = size
+        left = cut(left.join(of("u"), "u").join(of("v"), "v").where("of_u = of_v").select("u", "v"), "links")
         size = left.count()
-    if found is None:
-        return everyone.select("node_id", F.col("node_id").alias("scc"))
-    return everyone.join(found, "node_id", "left").withColumn("scc", F.coalesce("scc", "node_id"))
+        if 2 * size > was:
+            regions = components(left.select(F.col("u").alias("src"), F.col("v").alias("dst"))).withColumnRenamed("component", "region")
+        regions = cut(regions, "regions")
+    named = everyone.select("node_id", F.col("node_id").alias("scc"))
+    if found:
+        all_found = found[0]
+        for more in found[1:]:
+            all_found = all_found.union(more)
+        named = everyone.join(all_found.withColumnRenamed("scc", "of"), "node_id", "left").select("node_id", F.coalesce("of", "node_id").alias("scc"))
+    for chains in reversed(contracted):  # the ends of a chain may be in one that was contracted later
+        named = cut(named, "named")
+        end = lambda c: named.select(F.col("node_id").alias(c), F.col("scc").alias(f"scc_{c}"))  # noqa: B023, E731
+        same = chains.join(end("a"), "a").join(end("b"), "b").where("scc_a = scc_b").select(F.col("x").alias("node_id"), F.col("scc_a").alias("of"))
+        named = named.join(same, "node_id", "left").select("node_id", F.coalesce("of", "scc").alias("scc"))
+    named = cut(named, "named")
+    return named.join(named.groupBy("scc").agg(F.min("node_id").alias("least")), "scc").select("node_id", F.col("least").alias("scc"))
 
 
 def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:

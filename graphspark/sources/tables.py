@@ -85,9 +85,8 @@ def ring_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bought_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph that grows with the tables: customers to the parts they bought on the first line of an order, parts to
-    the customers who returned them there."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_returnflag")
+    """A cyclic graph that grows with the tables: customers to the parts they bought, parts to the customers who returned them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     both = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     customer, part = node_key("Customer", F.col("o_custkey")), node_key("Part", F.col("l_partkey"))
     bought = both.select(customer.alias("src"), part.alias("dst"))

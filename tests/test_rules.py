@@ -314,3 +314,11 @@ def test_conditions(spark):
     assert (first["type"], first["sid"], first["condition"]) == (9, A, "(Level >= -3)") and (second["sid"], second["condition"]) == (B, None)
     who = spark.createDataFrame([(1, A)], "node_id long, sid string")
     assert pairs(access.access_edges(df, who)) == {(1, 10, "WriteDACL")}
+
+
+def test_service_ids_and_escaped_names(spark):
+    known = {"msiserver": "S-1-5-80-685333868-2237257676-1431965530-1907094206-2438021966"}
+    assert dict(tuple(r) for r in spark.createDataFrame([(n,) for n in known], "n string").select("n", names.service_sid(F.col("n"))).collect()) == known
+    rows = [("CN=a\\\\,DC=x", "DC=x", "DC=x"), ("CN=a\\,b,DC=x", "DC=x", "DC=x"), ("CN=a", None, ""), ("DC=x,DC=y", "DC=y", "DC=x,DC=y"), ("CN=a\\\\\\,b,OU=c, dc=y", "OU=c, dc=y", "dc=y")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "dn string").select("dn", names.dn_parent(F.col("dn")), names.dn_domain(F.col("dn")))
+    assert [tuple(r) for r in df.collect()] == rows
