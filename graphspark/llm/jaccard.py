@@ -476,8 +476,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     64-bit hashes of shingles and of sets.
 
     Nothing is capped: meetings of many classes are first linked to one pivot. Members that this leaves outside the
-    pivot's component are paired with some of the others, then with 64 times as many, at last with all those outside
-    their own component; only pairs whose coarse sketches allow a link leave that join. Pairs inside a component need no verification and get none, so that links are not counted.
+    pivot's component are paired with some of the others in the largest of their meetings, then with 64 times as many, then
+    with all of it; what is still outside is at last paired with all members of all its meetings outside its own component.
+    Only pairs whose coarse sketches allow a link leave that join. Pairs inside a component need no verification and get none, so that links are not counted.
     Copies are combined before each shuffle. Null and empty texts, and texts of white space alone, have no shingles, link
     with nothing and are components of their own, also when repeated. Equal sets always link. Each row of a repeated id
     is a document by itself, with the component of its own text. Of a null id too, with the component_id of the others in
@@ -525,14 +526,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = saved(linked(possible(tried)), "links")
     label, depth = labels(links), 0
     deepest = large.agg(F.max(_level("b"))).first()[0]
-    while deepest is not None and depth <= deepest:
+    while deepest is not None and depth <= deepest + 1:
         of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
         members = saved(large.select("meeting", F.col("b").alias("x"), "n", "top").join(of("x"), "x", "left").withColumn("of_x", F.coalesce("of_x", "x")), "members")
-        main = large.groupBy("meeting").agg(F.min("a").alias("p"), F.max(_level("b")).alias("deep")).join(of("p"), "p", "left").select("meeting", "deep", F.coalesce("of_p", "p").alias("of_p"))
+        main = large.groupBy("meeting").agg(F.min("a").alias("p"), F.max(_level("b")).alias("deep"), F.count(F.lit(1)).alias("many"))
+        main = main.join(of("p"), "p", "left").select("meeting", "deep", "many", F.coalesce("of_p", "p").alias("of_p"))
         outside = members.join(main, "meeting").where("of_x <> of_p")
-        open_ones = saved(outside.select("meeting", "deep", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("n").alias("n_y"), F.col("top").alias("top_y")), "open", n_met)
+        open_ones = saved(outside.select("meeting", "deep", "many", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("n").alias("n_y"), F.col("top").alias("top_y")), "open", n_met)
         if not open_ones.take(1):
             break
+        if depth <= deepest:  # what shares many meetings is compared in the largest of them; only the last level looks at all
+            largest = F.max_by(F.struct("meeting", "deep", "of_y", "n_y", "top_y"), F.struct("many", "meeting")).alias("o")
+            open_ones = saved(open_ones.groupBy("y").agg(largest).select("y", "o.*"), "largest", n_met)
+        else:
+            open_ones = open_ones.drop("many")
         lanes = lambda c: classes.select(F.col("sig").alias(c), F.col("lanes").alias(f"lanes_{c}"))
         chosen = members.join(open_ones.select("meeting", "deep").distinct(), "meeting").where(_level("x") >= F.col("deep") - depth).drop("deep").join(lanes("x"), "x")
         fits = f"y <> x and of_x <> of_y and n <= top_y and n_y <= top and 100 * least(n, n_y) >= {PERCENT} * greatest(n, n_y)"
