@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphspark import catalogue
+from graphspark import catalogue, directory_queries, questions  # noqa: F401  (they register queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
