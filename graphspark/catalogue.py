@@ -357,9 +357,10 @@ def prob_below(spark, d):
 
 @query(f"WITH q AS (SELECT a.src AS a, a.dst AS b, s.src AS s, c.dst AS c FROM ({EDGE_SQL['Placed']}) a JOIN ({EDGE_SQL['Contains']}) c ON a.dst = c.src JOIN ({EDGE_SQL['Supplies']}) s ON s.dst = c.dst WHERE a.prob / 100.0 * (s.prob / 100.0) >= 0.5) SELECT a AS src, b AS dst, 'Placed' AS edge_types, count(*) AS flow FROM q GROUP BY 1, 2 UNION ALL SELECT b, c, 'Contains', count(*) FROM q GROUP BY 1, 2 UNION ALL SELECT s, c, 'Supplies', count(*) FROM q GROUP BY 1, 2")
 def prob_accumulated(spark, d):
-    """Paths of a least accumulated probability from all customers."""
+    """Paths of a least accumulated probability from all customers. The positions' types differ, so that no walk can repeat a
+    node and paths may be counted instead of listed."""
     gr = graph(spark, d, ("Customer", "Order", "Part", "Supplier"), ("Placed", "Contains", "Supplies"))
-    pattern = Pattern((Node(p.of_type("Customer")), Edge(("Placed",)), Node(p.of_type("Order")), Edge(("Contains",)), Node(), Edge(("Supplies",), "in"), Node()), min_accumulated=0.5)
+    pattern = Pattern((Node(p.of_type("Customer")), Edge(("Placed",)), Node(p.of_type("Order")), Edge(("Contains",)), Node(), Edge(("Supplies",), "in"), Node()), min_accumulated=0.5, layered=True)
     return flat(paths.match(gr, pattern).edges)
 
 

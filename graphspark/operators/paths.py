@@ -315,7 +315,7 @@ def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
         only = node_set(graph, pattern.nodes[0]).withColumn("seg", F.lit(0))
         none = pairs_of(graph.edges).where("false").select("src", "dst", F.array().cast("array<string>").alias("edge_types"), F.lit(0).cast("bigint").alias("flow"))
         return GraphResult(only.select("node_id", _labels(pattern).alias("reference")), none)
-    if pattern.mode == "WALK":
+    if pattern.mode == "WALK" or pattern.layered:
         return _walk(graph, pattern)
     paths = cut(find_paths(graph, pattern))
     edges = paths.select(F.explode("used").alias("e")).groupBy("e.src", "e.dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("e.edge_types")))).alias("edge_types"), F.count(F.lit(1)).alias("flow"))
@@ -325,21 +325,47 @@ def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
     return GraphResult(nodes.select("node_id", _labels(pattern).alias("reference")), edges)
 
 
+def _exact_sum(column: str) -> Column:
+    """A sum of whole numbers; one that a long does not hold is an error, whatever the session's settings."""
+    return F.coalesce(F.try_sum(column), F.raise_error(F.lit("more walks than a long holds")).cast("bigint"))
+
+
+def _typed_flows(flows: list[tuple[DataFrame, Edge, DataFrame]]) -> DataFrame:
+    """(src, dst, edge_types, flow) of (flows (src, dst, f), edge position, its steps). Types are not carried along with the
+    walks: where each position has one, they are added up as bits, otherwise they are joined to the sums."""
+    if all(len(edge.types) == 1 and not edge.negate for _, edge, _ in flows):
+        names = sorted({edge.types[0] for _, edge, _ in flows})
+        rows = [f.withColumn("bit", F.lit(1 << names.index(edge.types[0])).cast("bigint")) for f, edge, _ in flows]
+        summed = reduce(DataFrame.unionByName, rows).groupBy("src", "dst").agg(F.bit_or("bit").alias("bits"), _exact_sum("f").alias("flow"))
+        types = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, F.lit(t)) for i, t in enumerate(names)]))
+        return summed.select("src", "dst", types.alias("edge_types"), "flow")
+    rows = []
+    for f, _, allowed in flows:
+        types = allowed.select("src", "dst", "edge_types").dropDuplicates(["src", "dst"])
+        rows.append(f.groupBy("src", "dst").agg(_exact_sum("f").alias("f")).join(types, ["src", "dst"]))
+    types = F.array_sort(F.array_distinct(F.flatten(F.collect_set("edge_types")))).alias("edge_types")
+    return reduce(DataFrame.unionByName, rows).groupBy("src", "dst").agg(types, _exact_sum("f").alias("flow"))
+
+
 def _walk(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
     """All walks, without listing them: a forward pass counts the ways to each state (position, hop, node), a backward pass
     those from it to the end; a step's flow is the product. Where a walk started is not part of the state, so that states
-    are no more than nodes times hops. Numbers of ways up to 10^19 a side are exact; more raise an error.
-
-    max_depth bounds the hops of a pattern with one edge position; elsewhere it must not be below their sum, and walks have
-    no accumulated probability: both raise an error rather than be ignored."""
-    if pattern.min_accumulated > 0:
-        raise ValueError("walks are counted, not listed, and have no accumulated probability; use TRAIL, ACYCLIC or SIMPLE")
+    are no more than nodes times hops. Where there is a least accumulated probability, what a walk has accumulated is part
+    of the state, so that there are as many more as there are different products. Numbers of ways up to 2^63 are exact; more
+    raise an error.
+
+    max_depth bounds the hops of a pattern with one edge position; elsewhere it must not be below their sum. WALK has no
+    accumulated probability; paths of a layered pattern do. Both raise an error rather than be ignored."""
+    if pattern.mode == "WALK" and pattern.min_accumulated > 0:
+        raise ValueError("a WALK has no accumulated probability; use TRAIL, ACYCLIC or SIMPLE")
     if len(pattern.edges) > 1 and sum(e.max_hops for e in pattern.edges) > pattern.max_depth:
         raise ValueError("the hops of a WALK over several positions may not go beyond max_depth")
     sets = [node_set(graph, n) for n in pattern.nodes]
-    number = "decimal(38,0)"
-    at = sets[0].select(F.col("node_id").alias("v"), F.lit(1).cast(number).alias("c"))
-    layers = []  # of each segment: (entry states, transitions of each hop)
+    weighed = pattern.min_accumulated > 0
+    state = ["v", "chance"] if weighed else ["v"]
+    total = lambda rows, c: rows.groupBy(*state).agg(_exact_sum(c).alias(c))
+    at = sets[0].select(F.col("node_id").alias("v"), *([F.lit(1.0).alias("chance")] if weighed else []), F.lit(1).cast("bigint").alias("c"))
+    layers = []  # of each segment: (transitions of each hop, edge, steps, ...)
     for seg, edge in enumerate(pattern.edges, 1):
         most = min(edge.max_hops, pattern.max_depth)
         allowed, target = cut(steps(graph, edge)), sets[seg]
@@ -348,35 +374,36 @@ def _walk(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
         if edge.min_hops == 0:
             done.append(_among(at, "v", target))
         for hop in range(1, most + 1):
-            taken = cut(frontier.withColumnRenamed("v", "u").join(allowed, "u"))
+            taken = frontier.withColumnRenamed("v", "u").join(allowed, "u")
+            if weighed:
+                taken = taken.withColumnRenamed("chance", "had").withColumn("chance", F.col("had") * F.col("p")).where(F.col("chance") >= pattern.min_accumulated)
+            taken = cut(taken.select("u", "src", "dst", "c", *state, *(["had"] if weighed else [])))
             hops.append(taken)
-            reached = taken.groupBy("v").agg(F.sum("c").cast(number).alias("c"))
+            reached = total(taken, "c")
             if hop >= edge.min_hops:
                 done.append(_among(reached, "v", target))
             frontier = reached if inner is None else _among(reached, "v", inner)
         none = at.where("false")
-        at = cut(reduce(DataFrame.unionByName, done, none).groupBy("v").agg(F.sum("c").cast(number).alias("c")))
-        layers.append((hops, edge, target, inner))
-    after = at.select("v", F.lit(1).cast(number).alias("b"))
+        at = cut(total(reduce(DataFrame.unionByName, done, none), "c"))
+        layers.append((hops, edge, allowed, target, inner))
+    after = at.select(*state, F.lit(1).cast("bigint").alias("b"))
     flows, marks = [], [after.select(F.col("v").alias("node_id"), F.lit(len(pattern.edges)).alias("seg"))]
     for seg in range(len(layers) - 1, -1, -1):
-        hops, edge, target, inner = layers[seg]
-        onward = after.where("false").select("v", "b")
+        hops, edge, allowed, target, inner = layers[seg]
+        onward = after.where("false").select(*state, "b")
         for hop in range(len(hops), 0, -1):
             last = _among(after, "v", target) if hop >= edge.min_hops else after.where("false")
             on = onward if inner is None else _among(onward, "v", inner)
-            ways = last.unionByName(on).groupBy("v").agg(F.sum("b").cast(number).alias("b"))
-            good = cut(hops[hop - 1].join(ways, "v"))
-            flows.append(good.select("src", "dst", "edge_types", (F.col("c").cast("decimal(19,0)") * F.col("b").cast("decimal(19,0)")).cast(number).alias("f")))
+            good = cut(hops[hop - 1].join(total(last.unionByName(on), "b"), state))
+            ways = F.coalesce(F.try_multiply("c", "b"), F.raise_error(F.lit("more walks than a long holds")).cast("bigint"))
+            flows.append((good.select("src", "dst", ways.alias("f")), edge, allowed))
             marks.append(good.select(F.col("u").alias("node_id"), F.lit(-1).alias("seg")))
-            onward = good.groupBy(F.col("u").alias("v")).agg(F.sum("b").cast(number).alias("b"))
+            onward = total(good.select(F.col("u").alias("v"), *([F.col("had").alias("chance")] if weighed else []), "b"), "b")
         zero = _among(after, "v", target) if edge.min_hops == 0 else after.where("false")
-        after = cut(onward.unionByName(zero.select("v", "b")).groupBy("v").agg(F.sum("b").cast(number).alias("b")))
+        after = cut(total(onward.unionByName(zero.select(*state, "b")), "b"))
         marks.append(after.select(F.col("v").alias("node_id"), F.lit(seg).alias("seg")))
-    types = F.array_sort(F.array_distinct(F.flatten(F.collect_set("edge_types")))).alias("edge_types")
-    edges = reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(types, F.sum("f").cast("bigint").alias("flow"))
     nodes = reduce(DataFrame.unionByName, marks).groupBy("node_id").agg(F.max("seg").alias("seg"))
-    return GraphResult(nodes.select("node_id", _labels(pattern).alias("reference")), edges)
+    return GraphResult(nodes.select("node_id", _labels(pattern).alias("reference")), _typed_flows(flows))
 
 
 def union(*results: GraphResult) -> GraphResult:

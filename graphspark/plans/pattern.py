@@ -76,7 +76,10 @@ class Pattern:
 
     traversal: the order in which the paths of each start are taken up, one at a time, see paths.best_first(). An ACYCLIC
     path is then not lengthened to a node that a path completed before holds. node_limit: a start is given up when its
-    completed paths hold so many nodes."""
+    completed paths hold so many nodes.
+
+    layered: said of a pattern whose positions' nodes are of different kinds, so that no walk of it can repeat a node: match()
+    then counts its paths as it counts walks, and does not list them."""
 
     parts: tuple[Node | Edge, ...]
     mode: str = "ACYCLIC"
@@ -85,6 +88,7 @@ class Pattern:
     min_accumulated: float = 0.0  # product of the steps' probabilities, 0 to 1
     traversal: str | None = None
     node_limit: int | None = None
+    layered: bool = False
 
     nodes: list[Node] = field(init=False, repr=False, compare=False)
     edges: list[Edge] = field(init=False, repr=False, compare=False)
@@ -96,6 +100,8 @@ class Pattern:
             raise ValueError(f"traversal must be one of {TRAVERSALS}, and walks are counted, not taken one by one")
         if self.node_limit is not None and (self.traversal is None or self.node_limit < 1):
             raise ValueError("node_limit is a positive number and needs a traversal")
+        if self.layered and (self.traversal is not None or self.dedup != "none" or any(e.max_hops > 1 for e in self.parts[1::2])):
+            raise ValueError("a layered pattern has single steps, no traversal and no dedup")
         if len(self.parts) % 2 == 0 or any(isinstance(p, Node) != (i % 2 == 0) for i, p in enumerate(self.parts)):
             raise ValueError("a pattern is node, edge, node, ..., node")
         object.__setattr__(self, "nodes", list(self.parts[::2]))

@@ -132,3 +132,17 @@ def test_an_order_needs_paths():
     for wrong in ({"traversal": "best"}, {"traversal": "shortest", "mode": "WALK"}, {"node_limit": 3}, {"traversal": "likely", "node_limit": 0}):
         with pytest.raises(ValueError):
             Pattern(a, **wrong)
+
+
+def test_layered_paths_are_counted_not_listed(spark, monkeypatch):
+    """Paths with a least accumulated probability over three kinds of nodes: the same with and without listing them."""
+    rng = random.Random(6)
+    rows = [(100 * k + i, 100 * k + 100 + j, "AB"[k], rng.choice([100, 50, 30])) for k in range(2) for i in range(8) for j in rng.sample(range(8), 4)]
+    graph = PropertyGraph(spark.createDataFrame([(100 * k + i,) for k in range(3) for i in range(8)], "node_id long"), spark.createDataFrame(rows, "src long, dst long, edge_type string, prob int"))
+    parts = (Node(F.col("node_id") < 100), Edge(("A",)), Node(), Edge(("B",)), Node())
+    found = lambda **more: {(r["src"], r["dst"]): (tuple(r["edge_types"]), r["flow"]) for r in paths.match(graph, Pattern(parts, min_accumulated=0.3, **more)).edges.collect()}
+    listed = found()
+    monkeypatch.setattr(paths, "find_paths", None)
+    assert found(layered=True) == listed and listed
+    with pytest.raises(ValueError):
+        Pattern((Node(), Edge(max_hops=2), Node()), layered=True)
