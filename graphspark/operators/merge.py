@@ -152,7 +152,23 @@ def collisions(rows: DataFrame, key: str, node: str = "node_id") -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(node).alias("first"), F.count_distinct(node).alias("n")).where("n > 1")
 
 
+#: Nodes of a key that a cell of collision_pairs() holds on each side, about: it gives no more than their product.
+BLOCK_NODES = 1000
+
+
 def collision_pairs(rows: DataFrame, key: str, node: str = "node_id") -> DataFrame:
-    """(a, b), a < b: nodes that share a key, all pairs of them; see collisions() for a row a key."""
-    x = rows.select(F.col(key).alias("key"), F.col(node).alias("a")).distinct()
-    return x.join(x.select("key", F.col("a").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    """(a, b), a < b: nodes that share a key, all pairs of them, once each; see collisions() for a row a key.
+
+    The nodes of a key are dealt to blocks, and each two blocks meet in a cell of their own, so that a common key is spread
+    over the tasks and what one holds does not grow with it. Only pairs of nodes with several keys can arise twice and are
+    compared with each other."""
+    x = cut(rows.select(F.col(key).alias("key"), F.col(node).alias("a")).where("key is not null").distinct(), "keys")
+    size = x.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks"))
+    several = x.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("several"))
+    dealt = x.join(size, "key").join(several, "a").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    left = dealt.select("key", "a", F.col("several").alias("several_a"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("key", F.col("a").alias("b"), F.col("several").alias("several_b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    met = left.join(right, ["key", "i", "j"]).where("i < j or a < b")
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    twice = F.col("several_a") & F.col("several_b")
+    return met.where(~twice).select(*pair).unionByName(met.where(twice).select(*pair).distinct())

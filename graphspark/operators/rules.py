@@ -107,7 +107,8 @@ def roastable(nodes: DataFrame, everyone: int) -> DataFrame:
 def sid_collisions(nodes: DataFrame) -> DataFrame:
     """SIDCollision between machines of one objectSid."""
     m = nodes.where("type = 'Machine'").select("node_id", F.lower(_first("objectsid")).alias("sid")).where("sid is not null")
-    return _edges(collision_pairs(m, "sid").select(F.col("a").alias("src"), F.col("b").alias("dst")), "SIDCollision")
+    pairs = collision_pairs(m, "sid")  # different nodes, each pair once
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SIDCollision").alias("edge_type"), F.lit(100).alias("prob"))
 
 
 def update_servers(nodes: DataFrame) -> DataFrame:

@@ -322,3 +322,11 @@ def test_service_ids_and_escaped_names(spark):
     rows = [("CN=a\\\\,DC=x", "DC=x", "DC=x"), ("CN=a\\,b,DC=x", "DC=x", "DC=x"), ("CN=a", None, ""), ("DC=x,DC=y", "DC=y", "DC=x,DC=y"), ("CN=a\\\\\\,b,OU=c, dc=y", "OU=c, dc=y", "dc=y")]
     df = spark.createDataFrame([(r[0],) for r in rows], "dn string").select("dn", names.dn_parent(F.col("dn")), names.dn_domain(F.col("dn")))
     assert [tuple(r) for r in df.collect()] == rows
+
+
+def test_pairs_of_a_common_key_are_dealt_to_cells(spark, monkeypatch):
+    """A key that most nodes share is spread over cells; nodes with several keys in common are one pair; null is no key."""
+    monkeypatch.setattr(merge, "BLOCK_NODES", 7)
+    rows = [(i, "common") for i in range(60)] + [(i, f"k{i % 5}") for i in range(0, 60, 2)] + [(99, None), (98, None)]
+    got = [(r["a"], r["b"]) for r in merge.collision_pairs(spark.createDataFrame(rows, "node_id long, k string"), "k").collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
