@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -308,6 +308,92 @@ def _labels(pattern: Pattern) -> Column:
     return out
 
 
+# ---- shortest paths counted, not listed ----
+def _countable(pattern: Pattern) -> bool:
+    edge = pattern.edges[0] if len(pattern.edges) == 1 else None
+    whole = pattern.mode == "ACYCLIC" and pattern.traversal == "shortest" and pattern.node_limit is None and pattern.min_accumulated <= 0
+    return whole and edge is not None and edge.min_hops == 1 and edge.through is None and edge.max_hops <= pattern.max_depth
+
+
+def _ways(c: Column, b: Column) -> Column:
+    return F.coalesce(F.try_multiply(c, b), F.raise_error(F.lit("more paths than a long holds")).cast("bigint"))
+
+
+def _counted(graph: PropertyGraph, pattern: Pattern) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Steps (start, u, v, src, dst, hop, ends, c, b) of the paths that best_first() completes, without listing these; the steps
+    allowed; and the starts that are left out, if any.
+
+    c: ways from the start to u; b: ways on from v, ending there included. For "shortest" all that a path's way on depends on
+    is its start, hops and last node, and the nodes since the last one that satisfies the end (tail): what was before
+    those belongs to a completed path and is refused in any case. Paths that agree in these are one row with a count. Where
+    the first completed path through a node and a path that would enter it agree in hops and last node, their ways decide:
+    starts with such a tie are left out, for best_first()."""
+    sets, (allowed,), (need,) = _planned(graph, pattern)
+    most = pattern.edges[0].max_hops
+    ends = sets[1].select(F.col("node_id").alias("v")).distinct().withColumn("ends", F.lit(True))
+    links = allowed.select("u", "v", "src", "dst").join(ends, "v", "left").withColumn("ends", F.coalesce("ends", F.lit(False)))
+    links = cut(_can_end(links, need, 1, most), "links")
+    at = sets[0].select(F.col("node_id").alias("start"), F.array("node_id").alias("tail"), F.col("node_id").alias("v"), F.lit(1).cast("bigint").alias("c"))
+    at, held, layers, ties = _can_end(at, need, 0, most), None, [], []
+    for hop in range(most):
+        rows = at.withColumnRenamed("v", "u").join(links, "u").where(~F.array_contains("tail", F.col("v")) & (F.col("v") != F.col("start")))
+        rows = _can_end(rows, need, hop + 1, most).withColumn("tie", F.lit(False))
+        if held is not None:
+            mine, known = F.struct(F.lit(hop).alias("h"), F.col("u").alias("n")), held.select("start", F.col("node").alias("v"), "first")
+            rows = rows.join(known, ["start", "v"], "left").where(F.col("first").isNull() | (F.col("first") >= mine))
+            rows = rows.withColumn("tie", F.coalesce(F.col("first") == mine, F.lit(False))).drop("first")
+        taken = cut(rows.select("start", "tail", "u", "v", "src", "dst", "ends", "c", "tie"), "taken")
+        if not taken.take(1):
+            break
+        ties.append(taken.where("tie").select("start"))
+        taken = taken.where("not tie").drop("tie").withColumn("to", F.when(F.col("ends"), F.array().cast("array<bigint>")).otherwise(F.array_append("tail", F.col("v"))))
+        layers.append(taken)
+        at = cut(taken.groupBy("start", F.col("to").alias("tail"), "v").agg(_exact_sum("c").alias("c")), "counted")
+        first = F.struct(F.lit(hop + 1).alias("h"), F.col("v").alias("n")).alias("first")
+        now = taken.where("ends").select("start", F.explode(F.array_append("tail", F.col("v"))).alias("node"), first)
+        held = cut((now if held is None else held.unionByName(now)).groupBy("start", "node").agg(F.min("first").alias("first")), "held")
+    tied = reduce(DataFrame.union, ties).distinct() if ties else None
+    tied = cut(tied, "tied") if tied is not None else None
+    tied = tied if tied is not None and tied.take(1) else None
+    onward, goods = None, []
+    for hop in range(len(layers) - 1, -1, -1):
+        rows = layers[hop] if tied is None else layers[hop].join(tied, "start", "left_anti")
+        on = F.lit(0).cast("bigint")
+        if onward is not None:
+            rows, on = rows.join(onward, ["start", "to", "v"], "left"), F.coalesce("more", F.lit(0).cast("bigint"))
+        good = cut(rows.withColumn("b", F.col("ends").cast("bigint") + on).where("b > 0").select("start", "tail", "u", "v", "src", "dst", F.lit(hop).alias("hop"), "ends", "c", "b"), "good")
+        goods.append(good.drop("tail"))
+        onward = good.groupBy("start", F.col("tail").alias("to"), F.col("u").alias("v")).agg(_exact_sum("b").alias("more"))
+    none = at.where("false").select("start", F.col("v").alias("u"), "v", F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("hop"), F.lit(True).alias("ends"), "c", F.col("c").alias("b"))
+    return reduce(DataFrame.unionByName, goods, none), allowed, tied
+
+
+def _of_starts(graph: PropertyGraph, pattern: Pattern, starts: DataFrame) -> tuple[PropertyGraph, Pattern]:
+    """The pattern from some of its starts alone."""
+    nodes = graph.nodes.join(starts.select(F.col("start").alias("node_id"), F.lit(True).alias("starts_here")), "node_id", "left")
+    return PropertyGraph(nodes, graph.edges), replace(pattern, parts=(Node(F.coalesce("starts_here", F.lit(False)), pattern.nodes[0].label), *pattern.parts[1:]))
+
+
+def path_counts(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
+    """(start, paths, nodes, hops): of each start, how many paths there are, the nodes they hold and the hops they take."""
+    if not _countable(pattern):
+        found = find_paths(graph, pattern)
+        return found.groupBy("start").agg(
+            F.count(F.lit(1)).alias("paths"), F.size(F.array_distinct(F.flatten(F.collect_set("visited")))).cast("long").alias("nodes"), F.sum(F.size("used")).alias("hops"),
+        )
+    found, _, tied = _counted(graph, pattern)
+    ended = found.where("ends").groupBy("start").agg(_exact_sum("c").alias("paths"), F.sum(F.col("c") * (F.col("hop") + 1)).alias("hops"))
+    nodes = found.select("start", "u").union(found.select("start", "v")).distinct().groupBy("start").agg(F.count(F.lit(1)).alias("nodes"))
+    counts = ended.join(nodes, "start").select("start", "paths", "nodes", "hops")
+    if tied is None:
+        return counts
+    on, part = _of_starts(graph, pattern, tied)
+    listed = best_first(on, part).groupBy("start").agg(
+        F.count(F.lit(1)).alias("paths"), F.size(F.array_distinct(F.flatten(F.collect_set("visited")))).cast("long").alias("nodes"), F.sum(F.size("used")).alias("hops"),
+    )
+    return counts.unionByName(listed)
+
+
 def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
     """The sub-graph of all paths of the pattern: nodes with their label (of the last position where there are several),
     and pairs with their types and the number of paths over them. A pattern of one node gives all its nodes."""
@@ -317,11 +403,30 @@ def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
         return GraphResult(only.select("node_id", _labels(pattern).alias("reference")), none)
     if pattern.mode == "WALK" or pattern.layered:
         return _walk(graph, pattern)
+    if not _countable(pattern):
+        return _labelled(*_listed(graph, pattern), pattern)
+    found, allowed, tied = _counted(graph, pattern)
+    edges = _typed_flows([(found.select("src", "dst", _ways(F.col("c"), F.col("b")).alias("f")), pattern.edges[0], allowed)])
+    marks = found.select(F.col("u").alias("node_id"), F.when(F.col("hop") == 0, 0).otherwise(-1).alias("seg"))
+    nodes = marks.union(found.select("v", F.when(F.col("ends"), 1).otherwise(-1)))
+    if tied is not None:
+        from .graph import merge_results
+
+        more_nodes, more_edges = _listed(*_of_starts(graph, pattern, tied))
+        nodes, edges = nodes.union(more_nodes), merge_results(edges, more_edges)
+    return _labelled(nodes, edges, pattern)
+
+
+def _listed(graph: PropertyGraph, pattern: Pattern) -> tuple[DataFrame, DataFrame]:
+    """(node_id, seg) and (src, dst, edge_types, flow) of paths made one by one."""
     paths = cut(find_paths(graph, pattern))
     edges = paths.select(F.explode("used").alias("e")).groupBy("e.src", "e.dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("e.edge_types")))).alias("edge_types"), F.count(F.lit(1)).alias("flow"))
     inner = paths.select(F.explode("visited").alias("node_id"), F.lit(-1).alias("seg"))
-    marked = paths.select(F.explode("refs").alias("r")).select(F.col("r.node").alias("node_id"), F.col("r.seg").alias("seg"))
-    nodes = inner.union(marked).groupBy("node_id").agg(F.max("seg").alias("seg"))
+    return inner.union(paths.select(F.explode("refs").alias("r")).select(F.col("r.node").alias("node_id"), F.col("r.seg").alias("seg"))), edges
+
+
+def _labelled(marks: DataFrame, edges: DataFrame, pattern: Pattern) -> GraphResult:
+    nodes = marks.groupBy("node_id").agg(F.max("seg").alias("seg"))
     return GraphResult(nodes.select("node_id", _labels(pattern).alias("reference")), edges)
 
 

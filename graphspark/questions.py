@@ -166,10 +166,7 @@ def _ordered(traversal: str, node_limit: int | None = None) -> Pattern:
 
 def _paths_by_start(graph: g.PropertyGraph, pattern: Pattern) -> DataFrame:
     """(start, paths, nodes, hops): of each start, how many paths there are, the nodes they hold and the hops they take."""
-    found = paths.find_paths(graph, pattern)
-    return found.groupBy("start").agg(
-        F.count(F.lit(1)).alias("paths"), F.size(F.array_distinct(F.flatten(F.collect_set("visited")))).cast("long").alias("nodes"), F.sum(F.size("used")).alias("hops"),
-    )
+    return paths.path_counts(graph, pattern)
 
 
 @query()

@@ -146,3 +146,27 @@ def test_layered_paths_are_counted_not_listed(spark, monkeypatch):
     assert found(layered=True) == listed and listed
     with pytest.raises(ValueError):
         Pattern((Node(), Edge(max_hops=2), Node()), layered=True)
+
+
+def flows_of(counter):
+    flow = Counter()
+    for way, n in counter.items():
+        for step in zip(way, way[1:], strict=False):
+            flow[step] += n
+    return dict(flow)
+
+
+@pytest.mark.parametrize("ends", [0, 3, 5])
+def test_shortest_paths_are_counted_not_listed(spark, monkeypatch, ends):
+    """Flows and counts of "shortest" from rows a (start, hops, node); only starts with a tie are listed."""
+    graph, links, ids = blocks(spark, 7 + ends, n_blocks=30)
+    starts, targets = [i for i in ids if i % 100 < 2], {i for i in ids if i % 100 >= ends}
+    pattern = Pattern((start(), Edge(("Link",), max_hops=5), Node(F.col("node_id") % 100 >= ends)), traversal="shortest")
+    listed, plain = [], paths.best_first
+    monkeypatch.setattr(paths, "best_first", lambda g, p: listed.append(paths.node_set(g, p.nodes[0]).count()) or plain(g, p))
+    want = queue(links, starts, [targets], [(1, 5)], "shortest")
+    assert {(r["src"], r["dst"]): r["flow"] for r in paths.match(graph, pattern).edges.collect()} == flows_of(want)
+    counts = {r["start"]: (r["paths"], r["nodes"], r["hops"]) for r in paths.path_counts(graph, pattern).collect()}
+    mine = lambda s: {way: n for way, n in want.items() if way[0] == s}
+    assert counts == {s: (sum(mine(s).values()), len({v for way in mine(s) for v in way}), sum(n * (len(way) - 1) for way, n in mine(s).items())) for s in starts if mine(s)}
+    assert all(n < len(starts) / 2 for n in listed) and (ends or not listed)
