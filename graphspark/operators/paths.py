@@ -44,9 +44,8 @@ def _typed_pairs(edges: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 def _all_pairs(edges: DataFrame) -> DataFrame:
     """(src, dst, n, edge_types, prob) of all pairs with an edge."""
-    sets = pairs_of(edges)
-    types = F.array_distinct(F.transform("sets", lambda s: s["edge_type"]))
-    return sets.select("src", "dst", F.size(types).alias("n"), types.alias("edge_types"), F.array_max(F.transform("sets", lambda s: s["prob"])).alias("prob"))
+    pairs = edges.where("src <> dst").groupBy("src", "dst").agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"), F.max("prob").alias("prob"))
+    return pairs.select("src", "dst", F.size("edge_types").alias("n"), "edge_types", "prob")
 
 
 def steps(graph: PropertyGraph, edge: Edge) -> DataFrame:

@@ -128,12 +128,15 @@ def estate(spark: SparkSession, d: str) -> g.PropertyGraph:
 
 
 def _estate(spark: SparkSession, d: str) -> g.PropertyGraph:
-    plain = rules.parents_by_dn(rules.domain_contexts(dr.directory(spark, d).unionByName(dr.built_in(spark, d))))
-    plain = cut(with_attribute(plain, "dataloader", F.lit("Active Directory")), "estate")
+    # each map of attributes is written before what reads it several times, which would make it anew each time
+    plain = cut(dr.directory(spark, d).unionByName(dr.built_in(spark, d)).unionByName(dr.service_accounts(spark, d)), "estate")
+    plain = cut(with_attribute(rules.domain_contexts(plain), "dataloader", F.lit("Active Directory")), "estate")
+    plain = cut(rules.parents_by_dn(plain), "estate")
     new, machine_edges = rules.machine_accounts(plain, dr.MACHINE)
     nodes = cut(rules.controller_tags(rules.account_tags(plain, "2024-01-01").unionByName(new)), "estate")
     granted = access.access_edges(dr.access_lists(spark, d), dr.principals(spark, d), schema=dr.attribute_sets(spark, d))
-    made = [rules.memberships(nodes), rules.broad_memberships(nodes), rules.controller_rights(nodes), rules.policy_links(nodes), machine_edges, rules.update_servers(nodes), granted]
+    on_hosts = access.access_edges(dr.host_lists(spark, d), dr.service_principals(spark, d))
+    made = [rules.memberships(nodes), rules.broad_memberships(nodes), rules.controller_rights(nodes), rules.policy_links(nodes), machine_edges, rules.update_servers(nodes), granted, on_hosts]
     edges = made[0]
     for more in made[1:]:
         edges = edges.unionByName(more.select(*edges.columns))

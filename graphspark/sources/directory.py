@@ -14,13 +14,17 @@ from .tables import STEP, table
 #: Groups of a domain, by the market segment of their members.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 GROUP, MACHINE, POLICY, CROSS, SERVICE, TEMPLATE = 9 * STEP, 10 * STEP, 11 * STEP, 12 * STEP, 13 * STEP, 14 * STEP
-BUILT_IN, SYNC = 16 * STEP, 17 * STEP
+BUILT_IN, SYNC, RUNNER = 16 * STEP, 17 * STEP, 18 * STEP
 #: Policies of a domain, plain and enforced, stand behind those of its units.
 PLAIN, ENFORCED = POLICY + 1000, POLICY + 2000
 #: Groups and ids that each domain has, in the order of their nodes.
 BUILT_IN_SIDS = ("S-1-5-32-544", "S-1-5-32-555", "S-1-5-32-562", "S-1-5-9", "S-1-5-11", "S-1-1-0", "S-1-5-32-549", "S-1-5-32-551")
 #: Account flags: fixed values of the format.
-DISABLED, WORKSTATION, SERVER, NEVER_EXPIRES, DELEGATION, NO_PREAUTH, AUTH_DELEGATION = 0x2, 0x1000, 0x2000, 0x10000, 0x80000, 0x400000, 0x1000000
+NORMAL, DISABLED, WORKSTATION, SERVER, NEVER_EXPIRES, DELEGATION, NO_PREAUTH, AUTH_DELEGATION = 0x200, 0x2, 0x1000, 0x2000, 0x10000, 0x80000, 0x400000, 0x1000000
+
+
+#: Rows whose attributes one task makes, about.
+ROWS_A_TASK = 100_000
 
 
 def domain_dn(name: Column) -> Column:
@@ -39,6 +43,13 @@ def flag(when: Column, bit: int) -> Column:
     return F.when(when, F.lit(bit)).otherwise(F.lit(0))
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key to as many tasks as two a core, and more where there are many: attributes and entries are some
+    0.1 ms a row, and the files of a table may be few, or of one row group."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK)), key)
+
+
 def _places(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_regionkey", "r_name")
@@ -61,8 +72,8 @@ def directory(spark: SparkSession, d: str) -> DataFrame:
     blocked = F.when(F.col("n_nationkey") % 4 == 1, F.lit("1"))  # such units keep out what is not enforced
     wide_dn = lambda kind: F.concat(F.lit(f"CN={kind}"), "r_regionkey", F.lit(",CN=Policies,"), domain)
     wide_link = F.concat(F.lit("[LDAP://"), wide_dn("PLAIN"), F.lit(";0][LDAP://"), wide_dn("FORCED"), F.lit(";2]"))
-    people = table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    hosts = table(spark, d, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    people = _spread(table(spark, d, "customer"), "c_custkey").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    hosts = _spread(table(spark, d, "supplier"), "s_suppkey").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     user_flags = flag(k % 2 == 0, DISABLED) + flag(k % 3 == 0, NEVER_EXPIRES) + flag(k % 5 == 0, NO_PREAUTH)
     host_flags = flag(s % 10 == 0, SERVER) + flag(s % 10 != 0, WORKSTATION) + flag(s % 7 == 0, DELEGATION)
@@ -109,6 +120,38 @@ def built_in(spark: SparkSession, d: str) -> DataFrame:
     return groups.unionByName(point.withColumn("tags", F.array(F.lit("hvt"))))
 
 
+def service_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """An enabled account with a service name for each nation, in a group of its domain."""
+    text = lambda c: ("string", c)
+    n, domain = F.col("n_nationkey"), domain_dn(F.col("r_name"))
+    group = F.concat(F.lit("CN="), F.element_at(F.array(*[F.lit(x) for x in SEGMENTS]), (n % len(SEGMENTS) + 1).cast("int")), F.lit(",CN=Groups,"), domain)
+    return _node(
+        _places(spark, d), F.lit(RUNNER) + n, "User", distinguishedname=text(F.concat(F.lit("CN=R"), n, F.lit(",OU="), "n_name", F.lit(","), domain)),
+        objectsid=text(_service_sid()), useraccountcontrol=("int", F.lit(NORMAL)), serviceprincipalname=text(F.concat(F.lit("http/r"), n)), memberof=text(group),
+        samaccountname=text(F.concat(F.lit("R"), n)), samaccounttype=("int", F.lit(805306368)),
+    )
+
+
+def _service_sid() -> Column:
+    return F.concat(domain_sid(F.col("r_regionkey")), F.lit("-"), (F.col("n_nationkey") + 400_000_000).cast("string"))
+
+
+def host_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, type, descriptor, class_guids): the machine accounts, each of which its nation's service account may control."""
+    entry = F.struct(
+        F.lit(0).alias("ord"), F.lit(0).alias("type"), F.lit(0).alias("aceflags"), F.lit(0).alias("flags"), F.lit(ENTRY_MASKS[0]).cast("bigint").alias("mask"),
+        _service_sid().alias("sid"), F.lit(None).cast("string").alias("object_type"), F.lit(None).cast("string").alias("inherited_object_type"),
+    )
+    descriptor = F.struct(F.lit(0x8004).alias("control"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("grp"), F.array(entry).alias("dacl")).alias("descriptor")
+    hosts = table(spark, d, "supplier").join(F.broadcast(_places(spark, d)), F.col("s_nationkey") == F.col("n_nationkey"))
+    return hosts.select((F.lit(4 * STEP) + F.col("s_suppkey")).alias("node_id"), F.lit("Computer").alias("type"), descriptor, F.array().cast("array<string>").alias("class_guids"))
+
+
+def service_principals(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, sid) of the trustees of host_lists()."""
+    return _places(spark, d).select((F.lit(RUNNER) + F.col("n_nationkey")).alias("node_id"), _service_sid().alias("sid"))
+
+
 #: Access masks of the orders' entries, by key modulo their number.
 ENTRY_MASKS = (0x000F01FF, 0x00040000, 0x00000100, 0x00000020, 0x00000120, 0x00000008, 0x00000010, 0x00001000, 0x00080000)
 PASSWORD, IDENTITIES, SET = "00299570-246d-11d0-a768-00aa006e0529", "00fbf30c-91fe-11d1-aebc-0000f80367c1", "e48d0154-bcf8-11d1-8702-00c04fb96050"
@@ -140,7 +183,8 @@ def access_lists(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(masks, (o % len(ENTRY_MASKS) + 1).cast("int")).alias("mask"), F.concat(F.lit("S-1-5-21-1-1-1-"), trustee).alias("sid"),
         F.when(k == 1, about).when(k == 2, F.lit(SET)).alias("object_type"), F.lit(None).cast("string").alias("inherited_object_type"),
     )
-    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("dacl"))
+    orders = _spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey")
+    lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("dacl"))
     owner = F.concat(F.lit("S-1-5-21-1-1-1-"), F.floor(F.col("o_custkey") / 2))
     descriptor = F.struct(F.lit(0x8004).alias("control"), owner.alias("owner"), F.lit(None).cast("string").alias("grp"), "dacl").alias("descriptor")
     digit = F.col("o_custkey") % 10
