@@ -18,7 +18,7 @@ from .functions.values import attributes
 from .operators import merge, paths
 from .plans.pattern import Edge, Node, Pattern
 from .sources import sinks
-from .sources.tables import STEP, bought_links, edges, graph, nodes, ring_links, table
+from .sources.tables import STEP, bought_links, edge_rows, edges, graph, nodes, ring_links, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,17 +81,20 @@ def edge_count_by_type(spark, d):
 
 @query(f"SELECT 'nodes' AS what, CAST(sum(n) AS BIGINT) AS n FROM ({COUNT_SQL}) UNION ALL SELECT 'pairs', count(*) FROM (SELECT DISTINCT src, dst FROM ({e_sql()}))")
 def graph_totals(spark, d):
-    return g.totals(graph(spark, d))
+    rows = edge_rows(spark, d)
+    return g.totals(g.PropertyGraph(nodes(spark, d), edges(spark, d, rows=rows)), rows)
 
 
 @query(f"SELECT src AS node_id, count(*) AS n FROM (SELECT DISTINCT src, dst FROM ({e_sql()})) GROUP BY src")
 def degree_out(spark, d):
-    return g.degrees(edges(spark, d))
+    rows = edge_rows(spark, d)
+    return g.degrees(edges(spark, d, rows=rows), rows=rows)
 
 
 @query(f"SELECT dst AS node_id, count(*) AS n FROM (SELECT DISTINCT src, dst FROM ({e_sql()})) GROUP BY dst")
 def degree_in(spark, d):
-    return g.degrees(edges(spark, d), "dst")
+    rows = edge_rows(spark, d)
+    return g.degrees(edges(spark, d, rows=rows), "dst", rows)
 
 
 # ---- predicates ----

@@ -28,15 +28,28 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def totals(graph: PropertyGraph) -> DataFrame:
-    """Number of nodes and of pairs with an edge."""
+#: Pairs that one task tells apart, about, where there are many; a table of them takes some 100 bytes a pair.
+PAIRS_A_TASK, MANY_PAIRS = 500_000, 2_000_000
+
+
+def distinct_pairs(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(src, dst), each once. Where edges are known to be many rows, they are dealt by both ends to as many tasks as these
+    need before any task gathers them, so that what a task holds does not grow with them."""
+    pairs = edges.select("src", "dst")
+    if rows is None or rows <= MANY_PAIRS:
+        return pairs.distinct()
+    return pairs.repartition(max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PAIRS_A_TASK)), "src", "dst").distinct()
+
+
+def totals(graph: PropertyGraph, rows: int | None = None) -> DataFrame:
+    """Number of nodes and of pairs with an edge. rows: how many edges there are at most, if known."""
     n = graph.nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("what"), "n")
-    return n.union(graph.edges.where("src <> dst").select("src", "dst").distinct().agg(F.count(F.lit(1))).select(F.lit("pairs"), "*"))
+    return n.union(distinct_pairs(graph.edges.where("src <> dst"), rows).agg(F.count(F.lit(1))).select(F.lit("pairs"), "*"))
 
 
-def degrees(edges: DataFrame, end: str = "src") -> DataFrame:
-    """(node_id, n): number of distinct nodes at the other end."""
-    return edges.select("src", "dst").distinct().groupBy(F.col(end).alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+def degrees(edges: DataFrame, end: str = "src", rows: int | None = None) -> DataFrame:
+    """(node_id, n): number of distinct nodes at the other end. rows: how many edges there are at most, if known."""
+    return distinct_pairs(edges, rows).groupBy(F.col(end).alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def transpose(edges: DataFrame) -> DataFrame:

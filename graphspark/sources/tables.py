@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import attributes
-from ..operators.graph import PropertyGraph
+from ..operators.graph import MANY_PAIRS, PAIRS_A_TASK, PropertyGraph
 
 CODE = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "Event": 7, "Document": 8}
 STEP = 10**12
@@ -33,6 +33,9 @@ NODES = {
 }
 
 
+EDGE_TYPES = ("InRegion", "InNation", "Placed", "Contains", "SuppliedBy", "Supplies", "Returned", "Did")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,19 +51,36 @@ def nodes(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    """Edges of the types (all by default), one row for each pair and type."""
-    read = lambda name: table(spark, sf_dir, name)
+def edge_rows(spark: SparkSession, sf_dir: str, *types: str) -> int:
+    """How many edges of the types (all by default) there are at most, from the row counts of the files."""
+    of = {"InRegion": ("nation",), "InNation": ("customer", "supplier"), "Placed": ("orders",), "Did": ("events",)}
+    names = [name for t in types or EDGE_TYPES for name in of.get(t, ("lineitem",))]
+    counts = {name: table(spark, sf_dir, name).count() for name in set(names)}
+    return sum(counts[name] for name in names)
+
+
+def edges(spark: SparkSession, sf_dir: str, *types: str, rows: int = 0) -> DataFrame:
+    """Edges of the types (all by default), one row for each pair and type. rows: how many there are at most, if known; lines
+    of an order are then told apart by as many tasks as they need, see graph.distinct_pairs()."""
+
+    def read(name: str) -> DataFrame:
+        lines = table(spark, sf_dir, name)
+        if name != "lineitem" or rows <= MANY_PAIRS:
+            return lines
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PAIRS_A_TASK))
+        return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").repartition(n, "l_orderkey")
+
     edge = lambda df, a, ka, b, kb, t, prob: df.select(node_key(a, F.col(ka)).alias("src"), node_key(b, F.col(kb)).alias("dst"), F.lit(t).alias("edge_type"), prob.cast("int").alias("prob"))
     full = F.lit(100)
     placed = F.element_at(F.create_map(*[F.lit(x) for kv in PLACED.items() for x in kv]), F.col("o_orderstatus"))
+    by_supplier = lambda lines: lines.repartition(-(-rows // PAIRS_A_TASK), "l_suppkey", "l_partkey") if rows > MANY_PAIRS else lines
     make = {
         "InRegion": lambda: edge(read("nation"), "Nation", "n_nationkey", "Region", "n_regionkey", "InRegion", full),
         "InNation": lambda: edge(read("customer"), "Customer", "c_custkey", "Nation", "c_nationkey", "InNation", full).union(edge(read("supplier"), "Supplier", "s_suppkey", "Nation", "s_nationkey", "InNation", full)),
         "Placed": lambda: edge(read("orders"), "Customer", "o_custkey", "Order", "o_orderkey", "Placed", placed),
         "Contains": lambda: edge(read("lineitem").select("l_orderkey", "l_partkey").distinct(), "Order", "l_orderkey", "Part", "l_partkey", "Contains", full),
         "SuppliedBy": lambda: edge(read("lineitem").select("l_orderkey", "l_suppkey").distinct(), "Order", "l_orderkey", "Supplier", "l_suppkey", "SuppliedBy", full),
-        "Supplies": lambda: edge(read("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(F.when(F.col("l_returnflag") == "N", 100).otherwise(30)).alias("p")), "Supplier", "l_suppkey", "Part", "l_partkey", "Supplies", F.col("p")),
+        "Supplies": lambda: edge(table(spark, sf_dir, "lineitem").transform(by_supplier).groupBy("l_suppkey", "l_partkey").agg(F.max(F.when(F.col("l_returnflag") == "N", 100).otherwise(30)).alias("p")), "Supplier", "l_suppkey", "Part", "l_partkey", "Supplies", F.col("p")),
         "Returned": lambda: edge(read("lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct(), "Order", "l_orderkey", "Part", "l_partkey", "Returned", F.lit(0)),
         "Did": lambda: edge(read("events"), "Customer", "user_id", "Event", "event_id", "Did", full),
     }
