@@ -513,9 +513,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def linked(pairs: DataFrame) -> DataFrame:
         return _links(pairs, classes, named, size, order)
 
-    def labels(links: DataFrame) -> DataFrame:
-        found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        return saved(found.withColumnRenamed("node_id", "id"), "labels", 2 * links.count())
+    def labels(new: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """(id, component) after new links (a, b), which join the components that there were before."""
+        n = new.count()
+        if before is None:
+            found = components(new.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            return saved(found.withColumnRenamed("node_id", "id"), "labels", 2 * n)
+        if not n:
+            return before
+        of = lambda c: before.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+        between = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("src"), F.coalesce("of_b", "b").alias("dst"))
+        found = components(saved(between, "between", n)).toDF("component", "joined")
+        others = new.select(F.col("a").alias("id")).union(new.select("b")).distinct().join(before, "id", "left_anti")
+        everyone = before.select("id", "component").union(others.select("id", F.col("id").alias("component")))
+        now = everyone.join(found, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+        return saved(now, "labels", before.count() + 2 * n)
 
     n_met = met.count()
     large = met.where("meeting is not null")
@@ -523,12 +535,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first_pivot = pivots.groupBy("meeting").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1").select("meeting", "p")
     parts = pivots.join(first_pivot, "meeting").where("a <> p").select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b"))
     tried = saved(met.where("meeting is null").select("a", "b").union(parts).distinct(), "tried", n_met)
-    links = saved(linked(possible(tried)), "links")
-    label, depth = labels(links), 0
+    label, depth = labels(saved(linked(possible(tried)), "links")), 0
     deepest = large.agg(F.max(_level("b"))).first()[0]
     while deepest is not None and depth <= deepest + 1:
         of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
-        members = saved(large.select("meeting", F.col("b").alias("x"), "n", "top").join(of("x"), "x", "left").withColumn("of_x", F.coalesce("of_x", "x")), "members")
+        members = saved(large.select("meeting", F.col("b").alias("x"), "n", "top").join(of("x"), "x", "left").withColumn("of_x", F.coalesce("of_x", "x")), "members", n_met)
         main = large.groupBy("meeting").agg(F.min("a").alias("p"), F.max(_level("b")).alias("deep"), F.count(F.lit(1)).alias("many"))
         main = main.join(of("p"), "p", "left").select("meeting", "deep", "many", F.coalesce("of_p", "p").alias("of_p"))
         outside = members.join(main, "meeting").where("of_x <> of_p")
@@ -549,8 +560,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = possible(asked)
         depth += 1
         if more.take(1):
-            links = saved(links.union(linked(more)), "links")
-            label = labels(links)
+            label = labels(saved(linked(more), "links"), label)
         tried = tried.union(asked)
 
     labelled = label.withColumnRenamed("id", "sig").join(classes, "sig")

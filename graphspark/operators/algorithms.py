@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import cut
+from ..store import by_few, cut
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Alternating star contractions: each round hangs every larger neighbour of a node, then every smaller-or-equal one, on
     the smallest of them; the number of rounds grows with the logarithm of the longest chain. Minima are pre-aggregated
-    before the shuffle. An empty table gives an empty result; repeated edges and loops change nothing."""
+    before the shuffle; what is broadcast is gathered by few tasks. An empty table gives an empty result; repeated edges and loops change nothing."""
 
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
@@ -66,14 +66,16 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     links = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
     was = state(links)
     while was[0]:
-        small = F.broadcast if 2 * was[0] <= MOST_BROADCAST else lambda minima: minima  # an edge has two nodes
+        nodes_left = 2 * was[0]  # an edge has two nodes
+        few = (lambda minima: by_few(minima, nodes_left)) if nodes_left <= MOST_BROADCAST else lambda minima: minima  # noqa: B023
+        small = F.broadcast if nodes_left <= MOST_BROADCAST else lambda minima: minima
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         hung = both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(hung.where("u <> v").distinct(), "stars", 2 * was[0])
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(hung.where("u <> v").distinct(), "stars", nodes_left)
+        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
         again = large.join(small(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = cut(again.union(down.select("u", "m")).distinct(), "links", 2 * was[0])
+        links = cut(again.union(down.select("u", "m")).distinct(), "links", nodes_left)
         now = state(links)
         if now == was:
             break

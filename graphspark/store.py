@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="graphspark-"))
 
 
+def by_few(df: DataFrame, most: int) -> DataFrame:
+    """df, which is known to have at most `most` rows, by as many tasks as those need, not one a partition of its shuffle."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, most // ROWS_A_FILE))
+
+
 def cut(df: DataFrame, name: str = "step", most: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -30,7 +35,7 @@ def cut(df: DataFrame, name: str = "step", most: int | None = None) -> DataFrame
     The folders belong to the session's checkpoint folder and go with it: a result may be read as long as it is there."""
     spark = df.sparkSession
     if most is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, most // ROWS_A_FILE))
+        df = by_few(df, most)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
