@@ -84,22 +84,35 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return everyone.distinct().join(named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def _trimmed(links: DataFrame) -> tuple[DataFrame, int]:
-    """links (u, v) without two layers of nodes that have no incoming or no outgoing ones, and how many are left."""
-    kept = links
-    for _ in range(2):
-        ins, outs = kept.select(F.col("v").alias("u")).distinct(), kept.select(F.col("u").alias("v")).distinct()
-        kept = kept.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v")
-    left = cut(kept, "links")
-    return left, left.count()
-
-
-def _middles(links: DataFrame) -> tuple[DataFrame, int, int]:
-    """(x, a, b) of nodes with one link in, from a, and one out, to b; their number, and that of all nodes."""
+def _ends(links: DataFrame) -> DataFrame:
+    """(x, ins, outs, a, b): how many links (u, v) a node has in and out, and the greatest node that has one to it and from it."""
     ends = links.select(F.col("u").alias("x"), F.lit(None).cast("bigint").alias("a"), F.col("v").alias("b")).union(links.select("v", "u", F.lit(None).cast("bigint")))
-    nodes = cut(ends.groupBy("x").agg(F.count("a").alias("ins"), F.count("b").alias("outs"), F.max("a").alias("a"), F.max("b").alias("b")), "ends")
-    total, single = nodes.agg(F.count(F.lit(1)), F.count_if(F.expr("ins = 1 and outs = 1"))).first()
-    return nodes.where("ins = 1 and outs = 1").select("x", "a", "b"), single, total
+    return cut(ends.groupBy("x").agg(F.count("a").alias("ins"), F.count("b").alias("outs"), F.max("a").alias("a"), F.max("b").alias("b")), "ends")
+
+
+def _trimmed(links: DataFrame, size: int) -> tuple[DataFrame, int, DataFrame | None, int, int]:
+    """links (u, v) without nodes that have none in or none out, layer by layer as long as these have a tenth of the links; how
+    many links are left, their ends, the number of nodes with one link in and one out, and that of all nodes."""
+    while size:
+        ends = _ends(links)
+        total, single, lost = ends.agg(F.count(F.lit(1)), F.count_if(F.expr("ins = 1 and outs = 1")), F.sum(F.expr("if(ins = 0 or outs = 0, ins + outs, 0)"))).first()
+        if 10 * lost < size:
+            return links, size, ends, single, total
+        kept = ends.where("ins > 0 and outs > 0").select("x")
+        links = cut(links.join(kept.withColumnRenamed("x", "u"), "u", "left_semi").join(kept.withColumnRenamed("x", "v"), "v", "left_semi").select("u", "v"), "links")
+        size = links.count()
+    return links, 0, None, 0, 0
+
+
+def _connected(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node_id, region): the connected components of links (u, v). Each node is hung on its greatest neighbour first, so that
+    only the links between such trees, of which there are few where nodes have many, are contracted."""
+    trees = components(ends.select(F.col("x").alias("src"), F.greatest("a", "b").alias("dst"))).toDF("node_id", "tree")
+    trees = cut(trees, "trees")
+    of = lambda c: trees.select(F.col("node_id").alias(c), F.col("tree").alias(f"of_{c}"))
+    between = links.join(of("u"), "u").join(of("v"), "v").where("of_u <> of_v").select(F.col("of_u").alias("src"), F.col("of_v").alias("dst")).distinct()
+    joined = components(cut(between, "between")).toDF("tree", "component")
+    return trees.join(joined, "tree", "left").select("node_id", F.coalesce("component", "tree").alias("region"))
 
 
 def _contracted(links: DataFrame, middles: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,39 +155,35 @@ def _two_ways(links: DataFrame, pivots: DataFrame) -> DataFrame:
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, scc): the smallest id of the strongly connected component.
 
-    Nodes without incoming or outgoing edges are components of their own and are trimmed; where trimming gains little, or many
+    Nodes without incoming or outgoing edges are components of their own and are trimmed where they have many edges; where many
     nodes have one edge in and one out, chains of these become single edges, in rounds that grow with the logarithm of
-    their length. Then each region has a pivot, the node with the most pairs of an edge in and one out, and all of them
-    reach forwards and backwards at once: what a pivot reaches both ways is its component, and what it reaches one
-    way, the other, or not at all are three regions that share no component. Where a round leaves most edges, the
-    regions are the connected components of what is left.
+    their length. What is left is split into connected regions. Each region has a pivot, the node with the most pairs of an
+    edge in and one out, and all of them reach forwards and backwards at once: what a pivot reaches both ways is its
+    component, and what it reaches one way, the other, or not at all are three regions that share no component. Where a
+    round leaves most edges, the regions are the connected components of what is left.
 
     Nodes of a contracted chain are in the component of its ends if these are in one, and components of their own otherwise."""
-    links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct(), "links")
-    everyone = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    pairs = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct(), "links")
+    everyone = pairs.select(F.col("u").alias("node_id")).union(pairs.select("v"))
     everyone = cut((everyone if nodes is None else everyone.union(nodes.select("node_id"))).distinct(), "nodes")
-    found, contracted, left, size = [], [], links, links.count()
-    regions = None  # (node_id, region); one region as long as it is None
+    left = pairs.where("u <> v")
+    found, contracted, size = [], [], left.count()
+    regions, split = None, True  # (node_id, region); whether they are to be made anew, of what is connected
     while size:
         while size:
-            was = size
-            left, size = _trimmed(left)
-            if size and size < 0.9 * was:
-                continue
-            middles, single, total = _middles(left) if size else (None, 0, 1)
+            left, size, ends, single, total = _trimmed(left, size)
             if 4 * single <= total:
                 break
-            left, chains, cycles = _contracted(left, middles, single)
+            left, chains, cycles = _contracted(left, ends.where("ins = 1 and outs = 1").select("x", "a", "b"), single)
             found.append(cycles)
             contracted.append(chains)
             size = left.count()
         if not size:
             break
-        outs = left.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("outs"))
-        ins = left.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"))
-        alive = outs.join(ins, "node_id")
-        alive = alive.withColumn("region", F.lit(0).cast("bigint")) if regions is None else alive.join(regions, "node_id")
-        alive = cut(alive.select("node_id", "region", (F.col("ins") * F.col("outs")).alias("weight")), "alive")
+        if split:
+            regions = cut(_connected(left, ends), "regions")
+        alive = ends.where("ins > 0 and outs > 0").select(F.col("x").alias("node_id"), (F.col("ins") * F.col("outs")).alias("weight"))
+        alive = cut(alive.join(regions, "node_id"), "alive")
         pivots = alive.groupBy("region").agg(F.max_by("node_id", F.struct("weight", "node_id")).alias("node_id")).select("node_id")
         marked = alive.select("node_id", "region").join(_two_ways(left, pivots), "node_id", "left")
         marked = cut(marked.select("node_id", "region", F.coalesce("forward", F.lit(False)).alias("f"), F.coalesce("backward", F.lit(False)).alias("b")), "marked")
@@ -185,9 +194,7 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         was = size
         left = cut(left.join(of("u"), "u").join(of("v"), "v").where("of_u = of_v").select("u", "v"), "links")
         size = left.count()
-        if 2 * size > was:
-            regions = components(left.select(F.col("u").alias("src"), F.col("v").alias("dst"))).withColumnRenamed("component", "region")
-        regions = cut(regions, "regions")
+        split, regions = 2 * size > was, cut(regions, "regions")
     named = everyone.select("node_id", F.col("node_id").alias("scc"))
     if found:
         all_found = found[0]
