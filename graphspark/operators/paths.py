@@ -48,10 +48,14 @@ def _all_pairs(edges: DataFrame) -> DataFrame:
     return pairs.select("src", "dst", F.size("edge_types").alias("n"), "edge_types", "prob")
 
 
-def steps(graph: PropertyGraph, edge: Edge) -> DataFrame:
+def steps(graph: PropertyGraph, edge: Edge, bare: bool = False) -> DataFrame:
     """(u, v, src, dst, edge_types, p): the steps an edge position allows. Only edges of the listed types are grouped
-    into pairs, unless the position asks for their absence."""
-    if edge.types and not edge.negate:
+    into pairs, unless the position asks for their absence. bare: the types are not asked for, and not gathered where
+    nothing depends on them."""
+    if bare and not edge.types:
+        none = F.array().cast("array<string>").alias("edge_types")
+        pairs = graph.edges.where("src <> dst").groupBy("src", "dst").agg(F.max("prob").alias("prob")).select("src", "dst", none, "prob")
+    elif edge.types and not edge.negate:
         pairs = _typed_pairs(graph.edges, edge.types)
         pairs = pairs.where(COMPARE[edge.match[0]](F.col("n"), F.lit(edge.match[1])))
     else:
@@ -134,11 +138,11 @@ def _referred(rows: DataFrame, seg: int) -> DataFrame:
     return rows.withColumn("refs", F.array_append("refs", F.struct(F.col("v").alias("node"), F.lit(seg).alias("seg"))))
 
 
-def _planned(graph: PropertyGraph, pattern: Pattern) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame | None]]:
+def _planned(graph: PropertyGraph, pattern: Pattern, bare: bool = False) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame | None]]:
     """Node sets, steps (planned once where a position repeats) and needs; chains of single steps are left to the optimizer."""
     sets = [node_set(graph, n) for n in pattern.nodes]
     repeats = any(e.max_hops > 1 for e in pattern.edges)
-    allowed = [cut(steps(graph, e), "steps") if repeats else steps(graph, e) for e in pattern.edges]
+    allowed = [cut(steps(graph, e, bare), "steps") if repeats else steps(graph, e, bare) for e in pattern.edges]
     return sets, allowed, needs(graph, pattern, sets, allowed) if repeats else [None] * len(pattern.edges)
 
 
@@ -307,6 +311,79 @@ def _labels(pattern: Pattern) -> Column:
     return out
 
 
+# ---- likely paths over one position, without what they went along ----
+def _plain(pattern: Pattern) -> bool:
+    edge = pattern.edges[0] if len(pattern.edges) == 1 else None
+    whole = pattern.mode == "ACYCLIC" and pattern.traversal == "likely" and pattern.node_limit is None
+    return whole and edge is not None and edge.min_hops == 1 and edge.through is None and edge.max_hops <= pattern.max_depth and edge.direction in ("out", "in")
+
+
+def _likely(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
+    """Completed paths (start, v, visited, tail) as of best_first() for "likely" over one position. tail: the nodes since the last
+    one that satisfies the end, without v; what was before those belongs to a shorter path that stands as well.
+
+    Rows have neither pairs nor types nor the keys of all prefixes. Of each (start, node) the first path that holds it is known
+    when all are made: only a step behind that one may be refused, and only paths with such a step are decided in rounds, as
+    _decided() does with all of them; the others stand."""
+    sets, (allowed,), (need,) = _planned(graph, pattern, bare=True)
+    most = pattern.edges[0].max_hops
+    ends = sets[1].select(F.col("node_id").alias("v")).distinct().withColumn("ends", F.lit(True))
+    links = allowed.select("u", "v", "p").join(ends, "v", "left").withColumn("ends", F.coalesce("ends", F.lit(False)))
+    links = cut(_can_end(links, need, 1, most), "links")
+    long = F.array().cast("array<bigint>")
+    at = sets[0].select(F.col("node_id").alias("start"), F.col("node_id").alias("v"), F.array("node_id").alias("visited"), F.array(F.lit(1.0)).alias("chances"), long.alias("rest"), F.lit(None).cast("bigint").alias("id"))
+    at, layers = _can_end(at, need, 0, most), []
+    for hop in range(1, most + 1):
+        chance = F.element_at("chances", -1) * F.col("p")
+        rows = at.withColumnRenamed("v", "u").withColumnRenamed("id", "before").join(links, "u")
+        rows = _can_end(rows.where(~F.array_contains("visited", F.col("v")) & (chance >= pattern.min_accumulated)), need, hop, most)
+        rows = rows.select("start", "v", F.array_append("visited", F.col("v")).alias("visited"), F.array_append("chances", chance).alias("chances"), F.col("rest").alias("tail"), "ends", "before", F.lit(hop).alias("hop"))
+        at = cut(rows.withColumn("id", F.monotonically_increasing_id()), "likely")
+        if not at.take(1):
+            break
+        layers.append(at)
+        at = at.select("start", "v", "visited", "chances", F.when(F.col("ends"), long).otherwise(F.array_append("tail", F.col("v"))).alias("rest"), "id")
+    made = reduce(DataFrame.unionByName, layers) if layers else at.where("false").select("start", "v", "visited", "chances", F.col("rest").alias("tail"), F.lit(True).alias("ends"), F.col("id").alias("before"), F.lit(0).alias("hop"), "id")
+    ended = made.where("ends")
+    key = lambda i: F.struct((-F.get("chances", i)).alias("c"), i.alias("h"), F.get("visited", i).alias("n"), F.slice("visited", 1, i + 1).alias("w"))
+    holds = lambda rows: rows.select("start", F.explode(F.array_append("tail", F.col("v"))).alias("node"), key(F.col("hop")).alias("key"))
+    firsts = lambda held: held.groupBy("start", "node").agg(F.min("key").alias("first"))
+    first = cut(firsts(holds(ended)), "first")
+    behind = made.where("hop > 1").select("hop", "id", "start", F.col("v").alias("node"), key(F.col("hop") - 1).alias("left")).join(first, ["start", "node"]).where("first < left")
+    doubted = cut(behind.select("hop", "id"), "doubted")
+    if not doubted.take(1):
+        return ended.select("start", "v", "visited", "tail")
+    parts, last = [], None  # paths with a step in doubt, their own or one before
+    for hop, layer in enumerate(layers, 1):
+        mine = doubted.where(F.col("hop") == hop).select("id")
+        if last is not None:
+            mine = mine.union(layer.join(last.withColumnRenamed("id", "before"), "before", "left_semi").select("id"))
+        last = cut(mine.distinct(), "in-doubt")
+        parts.append(last.withColumn("hop", F.lit(hop)))
+    doubted = reduce(DataFrame.unionByName, parts)
+    doubtful = cut(ended.join(doubted, ["hop", "id"], "left_semi"), "doubtful")
+    entered = doubtful.select("hop", "id", "start", "visited", "chances", F.explode(F.sequence(F.lit(2), F.greatest("hop", F.lit(2)))).alias("i"))
+    entered = entered.select("hop", "id", "start", F.get("visited", F.col("i")).alias("node"), key(F.col("i") - 1).alias("left")).join(first, ["start", "node"]).where("first < left")
+    entered = cut(entered.select("hop", "id", "start", "node", "left"), "entered")
+    asked = cut(entered.select("start", "node").distinct(), "asked")
+    sure = holds(ended.join(doubtful.select("hop", "id"), ["hop", "id"], "left_anti")).join(asked, ["start", "node"], "left_semi")
+    held = cut(doubtful.select("hop", "id", "start", F.explode(F.array_append("tail", F.col("v"))).alias("node"), key(F.col("hop")).alias("key")).join(asked, ["start", "node"], "left_semi"), "holds")
+    kept, open_, refused = cut(firsts(sure), "kept"), doubtful.select("hop", "id"), []
+    while True:
+        rows = entered.join(open_, ["hop", "id"], "left_semi")
+        maybe = firsts(held.join(open_, ["hop", "id"], "left_semi")).withColumnRenamed("first", "maybe")
+        judged = rows.join(kept.withColumnRenamed("first", "kept"), ["start", "node"], "left").join(maybe, ["start", "node"], "left")
+        before = lambda c: F.max(F.coalesce(F.col(c) < F.col("left"), F.lit(False)))
+        judged = cut(judged.groupBy("hop", "id").agg(before("kept").alias("refused"), before("maybe").alias("waits")), "judged")
+        refused.append(judged.where("refused").select("hop", "id"))
+        open_ = judged.where("not refused and waits").select("hop", "id")
+        if not open_.take(1):
+            gone = reduce(DataFrame.unionByName, refused)
+            return ended.join(gone, ["hop", "id"], "left_anti").select("start", "v", "visited", "tail")
+        stand = judged.where("not refused and not waits").select("hop", "id")
+        kept = cut(firsts(held.join(stand, ["hop", "id"], "left_semi").select("start", "node", "key").unionByName(kept.withColumnRenamed("first", "key"))), "kept")
+
+
 # ---- shortest paths counted, not listed ----
 def _countable(pattern: Pattern) -> bool:
     edge = pattern.edges[0] if len(pattern.edges) == 1 else None
@@ -375,6 +452,11 @@ def _of_starts(graph: PropertyGraph, pattern: Pattern, starts: DataFrame) -> tup
 
 def path_counts(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
     """(start, paths, nodes, hops): of each start, how many paths there are, the nodes they hold and the hops they take."""
+    if _plain(pattern):
+        found = cut(_likely(graph, pattern), "found")
+        ended = found.groupBy("start").agg(F.count(F.lit(1)).alias("paths"), F.sum(F.size("visited") - 1).alias("hops"))
+        others = found.select("start", F.explode(F.array_append("tail", F.col("v"))).alias("node")).distinct().groupBy("start").agg((F.count(F.lit(1)) + 1).alias("nodes"))
+        return ended.join(others, "start").select("start", "paths", "nodes", "hops")
     if not _countable(pattern):
         found = find_paths(graph, pattern)
         return found.groupBy("start").agg(
