@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import by_few, cut
+from ..store import by_few, cut, keyed
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(seed, node_id, hops): nodes that each seed (node_id) reaches, and in how few hops; itself in 0."""
     links = cut(edges.select("src", "dst").where("src <> dst").distinct())
     frontier = cut(seeds.select(F.col("node_id").alias("seed"), "node_id").distinct().withColumn("hops", F.lit(0)))
-    seen, hop = frontier, 0
+    seen, hop, n_links, n = frontier, 0, links.count(), frontier.count()
+    n_seen = n
     while max_hops is None or hop < max_hops:
         hop += 1
-        near = frontier.join(links, frontier.node_id == links.src).select("seed", F.col("dst").alias("node_id")).distinct()
-        frontier = cut(near.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("hops", F.lit(hop)))
-        if not frontier.take(1):
+        near = frontier.join(keyed(links, min(n, n_links)), F.col("node_id") == F.col("src")).select("seed", F.col("dst").alias("node_id")).distinct()
+        frontier = cut(near.join(keyed(seen.select("seed", "node_id"), n_seen), ["seed", "node_id"], "left_anti").withColumn("hops", F.lit(hop)))
+        n = frontier.count()
+        if not n:
             break
-        seen = seen.unionByName(frontier)
+        seen, n_seen = seen.unionByName(frontier), n_seen + n
     return seen
 
 
@@ -81,7 +83,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             break
         was = now
     named = links.select(F.col("u").alias("node_id"), F.col("v").alias("component"))
-    return everyone.distinct().join(named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    return everyone.distinct().join(keyed(named, was[0]) if was[0] > MOST_BROADCAST else named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def _ends(links: DataFrame) -> DataFrame:
@@ -99,17 +101,17 @@ def _trimmed(links: DataFrame, size: int) -> tuple[DataFrame, int, DataFrame | N
         if 10 * lost < size:
             return links, size, ends, single, total
         kept = ends.where("ins > 0 and outs > 0").select("x")
-        links = cut(links.join(kept.withColumnRenamed("x", "u"), "u", "left_semi").join(kept.withColumnRenamed("x", "v"), "v", "left_semi").select("u", "v"), "links")
+        links = cut(links.join(keyed(kept.withColumnRenamed("x", "u"), total), "u", "left_semi").join(keyed(kept.withColumnRenamed("x", "v"), total), "v", "left_semi").select("u", "v"), "links")
         size = links.count()
     return links, 0, None, 0, 0
 
 
-def _connected(links: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node_id, region): the connected components of links (u, v). Each node is hung on its greatest neighbour first, so that
+def _connected(links: DataFrame, ends: DataFrame, total: int) -> DataFrame:
+    """(node_id, region): the connected components of links (u, v) between `total` nodes. Each node is hung on its greatest neighbour first, so that
     only the links between such trees, of which there are few where nodes have many, are contracted."""
     trees = components(ends.select(F.col("x").alias("src"), F.greatest("a", "b").alias("dst"))).toDF("node_id", "tree")
     trees = cut(trees, "trees")
-    of = lambda c: trees.select(F.col("node_id").alias(c), F.col("tree").alias(f"of_{c}"))
+    of = lambda c: keyed(trees.select(F.col("node_id").alias(c), F.col("tree").alias(f"of_{c}")), total)
     between = links.join(of("u"), "u").join(of("v"), "v").where("of_u <> of_v").select(F.col("of_u").alias("src"), F.col("of_v").alias("dst")).distinct()
     joined = components(cut(between, "between")).toDF("tree", "component")
     return trees.join(joined, "tree", "left").select("node_id", F.coalesce("component", "tree").alias("region"))
@@ -126,15 +128,15 @@ def _contracted(links: DataFrame, middles: DataFrame, n: int) -> tuple[DataFrame
         other = state.select(F.col("x").alias("y"), F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("low").alias("ylow"))
         ahead = other.select(F.col("y").alias("b"), F.col("yb").alias("next_b"), F.col("ylow").alias("low_b"))
         behind = other.select(F.col("y").alias("a"), F.col("ya").alias("next_a"))
-        open_ = state.join(ahead, "b", "left").join(behind, "a", "left")
+        open_ = state.join(keyed(ahead, n), "b", "left").join(keyed(behind, n), "a", "left")
         if steps >= 2 * n or not open_.where("next_a is not null or next_b is not null").take(1):
             break
         moved = open_.select("x", F.coalesce("next_a", "a").alias("a"), F.coalesce("next_b", "b").alias("b"), F.least("low", F.coalesce("low_b", "low")).alias("low"))
         state, steps = cut(moved, "chains"), steps * 2
-    around = middles.select(F.col("x").alias("b"))
+    around = keyed(middles.select(F.col("x").alias("b")), n)
     cycles = state.join(around, "b", "left_semi").select(F.col("x").alias("node_id"), F.col("low").alias("scc"))
     chains = state.join(around, "b", "left_anti").select("x", "a", "b")
-    rest = links.join(middles.select(F.col("x").alias("u")), "u", "left_anti").join(middles.select(F.col("x").alias("v")), "v", "left_anti").select("u", "v")
+    rest = links.join(keyed(middles.select(F.col("x").alias("u")), n), "u", "left_anti").join(keyed(middles.select(F.col("x").alias("v")), n), "v", "left_anti").select("u", "v")
     made = chains.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return cut(rest.union(made).distinct(), "links"), cut(chains, "chains"), cut(cycles, "cycles")
 
@@ -143,13 +145,15 @@ def _two_ways(links: DataFrame, pivots: DataFrame) -> DataFrame:
     """(node_id, forward, backward) of the nodes that pivots (node_id) reach along links (u, v), and against them; both at once."""
     both = cut(links.select(F.lit(True).alias("way"), F.col("u").alias("at"), F.col("v").alias("node_id")).union(links.select(F.lit(False), "v", "u")), "both")
     frontier = cut(pivots.select("node_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("way")), "frontier")
-    seen = frontier
+    seen, n = frontier, frontier.count()
+    n_seen = n
     while True:
-        near = frontier.withColumnRenamed("node_id", "at").join(both, ["at", "way"]).select("node_id", "way").distinct()
-        frontier = cut(near.join(seen, ["node_id", "way"], "left_anti"), "frontier")
-        if not frontier.take(1):
+        near = keyed(frontier.withColumnRenamed("node_id", "at"), n).join(both, ["at", "way"]).select("node_id", "way").distinct()
+        frontier = cut(near.join(keyed(seen, n_seen), ["node_id", "way"], "left_anti"), "frontier")
+        n = frontier.count()
+        if not n:
             return seen.groupBy("node_id").agg(F.bool_or("way").alias("forward"), F.bool_or(~F.col("way")).alias("backward"))
-        seen = seen.unionByName(frontier)
+        seen, n_seen = seen.unionByName(frontier), n_seen + n
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -166,7 +170,7 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     pairs = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct(), "links")
     everyone = pairs.select(F.col("u").alias("node_id")).union(pairs.select("v"))
     everyone = cut((everyone if nodes is None else everyone.union(nodes.select("node_id"))).distinct(), "nodes")
-    left = pairs.where("u <> v")
+    left, n = pairs.where("u <> v"), everyone.count()
     found, contracted, size = [], [], left.count()
     regions, split = None, True  # (node_id, region); whether they are to be made anew, of what is connected
     while size:
@@ -176,21 +180,21 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
                 break
             left, chains, cycles = _contracted(left, ends.where("ins = 1 and outs = 1").select("x", "a", "b"), single)
             found.append(cycles)
-            contracted.append(chains)
+            contracted.append((chains, single))
             size = left.count()
         if not size:
             break
         if split:
-            regions = cut(_connected(left, ends), "regions")
+            regions = cut(_connected(left, ends, total), "regions")
         alive = ends.where("ins > 0 and outs > 0").select(F.col("x").alias("node_id"), (F.col("ins") * F.col("outs")).alias("weight"))
-        alive = cut(alive.join(regions, "node_id"), "alive")
+        alive = cut(alive.join(keyed(regions, total), "node_id"), "alive")
         pivots = alive.groupBy("region").agg(F.max_by("node_id", F.struct("weight", "node_id")).alias("node_id")).select("node_id")
-        marked = alive.select("node_id", "region").join(_two_ways(left, pivots), "node_id", "left")
+        marked = alive.select("node_id", "region").join(keyed(_two_ways(left, pivots), total), "node_id", "left")
         marked = cut(marked.select("node_id", "region", F.coalesce("forward", F.lit(False)).alias("f"), F.coalesce("backward", F.lit(False)).alias("b")), "marked")
         inside = marked.where("f and b")
         found.append(inside.join(inside.groupBy("region").agg(F.min("node_id").alias("scc")), "region").select("node_id", "scc"))
         regions = marked.where("not (f and b)").select("node_id", F.xxhash64("region", "f", "b").alias("region"))
-        of = lambda c: regions.select(F.col("node_id").alias(c), F.col("region").alias(f"of_{c}"))  # noqa: B023, E731
+        of = lambda c: keyed(regions.select(F.col("node_id").alias(c), F.col("region").alias(f"of_{c}")), total)  # noqa: B023, E731
         was = size
         left = cut(left.join(of("u"), "u").join(of("v"), "v").where("of_u = of_v").select("u", "v"), "links")
         size = left.count()
@@ -200,19 +204,20 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         all_found = found[0]
         for more in found[1:]:
             all_found = all_found.union(more)
-        named = everyone.join(all_found.withColumnRenamed("scc", "of"), "node_id", "left").select("node_id", F.coalesce("of", "node_id").alias("scc"))
-    for chains in reversed(contracted):  # the ends of a chain may be in one that was contracted later
+        named = everyone.join(keyed(all_found.withColumnRenamed("scc", "of"), n), "node_id", "left").select("node_id", F.coalesce("of", "node_id").alias("scc"))
+    for chains, of_chains in reversed(contracted):  # the ends of a chain may be in one that was contracted later
         named = cut(named, "named")
-        end = lambda c: named.select(F.col("node_id").alias(c), F.col("scc").alias(f"scc_{c}"))  # noqa: B023, E731
+        end = lambda c: keyed(named.select(F.col("node_id").alias(c), F.col("scc").alias(f"scc_{c}")), of_chains)  # noqa: B023, E731
         same = chains.join(end("a"), "a").join(end("b"), "b").where("scc_a = scc_b").select(F.col("x").alias("node_id"), F.col("scc_a").alias("of"))
-        named = named.join(same, "node_id", "left").select("node_id", F.coalesce("of", "scc").alias("scc"))
+        named = named.join(keyed(same, of_chains), "node_id", "left").select("node_id", F.coalesce("of", "scc").alias("scc"))
     named = cut(named, "named")
-    return named.join(named.groupBy("scc").agg(F.min("node_id").alias("least")), "scc").select("node_id", F.col("least").alias("scc"))
+    least = cut(named.groupBy("scc").agg(F.min("node_id").alias("least")), "least")
+    return named.join(keyed(least, least.count()), "scc").select("node_id", F.col("least").alias("scc"))
 
 
-def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
-    """Distinct edges between different components, named by their ids."""
-    s = scc.select("node_id", "scc")
+def condensation(edges: DataFrame, scc: DataFrame, rows: int = 0) -> DataFrame:
+    """Distinct edges between different components, named by their ids. rows: how many nodes there are, if known."""
+    s = keyed(scc.select("node_id", "scc"), rows)
     joined = edges.select("src", "dst").join(s.toDF("src", "a"), "src").join(s.toDF("dst", "b"), "dst")
     return joined.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
@@ -248,15 +253,17 @@ def propagate_value(edges: DataFrame, values: DataFrame, mode: str = "direct") -
     direct: for each component that follows directly, its own total times (1 + size of the node's component);
     transitive: the total of every component that can be reached, once."""
     scc = cut(strongly_connected(edges, values))
-    own = scc.join(values, "node_id").groupBy("scc").agg(F.sum("value").alias("own"), F.count(F.lit(1)).alias("size"))
-    dag = cut(condensation(edges, scc))
+    n = scc.count()
+    own = scc.join(keyed(values, n), "node_id").groupBy("scc").agg(F.sum("value").alias("own"), F.count(F.lit(1)).alias("size"))
+    own = cut(own, "own")
+    groups, dag = own.count(), cut(condensation(edges, scc, n))
     if mode == "direct":
-        after = dag.join(own.select(F.col("scc").alias("dst"), F.col("own").alias("next")), "dst").groupBy(F.col("src").alias("scc")).agg(F.sum("next").alias("next"))
-        power = own.join(after, "scc", "left").select("scc", (F.col("own") + F.coalesce("next", F.lit(0)) * (1 + F.col("size"))).alias("power"))
+        after = dag.join(keyed(own.select(F.col("scc").alias("dst"), F.col("own").alias("next")), groups), "dst").groupBy(F.col("src").alias("scc")).agg(F.sum("next").alias("next"))
+        power = own.join(keyed(after, groups), "scc", "left").select("scc", (F.col("own") + F.coalesce("next", F.lit(0)) * (1 + F.col("size"))).alias("power"))
     else:
         far = reach(dag, own.select(F.col("scc").alias("node_id")))
-        power = far.join(own.select(F.col("scc").alias("node_id"), "own"), "node_id").groupBy(F.col("seed").alias("scc")).agg(F.sum("own").alias("power"))
-    return scc.join(power, "scc").select("node_id", "power")
+        power = far.join(keyed(own.select(F.col("scc").alias("node_id"), "own"), groups), "node_id").groupBy(F.col("seed").alias("scc")).agg(F.sum("own").alias("power"))
+    return scc.join(keyed(power, groups), "scc").select("node_id", "power")
 
 
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

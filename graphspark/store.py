@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Rows of a few numbers that one task writes where a bound of all rows is known.
 ROWS_A_FILE = 100_000
+#: Rows that a join may broadcast, by way of the driver. Spark goes by the size of files, in which ids take little room.
+MOST_SENT = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,11 @@ def by_few(df: DataFrame, most: int) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, most // ROWS_A_FILE))
 
 
+def keyed(df: DataFrame, rows: int) -> DataFrame:
+    """df, one side of a join whose smaller side has about `rows` rows: where these are many, both are dealt by the key."""
+    return df.hint("merge") if rows > MOST_SENT else df
+
+
 def cut(df: DataFrame, name: str = "step", most: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
