@@ -15,6 +15,8 @@ from .graph import PropertyGraph, directed, ordered, pairs_of
 
 #: Hops after which the lineage is cut.
 CUT_EVERY = 3
+#: Starts are merged where they are more than FEW_STARTS, after each of the first hops, if they have not shown too many nodes.
+FEW_STARTS, MERGE_HOPS, MOST_SHOWN = 100, 3, 1_000
 
 
 @dataclass(frozen=True)
@@ -395,9 +397,51 @@ def _ways(c: Column, b: Column) -> Column:
     return F.coalesce(F.try_multiply(c, b), F.raise_error(F.lit("more paths than a long holds")).cast("bigint"))
 
 
-def _counted(graph: PropertyGraph, pattern: Pattern) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Steps (start, u, v, src, dst, hop, ends, c, b) of the paths that best_first() completes, without listing these; the steps
-    allowed; and the starts that are left out, if any.
+def _shown(at: DataFrame, held: DataFrame) -> DataFrame:
+    """(start, node): what the paths of each start may not enter any more, or not by every way."""
+    rows = at.select("start", F.explode("tail").alias("node")).union(held.select("start", "node")).union(at.where("own is not null").select("start", F.col("own").alias("node")))
+    return rows.distinct()
+
+
+def _merged(at: DataFrame, held: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """at and held with one start for all that go on alike from here, and (start, cls, private) of those it stands for; None
+    where there are none. now: hops taken.
+
+    Starts go on alike when they have the same rows but for nodes that no other start has shown. Such private nodes are left
+    out of a class; where a class enters one later, the start it is of went another way, see _counted()."""
+    shown = cut(_shown(at, held), "shown")
+    counts = shown.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    if len(counts.take(FEW_STARTS + 1)) <= FEW_STARTS:
+        return None
+    small = counts.where(F.col("n") <= MOST_SHOWN).select("start")
+    lone = shown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start")).where("n = 1").select("start", "node")
+    private = lone.join(small, "start", "left_semi").groupBy("start").agg(F.collect_list("node").alias("private"))
+    private = cut(small.join(private, "start", "left").select("start", F.coalesce("private", F.array().cast("array<bigint>")).alias("private")), "private")
+    bare = lambda tail: F.filter(tail, lambda x: ~F.array_contains("private", x))
+    ahead = at.join(private, "start").groupBy("start", bare("tail").alias("tail"), "v").agg(_exact_sum("c").alias("c"))
+    known = held.join(private, "start").where(~F.array_contains("private", F.col("node"))).select("start", "node", "first")
+    ahead, known = cut(ahead, "ahead"), cut(known, "known")
+    none = F.struct(F.lit(0).alias("h"), F.lit(0).cast("bigint").alias("n"))  # the end at which a node was held counts in the next hop alone
+    one = ahead.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("tail", "v", "c"))).alias("ahead"))
+    two = known.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("node", F.when(F.col("first.h") == now, F.col("first")).otherwise(none).alias("first")))).alias("known"))
+    state = cut(one.join(two, "start", "left"), "alike")
+    classes = state.groupBy(F.col("ahead").alias("a"), F.col("known").alias("k")).agg(F.min("start").alias("cls"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    of = cut(state.join(classes, F.expr("ahead = a and known <=> k")).select("start", "cls").join(private, "start").select("start", "cls", "private"), "classes")
+    if not of.take(1):
+        return None
+    heads = of.where("start = cls").select("start")
+    rest = lambda rows: rows.join(of.select("start"), "start", "left_anti")
+    ahead = ahead.join(heads, "start", "left_semi").select("start", "tail", "v", "c", F.lit(None).cast("bigint").alias("own"))
+    at = rest(at).select("start", "tail", "v", "c", "own").unionByName(ahead)
+    return cut(at, "counted"), cut(rest(held).unionByName(known.join(heads, "start", "left_semi")), "held"), of
+
+
+def _counted(graph: PropertyGraph, pattern: Pattern, merge: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Steps (start, u, v, src, dst, hop, ends, c, b, w) of the paths that best_first() completes, without listing these; the
+    steps allowed; the starts with a tie, which are left out, if any; and those that are left out to be counted alone.
+
+    merge: starts whose paths go on alike after some hops are counted as one, with w as their number; start is then the least of
+    them. A class may enter what is private to one of its starts, which that one could not: it is left out, to be counted alone.
 
     c: ways from the start to u; b: ways on from v, ending there included. For "shortest" all that a path's way on depends on
     is its start, hops and last node, and the nodes since the last one that satisfies the end (tail): what was before
@@ -409,39 +453,88 @@ def _counted(graph: PropertyGraph, pattern: Pattern) -> tuple[DataFrame, DataFra
     ends = sets[1].select(F.col("node_id").alias("v")).distinct().withColumn("ends", F.lit(True))
     links = allowed.select("u", "v", "src", "dst").join(ends, "v", "left").withColumn("ends", F.coalesce("ends", F.lit(False)))
     links = cut(_can_end(links, need, 1, most), "links")
-    at = sets[0].select(F.col("node_id").alias("start"), F.array("node_id").alias("tail"), F.col("node_id").alias("v"), F.lit(1).cast("bigint").alias("c"))
+    at = sets[0].select(F.col("node_id").alias("start"), F.array("node_id").alias("tail"), F.col("node_id").alias("v"), F.lit(1).cast("bigint").alias("c"), F.col("node_id").alias("own"))
     at, held, layers, ties = _can_end(at, need, 0, most), None, [], []
+    merges: dict[int, DataFrame] = {}  # (start, cls, private) by the hops taken before
+    names: DataFrame | None = None  # (real, start): of what was merged, the start that stands for it now
+    watched: DataFrame | None = None  # (start, v, real): what a start of a class may not enter
+    entered: list[DataFrame] = []
+    renamed: list[tuple[int, DataFrame]] = []  # names of the layers from a hop on
     for hop in range(most):
-        rows = at.withColumnRenamed("v", "u").join(links, "u").where(~F.array_contains("tail", F.col("v")) & (F.col("v") != F.col("start")))
+        rows = at.withColumnRenamed("v", "u").join(links, "u").where(~F.array_contains("tail", F.col("v")) & (F.col("own").isNull() | (F.col("v") != F.col("own"))))
         rows = _can_end(rows, need, hop + 1, most).withColumn("tie", F.lit(False))
         if held is not None:
             mine, known = F.struct(F.lit(hop).alias("h"), F.col("u").alias("n")), held.select("start", F.col("node").alias("v"), "first")
             rows = rows.join(known, ["start", "v"], "left").where(F.col("first").isNull() | (F.col("first") >= mine))
             rows = rows.withColumn("tie", F.coalesce(F.col("first") == mine, F.lit(False))).drop("first")
-        taken = cut(rows.select("start", "tail", "u", "v", "src", "dst", "ends", "c", "tie"), "taken")
+        taken = cut(rows.select("start", "tail", "u", "v", "src", "dst", "ends", "c", "tie", "own"), "taken")
         if not taken.take(1):
             break
-        ties.append(taken.where("tie").select("start"))
+        lost = taken.where("tie").select("start")
+        ties.append(lost if names is None else lost.distinct().join(names, "start", "left").select(F.coalesce("real", "start").alias("start")))
+        if watched is not None:
+            entered.append(taken.select("start", "v").join(watched, ["start", "v"]).select(F.col("real").alias("start")))
         taken = taken.where("not tie").drop("tie").withColumn("to", F.when(F.col("ends"), F.array().cast("array<bigint>")).otherwise(F.array_append("tail", F.col("v"))))
         layers.append(taken)
-        at = cut(taken.groupBy("start", F.col("to").alias("tail"), "v").agg(_exact_sum("c").alias("c")), "counted")
+        at = cut(taken.groupBy("start", F.col("to").alias("tail"), "v", "own").agg(_exact_sum("c").alias("c")), "counted")
         first = F.struct(F.lit(hop + 1).alias("h"), F.col("v").alias("n")).alias("first")
         now = taken.where("ends").select("start", F.explode(F.array_append("tail", F.col("v"))).alias("node"), first)
         held = cut((now if held is None else held.unionByName(now)).groupBy("start", "node").agg(F.min("first").alias("first")), "held")
-    tied = reduce(DataFrame.union, ties).distinct() if ties else None
-    tied = cut(tied, "tied") if tied is not None else None
-    tied = tied if tied is not None and tied.take(1) else None
+        found = _merged(at, held, hop + 1) if merge and hop + 1 < most and hop < MERGE_HOPS else None
+        if found is not None:
+            at, held, of = found
+            merges[hop + 1] = of
+            one = of.select("start", "cls")
+            fresh = one if names is None else one.join(names.select("start").distinct(), "start", "left_anti")
+            fresh = fresh.select(F.col("start").alias("real"), F.col("cls").alias("start"))
+            follow = lambda rows, *more: rows.join(one, "start", "left").select(F.coalesce("cls", "start").alias("start"), *more)
+            behind = of.select("start", "cls", F.explode("private").alias("v"))
+            # what is private to a class is so to each start of it
+            new = behind.select(F.col("cls").alias("start"), "v", F.col("start").alias("real")) if names is None else behind.join(names, "start", "left").select(F.col("cls").alias("start"), "v", F.coalesce("real", "start").alias("real"))
+            watched = cut(new if watched is None else new.unionByName(follow(watched, "v", "real")), "watched")
+            names = cut(fresh if names is None else fresh.unionByName(follow(names, "real").select("real", "start")), "names")
+            renamed.append((hop + 1, names))
+    tied = _some(ties, "tied")
+    apart = _some(entered, "apart")
+    if apart is not None and tied is not None:
+        tied = cut(tied.join(apart, "start", "left_anti"), "tied")  # what a class had in the way of ties need not be theirs
+        tied = tied if tied.take(1) else None
+    gone = None if tied is None and apart is None else reduce(DataFrame.union, [x for x in (tied, apart) if x is not None])
+    stays = lambda named: named.groupBy("start").agg(F.count(F.lit(1)).alias("w"))
     onward, goods = None, []
     for hop in range(len(layers) - 1, -1, -1):
-        rows = layers[hop] if tied is None else layers[hop].join(tied, "start", "left_anti")
+        rows, w = layers[hop], F.lit(1).cast("bigint")
+        named = next((n for first, n in reversed(renamed) if first <= hop), None)
+        if named is not None:  # how many starts a class stands for
+            kept = named if gone is None else named.join(gone.withColumnRenamed("start", "real"), "real", "left_anti")
+            each = named.select("start").distinct().join(stays(kept), "start", "left").select("start", F.coalesce("w", F.lit(0).cast("bigint")).alias("w"))
+            rows = rows.join(each, "start", "left").withColumn("w", F.coalesce("w", F.lit(1).cast("bigint")))
+            w = F.col("w")
+            if gone is not None:
+                alone = gone.join(named.select(F.col("real").alias("start")), "start", "left_anti")
+                rows = rows.where("w > 0").join(alone, "start", "left_anti")
+        elif gone is not None:
+            rows = rows.join(gone, "start", "left_anti")
         on = F.lit(0).cast("bigint")
+        if hop + 1 in merges:  # ways on are those of the class
+            rows = rows.join(merges[hop + 1], "start", "left")
+            to = F.when(F.col("cls").isNull(), F.col("to")).otherwise(F.filter("to", lambda x: ~F.array_contains("private", x)))
+            rows = rows.withColumn("by", F.coalesce("cls", "start")).withColumn("to", to)
+        else:
+            rows = rows.withColumn("by", F.col("start"))
         if onward is not None:
-            rows, on = rows.join(onward, ["start", "to", "v"], "left"), F.coalesce("more", F.lit(0).cast("bigint"))
-        good = cut(rows.withColumn("b", F.col("ends").cast("bigint") + on).where("b > 0").select("start", "tail", "u", "v", "src", "dst", F.lit(hop).alias("hop"), "ends", "c", "b"), "good")
+            rows, on = rows.join(onward, ["by", "to", "v"], "left"), F.coalesce("more", F.lit(0).cast("bigint"))
+        good = cut(rows.withColumn("b", F.col("ends").cast("bigint") + on).where("b > 0").select("start", "tail", "u", "v", "src", "dst", F.lit(hop).alias("hop"), "ends", "c", "b", w.alias("w")), "good")
         goods.append(good.drop("tail"))
-        onward = good.groupBy("start", F.col("tail").alias("to"), F.col("u").alias("v")).agg(_exact_sum("b").alias("more"))
-    none = at.where("false").select("start", F.col("v").alias("u"), "v", F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("hop"), F.lit(True).alias("ends"), "c", F.col("c").alias("b"))
-    return reduce(DataFrame.unionByName, goods, none), allowed, tied
+        onward = good.groupBy(F.col("start").alias("by"), F.col("tail").alias("to"), F.col("u").alias("v")).agg(_exact_sum("b").alias("more"))
+    none = at.where("false").select("start", F.col("v").alias("u"), "v", F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("hop"), F.lit(True).alias("ends"), "c", F.col("c").alias("b"), F.col("c").alias("w"))
+    return reduce(DataFrame.unionByName, goods, none), allowed, tied, apart
+
+
+def _some(parts: list[DataFrame], name: str) -> DataFrame | None:
+    """The distinct rows of all parts, None where there are none."""
+    rows = cut(reduce(DataFrame.union, parts).distinct(), name) if parts else None
+    return rows if rows is not None and rows.take(1) else None
 
 
 def _of_starts(graph: PropertyGraph, pattern: Pattern, starts: DataFrame) -> tuple[PropertyGraph, Pattern]:
@@ -462,7 +555,7 @@ def path_counts(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
         return found.groupBy("start").agg(
             F.count(F.lit(1)).alias("paths"), F.size(F.array_distinct(F.flatten(F.collect_set("visited")))).cast("long").alias("nodes"), F.sum(F.size("used")).alias("hops"),
         )
-    found, _, tied = _counted(graph, pattern)
+    found, _, tied, _ = _counted(graph, pattern)
     ended = found.where("ends").groupBy("start").agg(_exact_sum("c").alias("paths"), F.sum(F.col("c") * (F.col("hop") + 1)).alias("hops"))
     nodes = found.select("start", "u").union(found.select("start", "v")).distinct().groupBy("start").agg(F.count(F.lit(1)).alias("nodes"))
     counts = ended.join(nodes, "start").select("start", "paths", "nodes", "hops")
@@ -486,16 +579,23 @@ def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
         return _walk(graph, pattern)
     if not _countable(pattern):
         return _labelled(*_listed(graph, pattern), pattern)
-    found, allowed, tied = _counted(graph, pattern)
-    edges = _typed_flows([(found.select("src", "dst", _ways(F.col("c"), F.col("b")).alias("f")), pattern.edges[0], allowed)])
+    return _labelled(*_flows(graph, pattern, True), pattern)
+
+
+def _flows(graph: PropertyGraph, pattern: Pattern, merge: bool) -> tuple[DataFrame, DataFrame]:
+    """(node_id, seg) and (src, dst, edge_types, flow) of paths that are counted."""
+    from .graph import merge_results
+
+    found, allowed, tied, apart = _counted(graph, pattern, merge)
+    edges = _typed_flows([(found.select("src", "dst", _ways(_ways(F.col("c"), F.col("b")), F.col("w")).alias("f")), pattern.edges[0], allowed)])
     marks = found.select(F.col("u").alias("node_id"), F.when(F.col("hop") == 0, 0).otherwise(-1).alias("seg"))
     nodes = marks.union(found.select("v", F.when(F.col("ends"), 1).otherwise(-1)))
-    if tied is not None:
-        from .graph import merge_results
-
-        more_nodes, more_edges = _listed(*_of_starts(graph, pattern, tied))
+    more = [] if tied is None else [_listed(*_of_starts(graph, pattern, tied))]
+    if apart is not None:
+        more.append(_flows(*_of_starts(graph, pattern, apart), False))
+    for more_nodes, more_edges in more:
         nodes, edges = nodes.union(more_nodes), merge_results(edges, more_edges)
-    return _labelled(nodes, edges, pattern)
+    return nodes, edges
 
 
 def _listed(graph: PropertyGraph, pattern: Pattern) -> tuple[DataFrame, DataFrame]:
@@ -511,7 +611,7 @@ def _labelled(marks: DataFrame, edges: DataFrame, pattern: Pattern) -> GraphResu
     return GraphResult(nodes.select("node_id", _labels(pattern).alias("reference")), edges)
 
 
-def _exact_sum(column: str) -> Column:
+def _exact_sum(column: str | Column) -> Column:
     """A sum of whole numbers; one that a long does not hold is an error, whatever the session's settings."""
     return F.coalesce(F.try_sum(column), F.raise_error(F.lit("more walks than a long holds")).cast("bigint"))
 
