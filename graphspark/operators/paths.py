@@ -17,6 +17,8 @@ from .graph import PropertyGraph, directed, ordered, pairs_of
 CUT_EVERY = 3
 #: Starts are merged where they are more than FEW_STARTS, after each of the first hops, if they have not shown too many nodes.
 FEW_STARTS, MERGE_HOPS, MOST_SHOWN = 100, 3, 1_000
+#: Nodes behind one with more than MANY_LINKS are told apart by their links, if they have no more than MOST_LINKS.
+MANY_LINKS, MOST_LINKS, MOST_ROUNDS = 100, 1_000, 20
 
 
 @dataclass(frozen=True)
@@ -537,6 +539,97 @@ def _some(parts: list[DataFrame], name: str) -> DataFrame | None:
     return rows if rows is not None and rows.take(1) else None
 
 
+# ---- what all nodes can end: nodes that all starts see alike are one ----
+def _alike(links: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """(node, cls) of nodes behind a node with many links, and behind these, no starts: the coarsest classes of these such that each node of a class has
+    as many links from, and to, each class (other nodes are their own), of those that go up in ids and of the others. None where
+    there are none, or not after MOST_ROUNDS."""
+    many = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_LINKS).select("u")
+    up = (F.col("v") > F.col("u")).alias("up")
+    both = links.select(F.col("u").alias("node"), F.col("v").alias("other"), F.lit(0).alias("way"), up).union(links.select("v", "u", F.lit(1), up))
+    few = both.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_LINKS).select("node")
+    may = cut(few.join(starts.select(F.col("node_id").alias("node")), "node", "left_anti"), "may")
+    behind, new = None, many.withColumnRenamed("u", "node")
+    for _ in range(MOST_ROUNDS):
+        after = links.join(new.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).distinct().join(may, "node", "left_semi")
+        new = cut(after if behind is None else after.join(behind, "node", "left_anti"), "behind")
+        if not new.take(1):
+            break
+        behind = new if behind is None else behind.unionByName(new)
+    if behind is None:
+        return None
+    near = cut(both.join(behind, "node", "left_semi"), "near")
+    classes, n = cut(near.select("node").distinct().crossJoin(F.broadcast(near.agg(F.min("node").alias("cls")))), "alike"), 1
+    for _ in range(MOST_ROUNDS):
+        seen = near.join(classes.withColumnRenamed("node", "other"), "other", "left").groupBy("node", "way", "up", F.coalesce("cls", "other").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+        seen = seen.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("way", "up", "of", "n"))).alias("seen")).join(classes, "node")
+        seen = cut(seen, "seen")
+        keys = seen.groupBy(F.col("cls").alias("c"), F.col("seen").alias("s")).agg(F.min("node").alias("new"))
+        classes = cut(seen.join(keys, F.expr("cls = c and seen = s")).select("node", F.col("new").alias("cls")), "alike")
+        was, n = n, classes.select("cls").distinct().count()
+        if n == was:
+            return classes
+    return None
+
+
+def _reached(graph: PropertyGraph, pattern: Pattern) -> tuple[DataFrame, DataFrame] | None:
+    """(node_id, seg) and (src, dst, edge_types, flow) as of _flows(), where each node that a step leads to satisfies the end;
+    None where one does not.
+
+    Then the first path that holds a node is the first to it: a step goes from u to a node that is one hop further from
+    the start, or as far as u and of a larger id. Such ways cannot repeat a node, and nodes of a class of _alike() are as far from
+    any start, with as many ways to each of them and on from it, so that a start has one row for the class. Rows are (start, v, far,
+    c) by hop; steps are found again from these on the way back."""
+    sets, (allowed,), _ = _planned(graph, pattern)
+    links = cut(allowed.select("u", "v", "src", "dst"), "links")
+    if links.join(sets[1].select(F.col("node_id").alias("v")), "v", "left_anti").take(1):
+        return None
+    classes = _alike(links, sets[0])
+    if classes is None:
+        dealt = links.withColumn("a", F.col("u")).withColumn("z", F.col("v"))
+        nin = nout = F.col("n")
+        sized = lambda rows: rows
+    else:
+        dealt = links.join(classes.select(F.col("node").alias("u"), F.col("cls").alias("a")), "u", "left").join(classes.select(F.col("node").alias("v"), F.col("cls").alias("z")), "v", "left")
+        dealt = dealt.withColumn("a", F.coalesce("a", "u")).withColumn("z", F.coalesce("z", "v"))
+        sizes = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+        of = lambda end: sizes.select(F.col("cls").alias(end), F.col("size").alias(f"of_{end}"))
+        sized = lambda rows: rows.join(of("a"), "a", "left").join(of("z"), "z", "left")
+        share = lambda end: F.expr(f"n div coalesce(of_{end}, 1)")
+        nin, nout = share("z"), share("a")
+    dealt = cut(dealt.withColumn("up", F.col("v") > F.col("u")), "dealt")
+    between = cut(sized(dealt.groupBy("a", "z", "up").agg(F.count(F.lit(1)).alias("n"))).select("a", "z", "up", nin.alias("nin"), nout.alias("nout")), "between")
+    one, most = F.lit(1).cast("bigint"), pattern.edges[0].max_hops
+    at = sets[0].select(F.col("node_id").alias("start"), F.col("node_id").alias("v"), F.lit(0).alias("far"), one.alias("c")).distinct()
+    layers, known = [cut(at, "reached")], None
+    for hop in range(most):
+        new = layers[-1].where(F.col("far") == hop).select("start", "v", "far")
+        known = new if known is None else known.unionByName(new)
+        ways = layers[-1].select("start", F.col("v").alias("a"), "c").join(between, "a").select("start", F.col("z").alias("v"), "up", _ways(F.col("c"), F.col("nin")).alias("c"))
+        ways = ways.groupBy("start", "v").agg(_exact_sum("c").alias("all"), F.try_sum(F.when(F.col("up"), F.col("c"))).alias("ups")).join(known, ["start", "v"], "left")
+        ways = ways.where(F.col("far").isNull() | ((F.col("far") == hop) & F.col("ups").isNotNull()))
+        ways = cut(ways.select("start", "v", F.coalesce("far", F.lit(hop + 1)).alias("far"), F.when(F.col("far").isNull(), F.col("all")).otherwise(F.col("ups")).alias("c")), "reached")
+        if not ways.take(1):
+            break
+        layers.append(ways)
+    onward, flows = layers[-1].select("start", "v", "far", one.alias("b")), []
+    for hop in range(len(layers) - 2, -1, -1):
+        on = onward.select("start", F.col("v").alias("z"), "far", "b")
+        good = layers[hop].select("start", F.col("v").alias("a"), "c").join(between, "a").join(on, ["start", "z"]).where((F.col("far") == hop + 1) | F.col("up"))
+        good = good.select("start", "a", "z", "up", "c", "b", "nout")
+        if hop:
+            good = cut(good, "good")
+            more = good.groupBy("start", F.col("a").alias("v")).agg(_exact_sum(_ways(F.col("nout"), F.col("b"))).alias("more"))
+            onward = cut(layers[hop].join(more, ["start", "v"], "left").select("start", "v", "far", (one + F.coalesce("more", F.lit(0).cast("bigint"))).alias("b")), "onward")
+        flows.append(cut(good.groupBy("a", "z", "up").agg(_exact_sum(_ways(F.col("c"), F.col("b"))).alias("f")).withColumn("hop", F.lit(hop)), "flows"))
+    none = between.where("false").select("a", "z", "up", F.col("nin").alias("f"), F.lit(0).alias("hop"))
+    found = reduce(DataFrame.unionByName, flows, none)
+    per = found.groupBy("a", "z", "up").agg(_exact_sum("f").alias("f"))
+    on_links = cut(dealt.join(per, ["a", "z", "up"]).select("v", "src", "dst", "f"), "on-links")
+    marks = found.where("hop = 0").select(F.col("a").alias("node_id"), F.lit(0).alias("seg")).union(on_links.select("v", F.lit(1)))
+    return marks, _typed_flows([(on_links.select("src", "dst", "f"), pattern.edges[0], allowed)])
+
+
 def _of_starts(graph: PropertyGraph, pattern: Pattern, starts: DataFrame) -> tuple[PropertyGraph, Pattern]:
     """The pattern from some of its starts alone."""
     nodes = graph.nodes.join(starts.select(F.col("start").alias("node_id"), F.lit(True).alias("starts_here")), "node_id", "left")
@@ -579,7 +672,8 @@ def match(graph: PropertyGraph, pattern: Pattern) -> GraphResult:
         return _walk(graph, pattern)
     if not _countable(pattern):
         return _labelled(*_listed(graph, pattern), pattern)
-    return _labelled(*_flows(graph, pattern, True), pattern)
+    found = None if _constrained(pattern.nodes[1]) else _reached(graph, pattern)
+    return _labelled(*(found or _flows(graph, pattern, True)), pattern)
 
 
 def _flows(graph: PropertyGraph, pattern: Pattern, merge: bool) -> tuple[DataFrame, DataFrame]:
