@@ -478,6 +478,8 @@ def _counted(graph: PropertyGraph, pattern: Pattern, merge: bool = False) -> tup
             entered.append(taken.select("start", "v").join(watched, ["start", "v"]).select(F.col("real").alias("start")))
         taken = taken.where("not tie").drop("tie").withColumn("to", F.when(F.col("ends"), F.array().cast("array<bigint>")).otherwise(F.array_append("tail", F.col("v"))))
         layers.append(taken)
+        if hop + 1 == most:
+            break
         at = cut(taken.groupBy("start", F.col("to").alias("tail"), "v", "own").agg(_exact_sum("c").alias("c")), "counted")
         first = F.struct(F.lit(hop + 1).alias("h"), F.col("v").alias("n")).alias("first")
         now = taken.where("ends").select("start", F.explode(F.array_append("tail", F.col("v"))).alias("node"), first)
@@ -526,7 +528,8 @@ def _counted(graph: PropertyGraph, pattern: Pattern, merge: bool = False) -> tup
             rows = rows.withColumn("by", F.col("start"))
         if onward is not None:
             rows, on = rows.join(onward, ["by", "to", "v"], "left"), F.coalesce("more", F.lit(0).cast("bigint"))
-        good = cut(rows.withColumn("b", F.col("ends").cast("bigint") + on).where("b > 0").select("start", "tail", "u", "v", "src", "dst", F.lit(hop).alias("hop"), "ends", "c", "b", w.alias("w")), "good")
+        good = rows.withColumn("b", F.col("ends").cast("bigint") + on).where("b > 0").select("start", "tail", "u", "v", "src", "dst", F.lit(hop).alias("hop"), "ends", "c", "b", w.alias("w"))
+        good = good if onward is None else cut(good, "good")  # the last layer is there already
         goods.append(good.drop("tail"))
         onward = good.groupBy(F.col("start").alias("by"), F.col("tail").alias("to"), F.col("u").alias("v")).agg(_exact_sum("b").alias("more"))
     none = at.where("false").select("start", F.col("v").alias("u"), "v", F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("hop"), F.lit(True).alias("ends"), "c", F.col("c").alias("b"), F.col("c").alias("w"))
